@@ -43,21 +43,25 @@ def _powers_of(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_codes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all words in order, and the number of words of each text."""
+def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """Codes of all words in order, words per text, the joined bytes, and where words start and end in them."""
     joined = b"\n".join(texts) + b"\n"
     if lower:
         joined = joined.lower()
     raw = np.frombuffer(joined, np.uint8)
-    space = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(space, prepend=True))
+    edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True))
     starts, ends = edge[0::2], edge[1::2]
     sums = np.zeros(len(raw) + 1, _U)
     np.cumsum(_BYTES[raw] * _powers_of(_BASE, len(raw)), out=sums[1:])
     codes = mix((sums[ends] - sums[starts]) * _powers_of(_INVERSE, len(raw))[starts] + (ends - starts).astype(_U))
     bounds = np.cumsum([len(t) + 1 for t in texts])
     upto = np.searchsorted(starts, bounds)
-    return codes, np.diff(upto, prepend=0)
+    return codes, np.diff(upto, prepend=0), joined, starts, ends
+
+
+def word_codes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all words in order, and the number of words of each text."""
+    return words(texts, lower)[:2]
 
 
 def chunks(texts: Iterable[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
