@@ -5,9 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from isohyet.llm import pieces
-from isohyet.llm.common import table
+from isohyet.llm import langid, mixing, neardup, ngrams, pieces, quality, topk, vectordup, warc, wordpieces
+from isohyet.llm.common import fold, table
+
+
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 7, 2))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    score = F.col("quality_score")
+    return scored.select("doc_id", fold("doc_id", 3, 1).alias("held_out"), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash", "group_id")
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = langid.identify(table(spark, sf_dir, "documents"))
+    return told.select("doc_id", fold("doc_id", 4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op7_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source", "copies")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +52,23 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_sentencepiece": op9_sentencepiece,
-}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return wordpieces.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
 
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_topk_search, op2_warc, op3_lm_scoring, op4_quality, op5_minhash, op6_langid, op7_pivots, op8_mixing, op9_sentencepiece, op10_token_counts)}
+
+ORACLES: dict[str, str] = {
+    "op1_topk_search": """
+with v as (
+  select vec_id, [cast(floor(cast(x as double) * 256) as bigint) for x in embedding] as q from embeddings
+  where embedding is not null and vec_id is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+  select a.vec_id as query_id, b.vec_id, cast(list_sum([a.q[i] * b.q[i] for i in range(1, least(len(a.q), len(b.q)) + 1)]) as bigint) as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+from s qualify rank <= 5
+""",
+}
