@@ -100,6 +100,7 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     hashed = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     repeated = hashed.filter("page_id is not null").groupBy("digest").agg(F.max("page_id").alias("answer"), F.min("page_id").alias("least")).filter("least < answer").select("digest", "answer")
+    repeated = materialise(repeated, "warc-repeated")  # Spark then knows its size and picks the join
     planned = hashed.join(repeated, "digest", "left").withColumn("answer", F.when(F.col("page_id") < F.col("answer"), F.col("answer")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,19 +134,35 @@ def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 _FIELDS = ("warc-type", "warc-record-id", "warc-target-uri", "warc-payload-digest", "warc-page-id", "warc-refers-to", "warc-segment-origin-id", "warc-segment-number", "warc-segment-total-length")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives below ``path``: its fields and its block."""
+def payload_of(block: bytes) -> bytes:
+    head, _, body = block.partition(b"\r\n\r\n")
+    return unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body
+
+
+def read_records(spark: SparkSession, path: str, measure: bool = False) -> DataFrame:
+    """Every record of the archives below ``path``: its fields and its block.
+
+    With ``measure``, whole responses carry size and digest of their payload in the block's place.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.replace("-", "_") for f in _FIELDS]
         for batch in batches:
             for archive in batch.column(0):
-                found = list(parse(archive.as_py()))
-                columns = [pa.array([f.get(n) for f, _ in found], pa.string()) for n in _FIELDS]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([b for _, b in found], pa.binary())], [*names, "block"])
+                fields, blocks, sizes, digests = [], [], [], []
+                for f, block in parse(archive.as_py()):
+                    whole = measure and f["warc-type"] == "response" and "warc-segment-number" not in f
+                    payload = payload_of(block) if whole else None
+                    fields.append(f)
+                    blocks.append(None if whole else block)
+                    sizes.append(len(payload) if whole else None)
+                    digests.append(sha1_base32(payload) if whole else None)
+                columns = [pa.array([f.get(n) for f in fields], pa.string()) for n in _FIELDS]
+                rest = [pa.array(blocks, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, *rest], [*names, "block", "payload_bytes", "payload_digest"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    schema = ", ".join(f.replace("-", "_") + " string" for f in _FIELDS) + ", block binary"
+    schema = ", ".join(f.replace("-", "_") + " string" for f in _FIELDS) + ", block binary, payload_bytes long, payload_digest string"
     return files.filter("length > 0").select("content").mapInArrow(work, schema)
 
 
@@ -170,32 +187,29 @@ def reassembled(records: DataFrame) -> DataFrame:
     return plain.unionByName(firsts.join(checked, "origin").withColumn("block", F.col("joined")).drop("origin", "joined"))
 
 
-def _payload_udf() -> Column:
+def _payload() -> Column:
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for block in batch.to_pylist():
-                head, _, body = block.partition(b"\r\n\r\n")
-                out.append(unchunked(body) if b"transfer-encoding: chunked" in head.lower() else body)
-            yield pa.array(out, pa.binary())
+            yield pa.array([None if b is None else payload_of(b) for b in batch.to_pylist()], pa.binary())
 
     work.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(work, "binary")(F.col("block"))
 
 
-def _digest_udf(payload: str) -> Column:
+def _measures() -> Column:
     def work(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([sha1_base32(p) for p in batch.to_pylist()], pa.string())
+            payloads = [payload_of(b) for b in batch.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([len(p) for p in payloads], pa.int64()), pa.array([sha1_base32(p) for p in payloads], pa.string())], ["bytes", "digest"])
 
     work.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(work, "string")(F.col(payload))
+    return F.arrow_udf(work, "bytes long, digest string")(F.col("block"))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, record_type, record_id, refers_to_id, declared_digest, payload (null for revisits)."""
     whole = reassembled(read_records(spark, path))
-    payload = F.when(F.col("warc_type") == "response", _payload_udf())
+    payload = F.when(F.col("warc_type") == "response", _payload())
     return whole.select(
         F.col("warc_page_id").cast("long").alias("page_id"), F.col("warc_target_uri").alias("url"), F.col("warc_type").alias("record_type"),
         F.col("warc_record_id").alias("record_id"), F.col("warc_refers_to").alias("refers_to_id"), F.regexp_replace("warc_payload_digest", "^sha1:", "").alias("declared_digest"), payload.alias("payload"),
@@ -213,9 +227,11 @@ def archive_round_trip(pages: DataFrame, segment: int = SEGMENT) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
     write_archives(pages, path, segment)
-    read = read_archives(spark, path)
-    told = read.select("page_id", "record_type", "record_id", "refers_to_id", "declared_digest", F.length("payload").cast("long").alias("payload_bytes"), F.when(F.col("payload").isNotNull(), _digest_udf("payload")).alias("payload_digest"))
-    told = materialise(told, "warc-read")
+    records = materialise(read_records(spark, path, measure=True), "warc-records")
+    segmented = reassembled(records.filter("warc_segment_number is not null")).withColumn("measured", _measures())
+    measured = segmented.withColumn("payload_bytes", F.col("measured.bytes")).withColumn("payload_digest", F.col("measured.digest")).drop("measured")
+    columns = [F.col("warc_page_id").cast("long").alias("page_id"), F.col("warc_type").alias("record_type"), F.col("warc_record_id").alias("record_id"), F.col("warc_refers_to").alias("refers_to_id"), F.regexp_replace("warc_payload_digest", "^sha1:", "").alias("declared_digest"), "payload_bytes", "payload_digest"]
+    told = materialise(records.filter("warc_segment_number is null").select(columns).unionByName(measured.select(columns)), "warc-read")
     wrong = F.raise_error(F.concat(F.lit("digest of "), "record_id", F.lit(" does not fit"))).cast("string")
     told = told.withColumn("payload_digest", F.when(F.col("record_type") == "revisit", F.lit(None).cast("string")).when(F.col("payload_digest") == F.col("declared_digest"), F.col("payload_digest")).otherwise(wrong))
     named = told.filter("record_type = 'response'").groupBy("record_id").agg(F.first("page_id").alias("refers_to"), F.first("payload_bytes").alias("r_bytes"), F.first("payload_digest").alias("r_digest"))
