@@ -8,12 +8,14 @@ the framing off. A payload equal to that of a record with a larger page id is no
 again: a revisit record names that record.
 
 Archives are text files whose row separator is the end of a WARC record, so that Spark
-writes and reads them on any file system it knows.
+writes and reads them on any file system it knows. They are compressed by gzip, file by
+file; the reader takes archives compressed file by file or record by record, or plain.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -112,11 +114,13 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     made = planned.select("page_id", "url", F.col("html").cast("binary").alias("html"), "answer").mapInArrow(work, "record binary")
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record of an uncompressed archive."""
+    """Header fields (names in lower case) and block of each record of an archive."""
+    if archive[:2] == b"\x1f\x8b":
+        archive = gzip.decompress(archive)
     at = 0
     while at < len(archive):
         end = archive.index(b"\r\n\r\n", at)
