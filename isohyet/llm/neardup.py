@@ -7,8 +7,9 @@ their resemblance is estimated from the packed words by bit counts, corrected fo
 chance that unlike minima agree in their low bits, and what may reach the threshold is
 confirmed on the full shingle sets.
 
-No bucket is paired off: first all its classes meet its smallest, then its largest class
-only. What is still in different components afterwards meets in a join whose condition
+No bucket is paired off: its classes meet its smallest, then its largest class only, and
+only while it holds more than one component; a few bands go first, as most groups are
+joined by them. What is still in different components afterwards meets in a join whose condition
 holds the estimate, so that unlike pairs are never rows.
 """
 
@@ -29,6 +30,7 @@ from isohyet.llm.components import components
 SHINGLE = 5
 ROWS, BANDS = 5, 40
 MINIMA = ROWS * BANDS
+FIRST_BANDS = 6  # buckets of these bands meet their smallest class first
 BITS = 4
 PACKED = -(-MINIMA * BITS // 64)
 NUM, DEN = 75, 100  # link where DEN * intersection >= NUM * union
@@ -165,7 +167,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "text_hash")).alias("example"), F.first("bands").alias("bands"), F.first("packed").alias("packed"),
         ).withColumn("class", F.monotonically_increasing_id()), "neardup-classes",
     )
-    keyed = classes.select("class", F.explode("bands").alias("key"))
+    keyed = classes.select("class", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
     buckets = materialise(keyed.join(shared, "key"), "neardup-buckets")
     packed_a = classes.select(F.col("class").alias("a"), F.col("packed").alias("packed_a"))
@@ -175,38 +177,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = rows.join(wanted, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
     texts = materialise(found.groupBy("class").agg(F.first("text").alias("text")), "neardup-texts")
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
-        return materialise(_confirmed(pairs, texts), name)
-
     def likely(pairs: DataFrame) -> DataFrame:
         near = pairs.join(packed_a, "a").join(packed_b, "b")
         return near.filter(unlike(F.col("packed_a"), F.col("packed_b")) <= most_unlike()).select("a", "b")
 
-    first = materialise(likely(buckets.filter("class > low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct()), "neardup-first")
-    links = linked(first, "neardup-links1")
-    group = components(links)
-
-    def labelled(df: DataFrame, known: DataFrame) -> DataFrame:
-        return df.join(known.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
+    def labelled(df: DataFrame, group: DataFrame | None) -> DataFrame:
+        if group is None:
+            return df.withColumn("label", F.col("class"))
+        return df.join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
 
     def apart(df: DataFrame) -> DataFrame:
         """Rows of buckets that still hold more than one component."""
         mixed = df.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("key")
         return df.join(mixed, "key", "left_semi")
 
-    open1 = materialise(apart(labelled(buckets, group)), "neardup-open1")
-    high = open1.select(F.col("high").alias("b"), F.col("class").alias("a"), "label").filter("a < b")
-    high = labelled(high.withColumnRenamed("label", "label_a").withColumnRenamed("b", "class"), group).filter("label <> label_a").select("a", F.col("class").alias("b")).distinct()
-    second = materialise(likely(high.join(first, ["a", "b"], "left_anti")), "neardup-second")
-    links = links.union(linked(second, "neardup-links2"))
-    group = components(links)
-    rest = apart(labelled(open1.select("key", "class"), group)).join(classes.select("class", "packed"), "class")
+    def extended(pairs: DataFrame, name: str) -> None:
+        nonlocal tested, links, group
+        new = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
+        new = materialise(likely(new), f"neardup-likely-{name}")
+        found = materialise(_confirmed(new, texts), f"neardup-links-{name}")
+        tested, links = (new, found) if tested is None else (tested.union(new), links.union(found))
+        group = components(links)
+
+    tested = links = group = None
+    open_ones = labelled(buckets, None)
+    for name, bands, pivot in (("few", FIRST_BANDS, "low"), ("low", BANDS, "low"), ("high", BANDS, "high")):
+        if group is not None:
+            open_ones = materialise(apart(labelled(open_ones.drop("label"), group)), f"neardup-open-{name}")
+        other = F.col(pivot)
+        met = open_ones.filter((F.col("band") < bands) & (F.col("class") != other))
+        extended(met.select(F.least("class", other).alias("a"), F.greatest("class", other).alias("b")), name)
+    rest = apart(labelled(open_ones.select("key", "class"), group)).join(classes.select("class", "packed"), "class")
     rest = materialise(rest.select("key", "class", "label", "packed"), "neardup-rest")
     x, y = rest.alias("x"), rest.alias("y")
     still = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label")) & (unlike(F.col("x.packed"), F.col("y.packed")) <= most_unlike()))
-    third = still.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct().join(first.union(second), ["a", "b"], "left_anti")
-    links = links.union(linked(third, "neardup-links3"))
-    group = components(links)
+    extended(still.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")), "rest")
     label = labelled(classes.select("class", "one", "two", "least_id"), group)
     least = label.groupBy("label").agg(F.min("least_id").alias("component_id"))
     told = label.join(least, "label").select("one", "two", F.col("label").alias("group_id"), "component_id")
