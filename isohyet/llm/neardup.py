@@ -187,9 +187,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         return df.join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
 
     def apart(df: DataFrame) -> DataFrame:
-        """Rows of buckets that still hold more than one component."""
-        mixed = df.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("key")
-        return df.join(mixed, "key", "left_semi")
+        """Rows of buckets that still hold more than one component, with the components of their first and last class."""
+        ends = [F.min_by("label", "class").alias("low_label"), F.max_by("label", "class").alias("high_label")]
+        mixed = df.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), *ends).filter("l < h").drop("l", "h")
+        return df.join(mixed, "key")
 
     def extended(pairs: DataFrame, name: str) -> None:
         nonlocal tested, links, group
@@ -200,12 +201,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         group = components(links)
 
     tested = links = group = None
-    open_ones = labelled(buckets, None)
+    open_ones = labelled(buckets, None).withColumn("low_label", F.col("low")).withColumn("high_label", F.col("high"))
     for name, bands, pivot in (("few", FIRST_BANDS, "low"), ("low", BANDS, "low"), ("high", BANDS, "high")):
         if group is not None:
-            open_ones = materialise(apart(labelled(open_ones.drop("label"), group)), f"neardup-open-{name}")
+            open_ones = materialise(apart(labelled(open_ones.select("class", "band", "key", "low", "high"), group)), f"neardup-open-{name}")
         other = F.col(pivot)
-        met = open_ones.filter((F.col("band") < bands) & (F.col("class") != other))
+        met = open_ones.filter((F.col("band") < bands) & (F.col("label") != F.col(f"{pivot}_label")))
         extended(met.select(F.least("class", other).alias("a"), F.greatest("class", other).alias("b")), name)
     rest = apart(labelled(open_ones.select("key", "class"), group)).join(classes.select("class", "packed"), "class")
     rest = materialise(rest.select("key", "class", "label", "packed"), "neardup-rest")
