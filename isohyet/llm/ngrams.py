@@ -36,8 +36,8 @@ BITS_PER_KEY = 12
 PROBES = 5
 MOST_BYTES = 96 << 20
 LEVELS = 62
-SHARD_BYTES = 16 << 20  # of training text for each count shard, about
-CHUNK_BYTES = 4 << 20
+SHARD_BYTES = 12 << 20  # of training text for each count shard, about
+CHUNK_BYTES = 2 << 20
 END = int(textcodes.word_codes([b"\x00end-of-text"])[0][0]) ^ 0x0F0F0F0F0F0F0F0F
 _U = np.uint64
 _PAIR = (_U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25))
