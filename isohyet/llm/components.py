@@ -23,6 +23,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """True if every node has one edge to a smaller one, which has none itself."""
+    if edges.groupBy("a").count().filter("count > 1").limit(1).count():
+        return False
+    return not edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, component for every node of the edges (a, b): the smallest node it can reach.
 
@@ -30,12 +37,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     A minimum per node is aggregated before it is joined back, so that a hub's edges are
     never gathered in one place. Each round is written to the shared folder.
     """
-    now = materialise(edges.select("a", "b").filter("a <> b").distinct(), name)
-    seen = None
-    while True:
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            break
-        seen = mark
+    now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
+    while not _stars(now):
         now = materialise(_small_star(_large_star(now)).filter("a <> b").distinct(), name)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -8,8 +8,8 @@ chance that unlike minima agree in their low bits, and what may reach the thresh
 confirmed on the full shingle sets.
 
 No bucket is paired off: its classes meet its smallest, then its largest class only, and
-only while it holds more than one component; a few bands go first, as most groups are
-joined by them. What is still in different components afterwards meets in a join whose condition
+only while it holds more than one component; the first bands go one by one, as most
+groups are joined by them. What is still in different components afterwards meets in a join whose condition
 holds the estimate, so that unlike pairs are never rows.
 """
 
@@ -30,7 +30,7 @@ from isohyet.llm.components import components
 SHINGLE = 5
 ROWS, BANDS = 5, 40
 MINIMA = ROWS * BANDS
-FIRST_BANDS = 6  # buckets of these bands meet their smallest class first
+STEPS = (1, 2, 3, 6)  # bands are taken up to the first of these, then up to the next, then all
 BITS = 4
 PACKED = -(-MINIMA * BITS // 64)
 NUM, DEN = 75, 100  # link where DEN * intersection >= NUM * union
@@ -126,13 +126,13 @@ def most_unlike() -> int:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets pass the threshold."""
+    """The rows (a, b, x, y) whose classes a and b have full shingle sets that pass the threshold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
         for batch in batches:
             ids = [batch.column(k).to_pylist() for k in (0, 1)]
-            sides = [textcodes.encoded(batch.column(k)) for k in (2, 3)]
+            sides = [textcodes.encoded(batch.column(k)) for k in (4, 5)]
             good = []
             for a, b, ta, tb in zip(*ids, *sides, strict=True):
                 if len(kept) > SETS_KEPT:
@@ -142,13 +142,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         kept[k] = shingle_sets([t])[0]
                 x, y = kept[a], kept[b]
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if DEN * both >= NUM * (len(x) + len(y) - both):
-                    good.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in (0, 1)], ["a", "b"])
+                good.append(DEN * both >= NUM * (len(x) + len(y) - both))
+            yield batch.select(["a", "b", "x", "y"]).filter(pa.array(good, pa.bool_()))
 
     left = texts.select(F.col("class").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("class").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(work, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "text_a", "text_b").mapInArrow(work, "a long, b long, x long, y long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -168,7 +167,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ).withColumn("class", F.monotonically_increasing_id()), "neardup-classes",
     )
     keyed = classes.select("class", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = materialise(keyed.join(shared, "key"), "neardup-buckets")
     packed_a = classes.select(F.col("class").alias("a"), F.col("packed").alias("packed_a"))
     packed_b = classes.select(F.col("class").alias("b"), F.col("packed").alias("packed_b"))
@@ -177,43 +176,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = rows.join(wanted, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
     texts = materialise(found.groupBy("class").agg(F.first("text").alias("text")), "neardup-texts")
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        near = pairs.join(packed_a, "a").join(packed_b, "b")
-        return near.filter(unlike(F.col("packed_a"), F.col("packed_b")) <= most_unlike()).select("a", "b")
-
-    def labelled(df: DataFrame, group: DataFrame | None) -> DataFrame:
-        if group is None:
-            return df.withColumn("label", F.col("class"))
-        return df.join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class")).drop("component")
-
-    def apart(df: DataFrame) -> DataFrame:
-        """Rows of buckets that still hold more than one component, with the components of their first and last class."""
-        ends = [F.min_by("label", "class").alias("low_label"), F.max_by("label", "class").alias("high_label")]
-        mixed = df.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), *ends).filter("l < h").drop("l", "h")
-        return df.join(mixed, "key")
+    def apart(rows: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold more than one component, with their first and last class and these ones' components."""
+        ends = [F.min("class").alias("low"), F.max("class").alias("high"), F.min_by("label", "class").alias("low_label"), F.max_by("label", "class").alias("high_label")]
+        labelled = rows.select("key", "class").join(members, "class")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), *ends).filter("l < h").drop("l", "h")
+        return labelled.join(mixed, "key")
 
     def extended(pairs: DataFrame, name: str) -> None:
-        nonlocal tested, links, group
+        """Confirm the pairs (a, b) of components (x, y) that are new, and join the components of those that link."""
+        nonlocal tested, members
         new = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
-        new = materialise(likely(new), f"neardup-likely-{name}")
-        found = materialise(_confirmed(new, texts), f"neardup-links-{name}")
-        tested, links = (new, found) if tested is None else (tested.union(new), links.union(found))
-        group = components(links)
-
-    tested = links = group = None
-    open_ones = labelled(buckets, None).withColumn("low_label", F.col("low")).withColumn("high_label", F.col("high"))
-    for name, bands, pivot in (("few", FIRST_BANDS, "low"), ("low", BANDS, "low"), ("high", BANDS, "high")):
-        if group is not None:
-            open_ones = materialise(apart(labelled(open_ones.select("class", "band", "key", "low", "high"), group)), f"neardup-open-{name}")
-        other = F.col(pivot)
-        met = open_ones.filter((F.col("band") < bands) & (F.col("label") != F.col(f"{pivot}_label")))
-        extended(met.select(F.least("class", other).alias("a"), F.greatest("class", other).alias("b")), name)
-    rest = apart(labelled(open_ones.select("key", "class"), group)).join(classes.select("class", "packed"), "class")
-    rest = materialise(rest.select("key", "class", "label", "packed"), "neardup-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    still = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.label") != F.col("y.label")) & (unlike(F.col("x.packed"), F.col("y.packed")) <= most_unlike()))
-    extended(still.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")), "rest")
-    label = labelled(classes.select("class", "one", "two", "least_id"), group)
+        near = new.join(packed_a, "a").join(packed_b, "b").filter(unlike(F.col("packed_a"), F.col("packed_b")) <= most_unlike())
+        new = materialise(near.select("a", "b", "x", "y"), f"neardup-likely-{name}")
+        tested = new.select("a", "b") if tested is None else tested.union(new.select("a", "b"))
+        links = _confirmed(new, texts).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        joined = components(links, f"neardup-components-{name}").withColumnRenamed("node", "label")
+        members = materialise(members.join(joined, "label", "left").select("class", F.coalesce("component", "label").alias("label")), f"neardup-members-{name}")
+
+    def star(rows: DataFrame, pivot: str) -> DataFrame:
+        """Pairs of each class with its bucket's pivot, unless they are in one component."""
+        return rows.filter(F.col("label") != F.col(f"{pivot}_label")).select(F.least("class", pivot).alias("a"), F.greatest("class", pivot).alias("b"), F.col("label").alias("x"), F.col(f"{pivot}_label").alias("y"))
+
+    tested = None
+    members = materialise(buckets.select("class").distinct().withColumn("label", F.col("class")), "neardup-members")
+    still = None
+    for first, last in zip((0, *STEPS), (*STEPS, BANDS), strict=True):
+        rows = materialise(apart(buckets.filter((F.col("band") >= first) & (F.col("band") < last))), f"neardup-open-{first}")
+        still = rows if still is None else still.union(rows)
+        extended(star(rows, "low"), f"{first}")
+    still = materialise(apart(still), "neardup-open-high")
+    extended(star(still, "high"), "high")
+    rest = materialise(apart(still).join(classes.select("class", "packed"), "class").select("key", "class", "label", "packed"), "neardup-rest")
+    p, q = rest.alias("p"), rest.alias("q")
+    met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.class") < F.col("q.class")) & (F.col("p.label") != F.col("q.label")) & (unlike(F.col("p.packed"), F.col("q.packed")) <= most_unlike()))
+    extended(met.select(F.col("p.class").alias("a"), F.col("q.class").alias("b"), F.col("p.label").alias("x"), F.col("q.label").alias("y")), "rest")
+    label = classes.select("class", "one", "two", "least_id").join(members, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = label.groupBy("label").agg(F.min("least_id").alias("component_id"))
     told = label.join(least, "label").select("one", "two", F.col("label").alias("group_id"), "component_id")
     out = signed.select("doc_id", "text_hash", "n_shingles", "one", "two").join(told, ["one", "two"], "left")
