@@ -9,8 +9,9 @@ confirmed on the full shingle sets.
 
 No bucket is paired off: its classes meet its smallest, then its largest class only, and
 only while it holds more than one component; the first bands go one by one, as most
-groups are joined by them. What is still in different components afterwards meets in a join whose condition
-holds the estimate, so that unlike pairs are never rows.
+groups are joined by them. What is still in different components afterwards meets in
+chunks of its bucket, two at a time, where the estimate and the full sets are compared
+without a row for each pair, and only links come out.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ MINIMA = ROWS * BANDS
 STEPS = (1, 2, 3, 6)  # bands are taken up to the first of these, then up to the next, then all
 BITS = 4
 PACKED = -(-MINIMA * BITS // 64)
+CHUNK = 256
 NUM, DEN = 75, 100  # link where DEN * intersection >= NUM * union
 DOUBT = 4.5  # standard deviations that an estimate may fall short of the threshold
 SETS_KEPT = 2000
@@ -150,6 +152,48 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "text_a", "text_b").mapInArrow(work, "a long, b long, x long, y long")
 
 
+def _meet(key: tuple, table: pa.Table) -> pa.Table:
+    """Links between components (a, b) that two chunks of one bucket hold; every pair is judged in the first bucket it shares."""
+    bucket, left, right = (k.as_py() for k in key)
+    label, chunk = np.array(table["label"].to_pylist(), np.int64), np.array(table["chunk"].to_pylist())
+    packed = np.array(table["packed"].to_pylist(), np.int64).view(np.uint64)
+    bands = np.array(table["bands"].to_pylist(), np.int64)
+    texts = textcodes.encoded(table["text"].combine_chunks())
+    near = np.triu(label[:, None] != label[None, :])
+    if left != right:
+        near &= chunk[:, None] != chunk[None, :]
+    differing = np.zeros(near.shape, np.int32)
+    for k in range(PACKED):
+        x = packed[:, k][:, None] ^ packed[:, k][None, :]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        differing += np.bitwise_count(x & np.uint64(_NIBBLES))
+    i, j = np.nonzero(near & (differing <= most_unlike()))
+    same = bands[i] == bands[j]
+    first = bands[i, same.argmax(axis=1)] == bucket if len(i) else np.zeros(0, bool)
+    sets: dict[int, np.ndarray] = {}
+    root = {x: x for x in label.tolist()}
+    links = []
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+        p, q = top(int(label[a])), top(int(label[b]))
+        if p == q:
+            continue
+        for k in (a, b):
+            if k not in sets:
+                sets[k] = shingle_sets([texts[k]])[0]
+        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        if DEN * both >= NUM * (len(sets[a]) + len(sets[b]) - both):
+            root[max(p, q)] = min(p, q)
+            links.append((p, q))
+    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, group_id, component_id, kept: one row per row of ``docs``.
 
@@ -185,12 +229,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def extended(pairs: DataFrame, name: str) -> None:
         """Confirm the pairs (a, b) of components (x, y) that are new, and join the components of those that link."""
-        nonlocal tested, members
+        nonlocal tested
         new = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
         near = new.join(packed_a, "a").join(packed_b, "b").filter(unlike(F.col("packed_a"), F.col("packed_b")) <= most_unlike())
         new = materialise(near.select("a", "b", "x", "y"), f"neardup-likely-{name}")
         tested = new.select("a", "b") if tested is None else tested.union(new.select("a", "b"))
-        links = _confirmed(new, texts).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        join_components(_confirmed(new, texts).select(F.col("x").alias("a"), F.col("y").alias("b")), name)
+
+    def join_components(links: DataFrame, name: str) -> None:
+        nonlocal members
         joined = components(links, f"neardup-components-{name}").withColumnRenamed("node", "label")
         members = materialise(members.join(joined, "label", "left").select("class", F.coalesce("component", "label").alias("label")), f"neardup-members-{name}")
 
@@ -207,10 +254,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         extended(star(rows, "low"), f"{first}")
     still = materialise(apart(still), "neardup-open-high")
     extended(star(still, "high"), "high")
-    rest = materialise(apart(still).join(classes.select("class", "packed"), "class").select("key", "class", "label", "packed"), "neardup-rest")
-    p, q = rest.alias("p"), rest.alias("q")
-    met = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.class") < F.col("q.class")) & (F.col("p.label") != F.col("q.label")) & (unlike(F.col("p.packed"), F.col("q.packed")) <= most_unlike()))
-    extended(met.select(F.col("p.class").alias("a"), F.col("q.class").alias("b"), F.col("p.label").alias("x"), F.col("q.label").alias("y")), "rest")
+    rest = materialise(apart(still).select("key", "class", "label"), "neardup-rest")
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = rest.join(sizes, "key").join(classes.select("class", "bands", "packed"), "class").join(texts, "class").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("left", F.least("chunk", "other")).withColumn("right", F.greatest("chunk", "other"))
+    met = paired.select("key", "left", "right", "class", "label", "bands", "packed", "text", "chunk").groupBy("key", "left", "right").applyInArrow(_meet, "a long, b long")
+    join_components(met, "rest")
     label = classes.select("class", "one", "two", "least_id").join(members, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = label.groupBy("label").agg(F.min("least_id").alias("component_id"))
     told = label.join(least, "label").select("one", "two", F.col("label").alias("group_id"), "component_id")
