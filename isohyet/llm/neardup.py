@@ -7,9 +7,9 @@ their resemblance is estimated from the packed words by bit counts, corrected fo
 chance that unlike minima agree in their low bits, and what may reach the threshold is
 confirmed on the full shingle sets.
 
-No bucket is paired off: its classes meet its smallest, then its largest class only, and
-only while it holds more than one component; the first bands go one by one, as most
-groups are joined by them. What is still in different components afterwards meets in
+No bucket is paired off: its classes meet its smallest one only, and only while it holds
+more than one component; the first bands go before the others, as most groups are joined
+by them. What is still in different components afterwards meets in
 chunks of its bucket, two at a time, where the estimate and the full sets are compared
 without a row for each pair, and only links come out.
 """
@@ -31,7 +31,7 @@ from isohyet.llm.components import components
 SHINGLE = 5
 ROWS, BANDS = 5, 40
 MINIMA = ROWS * BANDS
-STEPS = (1, 2, 3, 6)  # bands are taken up to the first of these, then up to the next, then all
+STEPS = (1, 6)  # bands are taken up to the first of these, then up to the next, then all
 BITS = 4
 PACKED = -(-MINIMA * BITS // 64)
 CHUNK = 256
@@ -221,8 +221,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = materialise(found.groupBy("class").agg(F.first("text").alias("text")), "neardup-texts")
 
     def apart(rows: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold more than one component, with their first and last class and these ones' components."""
-        ends = [F.min("class").alias("low"), F.max("class").alias("high"), F.min_by("label", "class").alias("low_label"), F.max_by("label", "class").alias("high_label")]
+        """Rows of the buckets that hold more than one component, with their smallest class and its component."""
+        ends = [F.min("class").alias("low"), F.min_by("label", "class").alias("low_label")]
         labelled = rows.select("key", "class").join(members, "class")
         mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), *ends).filter("l < h").drop("l", "h")
         return labelled.join(mixed, "key")
@@ -241,9 +241,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         joined = components(links, f"neardup-components-{name}").withColumnRenamed("node", "label")
         members = materialise(members.join(joined, "label", "left").select("class", F.coalesce("component", "label").alias("label")), f"neardup-members-{name}")
 
-    def star(rows: DataFrame, pivot: str) -> DataFrame:
-        """Pairs of each class with its bucket's pivot, unless they are in one component."""
-        return rows.filter(F.col("label") != F.col(f"{pivot}_label")).select(F.least("class", pivot).alias("a"), F.greatest("class", pivot).alias("b"), F.col("label").alias("x"), F.col(f"{pivot}_label").alias("y"))
+    def star(rows: DataFrame) -> DataFrame:
+        """Pairs of each class with its bucket's smallest one, unless they are in one component."""
+        return rows.filter("label <> low_label").select(F.col("low").alias("a"), F.col("class").alias("b"), F.col("label").alias("x"), F.col("low_label").alias("y"))
 
     tested = None
     members = materialise(buckets.select("class").distinct().withColumn("label", F.col("class")), "neardup-members")
@@ -251,9 +251,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for first, last in zip((0, *STEPS), (*STEPS, BANDS), strict=True):
         rows = materialise(apart(buckets.filter((F.col("band") >= first) & (F.col("band") < last))), f"neardup-open-{first}")
         still = rows if still is None else still.union(rows)
-        extended(star(rows, "low"), f"{first}")
-    still = materialise(apart(still), "neardup-open-high")
-    extended(star(still, "high"), "high")
+        extended(star(rows), f"{first}")
     rest = materialise(apart(still).select("key", "class", "label"), "neardup-rest")
     sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     dealt = rest.join(sizes, "key").join(classes.select("class", "bands", "packed"), "class").join(texts, "class").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from isohyet.llm import textcodes
 from isohyet.llm.common import remainder
 
-SAMPLE = 4096  # labelled documents at most, about; the only rows that a model is fitted on
+SAMPLE = 2048  # labelled documents at most, about; the only rows that a model is fitted on
 DIMENSIONS = 48
 NEIGHBOURS = 15
 POWER = 8
@@ -70,7 +70,8 @@ class Model:
         if len(rows):
             weighted = rows * self.weight
             self.centre = weighted.mean(axis=0)
-            _, vectors = np.linalg.eigh((weighted - self.centre).T.astype(np.float64) @ (weighted - self.centre))
+            weighted -= self.centre
+            _, vectors = np.linalg.eigh(weighted.T @ weighted)
             self.basis = vectors[:, ::-1][:, :DIMENSIONS].astype(np.float32)
         self.known = self.latent(rows)
 
