@@ -288,3 +288,29 @@ select elm, typ, region, count(*) n_obs, round(sum(impact), 4) total, round(100
 def impact_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = fx.observations(spark, sf_dir).withColumn("region", F.when(F.col("rj") < 10, "S").otherwise("N")).withColumn("impact", F.col("dat") - 50 * F.col("err"))
     return o.rollup("elm", "typ", "region").agg(F.count("*").alias("n_obs"), F.round(F.sum("impact"), 4).alias("total"), F.round(100 * F.avg(F.when(F.col("impact") < 0, 1).otherwise(0)), 6).alias("percent_negative"))
+
+
+MOST_SPREAD = 0.1  # of the mean
+
+
+@register(OBS + f"""n as (select gi, gj, avg(x) xm, stddev_samp(x) / avg(x) s from ens group by 1, 2)
+select gi, gj, mem, round(case when s > {MOST_SPREAD} then xm + (x - xm) * {MOST_SPREAD} / s else x end, 6) x from ens join n using (gi, gj)""")
+def q_spread_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perturbations shrunk where the spread, relative to the mean, exceeds its limit."""
+    point = Window.partitionBy("gi", "gj")
+    e = fx.ensemble(spark, sf_dir).withColumn("xm", F.avg("x").over(point)).withColumn("s", F.stddev_samp("x").over(point) / F.col("xm"))
+    return e.select("gi", "gj", "mem", F.round(F.when(F.col("s") > MOST_SPREAD, F.col("xm") + (F.col("x") - F.col("xm")) * MOST_SPREAD / F.col("s")).otherwise(F.col("x")), 6).alias("x"))
+
+
+@register(OBS + CODED + HX + """, z as (select e.gi, e.gj, e.mem, e.x, h.hx, o.err * o.err r from ens e join dep o on o.obs_id = (e.gi + 25 * e.gj) % 400 and o.qc = 0 join hx h on h.obs_id = o.obs_id and h.mem = e.mem),
+g as (select gi, gj, avg(x) xm, avg(hx) hm, var_samp(hx) v, covar_samp(x, hx) c, max(r) r from z group by 1, 2)
+select gi, gj, mem, round(x - xm - c / (v + g.r) / (1 + sqrt(g.r / (v + g.r))) * (hx - hm), 5) xa_pert from z join g using (gi, gj)""")
+def enkf_serial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perturbations after a serial square-root update with one observation."""
+    dep, hx = _departures(spark, sf_dir)
+    grid = fx.ensemble(spark, sf_dir).withColumn("obs_id", ((F.col("gi") + 25 * F.col("gj")) % 400).cast("long"))
+    z = grid.join(dep.filter("qc = 0").select("obs_id", (F.col("err") * F.col("err")).alias("r")), "obs_id").join(hx, ["obs_id", "mem"])
+    g = z.groupBy("gi", "gj").agg(F.avg("x").alias("xm"), F.avg("hx").alias("hm"), F.var_samp("hx").alias("v"), F.covar_samp("x", "hx").alias("c"))
+    total = F.col("v") + F.col("r")
+    pert = F.col("x") - F.col("xm") - F.col("c") / total / (1 + F.sqrt(F.col("r") / total)) * (F.col("hx") - F.col("hm"))
+    return z.join(g, ["gi", "gj"]).select("gi", "gj", "mem", F.round(pert, 5).alias("xa_pert"))
