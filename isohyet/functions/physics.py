@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -104,3 +105,110 @@ def destination(lon: Column, lat: Column, distance: Column, azimuth: Column) ->
     lat2 = F.asin(F.sin(y) * F.cos(d) + F.cos(y) * F.sin(d) * F.cos(a))
     lon2 = lon * rad + F.atan2(F.sin(d) * F.sin(a) * F.cos(y), F.cos(d) - F.sin(y) * F.sin(lat2))
     return lon2 / rad, lat2 / rad
+
+
+# Fixed values of the drop-size distributions: intercepts (m^-4), densities (kg/m3), dielectric factors, fall coefficients.
+N0_RAIN, N0_SNOW, N0_GRAUPEL = 8.0e6, 3.0e6, 4.0e4
+RHO_RAIN, RHO_SNOW, RHO_GRAUPEL, RHO_ICE = 1000.0, 100.0, 913.0, 917.0
+K2_ICE, K2_WATER = 0.176, 0.930
+FALL_RAIN, FALL_SNOW, DRAG = (2115.0, 0.8), (152.93, 0.25), 0.6
+MELTING_POINT = 273.16
+
+
+def _where_positive(q: Column, value: Column) -> Column:
+    return F.when(q > 0, value).otherwise(0.0)
+
+
+def fall_speeds(rho: Column, qr: Column, qs: Column, qg: Column, intercepts: Sequence[float], graupel: float, exponent: float) -> tuple[Column, Column, Column]:
+    """Mean fall speeds (m/s) of rain, snow and graupel for exponential size distributions, in cgs units inside.
+
+    ``exponent`` is that of the air-density correction, which graupel has in its drag instead.
+    """
+    air = rho * 1e-3
+
+    def slope(q: Column, dense: float, n0: float, power: float) -> Column:
+        return F.pow(air * q / (codes.PI * dense * n0), F.lit(power / 4))
+
+    def liquid(q: Column, law: tuple[float, float], dense: float, n0: float) -> Column:
+        factor = 0.01 * law[0] * math.gamma(4 + law[1]) / 6
+        return _where_positive(q, factor * slope(q, dense, n0, law[1]) * F.pow(0.001 / air, F.lit(exponent)))
+
+    drag = F.sqrt(4 * codes.GRAVITY * 100 * graupel / (3 * DRAG * air))
+    solid = _where_positive(qg, 0.01 * math.gamma(4.5) / 6 * drag * slope(qg, graupel, intercepts[2], 0.5))
+    return liquid(qr, FALL_RAIN, RHO_RAIN * 1e-3, intercepts[0]), liquid(qs, FALL_SNOW, RHO_SNOW * 1e-3, intercepts[1]), solid
+
+
+def reflectivity_by_species(rho: Column, t: Column, qr: Column, qs: Column, qg: Column) -> tuple[Column, Column]:
+    """Method 2, (reflectivity, terminal velocity): rain, snow (dry up to the melting point, then wet) and graupel."""
+    scale = 720e18 / codes.PI**1.75
+    zr = scale / (N0_RAIN**0.75 * RHO_RAIN**1.75) * F.pow(rho * qr, F.lit(1.75))
+    dry = scale * K2_ICE * RHO_SNOW**0.25 / (K2_WATER * N0_SNOW**0.75 * RHO_ICE**2)
+    wet = scale / (N0_SNOW**0.75 * RHO_ICE**1.75)
+    zs = F.when(t <= MELTING_POINT, dry).otherwise(wet) * F.pow(rho * qs, F.lit(1.75))
+    zg = (scale / (N0_GRAUPEL**0.75 * RHO_GRAUPEL**1.75)) ** 0.95 * F.pow(rho * qg, F.lit(1.6625))
+    z = [_where_positive(q, v) for q, v in ((qr, zr), (qs, zs), (qg, zg))]
+    speeds = fall_speeds(rho, qr, qs, qg, (N0_RAIN * 1e-3, N0_SNOW * 1e-3, N0_GRAUPEL * 1e-3), RHO_GRAUPEL * 1e-3, 0.25)
+    return _weighted(z, speeds)
+
+
+MOST_MELTING = 0.5
+# rain, dry snow, dry graupel: factor and exponent of the content in g/m3
+Z_POWER = ((2.53e4, 1.84), (3.48e3, 1.66), (5.54e3, 1.70))
+# melting snow, melting graupel: factor (1e5) and exponent as parabolas of the water fraction
+Z_MELTING = (((0.00491, 5.75, -5.588), (1.67, -0.202, 0.398)), ((0.809, 10.13, -5.98), (1.48, 0.0448, -0.0313)))
+
+
+def reflectivity_melting(rho: Column, qr: Column, qs: Column, qg: Column) -> tuple[Column, Column]:
+    """Method 3, (reflectivity, terminal velocity): part of rain and ice counts as melting particles where both occur."""
+
+    def mixed(ice: Column) -> tuple[Column, Column]:
+        both = (qr > 0) & (ice > 0)
+        share = F.when(both, MOST_MELTING * F.pow(F.least(qr / F.nullif(ice, F.lit(0.0)), ice / F.nullif(qr, F.lit(0.0))), F.lit(1 / 3))).otherwise(0.0)
+        return share, F.when(both, qr / (qr + ice)).otherwise(0.0)
+
+    (share_s, water_s), (share_g, water_g) = mixed(qs), mixed(qg)
+    contents = ((1 - share_s - share_g) * qr, (1 - share_s) * qs, (1 - share_g) * qg)
+    plain = [_where_positive(q, a * F.pow(rho * q * 1000, F.lit(b))) for q, (a, b) in zip(contents, Z_POWER, strict=True)]
+    melting = []
+    for (factor, exponent), share, water, ice in zip(Z_MELTING, (share_s, share_g), (water_s, water_g), (qs, qg), strict=True):
+        parabola = [c[0] + c[1] * water + c[2] * water * water for c in (factor, exponent)]
+        q = share * (qr + ice)
+        melting.append(_where_positive(q, parabola[0] * 1e5 * F.pow(rho * q * 1000, parabola[1])))
+    wr, ws, wg = fall_speeds(rho, qr, qs, qg, (8.0e-2, 3.0e-2, 4.0e-4), 0.917, 0.5)
+    return _weighted([*plain, *melting], (wr, ws, wg, ws, wg))
+
+
+def _weighted(z: Sequence[Column], speeds: Sequence[Column]) -> tuple[Column, Column]:
+    total = z[0]
+    flux = z[0] * speeds[0]
+    for a, w in zip(z[1:], speeds[1:], strict=True):
+        total, flux = total + a, flux + a * w
+    return total, F.when(total > 0, flux / total).otherwise(0.0)
+
+
+def terrain_height(topo: Column, cz: Column, top: float) -> Column:
+    """Height of a terrain-following level."""
+    return (top - topo) / top * cz + topo
+
+
+def advected(lon: Column, lat: Column, u: Column, v: Column, hours: float, rate: float = 1.0) -> tuple[Column, Column]:
+    """Where air now at a point was ``hours`` ago; over a pole the longitude turns by half, longitudes are in [0, 360]."""
+    degrees = rate * hours * 3600 * 180 / (codes.PI * codes.EARTH_RADIUS)
+    y = lat - v * degrees
+    x = lon - u / F.cos(lat * (codes.PI / 180)) * degrees
+    over = F.abs(y) > 90
+    x, y = F.when(over, x + 180).otherwise(x), F.when(over, F.signum(y) * 180 - y).otherwise(y)
+    return F.when((x > 360) | (x < 0), F.pmod(x, F.lit(360.0))).otherwise(x), y
+
+
+def boundary_taper(ri: Column, rj: Column, nx: int, ny: int, dx: float, dy: float, width: float) -> Column:
+    """Weight of an update: 0 at the domain's edge, 1 from ``width`` inside it."""
+    edge = F.least(F.least(ri, nx + 1 - ri) * dx, F.least(rj, ny + 1 - rj) * dy)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), edge / width)) if width > 0 else F.lit(1.0)
+
+
+def energy_terms(u: Column, v: Column, t: Column, q: Column, thickness: Column, area: Column, moist: float = 1.0, latent: float = 2.5e6, cp: float = codes.CP_DRY) -> dict[str, Column]:
+    """Kinetic, thermal and moist terms of the total-energy norm of a layer whose thickness is relative to surface pressure."""
+    layer = thickness * area * area
+    reference = 280.0
+    return {"ke": layer * (u * u + v * v), "pe": layer * cp / reference * t * t, "me": layer * moist * latent**2 / (cp * reference) * q * q}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,29 +38,102 @@ def adapted(y: np.ndarray, d: np.ndarray, rdiag: np.ndarray, rloc: np.ndarray, i
     return inflation + PRIOR_SD**2 / (spread + PRIOR_SD**2) * gain
 
 
-def analysed(x: np.ndarray, y: np.ndarray, d: np.ndarray, rdiag: np.ndarray, inflation: float, rtpp: float = 0.0) -> np.ndarray:
-    """Members of a variable after the update."""
-    w, mean, _ = transform(y, d, rdiag, inflation, rtpp)
+def spread_factor(x: np.ndarray, cov: np.ndarray, inflation: float, rtps: float) -> float:
+    """Factor of the perturbation weights that relaxes the spread of perturbations ``x`` to the prior's."""
+    prior, after = x @ x, x @ cov @ x
+    if prior <= 0 or after <= 0:
+        return 1.0
+    return rtps * np.sqrt(prior * inflation / (after * (len(x) - 1))) - rtps + 1
+
+
+def analysed(x: np.ndarray, y: np.ndarray, d: np.ndarray, rdiag: np.ndarray, inflation: float, rtpp: float = 0.0, rtps: float = 0.0, beta: float = 1.0) -> np.ndarray:
+    """Members of a variable after the update; with both relaxations set, that of perturbations is used. ``beta`` tapers the update."""
+    w, mean, cov = transform(y, d, rdiag, inflation, rtpp)
     centre = x.mean()
-    return centre + (x - centre) @ (w + mean[:, None])
+    if rtps and not rtpp:
+        w = w * spread_factor(x - centre, cov, inflation, rtps)
+    return centre + (x - centre) @ (beta * (w + mean[:, None]) + (1 - beta) * np.eye(len(x)))
+
+
+def one_sided(x: np.ndarray, y: np.ndarray, rdiag: np.ndarray) -> np.ndarray:
+    """Perturbations after a one-sided transform; members are combinations that need not keep a zero sum."""
+    values, vectors = np.linalg.eigh((y / rdiag[:, None]).T @ y / (x.shape[-1] - 1))
+    return (x - x.mean()) @ (vectors / np.sqrt(np.maximum(values, 0) + 1))
+
+
+def dimension(x: np.ndarray) -> float:
+    """Effective number of directions of perturbations (points x members); 0 without spread."""
+    values = np.maximum(np.linalg.eigvalsh(x.T @ x), 0)
+    return float(np.sqrt(values).sum() ** 2 / values.sum()) if values.sum() > 0 else 0.0
+
+
+def gain_inverse(x: np.ndarray, y: np.ndarray, rdiag: np.ndarray) -> np.ndarray:
+    """Kalman gain of variables (n x m) for observations (p x m), by whichever inverse is the smaller: p x p or m x m."""
+    m = x.shape[1]
+    if len(y) <= m:
+        return x @ y.T @ np.linalg.inv(y @ y.T + np.diag(rdiag) * (m - 1))
+    scaled = y / rdiag[:, None]
+    return x @ np.linalg.inv(np.eye(m) * (m - 1) + y.T @ scaled) @ scaled.T
 
 
-def analysis(packed: DataFrame, inflation: float = 1.0, rtpp: float = 0.0) -> DataFrame:
-    """(gi, gj, mem, xa) from rows of a point: members ``x`` and its observations ``y`` (lists of arrays), ``d`` and ``rdiag``."""
+def _per_point(packed: DataFrame, columns: tuple[str, ...], schema: str, of_row: Callable[..., list[tuple]]) -> DataFrame:
+    """``of_row`` takes a row's columns and returns (mem, value) or (value,) tuples, which follow the point's gi and gj."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pydict()
-            points, out = [], []
-            for gi, gj, x, y, d, r in zip(*(rows[c] for c in ("gi", "gj", "x", "y", "d", "rdiag")), strict=True):
-                x = np.array(x)
-                new = analysed(x, np.array(y).reshape(-1, len(x)), np.array(d), np.array(r), inflation, rtpp)
-                points += [(gi, gj)] * len(x)
-                out.append(new)
-            m = [k for o in out for k in range(1, len(o) + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in points], pa.int32()), pa.array([p[1] for p in points], pa.int32()), pa.array(m, pa.int32()), pa.array(np.concatenate(out) if out else [], pa.float64())], ["gi", "gj", "mem", "xa"])
-
-    return packed.select("gi", "gj", "x", "y", "d", "rdiag").mapInArrow(work, "gi int, gj int, mem int, xa double")
+            out = [(gi, gj, *new) for gi, gj, *values in zip(*(rows[c] for c in ("gi", "gj", *columns)), strict=True) for new in of_row(*values)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if isinstance(c[0], float) else pa.int32()) for c in zip(*out, strict=True)], names)
+
+    names = [part.split()[0] for part in schema.split(", ")]
+    return packed.select("gi", "gj", *columns).mapInArrow(work, schema)
+
+
+def analysis(packed: DataFrame, inflation: float = 1.0, rtpp: float = 0.0, rtps: float = 0.0) -> DataFrame:
+    """(gi, gj, mem, xa) from rows of a point: members ``x`` and its observations ``y`` (lists of arrays), ``d`` and ``rdiag``.
+
+    A column ``beta``, if there is one, tapers the update of its point.
+    """
+
+    def of_row(x: list, y: list, d: list, r: list, beta: float = 1.0) -> list[tuple]:
+        members = np.array(x)
+        new = analysed(members, np.array(y).reshape(-1, len(x)), np.array(d), np.array(r), inflation, rtpp, rtps, beta)
+        return list(enumerate(new.tolist(), 1))
+
+    tapered = ("beta",) if "beta" in packed.columns else ()
+    return _per_point(packed, ("x", "y", "d", "rdiag", *tapered), "gi int, gj int, mem int, xa double", of_row)
+
+
+def deterministic(packed: DataFrame, inflation: float = 1.0) -> DataFrame:
+    """(gi, gj, xa) of a run beside the ensemble: its own value ``x_det`` and departures ``d_det``, the ensemble's weights."""
+
+    def of_row(x: list, y: list, d: list, r: list, x_det: float) -> list[tuple]:
+        _, mean, _ = transform(np.array(y).reshape(-1, len(x)), np.array(d), np.array(r), inflation)
+        members = np.array(x)
+        return [(float(x_det + (members - members.mean()) @ mean),)]
+
+    return _per_point(packed, ("x", "y", "d_det", "rdiag", "x_det"), "gi int, gj int, xa double", of_row)
+
+
+def one_sided_spread(packed: DataFrame) -> DataFrame:
+    """(gi, gj, sprd) after the one-sided transform: root of the sum of squares over members - 1."""
+
+    def of_row(x: list, y: list, r: list) -> list[tuple]:
+        new = one_sided(np.array(x), np.array(y).reshape(-1, len(x)), np.array(r))
+        return [(float(np.sqrt(new @ new / (len(x) - 1))),)]
+
+    return _per_point(packed, ("x", "y", "rdiag"), "gi int, gj int, sprd double", of_row)
+
+
+def ensemble_dimension(patches: DataFrame) -> DataFrame:
+    """(gi, gj, edim) of patches whose column ``x`` lists the members of each of their points."""
+
+    def of_row(x: list) -> list[tuple]:
+        values = np.array(x)
+        return [(dimension(values - values.mean(axis=1, keepdims=True)),)]
+
+    return _per_point(patches, ("x",), "gi int, gj int, edim double", of_row)
 
 
 def packed_points(grid: DataFrame, local: DataFrame, hx: DataFrame, dep: DataFrame) -> DataFrame:

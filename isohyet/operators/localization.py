@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.functions import codes
+
 CUTOFF = 3.651483717
 LIMIT2 = 13.33333333
 
@@ -40,3 +42,33 @@ def limited(local: DataFrame, most: int, order: str = "distance", group: str = "
 def counted(local: DataFrame) -> DataFrame:
     """Observations and largest distance of every point, points without any included."""
     return local.groupBy("gi", "gj").agg(F.count("obs_id").alias("n_obs"), F.round(F.sqrt(F.max("nd2")), 6).alias("farthest"))
+
+
+NO_WEIGHT = 1e-30
+
+
+def local_observations_3d(points: DataFrame, obs: DataFrame, widest: float, dx: float = 1.0, rain_base: float = 85000.0) -> DataFrame:
+    """(gi, gj, k, obs_id, nd2, rloc, rdiag) in three dimensions, points without an observation included.
+
+    ``points`` (gi, gj, k, p, z); ``obs`` (obs_id, elm, typ, ri, rj, lev, dat, err, hori_loc, vert_loc, weight), lengths
+    being those of its type and ``weight`` that of its class for the variable; ``widest`` bounds ``hori_loc``.
+    Radar types are apart by height, surface pressure by its value, rain by ``rain_base``, all others by
+    the logarithm of pressure; ``vert_loc`` 0 means any level. Comparisons are strict, so a distance
+    equal to the cutoff counts.
+    """
+    width = widest * CUTOFF / dx
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    used = obs.filter(F.col("weight") >= NO_WEIGHT).withColumn("n", F.explode(around))
+    spread = used.withColumn("bi", F.floor(F.col("ri") / width) + F.col("n.a")).withColumn("bj", F.floor(F.col("rj") / width) + F.col("n.b")).drop("n").alias("o")
+    placed = points.withColumn("bi", F.floor(F.col("gi") / width)).withColumn("bj", F.floor(F.col("gj") / width)).alias("p")
+    o, p = (lambda c: F.col("o." + c)), (lambda c: F.col("p." + c))
+    apart = F.when(o("typ") == codes.RADAR_TYPE, F.abs(o("lev") - p("z"))).otherwise(
+        F.abs(F.ln(F.when(o("elm") == codes.ID["PS"], o("dat")).when(o("elm") == codes.ID["PRC"], rain_base).otherwise(o("lev"))) - F.ln(p("p")))
+    )
+    nd_v = F.when(o("vert_loc") == 0, 0.0).otherwise(apart / F.nullif(o("vert_loc"), F.lit(0.0)))
+    nd_h = F.hypot(p("gi") - o("ri"), p("gj") - o("rj")) * dx / o("hori_loc")
+    nd2 = nd_h * nd_h + nd_v * nd_v
+    near = (p("bi") == o("bi")) & (p("bj") == o("bj")) & (nd_v <= CUTOFF) & (nd_h <= CUTOFF) & (nd2 <= LIMIT2)
+    joined = placed.join(spread, near, "left").withColumn("nd2", nd2)
+    joined = joined.withColumn("rloc", o("weight") * F.exp(-0.5 * F.col("nd2")))
+    return joined.select("p.gi", "p.gj", "p.k", "o.obs_id", "nd2", "rloc", (o("err") * o("err") / F.col("rloc")).alias("rdiag"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +68,31 @@ def departure_stats(dep: DataFrame) -> DataFrame:
     return dep.groupBy(elm.alias("elm"), "qc").agg(
         F.count("*").alias("n"), F.round(F.avg("dep"), 6).alias("bias"), F.round(F.sqrt(F.avg(F.col("dep") * F.col("dep"))), 6).alias("rmse"), F.round(F.avg("hx_sprd"), 6).alias("sprd"),
     )
+
+
+def ordered_codes(obs: DataFrame, rules: Sequence[tuple[int, Column]]) -> DataFrame:
+    """qc by the first rule that holds, for rows without a code so far; a condition that is null does not hold."""
+    code = F.when(F.col("qc") != codes.GOOD, F.col("qc"))
+    for value, rule in rules:
+        code = code.when(rule, value)
+    return obs.withColumn("qc", code.otherwise(codes.GOOD))
+
+
+def worst_of_members(coded: DataFrame) -> DataFrame:
+    """(obs_id, qc): the largest code that any member gave."""
+    return coded.groupBy("obs_id").agg(F.max("qc").alias("qc"))
+
+
+def enough_echo(obs: DataFrame, hx: DataFrame, echo: float, members_wet: int, members_dry: int) -> DataFrame:
+    """Reflectivity observations, with code 12 where too few members have an echo; wet and dry observations have their own limits."""
+    echoes = hx.groupBy("obs_id").agg(F.count_if(F.col("hx") > echo + 1e-6).alias("n_echo"))
+    need = F.when(F.col("dat") > echo + 1e-6, members_wet).otherwise(members_dry)
+    rules = [(codes.BAD_OBS, F.col("dat").isNull()), (codes.REF_MEMBERS, F.coalesce("n_echo", F.lit(0)) < need)]
+    return ordered_codes(obs.join(echoes, "obs_id", "left"), rules)
+
+
+def paired_departures(guess: DataFrame, analysis: DataFrame) -> DataFrame:
+    """(obs_id, elm, qc, omb, oma): the analysis pass gives the code only where the guess pass found none."""
+    after = analysis.select("obs_id", F.col("qc").alias("qc_a"), F.col("dep").alias("oma"))
+    qc = F.when(F.col("qc") == codes.GOOD, F.col("qc_a")).otherwise(F.col("qc"))
+    return guess.join(after, "obs_id").select("obs_id", "elm", qc.alias("qc"), F.col("dep").alias("omb"), "oma")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,25 +9,7 @@ from isohyet.functions import codes, physics
 from isohyet.operators import kernels, localization, superob
 from isohyet.operators import observations as ob
 from isohyet.plans import fixtures as fx
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
+from isohyet.plans.registry import register, rounded
 
 OBS = f"with obs as ({fx.duck_obs()}), ens as ({fx.ENS_DUCK}),\n"
 CODED = """coded as (select *, cast(ceil(dif / 3600 - 0.5) as int) + 13 slot,

@@ -1,7 +1,7 @@
 import pytest
 
 import oracle
-from isohyet.plans.queries import ORACLES, QUERIES
+from isohyet.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
