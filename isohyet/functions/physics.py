@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.functions import codes
@@ -119,71 +121,73 @@ def _where_positive(q: Column, value: Column) -> Column:
     return F.when(q > 0, value).otherwise(0.0)
 
 
-def fall_speeds(rho: Column, qr: Column, qs: Column, qg: Column, intercepts: Sequence[float], graupel: float, exponent: float) -> tuple[Column, Column, Column]:
-    """Mean fall speeds (m/s) of rain, snow and graupel for exponential size distributions, in cgs units inside.
+def _with_fall(df: DataFrame, species: dict[str, str], intercepts: Sequence[float], graupel: float, exponent: float) -> DataFrame:
+    """``fall``: reflectivity-weighted mean fall speed (m/s) of exponential size distributions, in cgs units inside.
 
-    ``exponent`` is that of the air-density correction, which graupel has in its drag instead.
+    ``species`` gives, for each column of reflectivity, its fall speed: that of rain, snow or graupel. ``exponent`` is
+    that of the air-density correction, which graupel has in its drag instead. Steps are columns of their own.
     """
-    air = rho * 1e-3
+    df = df.withColumn("air", F.col("rho") * 1e-3)
+    air = F.col("air")
 
-    def slope(q: Column, dense: float, n0: float, power: float) -> Column:
-        return F.pow(air * q / (codes.PI * dense * n0), F.lit(power / 4))
+    def slope(q: str, dense: float, n0: float, power: float) -> Column:
+        return F.pow(air * F.col(q) / (codes.PI * dense * n0), F.lit(power / 4))
 
-    def liquid(q: Column, law: tuple[float, float], dense: float, n0: float) -> Column:
+    def liquid(q: str, law: tuple[float, float], dense: float, n0: float) -> Column:
         factor = 0.01 * law[0] * math.gamma(4 + law[1]) / 6
-        return _where_positive(q, factor * slope(q, dense, n0, law[1]) * F.pow(0.001 / air, F.lit(exponent)))
+        return _where_positive(F.col(q), factor * slope(q, dense, n0, law[1]) * F.pow(0.001 / air, F.lit(exponent)))
 
     drag = F.sqrt(4 * codes.GRAVITY * 100 * graupel / (3 * DRAG * air))
-    solid = _where_positive(qg, 0.01 * math.gamma(4.5) / 6 * drag * slope(qg, graupel, intercepts[2], 0.5))
-    return liquid(qr, FALL_RAIN, RHO_RAIN * 1e-3, intercepts[0]), liquid(qs, FALL_SNOW, RHO_SNOW * 1e-3, intercepts[1]), solid
-
-
-def reflectivity_by_species(rho: Column, t: Column, qr: Column, qs: Column, qg: Column) -> tuple[Column, Column]:
-    """Method 2, (reflectivity, terminal velocity): rain, snow (dry up to the melting point, then wet) and graupel."""
+    df = df.withColumns({
+        "wr": liquid("qr", FALL_RAIN, RHO_RAIN * 1e-3, intercepts[0]),
+        "ws": liquid("qs", FALL_SNOW, RHO_SNOW * 1e-3, intercepts[1]),
+        "wg": _where_positive(F.col("qg"), 0.01 * math.gamma(4.5) / 6 * drag * slope("qg", graupel, intercepts[2], 0.5)),
+    })
+    total = functools.reduce(operator.add, [F.col(z) for z in species])
+    flux = functools.reduce(operator.add, [F.col(z) * F.col(w) for z, w in species.items()])
+    df = df.withColumn("ref", total).withColumn("flux", flux)
+    return df.withColumn("fall", F.when(F.col("ref") > 0, F.col("flux") / F.col("ref")).otherwise(0.0)).drop("air", "wr", "ws", "wg", "flux", *species)
+
+
+def with_reflectivity_by_species(df: DataFrame) -> DataFrame:
+    """Method 2, columns ``ref`` and ``fall`` of rho, t, qr, qs, qg: rain, snow (dry up to the melting point, then wet) and graupel."""
+    rho, t, qr, qs, qg = (F.col(c) for c in ("rho", "t", "qr", "qs", "qg"))
     scale = 720e18 / codes.PI**1.75
     zr = scale / (N0_RAIN**0.75 * RHO_RAIN**1.75) * F.pow(rho * qr, F.lit(1.75))
     dry = scale * K2_ICE * RHO_SNOW**0.25 / (K2_WATER * N0_SNOW**0.75 * RHO_ICE**2)
     wet = scale / (N0_SNOW**0.75 * RHO_ICE**1.75)
     zs = F.when(t <= MELTING_POINT, dry).otherwise(wet) * F.pow(rho * qs, F.lit(1.75))
     zg = (scale / (N0_GRAUPEL**0.75 * RHO_GRAUPEL**1.75)) ** 0.95 * F.pow(rho * qg, F.lit(1.6625))
-    z = [_where_positive(q, v) for q, v in ((qr, zr), (qs, zs), (qg, zg))]
-    speeds = fall_speeds(rho, qr, qs, qg, (N0_RAIN * 1e-3, N0_SNOW * 1e-3, N0_GRAUPEL * 1e-3), RHO_GRAUPEL * 1e-3, 0.25)
-    return _weighted(z, speeds)
+    df = df.withColumns({"zr": _where_positive(qr, zr), "zs": _where_positive(qs, zs), "zg": _where_positive(qg, zg)})
+    return _with_fall(df, {"zr": "wr", "zs": "ws", "zg": "wg"}, (N0_RAIN * 1e-3, N0_SNOW * 1e-3, N0_GRAUPEL * 1e-3), RHO_GRAUPEL * 1e-3, 0.25)
 
 
 MOST_MELTING = 0.5
-# rain, dry snow, dry graupel: factor and exponent of the content in g/m3
+# Rain, dry snow, dry graupel: factor and exponent of the content in g/m3
 Z_POWER = ((2.53e4, 1.84), (3.48e3, 1.66), (5.54e3, 1.70))
 # melting snow, melting graupel: factor (1e5) and exponent as parabolas of the water fraction
 Z_MELTING = (((0.00491, 5.75, -5.588), (1.67, -0.202, 0.398)), ((0.809, 10.13, -5.98), (1.48, 0.0448, -0.0313)))
 
 
-def reflectivity_melting(rho: Column, qr: Column, qs: Column, qg: Column) -> tuple[Column, Column]:
-    """Method 3, (reflectivity, terminal velocity): part of rain and ice counts as melting particles where both occur."""
-
-    def mixed(ice: Column) -> tuple[Column, Column]:
-        both = (qr > 0) & (ice > 0)
-        share = F.when(both, MOST_MELTING * F.pow(F.least(qr / F.nullif(ice, F.lit(0.0)), ice / F.nullif(qr, F.lit(0.0))), F.lit(1 / 3))).otherwise(0.0)
-        return share, F.when(both, qr / (qr + ice)).otherwise(0.0)
-
-    (share_s, water_s), (share_g, water_g) = mixed(qs), mixed(qg)
-    contents = ((1 - share_s - share_g) * qr, (1 - share_s) * qs, (1 - share_g) * qg)
-    plain = [_where_positive(q, a * F.pow(rho * q * 1000, F.lit(b))) for q, (a, b) in zip(contents, Z_POWER, strict=True)]
-    melting = []
-    for (factor, exponent), share, water, ice in zip(Z_MELTING, (share_s, share_g), (water_s, water_g), (qs, qg), strict=True):
-        parabola = [c[0] + c[1] * water + c[2] * water * water for c in (factor, exponent)]
-        q = share * (qr + ice)
-        melting.append(_where_positive(q, parabola[0] * 1e5 * F.pow(rho * q * 1000, parabola[1])))
-    wr, ws, wg = fall_speeds(rho, qr, qs, qg, (8.0e-2, 3.0e-2, 4.0e-4), 0.917, 0.5)
-    return _weighted([*plain, *melting], (wr, ws, wg, ws, wg))
-
-
-def _weighted(z: Sequence[Column], speeds: Sequence[Column]) -> tuple[Column, Column]:
-    total = z[0]
-    flux = z[0] * speeds[0]
-    for a, w in zip(z[1:], speeds[1:], strict=True):
-        total, flux = total + a, flux + a * w
-    return total, F.when(total > 0, flux / total).otherwise(0.0)
+def with_reflectivity_melting(df: DataFrame) -> DataFrame:
+    """Method 3, columns ``ref`` and ``fall`` of rho, qr, qs, qg: part of rain and ice counts as melting particles where both occur."""
+    rho, qr = F.col("rho"), F.col("qr")
+    for ice in ("s", "g"):
+        q = F.col("q" + ice)
+        both = (qr > 0) & (q > 0)
+        df = df.withColumns({
+            "share_" + ice: F.when(both, MOST_MELTING * F.pow(F.least(qr, q) / F.greatest(qr, q), F.lit(1 / 3))).otherwise(0.0),
+            "water_" + ice: F.when(both, qr / (qr + q)).otherwise(0.0),
+        })
+    share_s, share_g = F.col("share_s"), F.col("share_g")
+    df = df.withColumns({"pr": (1 - share_s - share_g) * qr, "ps": (1 - share_s) * F.col("qs"), "pg": (1 - share_g) * F.col("qg"), "ms": share_s * (qr + F.col("qs")), "mg": share_g * (qr + F.col("qg"))})
+    z = {"z" + c: _where_positive(F.col(c), a * F.pow(rho * F.col(c) * 1000, F.lit(b))) for c, (a, b) in zip(("pr", "ps", "pg"), Z_POWER, strict=True)}
+    for ice, laws in zip(("s", "g"), Z_MELTING, strict=True):
+        water = F.col("water_" + ice)
+        factor, exponent = (c[0] + c[1] * water + c[2] * water * water for c in laws)
+        z["zm" + ice] = _where_positive(F.col("m" + ice), factor * 1e5 * F.pow(rho * F.col("m" + ice) * 1000, exponent))
+    df = df.withColumns(z).drop("pr", "ps", "pg", "ms", "mg", "share_s", "share_g", "water_s", "water_g")
+    return _with_fall(df, {"zpr": "wr", "zps": "ws", "zpg": "wg", "zms": "ws", "zmg": "wg"}, (8.0e-2, 3.0e-2, 4.0e-4), 0.917, 0.5)
 
 
 def terrain_height(topo: Column, cz: Column, top: float) -> Column:

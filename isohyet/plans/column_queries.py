@@ -37,9 +37,8 @@ def _falls(n0: tuple[float, float, float], graupel: float, exponent: float) -> s
   case when qg > 0 then power(720e18 / (power({PI}, 1.75) * power(4e4, 0.75) * power(913.0, 1.75)), 0.95) * power(rho * qg, 1.6625) else 0 end zg, {_falls((8e3, 3e3, 40.0), 0.913, 0.25)} from s)
 select id, ln, round(log10(zr + zs + zg + 1), 6) log_ref, round(case when zr + zs + zg > 0 then (wr * zr + ws * zs + wg * zg) / (zr + zs + zg) else 0 end, 6) fall from z""")
 def radar_ref_m2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _state(spark, sf_dir)
-    ref, fall = physics.reflectivity_by_species(s.rho, s.t, s.qr, s.qs, s.qg)
-    return s.select("id", "ln", F.round(F.log10(ref + 1), 6).alias("log_ref"), F.round(fall, 6).alias("fall"))
+    s = physics.with_reflectivity_by_species(_state(spark, sf_dir))
+    return s.select("id", "ln", F.round(F.log10(s.ref + 1), 6).alias("log_ref"), F.round("fall", 6).alias("fall"))
 
 
 @register(f"""with {PARTICLES}, m as (select *, case when qr > 0 and qs > 0 then 0.5 * cbrt(least(qr / qs, qs / qr)) else 0 end fs, case when qr > 0 and qg > 0 then 0.5 * cbrt(least(qr / qg, qg / qr)) else 0 end fg,
@@ -50,9 +49,8 @@ z as (select *, case when (1 - fs - fg) * qr > 0 then 2.53e4 * power(rho * (1 -
   case when fg * (qr + qg) > 0 then (0.809 + 10.13 * b - 5.98 * b * b) * 1e5 * power(rho * fg * (qr + qg) * 1000, 1.48 + 0.0448 * b - 0.0313 * b * b) else 0 end zmg, {_falls((8e-2, 3e-2, 4e-4), 0.917, 0.5)} from m)
 select id, ln, round(log10(zr + zs + zg + zms + zmg + 1), 6) log_ref, round(case when zr + zs + zg + zms + zmg > 0 then (wr * zr + ws * (zs + zms) + wg * (zg + zmg)) / (zr + zs + zg + zms + zmg) else 0 end, 6) fall from z""")
 def radar_ref_m3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _state(spark, sf_dir)
-    ref, fall = physics.reflectivity_melting(s.rho, s.qr, s.qs, s.qg)
-    return s.select("id", "ln", F.round(F.log10(ref + 1), 6).alias("log_ref"), F.round(fall, 6).alias("fall"))
+    s = physics.with_reflectivity_melting(_state(spark, sf_dir))
+    return s.select("id", "ln", F.round(F.log10(s.ref + 1), 6).alias("log_ref"), F.round("fall", 6).alias("fall"))
 
 
 def _poly(x: str, coefficients: tuple[float, ...]) -> str:
