@@ -72,3 +72,22 @@ def local_observations_3d(points: DataFrame, obs: DataFrame, widest: float, dx:
     joined = placed.join(spread, near, "left").withColumn("nd2", nd2)
     joined = joined.withColumn("rloc", o("weight") * F.exp(-0.5 * F.col("nd2")))
     return joined.select("p.gi", "p.gj", "p.k", "o.obs_id", "nd2", "rloc", (o("err") * o("err") / F.col("rloc")).alias("rdiag"))
+
+
+def nearest_positions(obs: DataFrame, cells: DataFrame, reach: float, most: int = 4) -> DataFrame:
+    """(obs_id, oi, oj): place on a curvilinear grid as the mean of the ``most`` nearest cells, by inverse squared distance.
+
+    ``obs`` (obs_id, x, y), ``cells`` (i, j, x, y), on one plane; ``reach`` bounds the search. Both sides meet by an
+    equi-join on square buckets; fewer cells in reach than asked for give a null place, a cell's own place is its own.
+    """
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    near = obs.withColumn("n", F.explode(around)).select("obs_id", F.col("x").alias("ox"), F.col("y").alias("oy"), (F.floor(F.col("x") / reach) + F.col("n.a")).alias("bi"), (F.floor(F.col("y") / reach) + F.col("n.b")).alias("bj"))
+    put = cells.withColumns({"bi": F.floor(F.col("x") / reach), "bj": F.floor(F.col("y") / reach)})
+    met = near.join(put, ["bi", "bj"]).withColumn("d2", F.pow(F.col("x") - F.col("ox"), F.lit(2.0)) + F.pow(F.col("y") - F.col("oy"), F.lit(2.0))).filter(F.col("d2") <= reach * reach)
+    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("obs_id").orderBy("d2", "j", "i"))).filter(F.col("rank") <= most)
+    inverse = F.when(F.col("d2") > 0, 1 / F.nullif(F.col("d2"), F.lit(0.0)))
+    exact = lambda c: F.min(F.when(F.col("d2") == 0, F.col(c).cast("double")))
+    whole = F.count("*") >= most
+    place = lambda c: F.when(whole, F.coalesce(exact(c), F.sum(F.col(c) * inverse) / F.sum(inverse)))
+    found = best.groupBy("obs_id").agg(place("i").alias("oi"), place("j").alias("oj"))
+    return obs.select("obs_id").join(found, "obs_id", "left")

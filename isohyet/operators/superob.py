@@ -17,3 +17,34 @@ def merged(obs: DataFrame, keys: list[str], method: int) -> DataFrame:
     if method == 3:
         used = used.filter("err = least")
     return used.groupBy(*keys).agg(F.count("*").alias("n_used"), *[F.round(F.avg(c), 6).alias(c) for c in ("ri", "rj", "dat")], F.min("err").alias("err"))
+
+
+TOO_FAR, TOO_HIGH, NOT_USED, UNSUPPORTED = 2, 3, 4, 5
+
+
+def removal_codes(obs: DataFrame, nx: int, ny: int, levels: int, unused: list[tuple[int, int]], supported: tuple[int, int]) -> DataFrame:
+    """qc before thinning, the first of: above the levels, outside the rows, a type and element not to be used, an unsupported one.
+
+    ``unused`` lists (typ, elm) pairs of the settings; ``supported`` bounds typ.
+    """
+    pair = F.lit(False)
+    for typ, elm in unused:
+        pair = pair | ((F.col("typ") == typ) & (F.col("elm") == elm))
+    qc = F.when(F.ceil("rk") > levels, TOO_HIGH).when((F.ceil("rj") < 2) | (F.ceil("rj") > ny) | (F.ceil("ri") > nx), TOO_FAR).when(pair, NOT_USED).when(~F.col("typ").between(*supported), UNSUPPORTED).otherwise(0)
+    return obs.withColumn("qc", qc)
+
+
+def temporal(obs: DataFrame, keys: list[str], base: int) -> DataFrame:
+    """Of the observations of one element at one place, that nearest to the base slot; the earlier slot, then the smaller id wins ties."""
+    best = Window.partitionBy(*keys).orderBy(F.abs(F.col("slot") - base), "slot", "obs_id")
+    return obs.withColumn("rank", F.row_number().over(best)).filter("rank = 1").drop("rank")
+
+
+def superob(obs: DataFrame, base: int, method: int, nx: int, ny: int, levels: int, unused: list[tuple[int, int]], supported: tuple[int, int]) -> DataFrame:
+    """The whole thinning: removal codes, then one level per layer, then one slot per place, then one row per cell."""
+    good = removal_codes(obs, nx, ny, levels, unused, supported).filter("qc = 0").withColumn("ck", F.round("rk").cast("int"))
+    layer = Window.partitionBy("elm", "typ", "ri", "rj", "slot", "ck").orderBy(F.abs(F.col("rk") - F.col("ck")), "obs_id")
+    thin = good.withColumn("rank", F.row_number().over(layer)).filter("rank = 1").drop("rank")
+    kept = temporal(thin, ["elm", "typ", "ri", "rj", "ck"], base)
+    cells = kept.withColumns({"ci": F.round("ri").cast("int"), "cj": F.round("rj").cast("int")})
+    return merged(cells, ["elm", "ci", "cj", "ck"], method)

@@ -48,3 +48,53 @@ def unpivoted_channels(profiles: DataFrame) -> DataFrame:
 def write_sets(obs: DataFrame, path: str, missing: bool = True) -> None:
     """Parquet by set; without ``missing``, rows whose value is null are left out."""
     (obs if missing else obs.filter("dat is not null")).write.mode("append").partitionBy("set_id").parquet(path)
+
+
+RADAR = ("elm", "lon", "lat", "lev", "dat", "err", "typ")
+RADAR_TYPE = 22
+
+
+def unpacked_radar(content: bytes, timed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The radar's place (lon, lat, z; a record each) and its rows, with their time differences if ``timed``."""
+    head, columns = 9, len(RADAR) + timed
+    if len(content) < 4 * head or (len(content) - 4 * head) % (4 * (columns + 2)):
+        return np.zeros(3, np.float32), np.zeros((0, columns), np.float32)
+    return np.frombuffer(content[: 4 * head], "<f4").reshape(3, 3)[:, 1], unpacked(content[4 * head :], columns)
+
+
+def read_radar(spark: SparkSession, path: str, timed: bool = False) -> DataFrame:
+    """set_id, idx, the radar's place as ``meta`` and the columns of each record; typ is that of radars, dif 0 unless ``timed``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                meta, rows = unpacked_radar(content, timed)
+                n = len(rows)
+                values = [pa.array(rows[:, k].astype(float)) for k in range(len(RADAR) - 1)]
+                dif = rows[:, len(RADAR)].astype(float) if timed else np.zeros(n)
+                place = pa.array([meta.astype(float).tolist()] * n, pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name.rsplit("/", 1)[-1]] * n, pa.string()), pa.array(np.arange(1, n + 1)), place, *values, pa.array(np.full(n, float(RADAR_TYPE))), pa.array(dif)],
+                    ["set_id", "idx", "meta", *RADAR, "dif"],
+                )
+
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "content").mapInArrow(work, "set_id string, idx long, meta array<double>, " + ", ".join(f"{c} double" for c in (*RADAR, "dif")))
+
+
+def write_departures(obs: DataFrame, departures: DataFrame, path: str) -> None:
+    """Observations with code, guess and analysis departures, by set."""
+    obs.join(departures.select("set_id", "idx", "qc", "omb", "oma"), ["set_id", "idx"]).write.mode("append").partitionBy("set_id").parquet(path)
+
+
+def write_members(ensemble: DataFrame, path: str) -> None:
+    """An ensemble by member, with its mean (member 0) and spread (member -1)."""
+    keys = [c for c in ensemble.columns if c not in ("mem", "x")]
+    stats = ensemble.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sprd"))
+    both = [stats.select(*keys, F.lit(m).alias("mem"), F.col(c).alias("x")) for m, c in ((0, "mean"), (-1, "sprd"))]
+    ensemble.select(*keys, "mem", "x").unionByName(both[0]).unionByName(both[1]).write.mode("overwrite").partitionBy("mem").parquet(path)
+
+
+def read_members(spark: SparkSession, path: str) -> DataFrame:
+    """The members alone; the partitions of mean and spread are not read."""
+    return spark.read.parquet(path).filter("mem > 0")
