@@ -72,9 +72,9 @@ def radial_velocity(u: Column, v: Column, w: Column, azimuth: Column, elevation:
 
 
 def radar_preprocessed(z: Column, least: float = 10.0, least_dbz: float = 10.0, shift: float = 0.0) -> tuple[Column, Column]:
-    """Element name and dBZ of a linear reflectivity; null outside [0, 1e10)."""
+    """Element name and dBZ of a linear reflectivity; dBZ is null outside [0, 1e10) and for a null."""
     element = F.when(z < least, "RE0").otherwise("REF")
-    dbz = F.when((z < 0) | (z >= 1e10), F.lit(None)).when(z < least, least_dbz + shift).otherwise(10 * F.log10(F.greatest(z, F.lit(1e-30))))
+    dbz = F.when(z.isNull() | (z < 0) | (z >= 1e10), F.lit(None)).when(z < least, least_dbz + shift).otherwise(10 * F.log10(F.greatest(z, F.lit(1e-30))))
     return element, dbz
 
 
@@ -97,7 +97,7 @@ def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     """Distance in metres of points in degrees."""
     rad = codes.PI / 180
     c = F.sin(lat1 * rad) * F.sin(lat2 * rad) + F.cos(lat1 * rad) * F.cos(lat2 * rad) * F.cos((lon2 - lon1) * rad)
-    return F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c))) * codes.EARTH_RADIUS
+    return F.when(c.isNotNull(), F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), c))) * codes.EARTH_RADIUS)
 
 
 def destination(lon: Column, lat: Column, distance: Column, azimuth: Column) -> tuple[Column, Column]:
@@ -208,7 +208,7 @@ def advected(lon: Column, lat: Column, u: Column, v: Column, hours: float, rate:
 def boundary_taper(ri: Column, rj: Column, nx: int, ny: int, dx: float, dy: float, width: float) -> Column:
     """Weight of an update: 0 at the domain's edge, 1 from ``width`` inside it."""
     edge = F.least(F.least(ri, nx + 1 - ri) * dx, F.least(rj, ny + 1 - rj) * dy)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), edge / width)) if width > 0 else F.lit(1.0)
+    return F.when(ri.isNotNull() & rj.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), edge / width))) if width > 0 else F.lit(1.0)
 
 
 def energy_terms(u: Column, v: Column, t: Column, q: Column, thickness: Column, area: Column, moist: float = 1.0, latent: float = 2.5e6, cp: float = codes.CP_DRY) -> dict[str, Column]:

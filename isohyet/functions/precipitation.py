@@ -35,7 +35,7 @@ def inverse_normal(p: Column) -> Column:
 
 
 def without_tails(p: Column) -> Column:
-    return F.greatest(F.lit(TAIL), F.least(F.lit(1 - TAIL), p))
+    return F.when(p.isNotNull(), F.greatest(F.lit(TAIL), F.least(F.lit(1 - TAIL), p)))  # greatest and least skip nulls
 
 
 def log_amount(rain: Column) -> Column:
@@ -51,7 +51,7 @@ def with_place(df: DataFrame, rain: str, cdf: str, no_rain: str) -> DataFrame:
     df = df.withColumn("below", F.size(F.filter(bounds, lambda x: x <= amount)))
     df = df.withColumns({"low": F.get(bounds, F.col("below") - 1), "high": F.get(bounds, F.col("below")), "shares": F.size(bounds) - 1})
     inside = (F.col("below") - 1 + (amount - F.col("low")) / (F.col("high") - F.col("low"))) / F.col("shares")
-    place = F.when(amount < NO_RAIN, F.col(no_rain) * 0.5).when(F.col("below") == 0, 0.0).when(F.col("below") > F.col("shares"), 1.0).otherwise(inside)
+    place = F.when(amount.isNull(), None).when(amount < NO_RAIN, F.col(no_rain) * 0.5).when(F.col("below") == 0, 0.0).when(F.col("below") > F.col("shares"), 1.0).otherwise(inside)
     return df.withColumn("place", place).drop("below", "low", "high", "shares")
 
 
@@ -82,5 +82,5 @@ def with_gaussian_observation(df: DataFrame, out: str, rain: str, cdf: str, no_r
     df = with_place(df, rain, cdf, no_rain)
     dry = F.col("place") < F.col("no_rain_model")
     p = F.when(dry, F.col("place") / F.col("no_rain_model") * F.col("dry_share")).otherwise(F.col("place"))
-    df = df.withColumn("dry", dry).withColumn("place", without_tails(p)).withColumn("place", inverse_normal(F.col("place")))
-    return df.withColumn(out, F.when(F.col("dry"), F.col("mean") + F.col("sd") * F.col("place")).otherwise(F.col("place"))).drop("place", "dry")
+    df = df.withColumn("is_dry", dry).withColumn("place", without_tails(p)).withColumn("place", inverse_normal(F.col("place")))
+    return df.withColumn(out, F.when(F.col("is_dry"), F.col("mean") + F.col("sd") * F.col("place")).otherwise(F.col("place"))).drop("place", "is_dry")

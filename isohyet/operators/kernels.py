@@ -76,6 +76,29 @@ def gain_inverse(x: np.ndarray, y: np.ndarray, rdiag: np.ndarray) -> np.ndarray:
     return x @ np.linalg.inv(np.eye(m) * (m - 1) + y.T @ scaled) @ scaled.T
 
 
+def eigenspace_analysis(x: np.ndarray, y: np.ndarray, d: np.ndarray, rdiag: np.ndarray, delta: float = 0.0) -> np.ndarray:
+    """Members of a local state (n x m) updated in the eigenbasis of its covariance.
+
+    ``delta`` adds that share of the mean analysis variance in each direction. Directions without variance are left out.
+    """
+    m = x.shape[1]
+    centre = x.mean(axis=1, keepdims=True)
+    basis, size, right = np.linalg.svd(x - centre, full_matrices=False)
+    keep = size > size.max(initial=0) * 1e-8
+    if not keep.any():
+        return x
+    basis, size, right = basis[:, keep], size[keep], right[keep]
+    variance = size * size / (m - 1)
+    h = y @ right.T / size
+    after = variance[:, None] * np.linalg.inv(np.eye(len(size)) + (h.T / rdiag) @ h * variance)
+    after = (after + after.T) / 2
+    mean = basis @ (after @ (h.T @ (d / rdiag)))
+    after = after + np.eye(len(size)) * (delta * np.trace(after) / len(size))
+    inner = size[:, None] * right / variance[:, None]
+    values, vectors = np.linalg.eigh(np.eye(m) + inner.T @ (after - np.diag(variance)) @ inner / (m - 1))
+    return centre + mean[:, None] + (x - centre) @ ((vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T)
+
+
 def _per_point(packed: DataFrame, columns: tuple[str, ...], schema: str, of_row: Callable[..., list[tuple]]) -> DataFrame:
     """``of_row`` takes a row's columns and returns (mem, value) or (value,) tuples, which follow the point's gi and gj."""
 
@@ -126,6 +149,25 @@ def one_sided_spread(packed: DataFrame) -> DataFrame:
     return _per_point(packed, ("x", "y", "rdiag"), "gi int, gj int, sprd double", of_row)
 
 
+def eigenspace(patches: DataFrame, delta: float = 0.0) -> DataFrame:
+    """(gi, gj, point, mem, xa) of patches: ``x`` lists the members of each point, ``y``, ``d`` and ``rdiag`` its observations."""
+
+    def of_row(x: list, y: list, d: list, r: list) -> list[tuple]:
+        state = np.array(x)
+        new = eigenspace_analysis(state, np.array(y).reshape(-1, state.shape[1]), np.array(d), np.array(r), delta)
+        return [(point, mem, float(v)) for point, row in enumerate(new, 1) for mem, v in enumerate(row, 1)]
+
+    return _per_point(patches, ("x", "y", "d", "rdiag"), "gi int, gj int, point int, mem int, xa double", of_row)
+
+
+def at_observations(hx: DataFrame, local: DataFrame, dep: DataFrame, inflation: float = 1.0) -> DataFrame:
+    """(obs_id, mem, xa): the analysis in observation space; ``local`` (target, obs_id, rdiag) pairs each target with what it feels."""
+    grid = hx.select(F.col("obs_id").alias("gi"), F.lit(0).alias("gj"), "mem", F.col("hx").alias("x"))
+    felt = local.select(F.col("target").alias("gi"), F.lit(0).alias("gj"), "obs_id", "rdiag")
+    out = analysis(packed_points(grid, felt, hx, dep), inflation)
+    return out.select(F.col("gi").cast("long").alias("obs_id"), "mem", "xa")
+
+
 def ensemble_dimension(patches: DataFrame) -> DataFrame:
     """(gi, gj, edim) of patches whose column ``x`` lists the members of each of their points."""
 

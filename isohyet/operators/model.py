@@ -43,12 +43,13 @@ def simulated(state: DataFrame, steepest: float = 100.0) -> DataFrame:
 def simulated_radar(echo: DataFrame, least: float = 10.0, least_dbz: float = 10.0, shift: float = 0.0) -> DataFrame:
     """``hx`` and ``qc`` of radar rows with ``elm``, ``ref`` (linear) and ``vr``: dBZ or radial wind.
 
-    A weak echo has code 11 for both, yet keeps a value; a row above the radar itself (no ``vr``) has code 98.
+    A weak echo has code 11 for both, yet keeps a value; a row above the radar itself (no ``vr``) has code 98, one without a reflectivity code 99.
     """
+    missing = F.col("ref").isNull()
     weak, wind = F.col("ref") < least, F.col("elm") == codes.ID["Vr"]
     dbz = F.when(weak, least_dbz + shift).otherwise(10 * F.log10(F.greatest(F.col("ref"), F.lit(least))))
-    qc = F.when(F.col("qc") != codes.GOOD, F.col("qc")).when(F.col("vr").isNull(), codes.OUT_OF_DOMAIN).when(weak, codes.REF_LOW).otherwise(codes.GOOD)
-    return echo.withColumn("hx", F.when(F.col("vr").isNull(), None).when(wind, F.col("vr")).otherwise(dbz)).withColumn("qc", qc)
+    qc = F.when(F.col("qc") != codes.GOOD, F.col("qc")).when(F.col("vr").isNull(), codes.OUT_OF_DOMAIN).when(missing, codes.UNDEFINED).when(weak, codes.REF_LOW).otherwise(codes.GOOD)
+    return echo.withColumn("hx", F.when(F.col("vr").isNull() | missing, None).when(wind, F.col("vr")).otherwise(dbz)).withColumn("qc", qc)
 
 
 def noise(key: Column, seed: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isohyet.functions import codes, physics
@@ -90,6 +90,34 @@ def edim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kernels.ensemble_dimension(patches))
 
 
+@register()
+def lekf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local states of 5 x 4 points updated in their eigenbasis by the five best observations that lie in them."""
+    dep, hx = _departures(spark, sf_dir)
+    members = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("mem", c))), lambda s: s[c])
+    patch = lambda i, j: [F.ceil(F.col(i) / 5).cast("int").alias("gi"), F.ceil(F.col(j) / 4).cast("int").alias("gj")]
+    e = fx.ensemble(spark, sf_dir).groupBy("gi", "gj").agg(members("x").alias("x"))
+    patches = e.select(*patch("gi", "gj"), F.struct("gi", "gj", "x").alias("p")).groupBy("gi", "gj").agg(F.transform(F.array_sort(F.collect_list("p")), lambda s: s["x"]).alias("x"))
+    best = dep.filter("qc = 0").select("obs_id", "dep", (F.col("err") * F.col("err")).alias("rdiag"), *patch("ri", "rj"))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("gi", "gj").orderBy("rdiag", "obs_id"))).filter("rank <= 5")
+    mean = F.aggregate("h", F.lit(0.0), lambda a, b: a + b) / F.size("h")
+    centred = hx.groupBy("obs_id").agg(members("hx").alias("h")).select("obs_id", F.transform("h", lambda v: v - mean).alias("y"))
+    seen = best.join(centred, "obs_id").groupBy("gi", "gj").agg(F.array_sort(F.collect_list(F.struct("obs_id", "y", "dep", "rdiag"))).alias("o"))
+    packed = patches.join(seen, ["gi", "gj"]).select("gi", "gj", "x", F.col("o.y").alias("y"), F.col("o.dep").alias("d"), F.col("o.rdiag").alias("rdiag"))
+    return rounded(kernels.eigenspace(packed, delta=0.05), 5)
+
+
+@register(OBS + CODED + HX + f""", y as (select h.obs_id, h.mem, s.hx_mean, h.hx - s.hx_mean y, d.dep, d.err * d.err r from hx h join st s using (obs_id) join dep d using (obs_id) where d.qc = 0),
+l as (select obs_id, sum(y * y) yy, 19 / {RHO} + sum(y * y) / max(r) lam from y group by 1)
+select obs_id, mem, round(hx_mean + y * sqrt(19 / lam) + yy * dep / (r * lam), 5) xa from y join l using (obs_id)""")
+def letkf_obs_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulated observations after an update by the observation itself."""
+    dep, hx = _departures(spark, sf_dir)
+    own = dep.filter("qc = 0").select(F.col("obs_id").alias("target"), "obs_id", (F.col("err") * F.col("err")).alias("rdiag"))
+    used = hx.join(own.select("obs_id"), "obs_id", "left_semi")
+    return rounded(kernels.at_observations(used, own, dep, INFLATION), 5)
+
+
 @register(OBS + CODED + HX + """, z as (select e.gi, e.gj, e.mem, e.x, h.hx, o.dep, o.err from ens e join dep o on o.obs_id = (e.gi + 25 * e.gj) % 400 and o.qc = 0 join hx h on h.obs_id = o.obs_id and h.mem = e.mem)
 select gi, gj, round(0.25 * covar_samp(x, hx) / (1.25 * var_samp(hx) + max(err * err)), 6) gain from z group by 1, 2""")
 def enkf_bias_gain(spark: SparkSession, sf_dir: str) -> DataFrame:

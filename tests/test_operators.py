@@ -1,9 +1,13 @@
+from statistics import NormalDist
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from isohyet.operators import kernels
-from isohyet.sources.observations import CONVENTIONAL, packed, read_records, unpacked
+from isohyet.sources.observations import CONVENTIONAL, packed, read_members, read_radar, read_records, unpacked, write_members
+from isohyet.sources.reports import filled
 
 
 def ensemble(seed, p, m=8):
@@ -60,3 +64,118 @@ def test_stream_hands_late_rows_over(spark, tmp_path):
     query = run_cycles(stream, str(tmp_path / "cp"), lambda df, k: seen.update(used=[r.obs_id for r in df.orderBy("obs_id").collect()]), lambda df, k: seen.update(late=[r.obs_id for r in df.collect()]), 25, 20, 3, 23)
     query.awaitTermination()
     assert seen == {"used": [1, 3], "late": [2]}
+
+
+def test_spread_relaxation_restores_the_prior_spread():
+    y, d, r = ensemble(7, 3)
+    x = np.random.default_rng(4).normal(size=8)
+    new = kernels.analysed(x, y, d, r, 1.0, rtps=1.0)
+    assert np.isclose(new.std(), x.std())
+    both = kernels.analysed(x, y, d, r, 1.3, rtpp=0.5, rtps=0.9)
+    assert np.allclose(both, kernels.analysed(x, y, d, r, 1.3, rtpp=0.5))
+    assert np.allclose(kernels.analysed(x, y, d, r, 1.3, beta=0.0), x)
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 1000), st.integers(1, 12))
+def test_both_inverses_give_one_gain(seed, p):
+    y, _, r = ensemble(seed, p)
+    x = np.random.default_rng(seed + 1).normal(size=(3, 8))
+    x -= x.mean(axis=1, keepdims=True)
+    assert np.allclose(kernels.gain_inverse(x, y, r), x @ y.T @ np.linalg.inv(y @ y.T + np.diag(r) * 7))
+
+
+def test_one_sided_transform_has_the_analysis_covariance():
+    y, _, r = ensemble(2, 3)
+    x = np.random.default_rng(4).normal(size=8)
+    new, pert = kernels.one_sided(x, y, r), x - x.mean()
+    _, _, cov = kernels.transform(y, np.zeros(3), r)
+    assert np.isclose(new @ new / 7, pert @ cov @ pert)
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.integers(0, 1000), st.integers(1, 5))
+def test_eigenspace_against_the_kalman_filter(seed, p):
+    rng = np.random.default_rng(seed)
+    x, h, d, r = rng.normal(size=(6, 10)), rng.normal(size=(p, 6)), rng.normal(size=p), rng.uniform(0.5, 2, p)
+    pert = x - x.mean(axis=1, keepdims=True)
+    cov = pert @ pert.T / 9
+    gain = cov @ h.T @ np.linalg.inv(h @ cov @ h.T + np.diag(r))
+    new = kernels.eigenspace_analysis(x, h @ pert, d, r)
+    assert np.allclose(new.mean(axis=1), x.mean(axis=1) + gain @ d)
+    assert np.allclose(np.cov(new), cov - gain @ h @ cov)
+    wider = kernels.eigenspace_analysis(x, h @ pert, d, r, delta=0.1)
+    assert np.isclose(np.trace(np.cov(wider)), 1.1 * np.trace(np.cov(new)))
+
+
+def test_dimension_of_equal_and_single_directions():
+    assert np.isclose(kernels.dimension(np.eye(4)), 4)
+    assert np.isclose(kernels.dimension(np.outer(np.arange(3.0), [1, -1, 0])), 1)
+    assert kernels.dimension(np.zeros((3, 4))) == 0
+
+
+def test_radar_files(spark, tmp_path):
+    rows = np.random.default_rng(0).normal(size=(4, 7)).astype(np.float32)
+    head = packed(np.array([[135.0], [34.5], [60.0]], np.float32))
+    (tmp_path / "r.dat").write_bytes(head + packed(rows))
+    (tmp_path / "ragged.dat").write_bytes(head + b"1")
+    got = read_radar(spark, str(tmp_path)).orderBy("idx").toPandas()
+    assert len(got) == 4 and list(got.meta[0]) == [135.0, 34.5, 60.0]
+    assert np.allclose(got[["elm", "lon", "lat", "lev", "dat", "err"]].to_numpy(), rows[:, :6])
+    assert set(got.typ) == {22.0} and set(got.dif) == {0.0}
+
+
+def test_members_round_trip(spark, tmp_path):
+    e = spark.createDataFrame([(1, 1, m, float(m * m)) for m in range(1, 5)], "gi int, gj int, mem int, x double")
+    write_members(e, str(tmp_path / "e"))
+    assert sorted((r.mem, r.x) for r in read_members(spark, str(tmp_path / "e")).collect()) == [(m, float(m * m)) for m in range(1, 5)]
+    assert spark.read.parquet(str(tmp_path / "e")).filter("mem = 0").first().x == 7.5
+
+
+def test_leap_second(spark):
+    from isohyet.functions import clock
+
+    utc, second = clock.tai_to_utc(F.col("t"))
+    got = spark.createDataFrame([(15638399.5,), (15638400.5,), (15638401.5,)], "t double").orderBy("t").select(utc.alias("u"), second.alias("s")).collect()
+    first = clock.EPOCH + 15638400  # 1 July 1993
+    assert [(r.u - first, r.s) for r in got] == [(-0.5, 59.5), (-0.5, 60.5), (0.5, 0.5)]
+
+
+def test_precipitation_observation_scale(spark):
+    from isohyet.functions import precipitation
+
+    df = spark.createDataFrame([(0.0,), (0.05,), (3.0,), (99.0,), (None,)], "pp double").withColumn("cdf", F.array(*[F.lit(float(k)) for k in range(11)]))
+    df = df.withColumns({"dry": F.lit(0.3), "no_rain_model": F.lit(0.2), "dry_share": F.lit(0.5), "mean": F.lit(0.1), "sd": F.lit(2.0)})
+    got = [r.y for r in precipitation.with_gaussian_observation(df.withColumnRenamed("dry", "zero"), "y", "pp", "cdf", "zero").collect()]
+    z = lambda p: NormalDist().inv_cdf(p)
+    assert np.allclose(got[:4], [0.1 + 2 * z(0.15 / 0.2 * 0.5)] * 2 + [z(0.3), z(0.999)], atol=1e-6)
+    assert got[4] is None
+
+
+def test_paths():
+    assert filled("a/<member>/<member>.d<domain>", "0001", 2) == "a/0001/<member>.d02"
+
+
+def test_nulls_stay_null(spark):
+    from isohyet.functions import geometry, physics, precipitation
+    from isohyet.operators import model
+
+    x = F.col("x")
+    row = spark.createDataFrame([(None, 4001, 0)], "x double, elm int, qc int")
+    values = [physics.great_circle(x, x, x, x), physics.radar_preprocessed(x)[1], physics.boundary_taper(x, x, 5, 5, 1.0, 1.0, 2.0), precipitation.without_tails(x), precipitation.log_amount(x), precipitation.inverse_normal(x), geometry.beam(x, x, x, (x, x, x))[0]]
+    assert set(row.select(*[v.alias(f"v{k}") for k, v in enumerate(values)]).first()) == {None}
+    made = model.simulated_radar(row.select("elm", "qc", x.alias("ref"), F.lit(1.0).alias("vr"))).first()
+    assert made.hx is None and made.qc == 99
+
+
+def test_empty_tables(spark):
+    from isohyet.operators import cyclones, localization, series
+
+    points = spark.createDataFrame([(1, 1)], "gi int, gj int")
+    none = spark.createDataFrame([], "obs_id long, ri double, rj double, err double")
+    assert [tuple(r) for r in localization.counted(localization.local_observations(points, none, 1.0)).collect()] == [(1, 1, 0, None)]
+    field = spark.createDataFrame([], "gi int, gj int, x double")
+    storms = spark.createDataFrame([(1, 2.0, 2.0)], "storm_id int, ri double, rj double")
+    assert [tuple(r) for r in cyclones.centres(storms, cyclones.smoothed(field), 3.0).collect()] == [(1, None, None, None)]
+    knots = spark.createDataFrame([], "series int, x double, y double")
+    assert [r.y for r in series.akima(knots, spark.createDataFrame([(1, 0.5)], "series int, x double")).collect()] == [None]
