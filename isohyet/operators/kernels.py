@@ -178,13 +178,18 @@ def ensemble_dimension(patches: DataFrame) -> DataFrame:
     return _per_point(patches, ("x",), "gi int, gj int, edim double", of_row)
 
 
-def packed_points(grid: DataFrame, local: DataFrame, hx: DataFrame, dep: DataFrame) -> DataFrame:
-    """One row per point: its members in order, and perturbations, departures and error variances of its local observations."""
+def packed_points(grid: DataFrame, local: DataFrame, hx: DataFrame, dep: DataFrame | None) -> DataFrame:
+    """One row per point: its members in order, and perturbations, departures and error variances of its local observations.
+
+    Without ``dep``, the departures are a column of ``local``, which saves a join.
+    """
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("mem", c))), lambda s: s[c])
     members = grid.groupBy("gi", "gj").agg(ordered("x").alias("x"))
     centred = F.transform("h", lambda v: v - F.aggregate("h", F.lit(0.0), lambda a, b: a + b) / F.size("h"))
     perturbed = hx.groupBy("obs_id").agg(ordered("hx").alias("h")).select("obs_id", centred.alias("y"))
-    seen = local.filter("obs_id is not null").select("gi", "gj", "obs_id", "rdiag").join(dep.select("obs_id", "dep"), "obs_id").join(perturbed, "obs_id")
+    seen = local.filter("obs_id is not null")
+    seen = seen.select("gi", "gj", "obs_id", "rdiag", "dep") if dep is None else seen.select("gi", "gj", "obs_id", "rdiag").join(dep.select("obs_id", "dep"), "obs_id")
+    seen = seen.join(perturbed, "obs_id")
     item = F.array_sort(F.collect_list(F.struct("obs_id", "y", "dep", "rdiag")))
     obs = seen.groupBy("gi", "gj").agg(item.alias("o"))
     joined = members.join(obs, ["gi", "gj"], "left")

@@ -214,8 +214,11 @@ def letkf_one_obs_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def letkf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Localized analysis of every point with inflation 1.69 and relaxation 0.8."""
-    local, dep, hx, grid = _local(spark, sf_dir)
-    packed = kernels.packed_points(grid, localization.limited(local, 10), hx, dep)
+    dep, hx = _departures(spark, sf_dir)
+    grid = fx.ensemble(spark, sf_dir)
+    good = dep.filter("qc = 0").select("obs_id", "typ", "err", "dep", "ri", "rj")
+    local = localization.local_observations(grid.select("gi", "gj").distinct(), good, SCALE)
+    packed = kernels.packed_points(grid, localization.limited(local, 10), hx, None)
     return rounded(kernels.analysis(packed, inflation=1.69, rtpp=0.8), 5)
 
 
