@@ -179,3 +179,15 @@ def test_empty_tables(spark):
     assert [tuple(r) for r in cyclones.centres(storms, cyclones.smoothed(field), 3.0).collect()] == [(1, None, None, None)]
     knots = spark.createDataFrame([], "series int, x double, y double")
     assert [r.y for r in series.akima(knots, spark.createDataFrame([(1, 0.5)], "series int, x double")).collect()] == [None]
+
+
+def test_bracket_by_height(spark):
+    from isohyet.functions import geometry
+    from isohyet.operators.vertical import bracketed
+
+    profile = spark.createDataFrame([(i, j, k, 100.0 * k * k) for i in (1, 2) for j in (1, 2) for k in (1, 2, 3)], "gi int, gj int, k int, x double")
+    obs = spark.createDataFrame([(1, 2819, 250.0), (2, 2819, 400.0), (3, 2819, 900.0), (4, 2819, 950.0), (5, 2819, 50.0), (6, 14593, 7.0)], "obs_id long, elm int, lev double").selectExpr("*", "1.5D ri", "1.5D rj", "0 qc")
+    got = {r.obs_id: (r.qc, r.rk) for r in bracketed(obs, profile, ascending=True).collect()}
+    assert got == {1: (0, 1.5), 2: (0, 2.0), 3: (0, 3.0), 4: (20, None), 5: (21, None), 6: (0, 7.0)}
+    east, north = geometry.rotated(F.lit(3.0), F.lit(4.0), F.lit(0.0), F.lit(1.0))
+    assert tuple(spark.range(1).select(east, north).first()) == (-4.0, 3.0)
