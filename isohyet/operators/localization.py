@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.functions import codes
@@ -31,7 +31,13 @@ def local_observations(points: DataFrame, obs: DataFrame, scale: float) -> DataF
 ORDERS = {"distance": ("nd2", True), "weight": ("rloc", False), "error": ("rdiag", True)}
 
 
-def limited(local: DataFrame, most: int, order: str = "distance", group: str = "typ") -> DataFrame:
+def limit_group(elm: Column, typ: Column) -> Column:
+    """The class that a limit counts: element and report type, reflectivities of radars with and without an echo being one."""
+    merged = (typ == codes.RADAR_TYPE) & (elm == codes.ID["RE0"])
+    return F.struct(F.when(merged, F.lit(codes.ID["REF"])).otherwise(elm).alias("elm"), typ.alias("typ"))
+
+
+def limited(local: DataFrame, most: int, order: str = "distance", group: str = "limit_group") -> DataFrame:
     """The ``most`` best observations per point and group; ties go to the smaller obs_id. Points without observations stay."""
     column, up = ORDERS[order]
     best = F.col(column).asc() if up else F.col(column).desc()

@@ -160,7 +160,7 @@ loc as (select p.gi, p.gj, n.obs_id, n.typ, n.nd2, exp(-0.5 * n.nd2) rloc, n.err
 def _local(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     dep, hx = _departures(spark, sf_dir)
     grid = fx.ensemble(spark, sf_dir)
-    good = dep.filter("qc = 0").select("obs_id", "typ", "err", "ri", "rj")
+    good = dep.filter("qc = 0").select("obs_id", "elm", "typ", "err", "ri", "rj")
     return localization.local_observations(grid.select("gi", "gj").distinct(), good, SCALE), dep, hx, grid
 
 
@@ -178,11 +178,19 @@ def obs_per_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _top(order: str, by: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         local = _local(spark, sf_dir)[0].withColumns({c: F.round(c, 9) for c in ("nd2", "rloc", "rdiag")})
-        return localization.limited(local, 2, order).select("gi", "gj", "typ", "obs_id", "rank")
+        return localization.limited(local, 2, order, "typ").select("gi", "gj", "typ", "obs_id", "rank")
+
+    def by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+        local = _local(spark, sf_dir)[0].withColumns({c: F.round(c, 9) for c in ("nd2", "rloc", "rdiag")})
+        local = local.withColumn("limit_group", localization.limit_group(F.col("elm"), F.col("typ")))
+        return localization.limited(local, 2, order).select("gi", "gj", "elm", "typ", "obs_id", "rank")
 
     query.__name__ = "local_topk_" + {"distance": "dist", "weight": "rloc", "error": "rdiag"}[order]
     register(LOCAL + f""", r as (select gi, gj, typ, obs_id, cast(row_number() over (partition by gi, gj, typ order by round({by}, 9) {'desc' if order == 'weight' else 'asc'}, obs_id) as int) rank from loc)
 select * from r where rank <= 2""")(query)
+    by_class.__name__ = query.__name__.replace("topk", "topk_class")
+    register(LOCAL + f""", r as (select l.gi, l.gj, d.elm, l.typ, l.obs_id, cast(row_number() over (partition by l.gi, l.gj, case when l.typ = 22 and d.elm = 4004 then 4001 else d.elm end, l.typ order by round(l.{by}, 9) {'desc' if order == 'weight' else 'asc'}, l.obs_id) as int) rank
+  from loc l left join dep d using (obs_id)) select * from r where rank <= 2""")(by_class)
 
 
 for _order, (_column, _) in localization.ORDERS.items():
@@ -216,8 +224,9 @@ def letkf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Localized analysis of every point with inflation 1.69 and relaxation 0.8."""
     dep, hx = _departures(spark, sf_dir)
     grid = fx.ensemble(spark, sf_dir)
-    good = dep.filter("qc = 0").select("obs_id", "typ", "err", "dep", "ri", "rj")
+    good = dep.filter("qc = 0").select("obs_id", "elm", "typ", "err", "dep", "ri", "rj")
     local = localization.local_observations(grid.select("gi", "gj").distinct(), good, SCALE)
+    local = local.withColumn("limit_group", localization.limit_group(F.col("elm"), F.col("typ")))
     packed = kernels.packed_points(grid, localization.limited(local, 10), hx, None)
     return rounded(kernels.analysis(packed, inflation=1.69, rtpp=0.8), 5)
 

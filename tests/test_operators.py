@@ -191,3 +191,16 @@ def test_bracket_by_height(spark):
     assert got == {1: (0, 1.5), 2: (0, 2.0), 3: (0, 3.0), 4: (20, None), 5: (21, None), 6: (0, 7.0)}
     east, north = geometry.rotated(F.lit(3.0), F.lit(4.0), F.lit(0.0), F.lit(1.0))
     assert tuple(spark.range(1).select(east, north).first()) == (-4.0, 3.0)
+
+
+def test_limit_counts_elements_of_a_type_apart(spark):
+    from isohyet.operators import localization
+
+    points = spark.createDataFrame([(1, 1), (9, 9)], "gi int, gj int")
+    rows = [(1, 2819, 1), (2, 2820, 1), (3, 2819, 1), (4, 2819, 2), (5, 4001, 22), (6, 4004, 22), (7, 4002, 22), (8, 4001, 1), (9, 4004, 1)]
+    obs = spark.createDataFrame([(i, elm, typ, 1.0, 1.0, 1.0 + i / 100) for i, elm, typ in rows], "obs_id long, elm int, typ int, ri double, rj double, err double")
+    local = localization.local_observations(points, obs, 0.4).withColumn("limit_group", localization.limit_group(F.col("elm"), F.col("typ")))
+    for order in localization.ORDERS:
+        got = localization.limited(local, 1, order).collect()
+        assert sorted(r.obs_id for r in got if r.gi == 1) == [1, 2, 4, 5, 7, 8, 9]
+        assert [r.obs_id for r in got if r.gi == 9] == [None]
