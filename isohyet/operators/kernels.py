@@ -18,6 +18,8 @@ def transform(y: np.ndarray, d: np.ndarray, rdiag: np.ndarray, inflation: float
     ``y`` is p x m with rows that sum to zero. Without observations the weights are those of the inflated prior.
     """
     m = y.shape[1]
+    if not len(y):
+        return np.sqrt(inflation) * np.eye(m), np.zeros(m), inflation / (m - 1) * np.eye(m)
     scaled = y / rdiag[:, None]
     values, vectors = np.linalg.eigh(scaled.T @ y + np.eye(m) * (m - 1) / inflation)
     pa_ = (vectors / values) @ vectors.T

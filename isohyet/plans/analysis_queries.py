@@ -9,7 +9,7 @@ from isohyet.functions import codes, physics
 from isohyet.operators import impact, inflation, kernels, localization
 from isohyet.operators import observations as ob
 from isohyet.plans import fixtures as fx
-from isohyet.plans.queries import CODED, HX, LOCAL, OBS, ONE, SCALE, _departures, _local
+from isohyet.plans.queries import CODED, HX, LOCAL, OBS, ONE, SCALE, _departures, _local, _whole
 from isohyet.plans.registry import register, rounded
 
 INFLATION = 1.69
@@ -84,7 +84,7 @@ def etkf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ensemble dimension of patches of 5 x 4 points."""
     members = F.transform(F.array_sort(F.collect_list(F.struct("mem", "x"))), lambda s: s["x"])
-    e = fx.ensemble(spark, sf_dir).groupBy("gi", "gj").agg(members.alias("x"))
+    e = fx.whole_ensemble(spark, sf_dir)[0].groupBy("gi", "gj").agg(members.alias("x"))
     patch = [F.ceil(F.col("gi") / 5).cast("int").alias("gi"), F.ceil(F.col("gj") / 4).cast("int").alias("gj")]
     patches = e.select(*patch, F.struct("gi", "gj", "x").alias("p")).groupBy("gi", "gj").agg(F.transform(F.array_sort(F.collect_list("p")), lambda s: s["x"]).alias("x"))
     return rounded(kernels.ensemble_dimension(patches))
@@ -93,10 +93,10 @@ def edim(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def lekf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local states of 5 x 4 points updated in their eigenbasis by the five best observations that lie in them."""
-    dep, hx = _departures(spark, sf_dir)
+    dep, hx, grid, _ = _whole(spark, sf_dir)
     members = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("mem", c))), lambda s: s[c])
     patch = lambda i, j: [F.ceil(F.col(i) / 5).cast("int").alias("gi"), F.ceil(F.col(j) / 4).cast("int").alias("gj")]
-    e = fx.ensemble(spark, sf_dir).groupBy("gi", "gj").agg(members("x").alias("x"))
+    e = grid.groupBy("gi", "gj").agg(members("x").alias("x"))
     patches = e.select(*patch("gi", "gj"), F.struct("gi", "gj", "x").alias("p")).groupBy("gi", "gj").agg(F.transform(F.array_sort(F.collect_list("p")), lambda s: s["x"]).alias("x"))
     best = dep.filter("qc = 0").select("obs_id", "dep", (F.col("err") * F.col("err")).alias("rdiag"), *patch("ri", "rj"))
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("gi", "gj").orderBy("rdiag", "obs_id"))).filter("rank <= 5")

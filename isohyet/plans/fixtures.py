@@ -38,5 +38,17 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(ENS_SPARK, embeddings=read(spark, sf_dir, "embeddings"))
 
 
+def whole_ensemble(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """All vectors with all their values as members, on a grid ``NX`` wide that grows with the table; and its full rows.
+
+    A last row that is not full holds points of the analysis, but lies outside the domain of observations.
+    """
+    vectors = read(spark, sf_dir, "embeddings")
+    last = vectors.agg({"vec_id": "max"}).first()[0]
+    grid = spark.sql("""select cast(vec_id % 25 as int)+1 gi, cast(floor(vec_id/25) as int)+1 gj, m+1 mem, 50+40*cast(v as double) x
+from {embeddings} lateral view posexplode(embedding) t as m, v""", embeddings=vectors)
+    return grid, 0 if last is None else (last + 1) // NX
+
+
 def duck_obs() -> str:
     return OBS.format(micros=DUCK_MICROS, events="events")

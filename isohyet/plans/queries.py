@@ -164,6 +164,14 @@ def _local(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return localization.local_observations(grid.select("gi", "gj").distinct(), good, SCALE), dep, hx, grid
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Departures, simulated observations, the ensemble of all vectors and values, and the rows of its grid."""
+    grid, ny = fx.whole_ensemble(spark, sf_dir)
+    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, ny, fx.FIRST_SLOT, fx.LAST_SLOT)
+    hx = ob.interpolated(coded.filter("qc = 0"), grid)
+    return ob.departures(coded, hx), hx, grid, ny
+
+
 @register(LOCAL + "select gi, gj, obs_id, typ, round(nd2, 6) nd2, round(rloc, 6) rloc, round(rdiag, 3) rdiag from loc")
 def local_obs_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = _local(spark, sf_dir)[0]
@@ -222,8 +230,7 @@ def letkf_one_obs_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def letkf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Localized analysis of every point with inflation 1.69 and relaxation 0.8."""
-    dep, hx = _departures(spark, sf_dir)
-    grid = fx.ensemble(spark, sf_dir)
+    dep, hx, grid, _ = _whole(spark, sf_dir)
     good = dep.filter("qc = 0").select("obs_id", "elm", "typ", "err", "dep", "ri", "rj")
     local = localization.local_observations(grid.select("gi", "gj").distinct(), good, SCALE)
     local = local.withColumn("limit_group", localization.limit_group(F.col("elm"), F.col("typ")))

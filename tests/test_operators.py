@@ -204,3 +204,22 @@ def test_limit_counts_elements_of_a_type_apart(spark):
         got = localization.limited(local, 1, order).collect()
         assert sorted(r.obs_id for r in got if r.gi == 1) == [1, 2, 4, 5, 7, 8, 9]
         assert [r.obs_id for r in got if r.gi == 9] == [None]
+
+
+def grown(spark, folder, vectors=1010, members=64):
+    values = np.random.default_rng(3).normal(0, 0.125, (vectors, members)).astype(np.float32)
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(values)], "vec_id long, embedding array<float>").repartition(2).write.parquet(f"{folder}/embeddings.parquet")
+    return 50 + 40 * values.astype(float)
+
+
+def test_grid_and_members_grow_with_the_table(spark, tmp_path):
+    from isohyet.plans import QUERIES, fixtures
+
+    x = grown(spark, tmp_path)
+    grid, rows = fixtures.whole_ensemble(spark, str(tmp_path))
+    assert rows == 40 and grid.count() == x.size
+    assert grid.filter("gi = 10 and gj = 41 and mem = 64").first().x == x[1009, 63]
+    got = {(r.gi, r.gj): r.edim for r in QUERIES["edim"](spark, str(tmp_path)).collect()}
+    assert len(got) == 52
+    patch = x[[25 * j + i for i in range(5) for j in range(36, 40)]]
+    assert np.isclose(got[1, 10], kernels.dimension(patch - patch.mean(axis=1, keepdims=True)), atol=1e-5)
