@@ -78,6 +78,19 @@ def gain_inverse(x: np.ndarray, y: np.ndarray, rdiag: np.ndarray) -> np.ndarray:
     return x @ np.linalg.inv(np.eye(m) * (m - 1) + y.T @ scaled) @ scaled.T
 
 
+def serial(x: np.ndarray, y: np.ndarray, rdiag: np.ndarray) -> np.ndarray:
+    """Perturbations of a variable after serial square-root updates with each observation in turn."""
+    m = len(x)
+    x, y = x - x.mean(), y.copy()
+    for k, r in enumerate(rdiag):
+        seen = y[k].copy()
+        total = seen @ seen / (m - 1) + r
+        factor = 1 / ((m - 1) * total * (1 + np.sqrt(r / total)))
+        x = x - factor * (x @ seen) * seen
+        y[k + 1 :] -= factor * np.outer(y[k + 1 :] @ seen, seen)
+    return x
+
+
 def eigenspace_analysis(x: np.ndarray, y: np.ndarray, d: np.ndarray, rdiag: np.ndarray, delta: float = 0.0) -> np.ndarray:
     """Members of a local state (n x m) updated in the eigenbasis of its covariance.
 
@@ -151,6 +164,34 @@ def one_sided_spread(packed: DataFrame) -> DataFrame:
     return _per_point(packed, ("x", "y", "rdiag"), "gi int, gj int, sprd double", of_row)
 
 
+def serial_update(packed: DataFrame) -> DataFrame:
+    """(gi, gj, mem, xa_pert) after serial updates with the point's observations in the order of their ids."""
+
+    def of_row(x: list, y: list, r: list) -> list[tuple]:
+        new = serial(np.array(x), np.array(y).reshape(-1, len(x)), np.array(r))
+        return list(enumerate(new.tolist(), 1))
+
+    return _per_point(packed, ("x", "y", "rdiag"), "gi int, gj int, mem int, xa_pert double", of_row)
+
+
+def gains(packed: DataFrame, bias: float = 0.0) -> DataFrame:
+    """(gi, gj, k, gain): the joint gain of a point for the k-th of its observations by id; points without any give no rows.
+
+    With ``bias``, that of a bias ensemble whose perturbations are this share of the state's.
+    """
+    total = 1 + bias * bias
+
+    def of_row(x: list, y: list, r: list) -> list[tuple]:
+        if not y:
+            return []
+        members = np.array(x)
+        share = bias * bias / np.sqrt(total) if bias else 1.0
+        gain = gain_inverse(share * (members - members.mean())[None], np.sqrt(total) * np.array(y), np.array(r))[0]
+        return list(enumerate(gain.tolist(), 1))
+
+    return _per_point(packed, ("x", "y", "rdiag"), "gi int, gj int, k int, gain double", of_row)
+
+
 def eigenspace(patches: DataFrame, delta: float = 0.0) -> DataFrame:
     """(gi, gj, point, mem, xa) of patches: ``x`` lists the members of each point, ``y``, ``d`` and ``rdiag`` its observations."""
 

@@ -218,3 +218,69 @@ def omb_oma_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     hx = ob.interpolated(coded.filter("qc = 0"), fx.ensemble(spark, sf_dir))
     after = ob.departures(coded, hx.withColumn("hx", F.col("hx") * 0.9 + 5), threshold=2.0)
     return rounded(ob.paired_departures(ob.departures(coded, hx), after))
+
+
+def _all_local(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Packed points of the whole ensemble with all their local observations, and the rows of the grid."""
+    dep, hx, grid, ny = _whole(spark, sf_dir)
+    good = dep.filter("qc = 0").select("obs_id", "err", "dep", "ri", "rj")
+    local = localization.local_observations(grid.select("gi", "gj").distinct(), good, SCALE)
+    return kernels.packed_points(grid, local, hx, None), ny
+
+
+@register()
+def letkf_members_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter without relaxation, by all local observations."""
+    return rounded(kernels.analysis(_all_local(spark, sf_dir)[0], INFLATION), 5)
+
+
+@register()
+def letkf_rtps_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relaxation to the prior spread, by all local observations."""
+    return rounded(kernels.analysis(_all_local(spark, sf_dir)[0], INFLATION, rtps=0.95), 5)
+
+
+@register()
+def letkf_rtpp_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relaxation to prior perturbations, by all local observations."""
+    return rounded(kernels.analysis(_all_local(spark, sf_dir)[0], INFLATION, rtpp=0.8), 5)
+
+
+@register()
+def boundary_taper_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The update by all local observations, tapered towards the domain's edge."""
+    packed, ny = _all_local(spark, sf_dir)
+    beta = physics.boundary_taper(F.col("gi"), F.col("gj"), fx.NX, ny, 2.0, 2.0, 9.0)
+    return rounded(kernels.analysis(packed.withColumn("beta", beta), INFLATION), 5)
+
+
+@register()
+def letkf_det_update_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run beside the ensemble, one above its mean, updated by all local observations."""
+    packed = _all_local(spark, sf_dir)[0]
+    mean = F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / F.size("x")
+    return rounded(kernels.deterministic(packed.withColumn("x_det", mean + 1).withColumn("d_det", F.transform("d", lambda v: v - 1)), INFLATION), 5)
+
+
+@register()
+def etkf_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread after a one-sided transform by all local observations."""
+    return rounded(kernels.one_sided_spread(_all_local(spark, sf_dir)[0]))
+
+
+@register()
+def enkf_gain_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint gain of every point for all its local observations."""
+    return rounded(kernels.gains(_all_local(spark, sf_dir)[0]))
+
+
+@register()
+def enkf_bias_gain_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joint gain of a bias ensemble for all local observations."""
+    return rounded(kernels.gains(_all_local(spark, sf_dir)[0], bias=0.5))
+
+
+@register()
+def enkf_serial_update_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perturbations after serial square-root updates with all local observations."""
+    return rounded(kernels.serial_update(_all_local(spark, sf_dir)[0]), 5)

@@ -1,6 +1,7 @@
 from statistics import NormalDist
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -223,3 +224,56 @@ def test_grid_and_members_grow_with_the_table(spark, tmp_path):
     assert len(got) == 52
     patch = x[[25 * j + i for i in range(5) for j in range(36, 40)]]
     assert np.isclose(got[1, 10], kernels.dimension(patch - patch.mean(axis=1, keepdims=True)), atol=1e-5)
+
+
+@pytest.fixture(scope="module")
+def dense(spark, tmp_path_factory):
+    """A folder with an ensemble and events whose ids are beyond 400, and by brute force: members, and observations by point."""
+    folder = tmp_path_factory.mktemp("dense")
+    x = grown(spark, folder, 500, 12)
+    spark.sql("select 1000 + id event_id, timestamp_ntz'2024-01-05 12:00:00' ts, id user_id, 'click' event_type, 46D + id % 9 value from range(60)").write.parquet(f"{folder}/events.parquet")
+    near = {}
+    for i in range(1000, 1060):
+        ri, rj, err = i * 37 % 270 / 10, i * 53 % 220 / 10, 1.0 + i % 5
+        if not (1 <= ri <= 25 and 1 <= rj <= 20):
+            continue
+        a, b = min(int(ri), 24), min(int(rj), 19)
+        u, v = ri - a, rj - b
+        h = sum(w * x[(b - 1 + q) * 25 + a - 1 + p] for p, q, w in ((0, 0, (1 - u) * (1 - v)), (1, 0, u * (1 - v)), (0, 1, (1 - u) * v), (1, 1, u * v)))
+        d = 46.0 + (i - 1000) % 9 - h.mean()
+        for k in range(500) if abs(d) <= 5 * err else ():
+            nd2 = ((k % 25 + 1 - ri) ** 2 + (k // 25 + 1 - rj) ** 2) / 0.16
+            if nd2 <= 13.33333333:
+                near.setdefault((k % 25 + 1, k // 25 + 1), []).append((h - h.mean(), d, err * err * np.exp(nd2 / 2)))
+    assert max(map(len, near.values())) > 1
+    return str(folder), x, {point: tuple(map(np.array, zip(*o, strict=True))) for point, o in near.items()}
+
+
+def test_analyses_use_all_local_observations(spark, dense):
+    from isohyet.plans import QUERIES
+
+    folder, x, near = dense
+    point = max(near, key=lambda p: (len(near[p][1]), p))
+    prior, (y, d, r) = x[(point[1] - 1) * 25 + point[0] - 1], near[point]
+    pert, m = prior - prior.mean(), len(prior)
+    at = f"gi = {point[0]} and gj = {point[1]}"
+    told = lambda name, c, by="mem": [q[c] for q in QUERIES[name](spark, folder).filter(at).orderBy(by).collect()]
+    gain = pert @ y.T @ np.linalg.inv(y @ y.T + np.diag(r) * (m - 1))
+    inflated = np.sqrt(1.69) * pert @ (np.sqrt(1.69) * y).T @ np.linalg.inv(1.69 * y @ y.T + np.diag(r) * (m - 1))
+    assert np.isclose(np.mean(told("letkf_members_local", "xa")), prior.mean() + inflated @ d, atol=1e-4)
+    assert np.isclose(told("letkf_det_update_local", "xa", "gi")[0], prior.mean() + 1 + inflated @ (d - 1), atol=1e-4)
+    after = 1.69 * pert @ pert - (m - 1) * inflated @ (y @ y.T / (m - 1) * 1.69 + np.diag(r)) @ inflated
+    members = np.array(told("letkf_members_local", "xa"))
+    assert np.isclose(np.sum((members - members.mean()) ** 2), after, atol=1e-3)
+    relaxed = np.array(told("letkf_rtpp_local", "xa"))
+    assert np.allclose(relaxed - relaxed.mean(), 0.2 * (members - members.mean()) + 0.8 * np.sqrt(1.69) * pert, atol=1e-4)
+    spread = np.array(told("letkf_rtps_local", "xa"))
+    assert np.isclose(spread.std(), 0.95 * np.sqrt(1.69) * prior.std() + 0.05 * members.std(), atol=1e-4)
+    assert np.allclose(told("enkf_gain_local", "gain", "k"), gain, atol=1e-6)
+    assert np.allclose(told("enkf_bias_gain_local", "gain", "k"), 0.25 * pert @ y.T @ np.linalg.inv(1.25 * y @ y.T + np.diag(r) * (m - 1)), atol=1e-6)
+    left = pert @ pert - gain @ y @ pert
+    assert np.isclose(told("etkf_local", "sprd", "gi")[0], np.sqrt(left / (m - 1)), atol=1e-5)
+    serial = np.array(told("enkf_serial_update_local", "xa_pert"))
+    assert np.isclose(serial @ serial, left, atol=1e-3) and np.isclose(serial.sum(), 0, atol=1e-3)
+    beta = min(1, max(0, min(2 * min(point[0], 26 - point[0]), 2 * min(point[1], 21 - point[1])) / 9))
+    assert np.allclose(told("boundary_taper_local", "xa"), prior * (1 - beta) + members * beta, atol=1e-4)
