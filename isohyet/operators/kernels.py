@@ -92,7 +92,12 @@ def serial(x: np.ndarray, y: np.ndarray, rdiag: np.ndarray) -> np.ndarray:
 
 
 def eigenspace_analysis(x: np.ndarray, y: np.ndarray, d: np.ndarray, rdiag: np.ndarray, delta: float = 0.0) -> np.ndarray:
-    """Members of a local state (n x m) updated in the eigenbasis of its covariance.
+    """Members of a local state (n x m) updated in the eigenbasis of its covariance by observations (p x m)."""
+    return eigenspace_of_sums(x, (y.T / rdiag) @ y, y.T @ (d / rdiag), delta)
+
+
+def eigenspace_of_sums(x: np.ndarray, square: np.ndarray, pull: np.ndarray, delta: float = 0.0) -> np.ndarray:
+    """The same from sums over observations: ``square`` is Y'R^-1Y (m x m) and ``pull`` Y'R^-1d (m).
 
     ``delta`` adds that share of the mean analysis variance in each direction. Directions without variance are left out.
     """
@@ -104,10 +109,10 @@ def eigenspace_analysis(x: np.ndarray, y: np.ndarray, d: np.ndarray, rdiag: np.n
         return x
     basis, size, right = basis[:, keep], size[keep], right[keep]
     variance = size * size / (m - 1)
-    h = y @ right.T / size
-    after = variance[:, None] * np.linalg.inv(np.eye(len(size)) + (h.T / rdiag) @ h * variance)
+    own = right / size[:, None]
+    after = variance[:, None] * np.linalg.inv(np.eye(len(size)) + own @ square @ own.T * variance)
     after = (after + after.T) / 2
-    mean = basis @ (after @ (h.T @ (d / rdiag)))
+    mean = basis @ (after @ (own @ pull))
     after = after + np.eye(len(size)) * (delta * np.trace(after) / len(size))
     inner = size[:, None] * right / variance[:, None]
     values, vectors = np.linalg.eigh(np.eye(m) + inner.T @ (after - np.diag(variance)) @ inner / (m - 1))
@@ -193,14 +198,64 @@ def gains(packed: DataFrame, bias: float = 0.0) -> DataFrame:
 
 
 def eigenspace(patches: DataFrame, delta: float = 0.0) -> DataFrame:
-    """(gi, gj, point, mem, xa) of patches: ``x`` lists the members of each point, ``y``, ``d`` and ``rdiag`` its observations."""
+    """(gi, gj, point, mem, xa) of patches: ``x`` lists the members of each point, ``sums`` is that of its observations or null."""
 
-    def of_row(x: list, y: list, d: list, r: list) -> list[tuple]:
+    def of_row(x: list, sums: bytes | None) -> list[tuple]:
         state = np.array(x)
-        new = eigenspace_analysis(state, np.array(y).reshape(-1, state.shape[1]), np.array(d), np.array(r), delta)
+        m = state.shape[1]
+        both = np.frombuffer(sums).reshape(m + 1, m) if sums else np.zeros((m + 1, m))
+        new = eigenspace_of_sums(state, both[:m], both[m], delta)
         return [(point, mem, float(v)) for point, row in enumerate(new, 1) for mem, v in enumerate(row, 1)]
 
-    return _per_point(patches, ("x", "y", "d", "rdiag"), "gi int, gj int, point int, mem int, xa double", of_row)
+    return _per_point(patches, ("x", "sums"), "gi int, gj int, point int, mem int, xa double", of_row)
+
+
+SUMS_AT_ONCE = 64
+
+
+def ensemble_sums(obs: DataFrame) -> DataFrame:
+    """(gi, gj, sums): Y'R^-1Y and Y'R^-1d of all observations (gi, gj, y, dep, rdiag) of each patch, m + 1 rows of m numbers.
+
+    Summed within batches first, then over batches in the order of patches, so that few sums are held at a time.
+    """
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gi, gj, dep, rdiag = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4))
+            y = batch.column(2)
+            order = np.lexsort((gj, gi))
+            cuts = np.flatnonzero((np.diff(gi[order], prepend=-1) != 0) | (np.diff(gj[order], prepend=-1) != 0))
+            rows = []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+                mine = order[a:b]
+                of_members = np.array(y.take(pa.array(mine)).to_pylist())
+                scaled = of_members / rdiag[mine, None]
+                rows.append((int(gi[mine[0]]), int(gj[mine[0]]), np.vstack([scaled.T @ of_members, dep[mine] @ scaled]).tobytes()))
+                if len(rows) == SUMS_AT_ONCE:
+                    yield made(rows)
+                    rows = []
+            if rows:
+                yield made(rows)
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(0)
+        for batch in batches:
+            for gi, gj, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at == (gi, gj):
+                    total = total + np.frombuffer(sums)
+                    continue
+                if at:
+                    yield made([(*at, total.tobytes())])
+                at, total = (gi, gj), np.frombuffer(sums)
+        if at:
+            yield made([(*at, total.tobytes())])
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["gi", "gj", "sums"])
+
+    schema = "gi int, gj int, sums binary"
+    parts = obs.select("gi", "gj", "y", "dep", "rdiag").mapInArrow(first, schema)
+    return parts.repartition("gi", "gj").sortWithinPartitions("gi", "gj").mapInArrow(then, schema)
 
 
 def at_observations(hx: DataFrame, local: DataFrame, dep: DataFrame, inflation: float = 1.0) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.functions import codes, physics
@@ -92,18 +92,16 @@ def edim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def lekf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Local states of 5 x 4 points updated in their eigenbasis by the five best observations that lie in them."""
+    """Local states of 5 x 4 points updated in their eigenbasis by all observations that lie in them; without any, means stay."""
     dep, hx, grid, _ = _whole(spark, sf_dir)
     members = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("mem", c))), lambda s: s[c])
     patch = lambda i, j: [F.ceil(F.col(i) / 5).cast("int").alias("gi"), F.ceil(F.col(j) / 4).cast("int").alias("gj")]
     e = grid.groupBy("gi", "gj").agg(members("x").alias("x"))
     patches = e.select(*patch("gi", "gj"), F.struct("gi", "gj", "x").alias("p")).groupBy("gi", "gj").agg(F.transform(F.array_sort(F.collect_list("p")), lambda s: s["x"]).alias("x"))
-    best = dep.filter("qc = 0").select("obs_id", "dep", (F.col("err") * F.col("err")).alias("rdiag"), *patch("ri", "rj"))
-    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("gi", "gj").orderBy("rdiag", "obs_id"))).filter("rank <= 5")
+    good = dep.filter("qc = 0").select("obs_id", "dep", (F.col("err") * F.col("err")).alias("rdiag"), *patch("ri", "rj"))
     mean = F.aggregate("h", F.lit(0.0), lambda a, b: a + b) / F.size("h")
     centred = hx.groupBy("obs_id").agg(members("hx").alias("h")).select("obs_id", F.transform("h", lambda v: v - mean).alias("y"))
-    seen = best.join(centred, "obs_id").groupBy("gi", "gj").agg(F.array_sort(F.collect_list(F.struct("obs_id", "y", "dep", "rdiag"))).alias("o"))
-    packed = patches.join(seen, ["gi", "gj"]).select("gi", "gj", "x", F.col("o.y").alias("y"), F.col("o.dep").alias("d"), F.col("o.rdiag").alias("rdiag"))
+    packed = patches.join(kernels.ensemble_sums(good.join(centred, "obs_id")), ["gi", "gj"], "left")
     return rounded(kernels.eigenspace(packed, delta=0.05), 5)
 
 

@@ -277,3 +277,31 @@ def test_analyses_use_all_local_observations(spark, dense):
     assert np.isclose(serial @ serial, left, atol=1e-3) and np.isclose(serial.sum(), 0, atol=1e-3)
     beta = min(1, max(0, min(2 * min(point[0], 26 - point[0]), 2 * min(point[1], 21 - point[1])) / 9))
     assert np.allclose(told("boundary_taper_local", "xa"), prior * (1 - beta) + members * beta, atol=1e-4)
+
+
+def test_patches_use_all_their_observations_and_stay_without_any(spark, tmp_path):
+    from isohyet.plans import QUERIES
+
+    x = grown(spark, tmp_path, 500, 12)
+    where = lambda i: (i * 37 % 270 / 10, i * 53 % 220 / 10)
+    ids = [i for i in range(1000, 40000) if 2 <= where(i)[0] <= 5 and 1 <= where(i)[1] <= 4][:9]
+    spark.createDataFrame([(i,) for i in ids], "id long").selectExpr("id event_id", "timestamp_ntz'2024-01-05 12:00:00' ts", "id user_id", "'click' event_type", "51D value").write.parquet(f"{tmp_path}/events.parquet")
+    got = {}
+    for q in QUERIES["lekf"](spark, str(tmp_path)).collect():
+        got.setdefault((q.gi, q.gj), np.zeros((20, 12)))[q.point - 1, q.mem - 1] = q.xa
+    assert len(got) == 25
+    state = lambda p, q: np.array([x[(j - 1) * 25 + i - 1] for i in range(5 * p - 4, 5 * p + 1) for j in range(4 * q - 3, 4 * q + 1)])
+    y, d, r = [], [], []
+    for i in ids:
+        ri, rj = where(i)
+        a, b = max(int(np.ceil(ri)) - 1, 1), max(int(np.ceil(rj)) - 1, 1)
+        u, v = ri - a, rj - b
+        at = lambda p, q: x[(q - 1) * 25 + p - 1]
+        h = (1 - u) * (1 - v) * at(a, b) + u * (1 - v) * at(a + 1, b) + (1 - u) * v * at(a, b + 1) + u * v * at(a + 1, b + 1)
+        if abs(51 - h.mean()) <= 5 * (1 + i % 5):
+            y.append(h - h.mean())
+            d.append(51 - h.mean())
+            r.append((1.0 + i % 5) ** 2)
+    assert len(y) > 5
+    assert np.allclose(got[1, 1], kernels.eigenspace_analysis(state(1, 1), np.array(y), np.array(d), np.array(r), 0.05), atol=1e-4)
+    assert np.allclose(got[3, 2].mean(axis=1), state(3, 2).mean(axis=1), atol=1e-4)
