@@ -9,8 +9,8 @@ count by one level.
 A word ``w`` after ``v`` has probability ``L * c(v w) / c(v)`` if the filter holds the
 pair, with the pair's count as the filter gives it, and ``(1 - L) * (c(w) + 1) /
 (N + V + 1)`` else; counts of single words are exact. ``L`` is the share of training
-tokens whose pair would still be in the model if this occurrence of it were left out. Pairs seen fewer than ``LEAST`` times are
-not part of the model. The first word follows the end of a text.
+tokens whose pair would still be in the model if this occurrence of it were left out. All pairs
+are part of the model, those seen once too. The first word follows the end of a text.
 
 Filters and word counts are broadcast in parts of at most ``MOST_BYTES``. Parts that do
 not fit into one such portion together are broadcast one after the other, each in a pass
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from isohyet.llm import textcodes
 from isohyet.llm.common import materialise
 
-LEAST = 2
 BITS_PER_KEY = 12
 PROBES = 5
 MOST_BYTES = 96 << 20
@@ -139,10 +138,7 @@ def _summed(blocks: DataFrame) -> DataFrame:
         codes = codes[order]
         first = np.flatnonzero(np.diff(codes, prepend=~codes[:1]))
         unique, total = codes[first], np.add.reduceat(counts[order], first, dtype=np.int64)
-        distinct, seen, again = len(unique), int(total.sum()), int(total[total > LEAST].sum())
-        if key[0].as_py():
-            keep = total >= LEAST
-            unique, total = unique[keep], total[keep]
+        distinct, seen, again = len(unique), int(total.sum()), int(total[total > 1].sum())
         row = (key[0].as_py(), key[1].as_py(), len(unique), distinct, seen, again, unique.tobytes(), total.tobytes())
         return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, SUMMED, strict=True)], schema=SUMMED)
 

@@ -71,6 +71,21 @@ def test_language_model_counts(spark):
     assert ngrams.score_texts(empty(spark), held).count() == 0
 
 
+def test_pairs_seen_once_are_scored(spark):
+    train = ["a b c", "a b d", "x y z"]
+    rows = [*enumerate(train), (10, "x y"), (11, "y x"), (12, "a b")]
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    put = lambda t: [*t.split(), None]
+    pairs, count = Counter(p for t in train for p in zip([None, *put(t)], put(t))), Counter(w for t in train for w in put(t))
+    n, v = sum(count.values()), len(count)
+    share = sum(c for c in pairs.values() if c > 1) / n
+    middle = lambda c: (2 ** (math.floor(math.log2(c))) + 2 ** (math.floor(math.log2(c)) + 1) - 1) / 2
+    told = lambda a, b: share * middle(pairs[a, b]) / count[a] if pairs[a, b] else (1 - share) * (count[b] + 1) / (n + v + 1)
+    want = {i: sum(math.log10(told(a, b)) for a, b in zip([None, *put(t)], put(t))) for i, t in rows}
+    got = {r.doc_id: r.score for r in ngrams.score_texts(docs, F.col("doc_id") >= 10).collect()}
+    assert all(math.isclose(got[i], want[i], abs_tol=1e-9) for i in want), (got, want)
+
+
 def test_filter_has_no_false_negatives():
     r = np.random.default_rng(0)
     codes, counts = np.unique(r.integers(1, 1 << 63, 5000).astype(np.uint64)), r.geometric(0.1, 5000)
