@@ -1,13 +1,14 @@
 """Vectorised tokens: whole batches of texts become arrays of 64-bit word codes.
 
 Words are maximal runs of bytes outside 0x20 and 0x09-0x0D of the UTF-8 text. A word's
-code is a polynomial over a random byte table, taken from one prefix sum for the whole
+code is a polynomial over a random byte table, taken from prefix sums over slices of the
 batch, then mixed. Two of ``n`` distinct words share a code with probability below
 n^2 / 2^64.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,10 +17,12 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C1B  # 3 modulo 8
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 64, 256, dtype=_U) | _U(1)
+BLANKS = b" \t\n\x0b\x0c\r"
+BLANK = re.compile(b"[" + BLANKS + b"]")
 _SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SPACE[list(BLANKS)] = True
 _MULTIPLIERS = np.random.default_rng(5).integers(1, 1 << 64, 64, dtype=_U) | _U(1)
-_powers: dict[int, np.ndarray] = {}
+SLICE = 1 << 17  # bytes that are worked on at a time
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,33 +35,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers_of(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, 1 << 16)
-        have = np.full(size, base, _U)
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        _powers[base] = have
-    return have[:n]
+def _powers_of(base: int) -> np.ndarray:
+    out = np.full(SLICE + 1, base, _U)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers_of(_BASE), _powers_of(_INVERSE)
 
 
 def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
-    """Codes of all words in order, words per text, the joined bytes, and where words start and end in them."""
+    """Codes of all words in order, words per text, the joined bytes, and where words start and end in them.
+
+    The bytes are walked in slices; a word that crosses into the next slice carries its sum along,
+    so that beside the results no memory grows with the texts.
+    """
     joined = b"\n".join(texts) + b"\n"
     if lower:
         joined = joined.lower()
     raw = np.frombuffer(joined, np.uint8)
-    edge = np.flatnonzero(np.diff(_SPACE[raw], prepend=True))
-    starts, ends = edge[0::2], edge[1::2]
-    sums = np.zeros(len(raw) + 1, _U)
-    np.cumsum(_BYTES[raw] * _powers_of(_BASE, len(raw)), out=sums[1:])
-    codes = mix((sums[ends] - sums[starts]) * _powers_of(_INVERSE, len(raw))[starts] + (ends - starts).astype(_U))
-    bounds = np.cumsum([len(t) + 1 for t in texts])
-    upto = np.searchsorted(starts, bounds)
+    codes, starts, ends = [], [], []
+    began, partial = -1, 0  # start and sum of the word that is open
+    for at in range(0, len(raw), SLICE):
+        part = raw[at : at + SLICE]
+        edges = np.flatnonzero(np.diff(_SPACE[part], prepend=began < 0))
+        sums = np.zeros(len(part) + 1, _U)
+        np.cumsum(_BYTES[part] * _UP[: len(part)], out=sums[1:])
+        if began >= 0:
+            upto = int(edges[0]) if len(edges) else len(part)
+            partial = (partial + pow(_BASE, at - began, 1 << 64) * int(sums[upto])) % (1 << 64)
+            if not len(edges):
+                continue
+            codes.append(np.array([partial], _U) + _U(at + upto - began))
+            starts.append(np.array([began]))
+            ends.append(edges[:1] + at)
+            edges, began = edges[1:], -1
+        s, e = edges[0::2], edges[1::2]
+        if len(s) > len(e):
+            began, s = at + int(s[-1]), s[:-1]
+            partial = (int(sums[-1]) - int(sums[began - at])) * int(_DOWN[began - at]) % (1 << 64)
+        codes.append((sums[e] - sums[s]) * _DOWN[s] + (e - s).astype(_U))
+        starts.append(s + at)
+        ends.append(e + at)
+    codes, starts, ends = mix(np.concatenate(codes)), np.concatenate(starts), np.concatenate(ends)
+    upto = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
     return codes, np.diff(upto, prepend=0), joined, starts, ends
 
 
+def last_words(text: bytes, n: int) -> list[bytes]:
+    """The last ``n`` words, found from the end."""
+    raw = text.rstrip(BLANKS)
+    out: list[bytes] = []
+    while raw and len(out) < n:
+        at = max(raw.rfind(b, 0) for b in (bytes([x]) for x in BLANKS))
+        out.append(raw[at + 1 :])
+        raw = raw[: at + 1].rstrip(BLANKS)
+    return out[::-1]
+
+
 def word_codes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all words in order, and the number of words of each text."""
     return words(texts, lower)[:2]

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from isohyet.llm import langid, mixing, neardup, ngrams, pieces, quality, topk, vectordup, warc, wordpieces
+from isohyet.llm import langid, mixing, neardup, ngrams, pieces, quality, textcodes, topk, vectordup, warc, wordpieces
 from isohyet.llm.common import fold
 
 P = pytest.importorskip("public_tokenizers")
@@ -58,47 +58,102 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 
 
-def test_language_model_counts(spark):
+def exact_model(train):
+    """Probability of a word after the words before it, from exact counts (none above ngrams.EXACT)."""
+    count = [Counter() for _ in range(6)]
+    for t in train:
+        w = [*t, None]
+        for k in (1, 2, 4, 5):
+            count[k].update(tuple(w[i - k : i]) for i in range(k, len(w) + 1))
+        count[2][None, w[0]] += 1
+    n, v = sum(count[1].values()), len(count[1])
+    ends = count[1][(None,)]
+
+    def probability(before, w):
+        p = (count[1][(w,)] + v / (v + 1)) / (n + v) if v else 1.0
+        c = count[1][(before[-1],)] if before else ends
+        if c:
+            m = ngrams.PAIR_MASS * math.sqrt(c)
+            p = (count[2][before[-1] if before else None, w] + m * p) / (c + m)
+        if len(before) >= 4 and (c := count[4][tuple(before[-4:])]):
+            p = (count[5][(*before[-4:], w)] + ngrams.RUN_MASS * p) / (c + ngrams.RUN_MASS)
+        return p
+
+    return count, probability
+
+
+def test_language_model(spark):
     docs = odd_docs(spark)
     held = fold("doc_id", 7, 2)
     rows = docs.select("doc_id", "text", held.alias("h")).collect()
-    count = Counter(w for r in rows if not r.h for w in [*words(r.text), "\0"])
+    count = exact_model([words(r.text) for r in rows if not r.h])[0]
+    count = {w: c for (w,), c in count[1].items()}
     n, v = sum(count.values()), len(count)
-    for most in (ngrams.MOST_BYTES, 2000):  # in one portion, and in many
-        got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in ngrams.score_texts(docs, held, most).collect()), key=str)
-        want = sorted(((r.doc_id, r.h, len(words(r.text)) + 1, sum(count[w] > 0 for w in [*words(r.text), "\0"]), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in [*words(r.text), "\0"]), 6)) for r in rows), key=str)
-        assert got == want
+    lowest = {}
+    for most, chunk in ((ngrams.MOST_BYTES, ngrams.CHUNK_BYTES), (0, ngrams.CHUNK_BYTES), (ngrams.MOST_BYTES, 500), (0, 200)):  # broadcast and sent, texts whole and in pieces
+        got = sorted(ngrams.score_texts(docs, held, most, chunk, 4000).collect(), key=str)
+        told = lambda r: [count.get(w, 0) for w in [*words(r.text), None]]
+        want = sorted(((r.doc_id, r.h, len(told(r)), sum(c > 0 for c in told(r)), n, round(sum(math.log10((c + 1) / (n + v + 1)) for c in told(r)), 6)) for r in rows), key=str)
+        assert sorted(((*tuple(r)[:5], round(r.base_score, 6)) for r in got), key=str) == want
+        assert all(r.score <= 0 for r in got)
+        lowest[most, chunk] = {(r.doc_id, r.n_tokens, round(r.base_score, 6)): round(r.score, 6) for r in got}
+    a, b, *_ = lowest.values()
+    assert a == b
     assert ngrams.score_texts(empty(spark), held).count() == 0
-
-
-def test_pairs_seen_once_are_scored(spark):
-    train = ["a b c", "a b d", "x y z"]
-    rows = [*enumerate(train), (10, "x y"), (11, "y x"), (12, "a b")]
-    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
-    put = lambda t: [*t.split(), None]
-    pairs, count = Counter(p for t in train for p in zip([None, *put(t)], put(t))), Counter(w for t in train for w in put(t))
-    n, v = sum(count.values()), len(count)
-    share = sum(c for c in pairs.values() if c > 1) / n
-    middle = lambda c: (2 ** (math.floor(math.log2(c))) + 2 ** (math.floor(math.log2(c)) + 1) - 1) / 2
-    told = lambda a, b: share * middle(pairs[a, b]) / count[a] if pairs[a, b] else (1 - share) * (count[b] + 1) / (n + v + 1)
-    want = {i: sum(math.log10(told(a, b)) for a, b in zip([None, *put(t)], put(t))) for i, t in rows}
-    got = {r.doc_id: r.score for r in ngrams.score_texts(docs, F.col("doc_id") >= 10).collect()}
-    assert all(math.isclose(got[i], want[i], abs_tol=1e-9) for i in want), (got, want)
+    assert {r.score for r in ngrams.score_texts(docs, F.lit(True)).collect()} == {0.0}
+
+
+def test_language_model_is_a_probability(spark):
+    train = ["a b c d e f", "a b c d e g", "a b c d e f", "x y z", ""]
+    rows = [*enumerate(train), (10, "x y"), (11, "a b c d e f g"), (12, "b c d e f unknown q"), (13, None), (14, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    _, probability = exact_model([t.split() for t in train])
+    for before in ([], ["a"], ["q"], list("abcd"), list("bcde"), list("xyzq")):
+        assert math.isclose(sum(probability(before, w) for w in [*"abcdefgxyz", None, "other"]), 1)
+    want = {i: sum(math.log10(probability((t or "").split()[:k], w)) for k, w in enumerate([*(t or "").split(), None])) for i, t in rows}
+    for most in (ngrams.MOST_BYTES, 0):
+        got = {r.doc_id: r.score for r in ngrams.score_texts(docs, F.col("doc_id") >= 10, most, bits_per_key=100).collect()}
+        assert all(math.isclose(got[i], want[i], abs_tol=1e-9) for i in want), (got, want)
+
+
+def test_probabilities_never_sum_to_more_than_one():
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        followers = r.geometric(0.02, 50)
+        level, c = ngrams.levels(followers), followers.sum()
+        for context, filled in ((ngrams.levels(np.array([c])), 1), (np.zeros(1, int), 0)):
+            run = np.append(level * filled, 0)  # the last one stands for all unknown words
+            first = np.append(ngrams.levels(followers), 0)
+            p = ngrams.smoothed([first, run, run * 0], [np.broadcast_to(context, 51), np.zeros(51, int)], 50, ngrams.LOW[first].sum())
+            assert 0.85 < p.sum() <= 1 + 1e-12
+
+
+def test_runs_travel_whole():
+    r = np.random.default_rng(5)
+    for kind, keys in ((0, np.unique(r.integers(1, 1 << 62, 900).astype(np.uint64))), (2, np.unique(r.integers(0, 1 << 32, 900).astype(np.uint64)) + (np.uint64(7) << np.uint64(32))), (1, np.array([5 << 32], np.uint64))):
+        assert (ngrams.unpacked(kind, 7 if kind == 2 else 5, ngrams.packed(kind, keys)) == keys).all()
+    numbers = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
+    assert (ngrams.expanded(ngrams.squeezed(numbers)) == numbers).all() and not len(ngrams.expanded(ngrams.squeezed(numbers[:0])))
 
 
 def test_filter_has_no_false_negatives():
     r = np.random.default_rng(0)
-    codes, counts = np.unique(r.integers(1, 1 << 63, 5000).astype(np.uint64)), r.geometric(0.1, 5000)
-    level = ngrams.levels(counts[: len(codes)])
-    keys = np.concatenate([ngrams._keys(codes[level >= k], k) for k in range(1, level.max() + 1)])
-    held = np.zeros(len(keys) * ngrams.BITS_PER_KEY // 64, np.uint64)
-    at, bits = ngrams._place(keys, len(held))
-    np.bitwise_or.at(held, at, bits)
+    codes = np.unique(r.integers(1, 1 << 63, 5000).astype(np.uint64))
+    level = ngrams.levels(r.geometric(0.1, len(codes)))
+    held = ngrams.build(codes, level)
     found = ngrams.probe(held, codes)
     assert (found >= level).all() and (found == level).mean() > 0.95
     assert (ngrams.probe(held, r.integers(1, 1 << 63, 5000).astype(np.uint64)) > 0).mean() < 0.05
 
 
+def test_words_in_slices(monkeypatch):
+    texts = [b"One two", b"", b" \t ", b"x" * 50 + b" yy", "é ü".encode()]
+    whole = textcodes.words(texts)
+    for size in (1, 3, 16):
+        monkeypatch.setattr(textcodes, "SLICE", size)
+        assert all(np.array_equal(a, b) if isinstance(a, np.ndarray) else a == b for a, b in zip(whole, textcodes.words(texts), strict=True))
+
+
 def vectors(spark):
     r = np.random.default_rng(2)
     base = r.normal(size=(40, 16))
