@@ -52,7 +52,7 @@ def shingle_sets(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
     out, at = [], 0
     for n in per_text.tolist():
         if n >= width:
-            out.append(np.unique(runs[at : at + n - width + 1]))
+            out.append(textcodes.distinct(runs[at : at + n - width + 1]))
         else:
             out.append(textcodes.sequence_codes(codes[at : at + n], n) if n else runs[:0])
         at += n

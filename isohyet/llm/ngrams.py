@@ -47,8 +47,8 @@ EXACT = 16
 PAIR_MASS = 5.0
 RUN_MASS = 0.5
 LENGTHS = (1, 2, 4, 5)
-SHARD_BYTES = 12 << 20  # of text for each shard, about
-CHUNK_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20  # of text for each shard, about
+CHUNK_BYTES = 4 << 20
 END = int(textcodes.word_codes([b"\x00end-of-text"])[0][0]) ^ 0x0F0F0F0F0F0F0F0F
 _U = np.uint64
 _FOLD = (_U(0xA24BAED4963EE407), _U(0x9FB21C651E98DF25))
@@ -249,7 +249,7 @@ def _sent(chunks: DataFrame, shards: int) -> DataFrame:
                 runs = Runs(_texts_of(sizes, body), np.array(skip), np.array(final), shards)
                 train = runs.counted & ~np.array(held)[runs.owner]
                 for kind, (keys, there) in enumerate(zip(runs.keys, runs.there, strict=True)):
-                    unique = np.unique(keys[there])
+                    unique = textcodes.distinct(keys[there])
                     known, n = np.unique(keys[there & train], return_counts=True)
                     counts = np.zeros(len(unique), np.int64)
                     counts[np.searchsorted(unique, known)] = n

@@ -112,6 +112,12 @@ def chunks(texts: Iterable[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]
         yield held
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def sequence_codes(codes: np.ndarray, width: int) -> np.ndarray:
     """Codes of all runs of ``width`` consecutive words; shorter by ``width - 1``."""
     n = len(codes) - width + 1
