@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import materialise
+from isohyet.llm.common import joined_by_key, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node's larger neighbours are linked to the smallest of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return joined_by_key(both.filter("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    joined = down.join(least, "a")
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    joined = joined_by_key(down, least, "a", "n", total)
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
 
 
@@ -34,10 +34,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, component for every node of the edges (a, b): the smallest node it can reach.
 
     Nodes are non-null longs. Loops and repeated edges do no harm; no edges give no rows.
-    A minimum per node is aggregated before it is joined back, so that a hub's edges are
-    never gathered in one place. Each round is written to the shared folder.
+    A minimum per node is aggregated before it is joined back; to the edges of a hub it is
+    broadcast, so that they are never gathered in one place. Each round is written to the shared folder.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
     while not _stars(now):
-        now = materialise(_small_star(_large_star(now)).filter("a <> b").distinct(), name)
+        total = now.count()
+        now = materialise(_small_star(_large_star(now, total).distinct(), total).filter("a <> b").distinct(), name)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -151,22 +151,19 @@ def _named(kind: int, keys: np.ndarray) -> np.ndarray:
     return textcodes.mix(keys + _U(LENGTHS[kind]))
 
 
-def packed(kind: int, keys: np.ndarray) -> bytes:
-    """Sorted keys of one shard: words whole, other runs as steps of 3 or 4 bytes."""
-    if kind == 0:
-        return keys.tobytes()
-    steps = np.diff(keys & _U(0xFFFFFFFF), prepend=_U(0)).astype("<u4")
-    width = 3 if int(steps.max(initial=0)) < 1 << 24 else 4
-    return bytes([width]) + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted keys of one shard: the first one whole, then steps in as few bytes each as the widest one needs."""
+    steps = np.diff(keys)
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def unpacked(kind: int, shard: int, body: bytes) -> np.ndarray:
-    if kind == 0:
-        return np.frombuffer(body, _U)
-    parts = np.frombuffer(body, np.uint8)[1:].reshape(-1, body[0])
-    steps = np.zeros((len(parts), 4), np.uint8)
-    steps[:, : body[0]] = parts
-    return np.cumsum(steps.view("<u4").ravel().astype(_U)) + (_U(shard) << _U(32))
+def unpacked(body: bytes) -> np.ndarray:
+    parts = np.frombuffer(body, np.uint8)[9:].reshape(-1, body[0])
+    steps = np.zeros((len(parts) + 1, 8), np.uint8)
+    steps[1:, : body[0]] = parts
+    steps[0] = np.frombuffer(body[1:9], np.uint8)
+    return np.cumsum(steps.view("<u8").ravel().astype(_U))
 
 
 def squeezed(numbers: np.ndarray) -> bytes:
@@ -256,7 +253,7 @@ def _sent(chunks: DataFrame, shards: int) -> DataFrame:
                     shard = _shard_of_keys(kind, unique, shards)
                     cuts = np.flatnonzero(np.diff(shard, prepend=-1))
                     spans = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(unique)], strict=True)) if len(unique) else []
-                    columns = ([int(shard[a]) for a, _ in spans], [chunk] * len(spans), [kind] * len(spans), [packed(kind, unique[a:b]) for a, b in spans], [squeezed(counts[a:b]) for a, b in spans])
+                    columns = ([int(shard[a]) for a, _ in spans], [chunk] * len(spans), [kind] * len(spans), [packed(unique[a:b]) for a, b in spans], [squeezed(counts[a:b]) for a, b in spans])
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["shard", "chunk", "kind", "keys", "counts"])
 
@@ -277,7 +274,7 @@ def _answered(sent: DataFrame, broadcast: bool, bits_per_key: int) -> DataFrame:
         found = []
         for kind in range(len(LENGTHS)):
             mine = np.flatnonzero(kinds == kind).tolist()
-            keys = [unpacked(kind, shard, blobs[i].as_py()) for i in mine]
+            keys = [unpacked(blobs[i].as_py()) for i in mine]
             unique, place = np.unique(np.concatenate([np.zeros(0, _U), *keys]), return_inverse=True)
             total = np.bincount(place, weights=np.concatenate([np.zeros(0, np.int64), *(expanded(numbers[i].as_py()) for i in mine)]), minlength=len(unique)).astype(np.int64)
             found.append((mine, [len(x) for x in keys], _named(kind, unique), place, total))

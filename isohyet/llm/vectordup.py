@@ -1,25 +1,31 @@
 """Near duplicates among vectors by an index of pivot permutations.
 
 Reference points (pivots) are drawn from the vectors, at most ``MOST_PIVOTS`` and none
-close to another. A vector is described by its ``NEAREST`` pivots in order; an inverted
-list per pivot holds the vectors that name it. Two vectors are candidates if they share
-at least ``SHARED`` pivots; candidates are verified by their cosine in double precision.
-A pair is judged in the list of its smallest shared pivot only, so no link counts twice.
-
-Equal vectors become one class first. Lists are dealt to chunks of about ``CHUNK``
-classes, and each two chunks of a list meet in one task, which returns one row per class.
+close to another. A vector is described by its ``NEAREST`` pivots in order. Inverted lists
+are kept for ``MET`` pivots together: a vector is on the list of every ``MET`` of its
+``FIRST`` nearest ones, so that a list holds the vectors which all its pivots' lists have
+in common, and shrinks with that power of the number of pivots. Two vectors of a list are
+candidates if they share at least ``SHARED`` of all pivots that describe them; candidates
+are verified by their cosine in double precision. A pair is judged in the first list that
+both are on, so no link counts twice.
+
+Equal vectors become one class first. Lists with one class are left out before any vector
+is sent to a list. Long lists are dealt to chunks of about ``CHUNK`` classes, and each two
+chunks of a list meet in one task, which returns one row per class.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import materialise
+from isohyet.llm.common import joined_by_key, materialise
 from isohyet.llm.components import components
 
 PER_PIVOT = 24  # classes for each pivot, about, until MOST_PIVOTS is reached
@@ -27,8 +33,11 @@ MOST_PIVOTS = 4096
 LEAST_PIVOTS = 16
 CLOSE = 0.8  # of pivots closer than this, only one stays
 NEAREST = 8
-SHARED = 2
-CHUNK = 1024
+FIRST, MET = 6, 3
+SHARED = 4
+CHUNK = 4096
+MET_LISTS = comb(FIRST, MET)
+AT_ONCE = 512  # rows of a chunk whose shared pivots are counted at a time
 LEAST_COSINE = 0.95
 
 
@@ -40,10 +49,11 @@ def usable(vector: Column | str) -> Column:
 
 def _matrix(column: pa.Array, width: int | None = None) -> np.ndarray:
     """Vectors as rows, the shorter ones filled up with zeros."""
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), width or max(map(len, rows), default=1)))
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
+    ends = np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+    sizes = np.diff(ends)
+    out = np.zeros((len(column), width or int(sizes.max(initial=1))))
+    row = np.repeat(np.arange(len(column)), sizes)
+    out[row, np.arange(len(row)) - np.repeat(ends[:-1], sizes)] = column.flatten().to_numpy(zero_copy_only=False)
     return out
 
 
@@ -63,41 +73,60 @@ def _pivots(classes: DataFrame, n: int, width: int) -> np.ndarray:
     return units[kept].astype(np.float32)
 
 
-def _local_components(mask: np.ndarray) -> np.ndarray:
-    """Smallest row reachable by a symmetric mask."""
-    label = np.arange(len(mask))
-    while True:
-        new = np.minimum(label, np.where(mask, label[None, :], len(mask)).min(axis=1))
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
+def _keys(named: np.ndarray) -> np.ndarray:
+    """A number for every ``MET`` of the ``FIRST`` pivots of each row; fewer pivots make one key of all."""
+    first = np.sort(named[:, :FIRST].astype(np.int64), axis=1)
+    picks = np.array(list(combinations(range(first.shape[1]), min(MET, first.shape[1]))))
+    out = np.zeros((len(named), len(picks)), np.int64)
+    for k in range(picks.shape[1]):
+        out = out * MOST_PIVOTS + first[:, picks[:, k]]
+    return out
+
+
+def candidates(named: np.ndarray, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that share at least ``SHARED`` pivots and whose first common list is ``key``, block by block."""
+    width, met = named.shape[1], min(MET, named.shape[1])
+    unique, place = np.unique(named, return_inverse=True)
+    place = place.reshape(named.shape)
+    every, first = np.zeros((2, len(named), len(unique)), np.float32)
+    np.put_along_axis(every, place, 1, axis=1)
+    np.put_along_axis(first, place[:, :FIRST], 1, axis=1)
+    pivots = []
+    for _ in range(met):
+        key, p = divmod(key, MOST_PIVOTS)
+        pivots.append(p)
+    below = first[:, unique < max(pivots)]  # a pair's first list is that of its least common pivots
+    for at in range(0, len(named), AT_ONCE):
+        shared = every[at : at + AT_ONCE] @ every.T >= min(SHARED, width)
+        shared &= below[at : at + AT_ONCE] @ below.T == met - 1
+        i, j = np.nonzero(shared)
+        yield i[i + at < j] + at, j[i + at < j]
 
 
 def _meet(key: tuple, table: pa.Table) -> pa.Table:
-    pivot, left, right = (k.as_py() for k in key)
-    ids = np.array(table["class"].to_pylist(), np.int64)
-    order = np.argsort(ids)
-    table, ids = table.take(pa.array(order)), ids[order]
-    units = _units(_matrix(table["vector"].combine_chunks()))
-    named = np.array(table["pivots"].to_pylist(), np.int32).reshape(len(ids), -1)
-    weight, chunk = np.array(table["n"].to_pylist(), np.int64), np.array(table["chunk"].to_pylist())
-    close = units @ units.T >= LEAST_COSINE
-    np.fill_diagonal(close, False)
-    if left != right:  # pairs inside one chunk meet where that chunk meets itself
-        close &= chunk[:, None] != chunk[None, :]
-    a, b = np.nonzero(np.triu(close))
-    close[:] = False
-    for at in range(0, len(a), 1 << 16):
-        i, j = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
-        same = (named[i][:, :, None] == named[j][:, None, :]).any(axis=2)
-        first = np.where(same, named[i], np.iinfo(np.int32).max).min(axis=1)
-        good = (same.sum(axis=1) >= min(SHARED, named.shape[1])) & (first == pivot)
-        close[i[good], j[good]] = True
-    close |= close.T
-    some = np.flatnonzero(close.any(axis=1))
-    label = _local_components(close[np.ix_(some, some)]) if len(some) else some
-    return pa.table({"class": ids[some], "links": (close[some] @ weight).astype(np.int64), "least": ids[some][label]})
+    pivots, left, right = (k.as_py() for k in key)
+    table = table.sort_by("class").combine_chunks()
+    ids, chunk = table["class"].to_numpy(), table["chunk"].to_numpy()
+    units, weight = _units(_matrix(table["vector"].combine_chunks())), table["n"].to_numpy()
+    named = table["pivots"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+    links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for i, j in candidates(named, pivots):
+        if left != right:  # pairs inside one chunk meet where that chunk meets itself
+            i, j = i[chunk[i] != chunk[j]], j[chunk[i] != chunk[j]]
+        for at in range(0, len(i), 1 << 15):
+            a, b = i[at : at + (1 << 15)], j[at : at + (1 << 15)]
+            good = np.einsum("nd,nd->n", units[a], units[b]) >= LEAST_COSINE
+            a, b = a[good], b[good]
+            np.add.at(links, a, weight[b])
+            np.add.at(links, b, weight[a])
+            while (root[a] != root[b]).any():  # the smaller root wins, until all these pairs agree
+                low = np.minimum(root[a], root[b])
+                np.minimum.at(root, root[a], low)
+                np.minimum.at(root, root[b], low)
+                while (root[root] != root).any():
+                    root = root[root]
+    some = np.flatnonzero(links)
+    return pa.table({"class": ids[some], "links": links[some], "least": ids[root[some]]})
 
 
 def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -128,16 +157,19 @@ def near_duplicate_vectors(vectors: DataFrame, id_column: str = "vec_id", vector
                 cosine = _units(_matrix(batch.slice(at, 4096), p.shape[1])).astype(np.float32) @ p.T
                 top = np.argpartition(-cosine, near.shape[1] - 1, axis=1)[:, : near.shape[1]]
                 near[at : at + 4096] = np.take_along_axis(top, np.argsort(-np.take_along_axis(cosine, top, axis=1), axis=1, kind="stable"), axis=1)
-            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * near.shape[1]), pa.array(near.ravel()))
+            columns = [pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (near, _keys(near))]
+            yield pa.StructArray.from_arrays(columns, ["pivots", "keys"])
 
     describe.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    indexed = materialise(classes.select("class", "n", "vector", F.arrow_udf(describe, "array<int>")("vector").alias("pivots")), "vectordup-index")
-    lists = indexed.select("class", "n", "vector", "pivots", F.explode("pivots").alias("pivot"))
-    lengths = lists.groupBy("pivot").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))  # a row per pivot
-    dealt = lists.join(F.broadcast(lengths), "pivot").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    described = classes.select("class", "n", "vector", F.arrow_udf(describe, "pivots array<int>, keys array<long>")("vector").alias("d"))
+    indexed = materialise(described.select("class", "n", "vector", "d.pivots", "d.keys"), "vectordup-index")
+    listed = indexed.select("class", F.explode("keys").alias("key"))
+    lengths = listed.groupBy("key").agg(F.count("*").alias("length")).filter("length > 1").withColumn("chunks", F.ceil(F.col("length") / CHUNK).cast("int"))
+    met_in = joined_by_key(listed, lengths, "key", "length", n * MET_LISTS).select("class", "key", "chunks")
+    dealt = met_in.join(indexed.select("class", "n", "vector", "pivots"), "class").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     paired = dealt.withColumn("other", other).withColumn("left", F.least("chunk", "other")).withColumn("right", F.greatest("chunk", "other"))
-    met = materialise(paired.select("pivot", "left", "right", "class", "n", "vector", "pivots", "chunk").groupBy("pivot", "left", "right").applyInArrow(_meet, "class long, links long, least long"), "vectordup-met")
+    met = materialise(paired.select("key", "left", "right", "class", "n", "vector", "pivots", "chunk").groupBy("key", "left", "right").applyInArrow(_meet, "class long, links long, least long"), "vectordup-met")
     counted = met.groupBy("class").agg(F.sum("links").alias("links"))
     group = components(met.select(F.col("class").alias("a"), F.col("least").alias("b")))
     label = classes.join(counted, "class", "left").join(group.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("component", "class"))

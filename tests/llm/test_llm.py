@@ -130,8 +130,8 @@ def test_probabilities_never_sum_to_more_than_one():
 
 def test_runs_travel_whole():
     r = np.random.default_rng(5)
-    for kind, keys in ((0, np.unique(r.integers(1, 1 << 62, 900).astype(np.uint64))), (2, np.unique(r.integers(0, 1 << 32, 900).astype(np.uint64)) + (np.uint64(7) << np.uint64(32))), (1, np.array([5 << 32], np.uint64))):
-        assert (ngrams.unpacked(kind, 7 if kind == 2 else 5, ngrams.packed(kind, keys)) == keys).all()
+    for keys in (np.unique(r.integers(1, 1 << 62, 900).astype(np.uint64)), np.unique(r.integers(0, 1 << 32, 900).astype(np.uint64)) + (np.uint64(7) << np.uint64(32)), np.array([0, (1 << 64) - 1], np.uint64), np.array([5 << 32], np.uint64)):
+        assert (ngrams.unpacked(ngrams.packed(keys)) == keys).all()
     numbers = np.array([0, 1, 254, 255, 256, 1 << 40, 3])
     assert (ngrams.expanded(ngrams.squeezed(numbers)) == numbers).all() and not len(ngrams.expanded(ngrams.squeezed(numbers[:0])))
 
@@ -276,3 +276,32 @@ def test_held_out_accuracy(spark):
     assert [odd[k] for k in (300, 301, 302, 305)] == ["und"] * 4 and odd[303] == "en"
     assert quality.score_quality(odd_docs(spark), labels.limit(0)).filter("quality_score = 0.5").count() == odd_docs(spark).count()
     assert langid.identify(empty(spark)).count() == 0 and quality.score_quality(empty(spark), labels).count() == 0
+
+
+def test_recall_of_pivots(spark):
+    """Groups of turned copies at all angles around the threshold, among vectors that link with nothing."""
+    r = np.random.default_rng(12)
+    base = r.normal(size=(3000, 32))
+    near = np.repeat(base[:150], 4, axis=0) + r.normal(size=(600, 32)) * r.uniform(0.05, 0.25, 600)[:, None]
+    every = np.concatenate([base, near])
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    close = (unit @ unit.T >= 0.95) & ~np.eye(len(unit), dtype=bool)
+    got = vectordup.near_duplicate_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(every)], "vec_id long, embedding array<double>")).collect()
+    found = {x.vec_id: x.n_links for x in got}
+    assert close.sum() > 1500 and all(found[k] <= n for k, n in enumerate(close.sum(axis=1)))
+    assert sum(found.values()) >= 0.97 * close.sum()
+
+
+def test_candidates_share_pivots():
+    r = np.random.default_rng(1)
+    named = np.stack([r.permutation(12)[:8] for _ in range(60)]).astype(np.int32)
+    keys = vectordup._keys(named)
+    seen = set()
+    for key in np.unique(keys).tolist():
+        mine = np.flatnonzero((keys == key).any(axis=1))
+        for i, j in vectordup.candidates(named[mine], key):
+            pairs = set(zip(mine[i].tolist(), mine[j].tolist(), strict=True))
+            assert not pairs & seen
+            seen |= pairs
+    shared = lambda a, b, n: len(set(named[a, :n].tolist()) & set(named[b, :n].tolist()))
+    assert seen == {(a, b) for a in range(60) for b in range(a + 1, 60) if shared(a, b, 6) >= 3 and shared(a, b, 8) >= 4}
