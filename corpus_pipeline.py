@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.llm import langid, mixing, neardup, pieces, quality
-from isohyet.llm.common import materialise, table
+from isohyet.llm.common import free_name, materialise, table
 
 #: Less than a majority of the network's probability for its best language rejects a document. Of held-out labelled
 #: documents with a letter, the score's 0.001 quantile is 0.519 at sf0.1 (2,499 of them) and its 0.01 quantile 0.716 at sf0.01 (249).
@@ -18,30 +18,49 @@ ORACLE_SQL = None  # trained models, minwise hashing and the tokenizer are beyon
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter or any text go, and those of which the network is unsure."""
-    told = langid.identify(docs)
-    known = F.col("lang_pred") != langid.UNKNOWN
-    return told.filter(known & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    """Documents without a letter or any text (null, empty) go, and those of which the network is unsure.
+
+    Repeated rows are judged alike and null ids kept; an empty table stays empty; further columns are kept, whatever their names.
+    """
+    lang, score = (F.col(free_name(docs, c)) for c in ("lang_pred", "lang_score"))
+    told = langid.identify(docs).filter((lang != langid.UNKNOWN) & (score >= LEAST_LANGUAGE_SCORE))
+    return told.select(*[f"`{c}`" for c in docs.columns])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below one half go."""
+    """Documents whose score is below one half go; a score of one half, as without any label, stays.
+
+    Null and empty texts are scored as empty ones. Repeated rows are judged alike and null ids kept; an
+    empty table stays empty; further columns are kept, whatever their names.
+    """
     scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
-    return scored.filter("quality_score >= 0.5").select(*docs.columns)
+    return scored.filter(F.col(free_name(docs, "quality_score")) >= 0.5).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id stays, once."""
+    """Of each group of near duplicates, the document with the smallest id stays, once.
+
+    Texts without words (null, empty) are in no group: they stay, once for each id. A group without
+    any id keeps one row. An empty table stays empty; further columns are kept, whatever their names.
+    """
     return neardup.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that sources come near their target weights."""
+    """Documents are repeated or left out so that sources come near their target weights.
+
+    Null and empty texts have no words to take and go. Null sources are one source; rows of one id share
+    its copies; an empty table stays empty; further columns are kept, whatever their names.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, as counts and digests."""
+    """Ids of every document, as counts and digests: one row per row.
+
+    A null or empty text has the begin and end ids alone; repeated rows are each encoded, null ids
+    kept; an empty table gives no rows; further columns are not read.
+    """
     import public_tokenizers
 
     return pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"), digest=True)

@@ -52,6 +52,14 @@ def joined_by_key(rows: DataFrame, sums: DataFrame, key: str, n: str, total: int
     return rows.join(broadcast, key).unionByName(others)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or if ``df`` has such a column the name with as many underscores behind it as make it new."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def remainder(key: Column | str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; null for a null id."""
     key = F.col(key) if isinstance(key, str) else key

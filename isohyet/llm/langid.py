@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm import textcodes
-from isohyet.llm.common import remainder
+from isohyet.llm.common import free_name, remainder
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -160,7 +160,8 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     ``und`` with score 0 where the text is null or empty or has no letter, or where no labelled row
     could be learned from. Texts are read whole, in windows. Repeated rows get equal
-    predictions; an empty table gives no rows. Only the text enters a prediction.
+    predictions; an empty table gives no rows. Only the text enters a prediction. Of equally likely
+    languages the first by name is told. If ``docs`` has columns of these names, the new ones get free names (``common.free_name``).
     """
     network = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))  # a few thousand numbers
 
@@ -173,10 +174,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             yield pa.StructArray.from_arrays([pa.array(names[which], pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
     work.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    told = docs.withColumn("lang_told", F.arrow_udf(work, "lang string, score double")(F.col("text")))
+    held, lang, score = (free_name(docs, c) for c in ("lang_told", "lang_pred", "lang_score"))
+    told = docs.withColumn(held, F.arrow_udf(work, "lang string, score double")(F.col("text")))
     known = has_letter("text")
     return told.select(
-        *[docs[c] for c in docs.columns],
-        F.when(known, F.col("lang_told.lang")).otherwise(UNKNOWN).alias("lang_pred"),
-        F.when(known, F.col("lang_told.score")).otherwise(0.0).alias("lang_score"),
+        *[F.col(f"`{c}`") for c in docs.columns],
+        F.when(known, F.col(held).lang).otherwise(UNKNOWN).alias(lang),
+        F.when(known, F.col(held).score).otherwise(0.0).alias(score),
     )

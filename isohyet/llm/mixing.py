@@ -121,13 +121,21 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: float = 2.
 
 
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, each repeated as often as ``mix`` takes it.
+    """The rows of ``docs``, each repeated as often as ``mix`` takes it; all columns as they are, whatever their names.
 
     Rows with one doc_id (null included) share the copies that ``mix`` gives them evenly,
-    the first ones by text getting what is left over.
+    the first ones by bucket and text getting what is left over. Null and empty texts take no words and go. An
+    empty table gives no rows. Rows of a repeated id are ranked in buckets of about ``CHUNK`` rows, by
+    the hash of their text, so that no id is sorted as a whole; equal rows share a bucket.
     """
-    plan = mix(docs, **parameters).groupBy(F.col("doc_id").alias("m_id")).agg(F.sum("copies").alias("m_copies"), F.count("*").alias("m_rows"))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    joined = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("m_id"))).withColumn("m_nth", nth)
-    times = F.floor(F.col("m_copies") / F.col("m_rows")) + (F.col("m_nth") <= F.col("m_copies") % F.col("m_rows")).cast("int")
-    return joined.withColumn("m_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[docs[c] for c in docs.columns])
+    plan = materialise(mix(docs, **parameters).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-plan")
+    carried = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    planned = carried.join(plan.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id"))).drop("doc_id")
+    bucket = F.pmod("hash", F.ceil(F.col("rows") / CHUNK))
+    repeated = planned.filter("rows > 1").withColumn("bucket", bucket)
+    before = Window.partitionBy("id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = repeated.groupBy("id", "bucket").agg(F.count("*").alias("n")).select(F.col("id").alias("of"), F.col("bucket").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    ranked = repeated.withColumn("nth", F.row_number().over(Window.partitionBy("id", "bucket").orderBy("row.text"))).join(sizes, F.col("id").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
+    share = F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") + F.col("offset") <= F.col("copies") % F.col("rows")).cast("int")
+    each = planned.filter("rows = 1").select("row", "copies").unionByName(ranked.select("row", share.alias("copies")))
+    return each.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm import textcodes
-from isohyet.llm.common import materialise
+from isohyet.llm.common import free_name, joined_by_key, materialise
 from isohyet.llm.components import components
 
 SHINGLE = 5
@@ -213,6 +213,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = classes.select("class", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = materialise(keyed.join(shared, "key"), "neardup-buckets")
+    in_buckets = buckets.count()
     packed_a = classes.select(F.col("class").alias("a"), F.col("packed").alias("packed_a"))
     packed_b = classes.select(F.col("class").alias("b"), F.col("packed").alias("packed_b"))
     wanted = buckets.select("class").distinct().join(classes.select("class", "example"), "class").select("class", F.col("example.doc_id").alias("w_id"), F.col("example.text_hash").alias("w_hash"))
@@ -224,8 +225,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         """Rows of the buckets that hold more than one component, with their smallest class and its component."""
         ends = [F.min("class").alias("low"), F.min_by("label", "class").alias("low_label")]
         labelled = rows.select("key", "class").join(members, "class")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), *ends).filter("l < h").drop("l", "h")
-        return labelled.join(mixed, "key")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n"), *ends).filter("l < h").drop("l", "h")
+        return joined_by_key(labelled, mixed, "key", "n", in_buckets).drop("n")
 
     def extended(pairs: DataFrame, name: str) -> None:
         """Confirm the pairs (a, b) of components (x, y) that are new, and join the components of those that link."""
@@ -273,12 +274,13 @@ def representatives(docs: DataFrame) -> DataFrame:
     Rows without shingles are in no group and all stay, unless they repeat an id and a text.
     """
     told = near_duplicates(docs)
+    s_id, s_hash, n = (free_name(docs, c) for c in ("s_id", "s_hash", "count"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first")
     grouped = told.filter("n_shingles > 0").groupBy("group_id").agg(first).select("first.doc_id", "first.text_hash")
     stays = grouped.union(told.filter("n_shingles = 0").select("doc_id", "text_hash").distinct())
-    copies = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).count().filter("count > 1")
-    key = [F.col("doc_id").cast("long").eqNullSafe(F.col("s_id")), F.xxhash64("text") == F.col("s_hash")]
-    kept = docs.join(stays.select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash")), key, "left_semi")
+    copies = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).agg(F.count("*").alias(n)).filter(F.col(n) > 1)
+    key = [F.col("doc_id").cast("long").eqNullSafe(F.col(s_id)), F.xxhash64("text") == F.col(s_hash)]
+    kept = docs.join(stays.select(F.col("doc_id").alias(s_id), F.col("text_hash").alias(s_hash)), key, "left_semi")
     if copies.limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept

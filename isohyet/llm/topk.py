@@ -37,11 +37,11 @@ def quantised(vector: str) -> F.Column:
     return F.when(usable(vector), F.transform(F.col(vector), lambda x: F.floor(x.cast("double") * 256).cast("long")))
 
 
-def _stack(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
-    rows = column.to_pylist()
-    out = np.zeros((len(rows), width), np.int64)
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
+def _stack(column: pa.Array, width: int) -> np.ndarray:
+    ends = np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+    out = np.zeros((len(column), width), np.int64)
+    row = np.repeat(np.arange(len(column)), np.diff(ends))
+    out[row, np.arange(len(row)) - np.repeat(ends[:-1], np.diff(ends))] = column.flatten().to_numpy()
     return out
 
 

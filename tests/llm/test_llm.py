@@ -305,3 +305,46 @@ def test_candidates_share_pivots():
             seen |= pairs
     shared = lambda a, b, n: len(set(named[a, :n].tolist()) & set(named[b, :n].tolist()))
     assert seen == {(a, b) for a in range(60) for b in range(a + 1, 60) if shared(a, b, 6) >= 3 and shared(a, b, 8) >= 4}
+
+
+def test_voting_against_brute_force(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, labels)
+    texts = [(r.text or "").encode() for r in docs.limit(150).collect()] + [b"", b"word " * 1000]
+    got = model.scores(texts)
+    for text, score in zip(texts, got, strict=True):
+        x = model.latent(*quality.features([text]))[0].astype(float)
+        near = sorted(((-float(np.dot(x, k)), y) for k, y in zip(model.known.astype(float), model.labels, strict=True)))[: quality.NEIGHBOURS]
+        votes = [(((1 - d) / 2) ** quality.POWER, y) for d, y in near]
+        assert math.isclose(score, sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs_tol=0.02)
+    whole, parts = quality._pairs([b"ab, c " * 1000]), None
+    keep, quality.SLICE = quality.SLICE, 777
+    try:
+        parts = quality._pairs([b"ab, c " * 1000])
+    finally:
+        quality.SLICE = keep
+    assert (whole == parts).all()
+
+
+def test_names_that_clash(spark):
+    """Columns named like the operators' own are kept as they are."""
+    names = ["quality_score", "lang_pred", "lang_score", "lang_told", "m_id", "s_id", "s_hash", "count", "row", "copies", "rows", "id", "hash", "nth", "bucket", "n", "class", "key"]
+    odd = odd_docs(spark).select("doc_id", "text", "lang", "source", *[F.lit(f"own {c}").alias(c) for c in names])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    for stage in (lambda d: quality.score_quality(d, labels), langid.identify, neardup.representatives, mixing.mixed_documents):
+        for rows in (odd, odd.limit(0)):
+            out = stage(rows)
+            assert out.columns[: len(rows.columns)] == rows.columns
+            kept = out.collect()
+            assert all(r[c] == f"own {c}" for r in kept for c in names) and bool(kept) == (rows is odd)
+    assert sum(r.n for r in mixing.mix(odd).groupBy().agg(F.sum("copies").alias("n")).collect()) == mixing.mixed_documents(odd).count()
+    stays = pytest.importorskip("corpus_pipeline").identify_language(spark, odd, SF)
+    assert stays.columns == odd.columns and stays.filter("lang_pred <> 'own lang_pred'").count() == 0
+
+
+def test_mixing_shares_copies_of_one_id(spark):
+    docs = spark.createDataFrame([(None, f"word {k} of many" + " more" * (k % 7), "a") for k in range(900)] + [(7, "same text here", "b")] * 40 + [(8, None, "b"), (9, "", None)], "doc_id long, text string, source string")
+    plan = {r.doc_id: r.n for r in mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()}
+    got = Counter(r.doc_id for r in mixing.mixed_documents(docs).collect())
+    assert got == Counter({k: n for k, n in plan.items() if n})
