@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # First days after a leap second, from 1993 on.
-LEAPS = (date(1993, 7, 1), date(1994, 7, 1), date(1996, 1, 1), date(1997, 7, 1), date(1999, 1, 1), date(2006, 1, 1), date(2009, 1, 1), date(2012, 7, 1))
+LEAPS = (date(1993, 7, 1), date(1994, 7, 1), date(1996, 1, 1), date(1997, 7, 1), date(1999, 1, 1), date(2006, 1, 1), date(2009, 1, 1), date(2012, 7, 1), date(2015, 7, 1), date(2017, 1, 1))
 EPOCH = int(datetime(1993, 1, 1, tzinfo=UTC).timestamp())
 
 
@@ -23,6 +23,31 @@ def from_packed_hour(packed: Column) -> Column:
     return F.make_timestamp(part(1000000, 10000), part(10000, 100), part(100, 100), part(1, 100), F.lit(0), F.lit(0))
 
 
+def formatted(ts: Column) -> dict[str, Column]:
+    """A time as ``plain`` (yyyy-mm-dd hh:mm:ss), ``packed`` (yyyymmddhhmmss), ``stamp`` (yyyymmdd-hhmmss.000) and ``grads`` (hhZddmonyyyy, or hh:mmZddmonyyyy)."""
+    return {
+        "plain": F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), "packed": F.date_format(ts, "yyyyMMddHHmmss"),
+        "stamp": F.concat(F.date_format(ts, "yyyyMMdd-HHmmss"), F.lit(".000")), "grads": F.concat(F.when(F.minute(ts) == 0, F.date_format(ts, "HH")).otherwise(F.date_format(ts, "HH:mm")), F.lit("Z"), F.lower(F.date_format(ts, "ddMMMyyyy"))),
+    }
+
+
+def boundary_times(time: Column, length: int, cycle: int, step: int, reference: Column, single_file: bool = False) -> dict[str, Column]:
+    """Boundary files of a forecast from ``time`` over ``length`` seconds: when the parent run and the first boundary step began, steps
+    skipped and taken from a file, and the files' times. All times are seconds; the parent starts every ``cycle`` seconds with one at ``reference`` and writes every ``step``."""
+    if cycle % step:
+        raise ValueError("a parent cycle must be a whole number of steps")
+    parent = reference + F.floor((time - reference) / cycle) * cycle
+    skip = F.floor((time - parent) / step)
+    first = parent + skip * step
+    steps = F.lit((length - 1) // step + 2)
+    late = (first != time) & (first + (steps - 1) * step < time + length)
+    total = steps + skip + F.when(late, 1).otherwise(0)
+    per_file = total if single_file else F.lit(cycle // step)
+    files = F.greatest(F.ceil(total / per_file), F.lit(1))
+    times = F.transform(F.sequence(F.lit(0).cast("long"), files - 1), lambda k: parent + k * cycle)
+    return {"parent_start": parent, "first_step": first, "skipped": skip, "steps": F.when(files == 1, total).otherwise(per_file), "files": files, "times": times}
+
+
 def month_days(ts: Column) -> Column:
     return F.dayofmonth(F.last_day(ts))
 

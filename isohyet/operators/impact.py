@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def by_region(impact: DataFrame, bound: float = 20.0) -> DataFrame:
+    """(typ, region, elm, n_obs, total, percent_negative) of impacts with ``lat``: by type, region and element, and by type alone (region and element null).
+
+    Regions are NH above ``bound`` degrees, SH below -``bound``, TR between, bounds included.
+    """
+    region = F.when(F.col("lat") > bound, "NH").when(F.col("lat") < -bound, "SH").otherwise("TR")
+    sums = (F.count("*").alias("n_obs"), F.sum("impact").alias("total"), (100 * F.avg(F.when(F.col("impact") < 0, 1.0).otherwise(0.0))).alias("percent_negative"))
+    named = impact.withColumn("region", region)
+    parts, none = named.groupBy("typ", "region", "elm").agg(*sums), F.lit(None)
+    return parts.unionByName(named.groupBy("typ").agg(*sums).select("typ", none.cast("string").alias("region"), none.cast("int").alias("elm"), "n_obs", "total", "percent_negative"))
+
+
 def observation_impact(local: DataFrame, forecast: DataFrame, error: DataFrame, analysed: DataFrame, dep: DataFrame) -> DataFrame:
     """(obs_id, impact): departure times the sensitivity of the error norm to the observation.
 

@@ -11,9 +11,11 @@ from isohyet.operators.kernels import PRIOR_SD
 from isohyet.operators.localization import local_observations
 
 
-def adapted(local: DataFrame, dep: DataFrame, inflation: float) -> DataFrame:
+def adapted(local: DataFrame, dep: DataFrame, inflation: float | DataFrame) -> DataFrame:
     """(gi, gj, infl) after one adaptive update from the local observations of a point; without any, as before.
 
+    ``inflation`` is one number, or that of each point (gi, gj, infl) as the cycle before left it.
+
     ``local`` holds (gi, gj, obs_id, rloc, rdiag), ``dep`` (obs_id, dep, hx_sprd). Sums only: no member leaves its row.
     """
     seen = local.join(dep.select("obs_id", "dep", "hx_sprd"), "obs_id", "left")
@@ -22,7 +24,9 @@ def adapted(local: DataFrame, dep: DataFrame, inflation: float) -> DataFrame:
         F.sum(F.col("hx_sprd") * F.col("hx_sprd") / F.col("rdiag")).alias("p2"),
         F.sum("rloc").alias("p3"),
     )
-    prior = F.lit(inflation)
+    prior = F.lit(inflation) if isinstance(inflation, float | int) else F.col("prior")
+    if not isinstance(inflation, float | int):
+        sums = sums.join(inflation.select("gi", "gj", F.col("infl").alias("prior")), ["gi", "gj"])
     spread = 2 / F.col("p3") * F.pow((prior * F.col("p2") + F.col("p3")) / F.col("p2"), F.lit(2.0))
     step = PRIOR_SD**2 / (spread + PRIOR_SD**2) * ((F.col("p1") - F.col("p3")) / F.col("p2") - prior)
     return sums.select("gi", "gj", F.when((F.col("p2") > 0) & (F.col("p3") > 0), prior + step).otherwise(prior).alias("infl"))

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.functions import codes
 
-HPA_LEVEL = tuple(codes.ID[n] for n in ("U", "V", "T", "Tv", "Q", "RH", "TCP"))
+HPA_LEVEL = tuple(codes.ID[n] for n in ("U", "V", "T", "Tv", "Q", "RH", "TCP", "TCX", "TCY"))
 
 
-def to_si(obs: DataFrame) -> DataFrame:
-    """Levels of upper-air elements to Pa, PS values and errors to Pa, RH to a fraction."""
-    return _scaled(obs, 100.0, 0.01)
+def to_si(obs: DataFrame, cyclone_errors: Mapping[str, float] | None = None, project: Callable[[Column, Column], tuple[Column, Column]] | None = None) -> DataFrame:
+    """Levels of upper-air and cyclone elements to Pa, values of PS and TCP to Pa, RH to a fraction, with their errors.
+
+    Cyclone elements have the errors of ``cyclone_errors`` (by name: TCP, TCX, TCY) where given; ``project`` turns (lon, lat) to
+    the place (x, y) that is the value of TCX and TCY.
+    """
+    out = _scaled(obs, 100.0, 0.01)
+    for name, error in (cyclone_errors or {}).items():
+        out = out.withColumn("err", F.when(F.col("elm") == codes.ID[name], error).otherwise(F.col("err")))
+    if project is not None:
+        x, y = project(F.col("lon"), F.col("lat"))
+        out = out.withColumn("dat", F.when(F.col("elm") == codes.ID["TCX"], x).when(F.col("elm") == codes.ID["TCY"], y).otherwise(F.col("dat")))
+    return out
 
 
 def from_si(obs: DataFrame) -> DataFrame:
@@ -23,7 +33,7 @@ def from_si(obs: DataFrame) -> DataFrame:
 
 def _scaled(obs: DataFrame, pressure: float, humidity: float) -> DataFrame:
     elm = F.col("elm")
-    factor = F.when(elm == codes.ID["PS"], pressure).when(elm == codes.ID["RH"], humidity).otherwise(1.0)
+    factor = F.when(elm.isin(codes.ID["PS"], codes.ID["TCP"]), pressure).when(elm == codes.ID["RH"], humidity).otherwise(1.0)
     level = F.when(elm.isin(*HPA_LEVEL), pressure).otherwise(1.0)
     return obs.withColumns({"lev": F.col("lev") * level, "dat": F.col("dat") * factor, "err": F.col("err") * factor})
 
@@ -70,6 +80,11 @@ def departure_stats(dep: DataFrame) -> DataFrame:
     )
 
 
+def within(dep: DataFrame, seconds: float) -> DataFrame:
+    """Departures of observations within ``seconds`` of the analysis; all of them if that is not positive."""
+    return dep.filter(F.abs("dif") <= seconds) if seconds > 0 else dep
+
+
 def ordered_codes(obs: DataFrame, rules: Sequence[tuple[int, Column]]) -> DataFrame:
     """qc by the first rule that holds, for rows without a code so far; a condition that is null does not hold."""
     code = F.when(F.col("qc") != codes.GOOD, F.col("qc"))

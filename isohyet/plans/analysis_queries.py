@@ -20,7 +20,7 @@ def _one(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Packed points with at most one observation each, for which closed forms exist."""
     dep, hx = _departures(spark, sf_dir)
     grid = fx.ensemble(spark, sf_dir)
-    points = grid.select("gi", "gj").distinct().withColumn("want", (F.col("gi") + 25 * F.col("gj")) % 400)
+    points = grid.select("gi", "gj").distinct().withColumn("want", F.col("gi") + 25 * F.col("gj"))
     good = dep.filter("qc = 0").select("obs_id", (F.col("err") * F.col("err")).alias("rdiag"))
     local = points.join(good, points.want == good.obs_id, "left").select("gi", "gj", "obs_id", "rdiag")
     return kernels.packed_points(grid, local, hx, dep), grid
@@ -31,9 +31,9 @@ CLOSED = ONE[: ONE.rindex("select x.gi")]
 
 
 @register(CLOSED + f""", v as (select gi, gj, sum(power(x - xm, 2)) xx from x group by 1, 2),
-f as (select s.gi, s.gj, 0.95 * sqrt(v.xx * {RHO} / (({RHO} / 19 * v.xx + (1 / s.lam - {RHO} / 19) * a.xy * a.xy / s.yy) * 19)) - 0.95 + 1 f from s join v using (gi, gj) join a using (gi, gj))
+f as (select s.gi, s.gj, 0.95 * sqrt(v.xx * {RHO} / (({RHO} / 63 * v.xx + (1 / s.lam - {RHO} / 63) * a.xy * a.xy / s.yy) * 63)) - 0.95 + 1 f from s join v using (gi, gj) join a using (gi, gj))
 select x.gi, x.gj, x.mem, round(case when s.lam is null then x.xm + sqrt({RHO}) * (x.x - x.xm)
-  else x.xm + f.f * (sqrt({RHO}) * (x.x - x.xm) + a.xy * (sqrt(19 / s.lam) - sqrt({RHO})) * y.y / s.yy) + a.xy * s.d / (s.r * s.lam) end, 5) xa
+  else x.xm + f.f * (sqrt({RHO}) * (x.x - x.xm) + a.xy * (sqrt(63 / s.lam) - sqrt({RHO})) * y.y / s.yy) + a.xy * s.d / (s.r * s.lam) end, 5) xa
 from x left join y using (gi, gj, mem) left join s using (gi, gj) left join a using (gi, gj) left join f using (gi, gj)""")
 def letkf_rtps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relaxation to the prior spread, by one observation."""
@@ -41,7 +41,7 @@ def letkf_rtps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(CLOSED + f"""select x.gi, x.gj, x.mem, round(0.2 * (case when s.lam is null then sqrt({RHO}) * (x.x - x.xm)
-  else sqrt({RHO}) * (x.x - x.xm) + a.xy * (sqrt(19 / s.lam) - sqrt({RHO})) * y.y / s.yy end) + 0.8 * sqrt({RHO}) * (x.x - x.xm) + x.xm + coalesce(a.xy * s.d / (s.r * s.lam), 0), 5) xa
+  else sqrt({RHO}) * (x.x - x.xm) + a.xy * (sqrt(63 / s.lam) - sqrt({RHO})) * y.y / s.yy end) + 0.8 * sqrt({RHO}) * (x.x - x.xm) + x.xm + coalesce(a.xy * s.d / (s.r * s.lam), 0), 5) xa
 from x left join y using (gi, gj, mem) left join s using (gi, gj) left join a using (gi, gj)""")
 def letkf_rtpp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relaxation to prior perturbations, by one observation."""
@@ -49,11 +49,11 @@ def letkf_rtpp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(CLOSED + f"""select x.gi, x.gj, x.mem, round(x.x * (1 - w) + w * (x.xm + case when s.lam is null then sqrt({RHO}) * (x.x - x.xm)
-  else sqrt({RHO}) * (x.x - x.xm) + a.xy * (s.d / (s.r * s.lam) + (sqrt(19 / s.lam) - sqrt({RHO})) * y.y / s.yy) end), 5) xa
-from (select *, least(1, greatest(0, least(least(gi, 26 - gi) * 2, least(gj, 21 - gj) * 2) / cast(9 as double))) w from x) x left join y using (gi, gj, mem) left join s using (gi, gj) left join a using (gi, gj)""")
+  else sqrt({RHO}) * (x.x - x.xm) + a.xy * (s.d / (s.r * s.lam) + (sqrt(63 / s.lam) - sqrt({RHO})) * y.y / s.yy) end), 5) xa
+from (select *, least(1, greatest(0, least(least(gi, 26 - gi) * 2, least(gj, {fx.ROWS} + 1 - gj) * 2) / cast(9 as double))) w from x) x left join y using (gi, gj, mem) left join s using (gi, gj) left join a using (gi, gj)""")
 def boundary_taper(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The update tapered towards the domain's edge."""
-    beta = physics.boundary_taper(F.col("gi"), F.col("gj"), fx.NX, fx.NY, 2.0, 2.0, 9.0)
+    beta = physics.boundary_taper(F.col("gi"), F.col("gj"), fx.NX, fx.rows(spark, sf_dir), 2.0, 2.0, 9.0)
     return rounded(kernels.analysis(_one(spark, sf_dir)[0].withColumn("beta", beta), INFLATION), 5)
 
 
@@ -74,7 +74,7 @@ def letkf_no_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(CLOSED + """, v as (select gi, gj, sum(power(x - xm, 2)) xx from x group by 1, 2)
-select v.gi, v.gj, round(sqrt((v.xx - coalesce(a.xy * a.xy / (19 * s.r + s.yy), 0)) / 19), 6) sprd from v left join s using (gi, gj) left join a using (gi, gj)""")
+select v.gi, v.gj, round(sqrt((v.xx - coalesce(a.xy * a.xy / (63 * s.r + s.yy), 0)) / 63), 6) sprd from v left join s using (gi, gj) left join a using (gi, gj)""")
 def etkf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread after a one-sided transform; it does not depend on the order or sign of eigenvectors."""
     return rounded(kernels.one_sided_spread(_one(spark, sf_dir)[0]))
@@ -106,8 +106,8 @@ def lekf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(OBS + CODED + HX + f""", y as (select h.obs_id, h.mem, s.hx_mean, h.hx - s.hx_mean y, d.dep, d.err * d.err r from hx h join st s using (obs_id) join dep d using (obs_id) where d.qc = 0),
-l as (select obs_id, sum(y * y) yy, 19 / {RHO} + sum(y * y) / max(r) lam from y group by 1)
-select obs_id, mem, round(hx_mean + y * sqrt(19 / lam) + yy * dep / (r * lam), 5) xa from y join l using (obs_id)""")
+l as (select obs_id, sum(y * y) yy, 63 / {RHO} + sum(y * y) / max(r) lam from y group by 1)
+select obs_id, mem, round(hx_mean + y * sqrt(63 / lam) + yy * dep / (r * lam), 5) xa from y join l using (obs_id)""")
 def letkf_obs_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simulated observations after an update by the observation itself."""
     dep, hx = _departures(spark, sf_dir)
@@ -116,12 +116,12 @@ def letkf_obs_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(kernels.at_observations(used, own, dep, INFLATION), 5)
 
 
-@register(OBS + CODED + HX + """, z as (select e.gi, e.gj, e.mem, e.x, h.hx, o.dep, o.err from ens e join dep o on o.obs_id = (e.gi + 25 * e.gj) % 400 and o.qc = 0 join hx h on h.obs_id = o.obs_id and h.mem = e.mem)
+@register(OBS + CODED + HX + """, z as (select e.gi, e.gj, e.mem, e.x, h.hx, o.dep, o.err from ens e join dep o on o.obs_id = (e.gi + 25 * e.gj) and o.qc = 0 join hx h on h.obs_id = o.obs_id and h.mem = e.mem)
 select gi, gj, round(0.25 * covar_samp(x, hx) / (1.25 * var_samp(hx) + max(err * err)), 6) gain from z group by 1, 2""")
 def enkf_bias_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gain of a bias ensemble; here the bias perturbations are half those of the state."""
     dep, hx = _departures(spark, sf_dir)
-    grid = fx.ensemble(spark, sf_dir).withColumn("obs_id", ((F.col("gi") + 25 * F.col("gj")) % 400).cast("long"))
+    grid = fx.ensemble(spark, sf_dir).withColumn("obs_id", (F.col("gi") + 25 * F.col("gj")).cast("long"))
     z = grid.join(dep.filter("qc = 0").select("obs_id", "err"), "obs_id").join(hx, ["obs_id", "mem"]).withColumns({"b": F.col("x") / 2, "hb": F.col("hx") / 2})
     gain = F.covar_samp("b", "hb") / (F.var_samp("hb") + F.var_samp("hx") + F.max(F.col("err") * F.col("err")))
     return z.groupBy("gi", "gj").agg(F.round(gain, 6).alias("gain"))
@@ -134,11 +134,11 @@ def letkf_adaptive_infl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inflation.adapted(local, dep, INFLATION))
 
 
-ORDER = [m * 7 % 20 + 1 for m in range(20)]
+ORDER = [m * 7 % 64 + 1 for m in range(64)]
 
 
 @register(LOCAL + """, r as (select gi, gj, coalesce(max(rloc), 0) w from loc group by 1, 2), m as (select gi, gj, avg(x) xm from ens group by 1, 2)
-select e.gi, e.gj, e.mem, round(e.x + (s.x - m.xm) * 0.1e0 * r.w * m.xm, 5) x from ens e join ens s on s.gi = e.gi and s.gj = e.gj and s.mem = (e.mem - 1) * 7 % 20 + 1
+select e.gi, e.gj, e.mem, round(e.x + (s.x - m.xm) * 0.1e0 * r.w * m.xm, 5) x from ens e join ens s on s.gi = e.gi and s.gj = e.gj and s.mem = (e.mem - 1) * 7 % 64 + 1
   join m on m.gi = e.gi and m.gj = e.gj join r on r.gi = e.gi and r.gj = e.gj""")
 def additive_infl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shuffled perturbations added near observations, relative to the mean."""
@@ -152,7 +152,7 @@ def additive_infl(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(LOCAL + """, m as (select gi, gj, mem, x - avg(x) over (partition by gi, gj) xp, avg(x) over (partition by gi, gj) - 50 e from ens),
 y as (select obs_id, mem, hx - avg(hx) over (partition by obs_id) y from hx),
 f as (select l.obs_id, m.mem, sum(l.rloc * m.xp * m.e) f from loc l join m using (gi, gj) where l.obs_id is not null group by 1, 2)
-select f.obs_id, round(sum(f.f * y.y) / max(d.err * d.err) / 38 * max(d.dep), 5) impact from f join y using (obs_id, mem) join dep d using (obs_id) group by 1""")
+select f.obs_id, round(sum(f.f * y.y) / max(d.err * d.err) / 126 * max(d.dep), 5) impact from f join y using (obs_id, mem) join dep d using (obs_id) group by 1""")
 def observation_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     local, dep, hx, grid = _local(spark, sf_dir)
     error = grid.groupBy("gi", "gj").agg((F.avg("x") - 50).alias("e"))
@@ -172,7 +172,7 @@ n as (select * from d where h <= 3.651483717 and v <= 3.651483717 and h * h + v
 select pt.gi, pt.gj, pt.k, n.obs_id, round(h * h + v * v, 6) nd2, round(weight * exp(-0.5 * (h * h + v * v)), 6) rloc from pt left join n using (gi, gj, k)""")
 def local_obs_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights in three dimensions, by type's lengths and by class weights, a weight of 0 keeping a class out."""
-    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.NY, fx.FIRST_SLOT, fx.LAST_SLOT).filter("qc = 0")
+    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.rows(spark, sf_dir), fx.FIRST_SLOT, fx.LAST_SLOT).filter("qc = 0")
     obs = coded.select("*", *map(F.expr, _columns(KINDS))).withColumn("dat", F.when(F.col("elm") == codes.ID["PS"], F.col("dat") * 200 + 1).otherwise(F.col("dat")))
     points = fx.ensemble(spark, sf_dir).select("gi", "gj").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3))))
     points = points.withColumns({"p": 100000 * F.exp(-F.col("k") / 8), "z": 1000.0 * F.col("k")})
@@ -188,7 +188,7 @@ def _columns(sql: str) -> list[str]:
 select obs_id, max(qc) qc from m group by 1""")
 def qc_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes in their order for each of four members, then the largest of the members."""
-    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.NY, fx.FIRST_SLOT, fx.LAST_SLOT)
+    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.rows(spark, sf_dir), fx.FIRST_SLOT, fx.LAST_SLOT)
     members = coded.withColumn("mem", F.explode(F.sequence(F.lit(1), F.lit(4))))
     rules = [
         (codes.UNUSED, F.col("typ") % 7 == 0),
@@ -204,7 +204,7 @@ def qc_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 select c.obs_id, case when qc <> 0 then qc when dat is null then 50 when coalesce(n, 0) < case when dat > 52 + 1e-6 then 3 else 9 end then 12 else 0 end qc from coded c left join n using (obs_id)""")
 def ref_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enough members with an echo, with values of any element as reflectivities."""
-    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.NY, fx.FIRST_SLOT, fx.LAST_SLOT)
+    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.rows(spark, sf_dir), fx.FIRST_SLOT, fx.LAST_SLOT)
     hx = ob.interpolated(coded.filter("qc = 0"), fx.ensemble(spark, sf_dir))
     return ob.enough_echo(coded, hx, 52.0, 3, 9).select("obs_id", "qc")
 
@@ -212,7 +212,7 @@ def ref_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(OBS + CODED + HX + """, sa as (select obs_id, avg(hx) * 0.9 + 5 m from hx group by 1)
 select d.obs_id, d.elm, case when d.qc = 0 then case when abs(d.dat - m) > 2 * d.err then 5 else 0 end else d.qc end qc, round(d.dep, 6) omb, round(d.dat - m, 6) oma from dep d left join sa using (obs_id)""")
 def omb_oma_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.NY, fx.FIRST_SLOT, fx.LAST_SLOT)
+    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.rows(spark, sf_dir), fx.FIRST_SLOT, fx.LAST_SLOT)
     hx = ob.interpolated(coded.filter("qc = 0"), fx.ensemble(spark, sf_dir))
     after = ob.departures(coded, hx.withColumn("hx", F.col("hx") * 0.9 + 5), threshold=2.0)
     return rounded(ob.paired_departures(ob.departures(coded, hx), after))

@@ -144,24 +144,24 @@ def lanczos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.low_pass(e.select("series", F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("x")), 64, CUT))
 
 
-@register("""with k as (select vec_id series, i, i + 0.25e0 * (i % 3) x, 50 + 40 * cast(embedding[i + 1] as double) y from embeddings, range(0, 16) r(i)),
+@register("""with k as (select vec_id series, i, i + 0.25e0 * (i % 3) x, 50 + 40 * cast(embedding[i + 1] as double) y from embeddings, range(0, 64) r(i)),
 s as (select *, (lead(y) over w - y) / (lead(x) over w - x) s0 from k window w as (partition by series order by i)),
-g as (select series, x, i - 2 i, s0 from s where i < 15 union all
+g as (select series, x, i - 2 i, s0 from s where i < 63 union all
   select series, null, -3, 2 * a - b from (select series, max(case when i = 0 then s0 end) a, max(case when i = 1 then s0 end) b from s group by 1) union all
   select series, null, -4, 3 * a - 2 * b from (select series, max(case when i = 0 then s0 end) a, max(case when i = 1 then s0 end) b from s group by 1) union all
-  select series, null, 13, 2 * a - b from (select series, max(case when i = 14 then s0 end) a, max(case when i = 13 then s0 end) b from s group by 1) union all
-  select series, null, 14, 3 * a - 2 * b from (select series, max(case when i = 14 then s0 end) a, max(case when i = 13 then s0 end) b from s group by 1)),
+  select series, null, 61, 2 * a - b from (select series, max(case when i = 62 then s0 end) a, max(case when i = 61 then s0 end) b from s group by 1) union all
+  select series, null, 62, 3 * a - 2 * b from (select series, max(case when i = 62 then s0 end) a, max(case when i = 61 then s0 end) b from s group by 1)),
 f as (select series, i + 2 i, s0 m3, lag(s0) over w m2, lag(s0, 2) over w m1, lead(s0) over w m4 from g window w as (partition by series order by i)),
 t as (select k.*, f.m3, case when abs(m4 - m3) + abs(m2 - m1) = 0 then 0 else (abs(m4 - m3) * m2 + abs(m2 - m1) * m3) / (abs(m4 - m3) + abs(m2 - m1)) end t from k join f using (series, i)),
 n as (select *, lead(t) over w t2, lead(x) over w x2 from t window w as (partition by series order by i)),
-q as (select vec_id series, 0.5e0 * j x from embeddings, range(0, 31) r(j))
+q as (select vec_id series, 0.5e0 * j x from embeddings, range(0, 127) r(j))
 select q.series, q.x, round(case when n.x2 is null then n.y else n.y + (q.x - n.x) * n.t + power(q.x - n.x, 2) * (3 * m3 - 2 * t - t2) / (x2 - n.x) + power(q.x - n.x, 3) * (t + t2 - 2 * m3) / power(x2 - n.x, 2) end, 6) y
 from q join n on n.series = q.series and q.x >= n.x and (q.x < n.x2 or (n.x2 is null and q.x = n.x))""")
 def akima(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx.read(spark, sf_dir, "embeddings")
-    k = e.select(F.col("vec_id").alias("series"), F.posexplode(F.slice("embedding", 1, 16)).alias("i", "v"))
+    k = e.select(F.col("vec_id").alias("series"), F.posexplode("embedding").alias("i", "v"))
     knots = k.select("series", (F.col("i") + 0.25 * (F.col("i") % 3)).alias("x"), (50 + 40 * F.col("v").cast("double")).alias("y"))
-    targets = e.select(F.col("vec_id").alias("series"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda j: j * 0.5)).alias("x"))
+    targets = e.select(F.col("vec_id").alias("series"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(126)), lambda j: j * 0.5)).alias("x"))
     out = series.akima(knots, targets)
     return out.select("series", "x", F.round("y", 6).alias("y"))
 
@@ -173,8 +173,8 @@ u as (select *, lead(lp) over (partition by obs_id order by k) nx, min(lp) over
 m as (select u.obs_id, max(case when place < top then 20 when place > bottom then 21 else 0 end) code, max(case when place <= lp and (place > nx or (nx is null and place = lp)) then k + case when nx is null then 0 else (place - lp) / (nx - lp) end end) rk from u join b using (obs_id) group by 1)
 select b.obs_id, case when b.qc = 0 then coalesce(m.code, 0) else b.qc end qc, round(case when b.qc <> 0 then null when b.elm > 9999 then b.place when m.code = 0 then m.rk end, 6) rk from b left join m using (obs_id)""")
 def vertical_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.NY, fx.FIRST_SLOT, fx.LAST_SLOT).withColumn("lev", F.ln("lev"))
-    grid = fx.ensemble(spark, sf_dir).filter("mem = 1").select("gi", "gj", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k"))
+    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.rows(spark, sf_dir), fx.FIRST_SLOT, fx.LAST_SLOT).withColumn("lev", F.ln("lev"))
+    grid = fx.ensemble(spark, sf_dir).select("gi", "gj").distinct().select("gi", "gj", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("k"))
     profile = grid.withColumn("x", math.log(100000) - F.col("k") / 8 + 0.001 * (F.col("gi") + F.col("gj")))
     return rounded(vertical.bracketed(coded, profile).select("obs_id", "qc", "rk"))
 
@@ -182,12 +182,12 @@ def vertical_bracket(spark: SparkSession, sf_dir: str) -> DataFrame:
 STORMS = "select s_suppkey storm_id, cast(s_suppkey * 7 % 25 + 1 as double) ri, cast(s_suppkey * 11 % 20 + 1 as double) rj from {supplier}"
 
 
-@register(f"""with ens as ({fx.ENS_DUCK}), f as (select gi, gj, x from ens where mem = 1),
+@register(f"""with ens as ({fx.ENS_DUCK}), f as (select gi, gj, avg(x) x from ens group by 1, 2),
 s as (select c.gi, c.gj, sum(n.x * case greatest(abs(c.gi - n.gi), abs(c.gj - n.gj)) when 0 then 5 when 1 then 3 else 1 end) / 45 x from f c join f n on abs(c.gi - n.gi) <= 2 and abs(c.gj - n.gj) <= 2 group by 1, 2 having count(*) = 25),
 g as ({STORMS.format(supplier='supplier')}), d as (select storm_id, gi, gj, round(x, 9) x, row_number() over (partition by storm_id order by round(x, 9), gj, gi) k from g join s on sqrt(power(gi - ri, 2) + power(gj - rj, 2)) <= 4.5)
 select g.storm_id, d.gi tcx, d.gj tcy, round(d.x, 6) mslp from g left join d on d.storm_id = g.storm_id and k = 1""")
 def tc_center(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = cyclones.smoothed(fx.ensemble(spark, sf_dir).filter("mem = 1").select("gi", "gj", "x"))
+    field = cyclones.smoothed(fx.ensemble(spark, sf_dir).groupBy("gi", "gj").agg(F.avg("x").alias("x")))
     storms = spark.sql(STORMS, supplier=fx.read(spark, sf_dir, "supplier"))
     return rounded(cyclones.centres(storms, field, 4.5))
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isohyet.functions import codes, physics
-from isohyet.operators import kernels, localization, superob
+from isohyet.operators import kernels, localization, superob, volume
 from isohyet.operators import observations as ob
 from isohyet.plans import fixtures as fx
 from isohyet.plans.registry import register, rounded
 
 OBS = f"with obs as ({fx.duck_obs()}), ens as ({fx.ENS_DUCK}),\n"
-CODED = """coded as (select *, cast(ceil(dif / 3600 - 0.5) as int) + 13 slot,
-  case when not (ri between 1 and 25 and rj between 1 and 20) then 98
+CODED = f"""coded as (select *, cast(ceil(dif / 3600 - 0.5) as int) + 13 slot,
+  case when not (ri between 1 and 25 and rj between 1 and {fx.ROWS}) then 98
        when not (cast(ceil(dif / 3600 - 0.5) as int) + 13 between 3 and 23) then 97 else 0 end qc from obs),
 """
 HX = """corner as (select obs_id, greatest(cast(ceil(ri) as int) - 1, 1) i, greatest(cast(ceil(rj) as int) - 1, 1) j, ri, rj from coded where qc = 0),
@@ -26,11 +26,21 @@ dep as (select c.obs_id, c.elm, c.typ, c.err, c.dat, c.ri, c.rj, s.hx_sprd, c.da
 
 
 def _departures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.NY, fx.FIRST_SLOT, fx.LAST_SLOT)
+    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.rows(spark, sf_dir), fx.FIRST_SLOT, fx.LAST_SLOT)
     hx = ob.interpolated(coded.filter("qc = 0"), fx.ensemble(spark, sf_dir))
     return ob.departures(coded, hx), hx
 
 
+_STATS = """, s as (select * from dep where abs(dif) <= 14400)
+select case elm when 3074 then 3073 when 4004 then 4001 else elm end elm, qc, count(*) n, round(avg(dep), 6) bias, round(sqrt(avg(dep * dep)), 6) rmse, round(avg(hx_sprd), 6) sprd from s group by 1, 2"""
+
+
+@register(OBS + CODED + HX.replace("c.elm, c.typ", "c.elm, c.dif, c.typ") + _STATS)
+def departure_stats_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of observations within four hours of the analysis."""
+    return ob.departure_stats(ob.within(_departures(spark, sf_dir)[0], 14400.0))
+
+
 @register(OBS + CODED + HX + """select case elm when 3074 then 3073 when 4004 then 4001 else elm end elm, qc, count(*) n, round(avg(dep), 6) bias,
   round(sqrt(avg(dep * dep)), 6) rmse, round(avg(hx_sprd), 6) sprd from dep group by 1, 2""")
 def departure_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +54,7 @@ def bilinear_interp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(OBS + CODED + "n as (select 1) select slot, qc, count(*) n_obs from coded group by 1, 2")
 def slot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.NY, fx.FIRST_SLOT, fx.LAST_SLOT)
+    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.rows(spark, sf_dir), fx.FIRST_SLOT, fx.LAST_SLOT)
     return coded.groupBy("slot", "qc").agg(F.count("*").alias("n_obs"))
 
 
@@ -204,13 +214,13 @@ select * from r where rank <= 2""")(query)
 for _order, (_column, _) in localization.ORDERS.items():
     _top(_order, _column)
 
-ONE = OBS + CODED + HX + """, near as (select e.gi, e.gj, o.obs_id, o.err, o.dep from (select distinct gi, gj from ens) e join dep o on o.obs_id = (e.gi + 25 * e.gj) % 400 and o.qc = 0),
+ONE = OBS + CODED + HX + """, near as (select e.gi, e.gj, o.obs_id, o.err, o.dep from (select distinct gi, gj from ens) e join dep o on o.obs_id = (e.gi + 25 * e.gj) and o.qc = 0),
 y as (select n.gi, n.gj, h.mem, h.hx - avg(h.hx) over (partition by n.gi, n.gj) y, n.dep, n.err * n.err r from near n join hx h using (obs_id)),
-s as (select gi, gj, sum(y * y) yy, max(dep) d, max(r) r, 19 / cast(1.69 as double) + sum(y * y) / max(r) lam from y group by 1, 2),
+s as (select gi, gj, sum(y * y) yy, max(dep) d, max(r) r, 63 / cast(1.69 as double) + sum(y * y) / max(r) lam from y group by 1, 2),
 x as (select gi, gj, mem, x, avg(x) over (partition by gi, gj) xm from ens),
 a as (select x.gi, x.gj, sum((x.x - x.xm) * y.y) xy from x join y using (gi, gj, mem) group by 1, 2)
 select x.gi, x.gj, x.mem, round(case when s.lam is null then x.xm + sqrt(cast(1.69 as double)) * (x.x - x.xm)
-  else x.xm + sqrt(cast(1.69 as double)) * (x.x - x.xm) + a.xy * (s.d / (s.r * s.lam) + (sqrt(19 / s.lam) - sqrt(cast(1.69 as double))) * y.y / s.yy) end, 5) xa
+  else x.xm + sqrt(cast(1.69 as double)) * (x.x - x.xm) + a.xy * (s.d / (s.r * s.lam) + (sqrt(63 / s.lam) - sqrt(cast(1.69 as double))) * y.y / s.yy) end, 5) xa
 from x left join y using (gi, gj, mem) left join s using (gi, gj) left join a using (gi, gj)
 """
 
@@ -220,7 +230,7 @@ def letkf_one_obs_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter with at most one observation per point, for which there is a closed form."""
     dep, hx = _departures(spark, sf_dir)
     grid = fx.ensemble(spark, sf_dir)
-    points = grid.select("gi", "gj").distinct().withColumn("want", (F.col("gi") + 25 * F.col("gj")) % 400)
+    points = grid.select("gi", "gj").distinct().withColumn("want", F.col("gi") + 25 * F.col("gj"))
     good = dep.filter("qc = 0").select("obs_id", (F.col("err") * F.col("err")).alias("rdiag"))
     local = points.join(good, points.want == good.obs_id, "left").select("gi", "gj", "obs_id", "rdiag")
     packed = kernels.packed_points(grid, local, hx, dep)
@@ -231,18 +241,19 @@ def letkf_one_obs_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def letkf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Localized analysis of every point with inflation 1.69 and relaxation 0.8."""
     dep, hx, grid, _ = _whole(spark, sf_dir)
-    good = dep.filter("qc = 0").select("obs_id", "elm", "typ", "err", "dep", "ri", "rj")
-    local = localization.local_observations(grid.select("gi", "gj").distinct(), good, SCALE)
-    local = local.withColumn("limit_group", localization.limit_group(F.col("elm"), F.col("typ")))
-    packed = kernels.packed_points(grid, localization.limited(local, 10), hx, None)
-    return rounded(kernels.analysis(packed, inflation=1.69, rtpp=0.8), 5)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("mem", "hx"))), lambda s: s.hx)
+    centred = hx.groupBy("obs_id").agg(ordered.alias("h"), F.avg("hx").alias("m")).select("obs_id", F.transform("h", lambda h: h - F.col("m")).alias("y"))
+    good = dep.filter("qc = 0").join(centred, "obs_id").withColumns({"hori_loc": F.lit(SCALE), "vert_loc": F.lit(0.0)})
+    state = grid.withColumns({"k": F.lit(1), "p": F.lit(1.0)})
+    out = volume.analysis_by_tile(state, ["x"], good, widest=SCALE, most=10, inflation=1.69, rtpp=0.8)
+    return out.select("gi", "gj", "mem", F.round("x", 5).alias("xa"))
 
 
-@register(OBS + CODED + HX + """, z as (select e.gi, e.gj, e.mem, e.x, h.hx, o.dep, o.err from ens e join dep o on o.obs_id = (e.gi + 25 * e.gj) % 400 and o.qc = 0 join hx h on h.obs_id = o.obs_id and h.mem = e.mem)
+@register(OBS + CODED + HX + """, z as (select e.gi, e.gj, e.mem, e.x, h.hx, o.dep, o.err from ens e join dep o on o.obs_id = (e.gi + 25 * e.gj) and o.qc = 0 join hx h on h.obs_id = o.obs_id and h.mem = e.mem)
 select gi, gj, round(covar_samp(x, hx) / (var_samp(hx) + max(err * err)), 6) gain, round(avg(x) + covar_samp(x, hx) / (var_samp(hx) + max(err * err)) * max(dep), 5) xa_mean from z group by 1, 2""")
 def enkf_scalar_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     dep, hx = _departures(spark, sf_dir)
-    grid = fx.ensemble(spark, sf_dir).withColumn("obs_id", ((F.col("gi") + 25 * F.col("gj")) % 400).cast("long"))
+    grid = fx.ensemble(spark, sf_dir).withColumn("obs_id", (F.col("gi") + 25 * F.col("gj")).cast("long"))
     z = grid.join(dep.filter("qc = 0").select("obs_id", "dep", "err"), "obs_id").join(hx, ["obs_id", "mem"])
     gain = F.covar_samp("x", "hx") / (F.var_samp("hx") + F.max(F.col("err") * F.col("err")))
     return z.groupBy("gi", "gj").agg(F.round(gain, 6).alias("gain"), F.round(F.avg("x") + gain * F.max("dep"), 5).alias("xa_mean"))
@@ -252,7 +263,7 @@ CELLS = OBS + CODED + "c as (select *, cast(round(ri) as int) ci, cast(round(rj)
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.NY, fx.FIRST_SLOT, fx.LAST_SLOT).filter("qc = 0")
+    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.rows(spark, sf_dir), fx.FIRST_SLOT, fx.LAST_SLOT).filter("qc = 0")
     return coded.withColumns({"ci": F.round("ri").cast("int"), "cj": F.round("rj").cast("int")})
 
 
@@ -277,7 +288,7 @@ def superob_m3(spark: SparkSession, sf_dir: str) -> DataFrame:
 select obs_id, elm, slot from d where k = 1""")
 def superob_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of observations of one element at one place, the one nearest to the base slot stays; the earlier slot wins ties."""
-    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.NY, fx.FIRST_SLOT, fx.LAST_SLOT).filter("qc = 0")
+    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.rows(spark, sf_dir), fx.FIRST_SLOT, fx.LAST_SLOT).filter("qc = 0")
     best = Window.partitionBy("elm", "ri", "rj", "lev").orderBy(F.abs(F.col("slot") - 13), "slot", "obs_id")
     return coded.withColumn("k", F.row_number().over(best)).filter("k = 1").select("obs_id", "elm", "slot")
 
@@ -301,13 +312,13 @@ def q_spread_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("gi", "gj", "mem", F.round(F.when(F.col("s") > MOST_SPREAD, F.col("xm") + (F.col("x") - F.col("xm")) * MOST_SPREAD / F.col("s")).otherwise(F.col("x")), 6).alias("x"))
 
 
-@register(OBS + CODED + HX + """, z as (select e.gi, e.gj, e.mem, e.x, h.hx, o.err * o.err r from ens e join dep o on o.obs_id = (e.gi + 25 * e.gj) % 400 and o.qc = 0 join hx h on h.obs_id = o.obs_id and h.mem = e.mem),
+@register(OBS + CODED + HX + """, z as (select e.gi, e.gj, e.mem, e.x, h.hx, o.err * o.err r from ens e join dep o on o.obs_id = (e.gi + 25 * e.gj) and o.qc = 0 join hx h on h.obs_id = o.obs_id and h.mem = e.mem),
 g as (select gi, gj, avg(x) xm, avg(hx) hm, var_samp(hx) v, covar_samp(x, hx) c, max(r) r from z group by 1, 2)
 select gi, gj, mem, round(x - xm - c / (v + g.r) / (1 + sqrt(g.r / (v + g.r))) * (hx - hm), 5) xa_pert from z join g using (gi, gj)""")
 def enkf_serial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perturbations after a serial square-root update with one observation."""
     dep, hx = _departures(spark, sf_dir)
-    grid = fx.ensemble(spark, sf_dir).withColumn("obs_id", ((F.col("gi") + 25 * F.col("gj")) % 400).cast("long"))
+    grid = fx.ensemble(spark, sf_dir).withColumn("obs_id", (F.col("gi") + 25 * F.col("gj")).cast("long"))
     z = grid.join(dep.filter("qc = 0").select("obs_id", (F.col("err") * F.col("err")).alias("r")), "obs_id").join(hx, ["obs_id", "mem"])
     g = z.groupBy("gi", "gj").agg(F.avg("x").alias("xm"), F.avg("hx").alias("hm"), F.var_samp("hx").alias("v"), F.covar_samp("x", "hx").alias("c"))
     total = F.col("v") + F.col("r")

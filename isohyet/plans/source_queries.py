@@ -16,7 +16,7 @@ from isohyet.sources import reports
 
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.NY, fx.FIRST_SLOT, fx.LAST_SLOT)
+    return ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.rows(spark, sf_dir), fx.FIRST_SLOT, fx.LAST_SLOT)
 
 
 @register(OBS + CODED + """t as (select *, case when ri between 1 and 24 and rj between 1 and 20 then ceil((ri - 0.5) / 8) - 1 + (ceil((rj - 0.5) / 10) - 1) * 3 else -1 end tile from coded)
@@ -41,9 +41,9 @@ def decoded_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("obs_id", "elm", F.round("dat", 6).alias("dat"), F.round(F.col("err") * 1e6, 4).alias("err_micro"))
 
 
-@register(f"with ens as ({fx.ENS_DUCK}) select cast(19999 as int) elm, cast(gi as double) lon, cast(gj as double) lat, round(x - 48, 6) dat, round(greatest((x - 48) * 0.5, 0.05), 6) err from ens where mem = 1 and x - 48 >= 0")
+@register(f"with ens as ({fx.ENS_DUCK}) select cast(19999 as int) elm, cast(gi as double) lon, cast(gj as double) lat, round(x - 48, 6) dat, round(greatest((x - 48) * 0.5, 0.05), 6) err from (select gi, gj, avg(x) x from ens group by 1, 2) where x >= 48")
 def rain_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    field = fx.ensemble(spark, sf_dir).filter("mem = 1").select(F.col("gi").cast("double").alias("lon"), F.col("gj").cast("double").alias("lat"), (F.col("x") - 48).alias("rain"))
+    field = fx.ensemble(spark, sf_dir).groupBy("gi", "gj").agg(F.avg("x").alias("x")).select(F.col("gi").cast("double").alias("lon"), F.col("gj").cast("double").alias("lat"), (F.col("x") - 48).alias("rain"))
     return rounded(reports.from_rain(field))
 
 
@@ -133,20 +133,24 @@ def nearest_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNUSED = [(3, 2819), (5, 3330)]
 
 
-@register(OBS + CODED + """n as (select 1) select obs_id, case when ceil(lev / 10000) > 9 then 3 when ceil(rj) < 2 or ceil(rj) > 20 or ceil(ri) > 25 then 2 when (typ = 3 and elm = 2819) or (typ = 5 and elm = 3330) then 4 when not (typ between 1 and 20) then 5 else 0 end qc from coded""")
+@register(OBS + CODED + f"""n as (select 1) select obs_id, case when ceil(lev / 10000) > 9 and not (typ in (8, 9, 10, 11, 15) or elm > 9999) then 3 when ceil(rj) < 2 or ceil(rj) > {fx.ROWS} then 2 when (typ = 3 and elm = 2819) or (typ = 5 and elm = 3330) then 4 when not (typ between 1 and 20) then 5 else 0 end qc from coded""")
 def superob_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _coded(spark, sf_dir).withColumn("rk", F.col("lev") / 10000)
-    return superob.removal_codes(c, fx.NX, fx.NY, 9, UNUSED, (1, 20)).select("obs_id", "qc")
+    return superob.removal_codes(c, fx.rows(spark, sf_dir), 9, UNUSED, (1, 20)).select("obs_id", "qc")
 
 
-@register(OBS + CODED + """a as (select *, lev / 10000 rk, cast(round(lev / 10000) as int) ck from coded where not (ceil(lev / 10000) > 9 or ceil(rj) < 2 or ceil(rj) > 20 or ceil(ri) > 25) and not (typ = 3 and elm = 2819) and not (typ = 5 and elm = 3330) and typ between 1 and 20),
-b as (select * from (select *, row_number() over (partition by elm, typ, ri, rj, slot, ck order by abs(rk - ck), obs_id) k1 from a) where k1 = 1),
-c as (select *, cast(round(ri) as int) ci, cast(round(rj) as int) cj from (select *, row_number() over (partition by elm, typ, ri, rj, ck order by abs(slot - 13), slot, obs_id) k2 from b) where k2 = 1)
+@register(OBS + CODED + f"""p as (select *, lev / 10000 rk, typ in (8, 9, 10, 11, 15) or elm > 9999 surface from coded),
+a as (select *, case when surface then 0 else greatest(1, cast(floor(rk + 0.5) as int)) end ck, cast(floor(rj + 0.5) as int) cj,
+  cast(case when floor(ri + 0.5) < 1 then floor(ri + 0.5) + 25 when floor(ri + 0.5) > 25 then floor(ri + 0.5) - 25 else floor(ri + 0.5) end as int) ci
+  from p where not (ceil(rk) > 9 and not surface) and ceil(rj) between 2 and {fx.ROWS} and not (typ = 3 and elm = 2819) and not (typ = 5 and elm = 3330) and typ between 1 and 20),
+f as (select *, min(obs_id) over (partition by elm, typ, ri, rj, slot, ck) first_id,
+  row_number() over (partition by elm, typ, ri, rj, slot, ck order by err, sqrt(power(ri - ci, 2) + power(rj - cj, 2) + case when ck = 0 then 0 else power(rk - ck, 2) end), obs_id) k1 from a),
+c as (select * from (select *, row_number() over (partition by elm, typ, ri, rj, ck order by abs(slot - 13), slot, first_id) k2 from f where k1 = 1) where k2 = 1)
 select elm, ci, cj, ck, count(*) n_used, round(avg(ri), 6) ri, round(avg(rj), 6) rj, round(avg(dat), 6) dat, min(err) err from c group by 1, 2, 3, 4""")
 def superob_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All steps of thinning."""
     c = _coded(spark, sf_dir).drop("qc").withColumn("rk", F.col("lev") / 10000)
-    return superob.superob(c, 13, 2, fx.NX, fx.NY, 9, UNUSED, (1, 20))
+    return superob.superob(c, 13, 2, fx.NX, fx.rows(spark, sf_dir), 9, UNUSED, (1, 20))
 
 
 @register("""with c as (select distinct date_trunc('day', ts) t from events), s as (select t, unnest(generate_series(t + interval 3 hour, t + interval 9 hour, interval 1 hour)) at_time from c)

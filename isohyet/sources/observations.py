@@ -13,10 +13,12 @@ CONVENTIONAL = ("elm", "lon", "lat", "lev", "dat", "err", "typ", "dif")
 DEPARTURE = (*CONVENTIONAL, "qc", "omb", "oma")
 
 
-def unpacked(content: bytes, columns: int) -> np.ndarray:
-    """Rows of a file whose records are ``columns`` float32 between two record lengths; a ragged file has no rows."""
+def unpacked(content: bytes, columns: int, strict: bool = False) -> np.ndarray:
+    """Rows of a file whose records are ``columns`` float32 between two record lengths; a ragged file has no rows, or is an error if ``strict``."""
     words = columns + 2
     if len(content) % (4 * words):
+        if strict:
+            raise ValueError(f"a file of {len(content)} bytes is no whole number of records of {columns} values")
         return np.zeros((0, columns), np.float32)
     return np.frombuffer(content, "<f4").reshape(-1, words)[:, 1:-1]
 
@@ -26,13 +28,13 @@ def packed(rows: np.ndarray) -> bytes:
     return np.concatenate([mark, rows.astype("<f4"), mark], axis=1).tobytes()
 
 
-def read_records(spark: SparkSession, path: str, columns: tuple[str, ...] = CONVENTIONAL) -> DataFrame:
-    """set_id (file name), idx (from 1) and the columns of each record of the files below ``path``."""
+def read_records(spark: SparkSession, path: str, columns: tuple[str, ...] = CONVENTIONAL, strict: bool = False) -> DataFrame:
+    """set_id (file name), idx (from 1) and the columns of each record of the files below ``path``; ragged files are passed over unless ``strict``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = unpacked(content, len(columns))
+                rows = unpacked(content, len(columns), strict)
                 data = [pa.array(rows[:, k].astype(float)) for k in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * len(rows), pa.string()), pa.array(np.arange(1, len(rows) + 1)), *data], ["set_id", "idx", *columns])
 
@@ -54,21 +56,23 @@ RADAR = ("elm", "lon", "lat", "lev", "dat", "err", "typ")
 RADAR_TYPE = 22
 
 
-def unpacked_radar(content: bytes, timed: bool) -> tuple[np.ndarray, np.ndarray]:
+def unpacked_radar(content: bytes, timed: bool, strict: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The radar's place (lon, lat, z; a record each) and its rows, with their time differences if ``timed``."""
     head, columns = 9, len(RADAR) + timed
-    if len(content) < 4 * head or (len(content) - 4 * head) % (4 * (columns + 2)):
+    if len(content) < 4 * head:
+        if strict:
+            raise ValueError("a file without the radar's place")
         return np.zeros(3, np.float32), np.zeros((0, columns), np.float32)
-    return np.frombuffer(content[: 4 * head], "<f4").reshape(3, 3)[:, 1], unpacked(content[4 * head :], columns)
+    return np.frombuffer(content[: 4 * head], "<f4").reshape(3, 3)[:, 1], unpacked(content[4 * head :], columns, strict)
 
 
-def read_radar(spark: SparkSession, path: str, timed: bool = False) -> DataFrame:
-    """set_id, idx, the radar's place as ``meta`` and the columns of each record; typ is that of radars, dif 0 unless ``timed``."""
+def read_radar(spark: SparkSession, path: str, timed: bool = False, strict: bool = False) -> DataFrame:
+    """set_id, idx, the radar's place as ``meta`` and the columns of each record; typ is that of radars, dif 0 unless ``timed``; ragged files are passed over unless ``strict``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                meta, rows = unpacked_radar(content, timed)
+                meta, rows = unpacked_radar(content, timed, strict)
                 n = len(rows)
                 values = [pa.array(rows[:, k].astype(float)) for k in range(len(RADAR) - 1)]
                 dif = rows[:, len(RADAR)].astype(float) if timed else np.zeros(n)

@@ -37,7 +37,7 @@ def from_diagnostics(diag: DataFrame, types: DataFrame, other: int, least_invers
     the value less its departure; ``used`` is false without a usable error or with a mark outside 0..2.
     """
     usable = F.col("inv_err") > least_inverse
-    out = diag.join(F.broadcast(types), "code", "left").withColumn("typ", F.coalesce("typ", F.lit(other)))
+    out = diag.join(types, "code", "left").withColumn("typ", F.coalesce("typ", F.lit(other)))
     return out.withColumns({"err": F.when(usable, 1 / F.col("inv_err")), "hx": F.col("dat") - F.col("omb"), "used": usable & F.col("mark").between(0, 2)})
 
 

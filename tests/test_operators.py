@@ -305,3 +305,95 @@ def test_patches_use_all_their_observations_and_stay_without_any(spark, tmp_path
     assert len(y) > 5
     assert np.allclose(got[1, 1], kernels.eigenspace_analysis(state(1, 1), np.array(y), np.array(d), np.array(r), 0.05), atol=1e-4)
     assert np.allclose(got[3, 2].mean(axis=1), state(3, 2).mean(axis=1), atol=1e-4)
+
+
+def test_analysis_by_tile_against_loops(spark):
+    """Limits by class, weights, relaxation of spread, moisture up to a level and tapers, against one point after the other."""
+    from isohyet.operators import volume
+
+    r = np.random.default_rng(8)
+    m, nx, ny = 6, 7, 5
+    points = [(i, j, k) for i in range(1, nx + 1) for j in range(1, ny + 1) for k in (1, 2)]
+    pressure = {1: 90000.0, 2: 40000.0}
+    u, q = r.normal(size=(len(points), m)), r.normal(size=(len(points), m))
+    rows = [(*p, e + 1, pressure[p[2]], float(u[n, e]), float(q[n, e]), 0.0 if p[0] == 1 else 0.5 if p[0] == 2 else 1.0, 1.2 + 0.1 * p[2]) for n, p in enumerate(points) for e in range(m)]
+    state = spark.createDataFrame(rows, "gi int, gj int, k int, mem int, p double, u double, q double, beta double, infl double").repartition(5)
+    y = r.normal(size=(60, m))
+    y -= y.mean(axis=1, keepdims=True)
+    kind = [(2819, 1), (3330, 1), (4001, 22), (4004, 22)]
+    obs = [(n, *kind[n % 4], float(r.uniform(1, nx)), float(r.uniform(1, ny)), float(r.uniform(30000, 100000)), 1.0 + n % 3, float(r.normal()), 0.4 + 0.1 * (n % 2), 0.0 if n % 5 == 0 else 0.5, y[n].tolist()) for n in range(60)]
+    table = spark.createDataFrame(obs, "obs_id long, elm int, typ int, ri double, rj double, lev double, err double, dep double, hori_loc double, vert_loc double, y array<double>")
+    weights = {"q": {2819: 0.0, 4001: 0.5}}
+    got = volume.analysis_by_tile(state, ["u", "q"], table, weights, widest=0.5, tile=2, most=2, least_inflation=1.35, rtps=0.7, moist=["q"], moist_top=50000.0).collect()
+    found = {(x.gi, x.gj, x.k, x.mem): (x.u, x.q, x.n_obs) for x in got}
+    felt = 0
+    for n, (i, j, k) in enumerate(points):
+        near = {}
+        for o in obs:
+            h = np.hypot(i - o[3], j - o[4]) / o[8]
+            v = abs(np.log(o[5]) - np.log(pressure[k])) / o[9] if o[9] else 0.0
+            if h <= 3.651483717 and v <= 3.651483717 and h * h + v * v <= 13.33333333:
+                near.setdefault((4001 if o[1] == 4004 else o[1], o[2]), []).append((h * h + v * v, o))
+        taken = [x for group in near.values() for x in sorted(group, key=lambda x: (x[0], x[1][0]))[:2]]
+        felt += len(taken)
+        beta = 0.0 if i == 1 else 0.5 if i == 2 else 1.0
+        for name, x in (("u", u[n]), ("q", q[n])):
+            use = [(d, o, weights.get(name, {}).get(o[1], 1.0)) for d, o in taken]
+            use = [(d, o, w) for d, o, w in use if w > 0]
+            new = kernels.analysed(x, np.array([o[10] for _, o, _ in use]).reshape(-1, m), np.array([o[7] for _, o, _ in use]), np.array([o[6] ** 2 / (w * np.exp(-0.5 * d)) for d, o, w in use]), max(1.2 + 0.1 * k, 1.35), rtps=0.7 if use else 0.0, beta=beta)
+            if beta == 0 or (name == "q" and k == 2):
+                new = x
+            for e in range(m):
+                assert abs(found[i, j, k, e + 1][("u", "q").index(name)] - new[e]) < 1e-9
+        assert found[i, j, k, 1][2] == len(taken)
+    assert felt > 100
+
+
+def test_removal_and_merging_at_edges(spark):
+    from isohyet.operators import superob
+
+    rows = [(1, 14593, 1, 3.0, 3.0, 99.0), (2, 3073, 8, 3.0, 3.0, 99.0), (3, 3073, 1, 3.0, 3.0, 99.0), (4, 3073, 1, 25.9, 3.0, 0.2), (5, 3073, 1, 3.0, 1.0, 2.0), (6, 2819, 3, 3.0, 3.0, 2.0), (7, 3073, 30, 3.0, 3.0, 2.0)]
+    obs = spark.createDataFrame(rows, "obs_id long, elm int, typ int, ri double, rj double, rk double")
+    coded = superob.placed(superob.removal_codes(obs, 20, 9, [(3, 2819)], (1, 24)), 25)
+    got = {x.obs_id: (x.qc, x.ci, x.cj, x.ck) for x in coded.collect()}
+    assert got == {1: (0, 3, 3, 0), 2: (0, 3, 3, 0), 3: (3, 3, 3, 99), 4: (0, 1, 3, 1), 5: (2, 3, 1, 2), 6: (4, 3, 3, 2), 7: (5, 3, 3, 2)}
+    near = spark.createDataFrame([(1, 3.1, 3.0, 2.4, 1.0, 10.0), (2, 3.2, 3.0, 2.0, 1.0, 20.0), (3, 3.0, 3.0, 2.0, 2.0, 30.0)], "obs_id long, ri double, rj double, rk double, err double, dat double")
+    pick = lambda ck: superob.merged(near.withColumns({"ci": F.lit(3), "cj": F.lit(3), "ck": F.lit(ck)}), ["ci", "cj", "ck"], 1).first().dat
+    assert pick(2) == 20.0 and pick(0) == 10.0
+
+
+def test_sets_by_format(spark, tmp_path):
+    from isohyet.sources import observations as so
+    from isohyet.sources import states
+
+    rows = np.array([[3073, 1, 2, 500, 280, 1, 1, 0], [99993, 1, 2, 990, 950, 3, 20, 60]], np.float32)
+    (tmp_path / "conventional").write_bytes(so.packed(rows))
+    place = np.array([[12, 0, 12], [12, 0, 12], [12, 0, 12]], "<i4").astype("<f4")
+    (tmp_path / "radar").write_bytes(place.tobytes() + so.packed(np.array([[4001, 1, 2, 800, 30, 5, 22]], np.float32)))
+    (tmp_path / "ragged").write_bytes(so.packed(rows)[:-4])
+    got = states.read_sets(spark, [("RECORDS", str(tmp_path / "conventional")), ("RECORDS", str(tmp_path / "none")), ("RADAR", str(tmp_path / "radar"))]).orderBy("set_id", "idx").collect()
+    assert [(x.set_id, x.idx, x.elm, x.lev, x.dat, x.err) for x in got] == [(1, 1, 3073.0, 50000.0, 280.0, 1.0), (1, 2, 99993.0, 99000.0, 95000.0, 300.0), (3, 1, 4001.0, 800.0, 30.0, 5.0)]
+    with pytest.raises(Exception, match="whole number of records"):
+        states.read_sets(spark, [("RECORDS", str(tmp_path / "ragged"))]).collect()
+    with pytest.raises(KeyError):
+        states.read_sets(spark, [("OTHER", "x")])
+
+
+def test_sets_and_departures_are_written(spark, tmp_path):
+    from isohyet.sources import observations as so
+
+    obs = spark.createDataFrame([("a", 1, 3073, 1.0), ("b", 1, 3073, None), ("b", 2, 2819, 2.0)], "set_id string, idx long, elm int, dat double")
+    so.write_sets(obs, str(tmp_path / "all"))
+    so.write_sets(obs, str(tmp_path / "some"), missing=False)
+    assert spark.read.parquet(str(tmp_path / "all")).count() == 3 and spark.read.parquet(str(tmp_path / "some")).count() == 2
+    dep = spark.createDataFrame([("a", 1, 0, 0.5, 0.2), ("b", 2, 5, 9.0, 8.0)], "set_id string, idx long, qc int, omb double, oma double")
+    so.write_departures(obs, dep, str(tmp_path / "dep"))
+    assert sorted((x.set_id, x.idx, x.qc, x.omb) for x in spark.read.parquet(str(tmp_path / "dep")).collect()) == [("a", 1, 0, 0.5), ("b", 2, 5, 9.0)]
+    bt = spark.createDataFrame([(8800, 23, 1.0, 2.0, [float(k) for k in range(10)])], "elm int, typ int, lon double, lat double, bt array<double>")
+    assert [(x.lev, x.dat) for x in so.unpivoted_channels(bt).orderBy("lev").collect()] == [(k + 7.0, float(k)) for k in range(10)]
+
+
+def test_leap_seconds():
+    from isohyet.functions import clock
+
+    assert len(clock.LEAPS) == 10 and clock.LEAPS[-1].year == 2017
