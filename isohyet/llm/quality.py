@@ -11,6 +11,7 @@ grow with similarity.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,7 @@ ROUNDS = 4  # of the iteration that finds the singular directions
 NEIGHBOURS = 15
 POWER = 8
 BLOCK = 2048
+AT_ONCE = 1 << 14  # entries of the sparse matrix that are multiplied at a time
 SLICE = 1 << 20  # bytes whose form is counted at a time
 
 _CLASS = np.zeros(256, np.int64)
@@ -79,10 +81,10 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 def _rows(owner: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, table: np.ndarray) -> np.ndarray:
     """The sparse matrix (owner, term, value) times ``table``; owners are in order."""
     out = np.zeros((n, table.shape[1]), np.float32)
-    for at in range(0, len(owner), 1 << 16):
-        o = owner[at : at + (1 << 16)]
+    for at in range(0, len(owner), AT_ONCE):
+        o = owner[at : at + AT_ONCE]
         first = np.flatnonzero(np.diff(o, prepend=-1))
-        out[o[first]] += np.add.reduceat(table[term[at : at + (1 << 16)]] * value[at : at + (1 << 16), None], first, axis=0)
+        out[o[first]] += np.add.reduceat(table[term[at : at + AT_ONCE]] * value[at : at + AT_ONCE, None], first, axis=0)
     return out
 
 
@@ -96,11 +98,14 @@ class Model:
         held = np.bincount(term, minlength=TERMS)
         self.weight = np.where(held > 0, np.log((n + 1) / np.maximum(held, 1)), 0).astype(np.float32)
         self.labels = labels.astype(np.float64)
-        self.centre = (form * self.form_weight).mean(axis=0) if n else np.zeros(WIDTH, np.float32)
+        form = form * self.form_weight
+        self.centre = form.mean(axis=0) if n else np.zeros(WIDTH, np.float32)
+        form -= self.centre
         self.words_basis, self.form_basis = np.zeros((TERMS, 1), np.float32), np.zeros((WIDTH, 1), np.float32)
+        value = self._values(owner, term, counts, n)
         if n:
-            self._decompose(form * self.form_weight - self.centre, owner, term, self._values(owner, term, counts, n))
-        self.known = self.latent(form, owner, term, counts)
+            self._decompose(form, owner, term, value)
+        self.known = self._placed(form, owner, term, value)
 
     def _values(self, owner: np.ndarray, term: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
         """Weighted terms, each text's part scaled to the length ``WORDS``."""
@@ -122,7 +127,10 @@ class Model:
 
     def latent(self, form: np.ndarray, owner: np.ndarray, term: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Unit vectors of texts in the latent space."""
-        z = (form * self.form_weight - self.centre) @ self.form_basis + _rows(owner, term, self._values(owner, term, counts, len(form)), len(form), self.words_basis)
+        return self._placed(form * self.form_weight - self.centre, owner, term, self._values(owner, term, counts, len(form)))
+
+    def _placed(self, form: np.ndarray, owner: np.ndarray, term: np.ndarray, value: np.ndarray) -> np.ndarray:
+        z = form @ self.form_basis + _rows(owner, term, value, len(form), self.words_basis)
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -138,6 +146,9 @@ class Model:
         return out
 
 
+DESCRIBED = [("doc_id", pa.int64()), ("quality", pa.int32()), ("form", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary())]
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most about ``sample`` labelled rows outside the held-out fold, chosen by a hash of their ids."""
     usable = labels.filter("quality is not null and doc_id is not null").filter(remainder("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -155,11 +166,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 rows += [(f.tobytes(), term[a:b].astype(np.uint16).tobytes(), counts[a:b].astype(np.uint32).tobytes()) for f, a, b in zip(form, cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]], ["doc_id", "quality", "form", "terms", "counts"])
 
-    collected = joined.mapInArrow(describe, "doc_id long, quality int, form binary, terms binary, counts binary").collect()  # about ``sample`` rows
-    found = sorted(((r.doc_id, bytes(r.form), bytes(r.terms), bytes(r.counts), r.quality) for r in collected), key=lambda r: r[:2])
-    form = np.frombuffer(b"".join(r[1] for r in found), np.float32).reshape(len(found), WIDTH)
-    term, counts = np.frombuffer(b"".join(r[2] for r in found), np.uint16).astype(np.int64), np.frombuffer(b"".join(r[3] for r in found), np.uint32)
-    return Model(form, np.repeat(np.arange(len(found)), [len(r[2]) // 2 for r in found]), term, counts, np.array([r[4] for r in found]))
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema(DESCRIBED)).sort_by([(c, "ascending") for c in ("doc_id", "form", "terms", "counts")])
+        held = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
+        sizes = [len(x) // 2 for x in table["terms"].to_pylist()]
+        model = Model(held("form", np.float32).reshape(-1, WIDTH), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), held("terms", np.uint16).astype(np.int32), held("counts", np.uint32), table["quality"].to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    described = joined.mapInArrow(describe, "doc_id long, quality int, form binary, terms binary, counts binary")
+    told = described.repartition(1).mapInArrow(train, "model binary").collect()  # about ``sample`` rows in one task, which returns the model alone
+    if told:
+        return pickle.loads(told[0].model)
+    return Model(np.zeros((0, WIDTH), np.float32), *np.zeros((3, 0), np.int32), np.zeros(0))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
