@@ -40,13 +40,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_from(total: int) -> int:
+    """Rows above which a key of ``total`` rows is hot."""
+    return max(256, total // 1000)
+
+
 def joined_by_key(rows: DataFrame, sums: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """``rows`` joined with ``sums``, a table with one row per key that says in ``n`` how many of ``total`` rows hold the key.
 
     Keys with more than a thousandth of the rows (256 at least) are joined by a broadcast: there
     are at most a thousand such keys. So no key sends its rows to one task.
     """
-    hot = F.col(n) > max(256, total // 1000)
+    hot = F.col(n) > hot_from(total)
     broadcast = F.broadcast(sums.filter(hot))
     others = rows.join(F.broadcast(sums.filter(hot).select(key)), key, "left_anti").join(sums.filter(~hot), key)
     return rows.join(broadcast, key).unionByName(others)

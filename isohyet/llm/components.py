@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import joined_by_key, materialise
+from isohyet.llm.common import hot_from, joined_by_key, materialise
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame, total: int, hubs: bool) -> DataFrame:
     """Every node's larger neighbours are linked to the smallest of the node and its neighbours."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-    return joined_by_key(both.filter("b > a"), least, "a", "n", 2 * total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    up = both.filter("b > a")
+    joined = joined_by_key(up, least, "a", "n", total) if hubs else up.join(least, "a")
+    return joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame, total: int, hubs: bool) -> DataFrame:
     """Every node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
     least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    joined = joined_by_key(down, least, "a", "n", total)
+    joined = joined_by_key(down, least, "a", "n", total) if hubs else down.join(least, "a")
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
 
 
@@ -39,6 +41,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), name)
     while not _stars(now):
-        total = now.count()
-        now = materialise(_small_star(_large_star(now, total).distinct(), total).filter("a <> b").distinct(), name)
+        ends = now.select("a").union(now.select("b")).groupBy("a").count()
+        total, most = ends.agg(F.sum("count"), F.max("count")).first()
+        hubs = most > hot_from(total)
+        large = _large_star(now, total, hubs)
+        if hubs:  # keeps the plan of the next step short
+            large = materialise(large.distinct(), name)
+        now = materialise(_small_star(large, total, hubs).filter("a <> b").distinct(), name)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm import textcodes
-from isohyet.llm.common import free_name, joined_by_key, materialise
+from isohyet.llm.common import free_name, materialise
 from isohyet.llm.components import components
 
 SHINGLE = 5
@@ -35,6 +35,7 @@ STEPS = (1, 6)  # bands are taken up to the first of these, then up to the next,
 BITS = 4
 PACKED = -(-MINIMA * BITS // 64)
 CHUNK = 256
+SALTS = 32
 NUM, DEN = 75, 100  # link where DEN * intersection >= NUM * union
 DOUBT = 4.5  # standard deviations that an estimate may fall short of the threshold
 SETS_KEPT = 2000
@@ -213,7 +214,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keyed = classes.select("class", F.posexplode("bands").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = materialise(keyed.join(shared, "key"), "neardup-buckets")
-    in_buckets = buckets.count()
     packed_a = classes.select(F.col("class").alias("a"), F.col("packed").alias("packed_a"))
     packed_b = classes.select(F.col("class").alias("b"), F.col("packed").alias("packed_b"))
     wanted = buckets.select("class").distinct().join(classes.select("class", "example"), "class").select("class", F.col("example.doc_id").alias("w_id"), F.col("example.text_hash").alias("w_hash"))
@@ -225,8 +225,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         """Rows of the buckets that hold more than one component, with their smallest class and its component."""
         ends = [F.min("class").alias("low"), F.min_by("label", "class").alias("low_label")]
         labelled = rows.select("key", "class").join(members, "class")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n"), *ends).filter("l < h").drop("l", "h")
-        return joined_by_key(labelled, mixed, "key", "n", in_buckets).drop("n")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), *ends).filter("l < h").drop("l", "h")
+        salted = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a bucket's rows go to so many tasks
+        return labelled.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
 
     def extended(pairs: DataFrame, name: str) -> None:
         """Confirm the pairs (a, b) of components (x, y) that are new, and join the components of those that link."""
