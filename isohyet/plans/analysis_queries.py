@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.functions import codes, physics
-from isohyet.operators import impact, inflation, kernels, localization
+from isohyet.operators import bias, impact, inflation, kernels, localization
 from isohyet.operators import observations as ob
 from isohyet.plans import fixtures as fx
 from isohyet.plans.queries import CODED, HX, LOCAL, OBS, ONE, SCALE, _departures, _local, _whole
@@ -282,3 +282,14 @@ def enkf_bias_gain_local(spark: SparkSession, sf_dir: str) -> DataFrame:
 def enkf_serial_update_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perturbations after serial square-root updates with all local observations."""
     return rounded(kernels.serial_update(_all_local(spark, sf_dir)[0]), 5)
+
+
+@register(OBS + CODED + HX + """, z as (select e.gi, e.gj, e.mem, e.x / 2 b, h.hx / 2 hb, h.hx, o.err * o.err r from ens e join dep o on o.obs_id = (e.gi + 25 * e.gj) and o.qc = 0 join hx h on h.obs_id = o.obs_id and h.mem = e.mem),
+g as (select gi, gj, avg(b) bm, avg(hb) hm, covar_samp(b, hb) / (var_samp(hb) + var_samp(hx) + max(r)) gain, 1 + sqrt(max(r) / (var_samp(hb) + var_samp(hx) + max(r))) alpha from z group by 1, 2)
+select gi, gj, mem, round(gain, 6) gain, round(b - bm - gain * (hb - hm) / alpha, 6) pert from z join g using (gi, gj)""")
+def enkf_bias_serial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bias perturbations, half those of the state, after a serial update."""
+    dep, hx = _departures(spark, sf_dir)
+    grid = fx.ensemble(spark, sf_dir).withColumn("obs_id", (F.col("gi") + 25 * F.col("gj")).cast("long"))
+    z = grid.join(dep.filter("qc = 0").select("obs_id", (F.col("err") * F.col("err")).alias("r")), "obs_id").join(hx, ["obs_id", "mem"]).withColumns({"b": F.col("x") / 2, "hb": F.col("hx") / 2})
+    return rounded(bias.serial_update(z, ["gi", "gj"]))
