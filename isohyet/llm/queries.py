@@ -70,5 +70,40 @@ s as (
   from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
 from s qualify rank <= 5
+""",
+    "op2_warc": """
+with p as (select page_id, coalesce(html, '') as html from pages),
+t as (select html, max(page_id) as top from p group by html),
+h as (select page_id, top, strlen(html) as payload_bytes, sha1(html) as hex from p join t using (html))
+select page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    cast((cast('0x' || substr(hex, 5 * (k // 4) + 1, 5) as bigint) >> (15 - 5 * (k % 4))) & 31 as int) + 1, 1) for k in range(0, 32)], '') as payload_digest,
+  case when page_id < top then 'revisit' else 'response' end as record_type, case when page_id < top then top end as refers_to
+from h
+""",
+    "op5_minhash": r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (
+  select doc_id, unnest(list_distinct(case when len(w) >= 5 then [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end)) as shingle from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+shared as (select x.doc_id as a, y.doc_id as b, count(*) as m from s x join s y on x.shingle = y.shingle and x.doc_id <> y.doc_id group by 1, 2),
+links as (select a, b from shared join n x on x.doc_id = a join n y on y.doc_id = b where 100 * m >= 75 * (x.n + y.n - m)),
+reached(a, b) as (select a, b from links union select r.a, l.b from reached r join links l on l.a = r.b),
+least_of as (select a, min(b) as b from reached group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(least_of.b, d.doc_id)) as component_id, d.doc_id <= coalesce(least_of.b, d.doc_id) as kept
+from d left join n on n.doc_id = d.doc_id left join least_of on least_of.a = d.doc_id
+""",
+    "op7_pivots": """
+with recursive v as (
+  select vec_id, [cast(x as double) for x in embedding] as e from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0),
+links as (select x.vec_id as a, y.vec_id as b from v x join v y on x.vec_id <> y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.95),
+reached(a, b) as (select a, b from links union select r.a, l.b from reached r join links l on l.a = r.b),
+least_of as (select a, min(b) as b from reached group by a),
+n as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n.n, 0) as n_links, least(vec_id, coalesce(least_of.b, vec_id)) as component_id, vec_id <= coalesce(least_of.b, vec_id) as kept
+from embeddings left join least_of on least_of.a = vec_id left join n on n.a = vec_id
 """,
 }

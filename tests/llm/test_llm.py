@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import oracle
 from isohyet.llm import langid, mixing, neardup, ngrams, pieces, quality, textcodes, topk, vectordup, warc, wordpieces
 from isohyet.llm.common import fold
+from isohyet.llm.queries import ORACLES, QUERIES
 
 P = pytest.importorskip("public_tokenizers")
 SF = "/root/testdata/sf0.001"
@@ -348,3 +350,8 @@ def test_mixing_shares_copies_of_one_id(spark):
     plan = {r.doc_id: r.n for r in mixing.mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("n")).collect()}
     got = Counter(r.doc_id for r in mixing.mixed_documents(docs).collect())
     assert got == Counter({k: n for k, n in plan.items() if n})
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_value(spark, name):
+    oracle.compare(spark, name, QUERIES[name], ORACLES[name], SF)
