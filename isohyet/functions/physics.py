@@ -205,10 +205,19 @@ def advected(lon: Column, lat: Column, u: Column, v: Column, hours: float, rate:
     return F.when((x > 360) | (x < 0), F.pmod(x, F.lit(360.0))).otherwise(x), y
 
 
-def boundary_taper(ri: Column, rj: Column, nx: int, ny: int, dx: float, dy: float, width: float) -> Column:
-    """Weight of an update: 0 at the domain's edge, 1 from ``width`` inside it."""
+def boundary_taper(ri: Column, rj: Column, nx: int, ny: int, dx: float, dy: float, width: float, rz: Column | None = None, ceiling: float | None = None) -> Column:
+    """Weight of an update: 0 at the domain's edge, 1 from ``width`` inside it.
+
+    With a ``ceiling`` (``radar_ceiling``, where radar observations are the only ones), it is 0 at heights ``rz`` above that too; null for a null height.
+    """
     edge = F.least(F.least(ri, nx + 1 - ri) * dx, F.least(rj, ny + 1 - rj) * dy)
-    return F.when(ri.isNotNull() & rj.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), edge / width))) if width > 0 else F.lit(1.0)
+    beta = F.when(ri.isNotNull() & rj.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), edge / width))) if width > 0 else F.lit(1.0)
+    return beta if rz is None or ceiling is None else F.when(rz > ceiling, 0.0).when(rz.isNotNull(), beta)
+
+
+def radar_ceiling(top: float, vertical: float, vertical_wind: float, cutoff: float) -> float:
+    """Height above which no radar observation below ``top`` has any weight, by the two vertical scales."""
+    return top + max(vertical, vertical_wind) * cutoff
 
 
 def energy_terms(u: Column, v: Column, t: Column, q: Column, thickness: Column, area: Column, moist: float = 1.0, latent: float = 2.5e6, cp: float = codes.CP_DRY) -> dict[str, Column]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isohyet.functions import codes
+from isohyet.functions import codes, physics
 
 CUTOFF = 3.651483717
 LIMIT2 = 13.33333333
@@ -97,3 +97,27 @@ def nearest_positions(obs: DataFrame, cells: DataFrame, reach: float, most: int
     place = lambda c: F.when(whole, F.coalesce(exact(c), F.sum(F.col(c) * inverse) / F.sum(inverse)))
     found = best.groupBy("obs_id").agg(place("i").alias("oi"), place("j").alias("oj"))
     return obs.select("obs_id").join(found, "obs_id", "left")
+
+
+def containing_positions(obs: DataFrame, points: DataFrame, width: float) -> DataFrame:
+    """(obs_id, oi, oj): place on a curvilinear grid by the cell whose range of longitude and latitude holds it.
+
+    ``obs`` (obs_id, lon, lat) with one row per id, ``points`` (i, j, lon, lat). Of several cells the one with the largest j counts, and of
+    these the one with the smallest i; its corners weigh by inverse squared distance on the sphere, a corner's own place is its own. Outside
+    of all cells, or for a null place, oi and oj are null. Cells and observations meet by an equi-join on buckets of ``width``
+    degrees, a cell in each bucket that it touches; ``width`` should be near a cell's size.
+    """
+    corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
+    owned = points.withColumn("c", corner).select((F.col("i") - F.col("c.a")).alias("i"), (F.col("j") - F.col("c.b")).alias("j"), F.struct("c.a", "c.b", "lon", "lat").alias("corner"))
+    ends = [f(f"corner.{c}").alias(f"{c}_{n}") for c in ("lon", "lat") for n, f in (("low", F.min), ("high", F.max))]
+    cells = owned.groupBy("i", "j").agg(F.collect_list("corner").alias("corners"), *ends).filter(F.size("corners") == 4)
+    bucket = lambda c: F.floor(F.col(c) / width)
+    put = cells.withColumn("bx", F.explode(F.sequence(bucket("lon_low"), bucket("lon_high")))).withColumn("by", F.explode(F.sequence(bucket("lat_low"), bucket("lat_high"))))
+    met = obs.select("obs_id", "lon", "lat", bucket("lon").alias("bx"), bucket("lat").alias("by")).join(put, ["bx", "by"])
+    inside = met.filter(F.col("lon").between(F.col("lon_low"), F.col("lon_high")) & F.col("lat").between(F.col("lat_low"), F.col("lat_high")))
+    last = F.max(F.struct("j", (-F.col("i")).alias("i"), "corners")).alias("cell")
+    weighed = inside.groupBy("obs_id", "lon", "lat").agg(last).select("obs_id", F.inline(F.transform("cell.corners", lambda c: F.struct(
+        (c.a - F.col("cell.i")).alias("i"), (c.b + F.col("cell.j")).alias("j"), physics.great_circle(c.lon, c.lat, F.col("lon"), F.col("lat")).alias("d")))))
+    inverse = 1 / F.nullif(F.col("d") * F.col("d"), F.lit(0.0))
+    place = lambda c: F.coalesce(F.min(F.when(F.col("d") == 0, F.col(c).cast("double"))), F.sum(F.col(c) * inverse) / F.sum(inverse))
+    return obs.select("obs_id").join(weighed.groupBy("obs_id").agg(place("i").alias("oi"), place("j").alias("oj")), "obs_id", "left")

@@ -38,6 +38,34 @@ def _scaled(obs: DataFrame, pressure: float, humidity: float) -> DataFrame:
     return obs.withColumns({"lev": F.col("lev") * level, "dat": F.col("dat") * factor, "err": F.col("err") * factor})
 
 
+HEIGHT = 2567
+LEGACY_HPA_LEVEL = (*(codes.ID[n] for n in ("U", "V", "T", "Q", "RH")), HEIGHT)
+
+
+def legacy_to_si(obs: DataFrame) -> DataFrame:
+    """Units of six-column reports: levels of heights but not of virtual temperature are in hPa, and there are no cyclone elements."""
+    elm = F.col("elm")
+    factor = F.when(elm == codes.ID["PS"], 100.0).when(elm == codes.ID["RH"], 0.01).otherwise(1.0)
+    level = F.when(elm.isin(*LEGACY_HPA_LEVEL), 100.0).otherwise(1.0)
+    return obs.withColumns({"lev": F.col("lev") * level, "dat": F.col("dat") * factor, "err": F.col("err") * factor})
+
+
+def satellite_codes(members: DataFrame, least_level: float, least_cloudy: int, gross: float, coldest: float) -> DataFrame:
+    """obs_id, qc, cloudy and omb of satellite observations, from a row for each member (obs_id, lev, dat, err, x).
+
+    A member's value is negative where it sees cloud. A missing value, or one that stems from above ``least_level``, is bad.
+    The departure from the members' mean may be one error with fewer than ``least_cloudy`` cloudy members, else ``gross`` errors;
+    brightness below ``coldest`` is a gross error. A level, error or member that is null fails no test.
+    """
+    seen = members.groupBy("obs_id").agg(
+        *[F.first(c).alias(c) for c in ("lev", "dat", "err")], F.count_if(F.col("x") < 0).alias("cloudy"), F.avg(F.abs("x")).alias("mean"),
+    ).withColumn("omb", F.col("dat") - F.col("mean"))
+    allowed = F.when(F.col("cloudy") < least_cloudy, 1.0).otherwise(gross) * F.col("err")
+    bad = F.col("dat").isNull() | (F.col("lev") < least_level)
+    far = (F.abs("omb") > allowed) | (F.col("dat") < coldest)
+    return seen.select("obs_id", F.when(bad, codes.BAD_OBS).when(far, codes.GROSS_ERROR).otherwise(codes.GOOD).alias("qc"), "cloudy", "omb")
+
+
 def slot_of(dif: Column, length: float = 3600.0, base: int = 13) -> Column:
     """Tumbling slot whose interval is open below and closed above."""
     return (F.ceil(dif / length - 0.5) + base).cast("int")

@@ -167,3 +167,55 @@ def contingency_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by type and code, and their prefix sums; the window runs over the few groups, not over observations."""
     counts = _departures(spark, sf_dir)[0].groupBy("typ", "qc").agg(F.count("*").alias("n_obs"))
     return counts.withColumn("n_upto", F.sum("n_obs").over(Window.orderBy("typ", "qc").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _rad(c: str) -> str:
+    return f"({c} * {PI} / 180)"
+
+
+@register(f"""with o as (select s_suppkey obs_id, 129.98::double + (s_suppkey * 37 % 230) * 0.0055::double lon, 33.98::double + (s_suppkey * 53 % 180) * 0.006::double lat from supplier),
+g as (select i, j, 130.0::double + 0.05::double * (i + 0.1::double * (j % 3)) lon, 34.0::double + 0.05::double * (j + 0.15::double * (i % 2)) lat from range(1, 26) a(i), range(1, 21) b(j)),
+c as (select a.i, a.j, [a.lon, b.lon, c.lon, d.lon] xs, [a.lat, b.lat, c.lat, d.lat] ys from g a join g b on b.i = a.i + 1 and b.j = a.j join g c on c.i = a.i and c.j = a.j + 1 join g d on d.i = a.i + 1 and d.j = a.j + 1),
+f as (select * from o join c on o.lon between list_min(xs) and list_max(xs) and o.lat between list_min(ys) and list_max(ys) qualify row_number() over (partition by obs_id order by j desc, i) = 1),
+w as (select obs_id, i + (k - 1) % 2 i, j + (k - 1) // 2 j, 1 / power({codes.EARTH_RADIUS} * acos(least(1.0, greatest(-1.0, sin({_rad('ys[k]')}) * sin({_rad('lat')}) + cos({_rad('ys[k]')}) * cos({_rad('lat')}) * cos({_rad('(lon - xs[k])')})))), 2) w from f, range(1, 5) r(k))
+select o.obs_id, round(sum(w.i * w) / sum(w), 4) oi, round(sum(w.j * w) / sum(w), 4) oj from o left join w using (obs_id) group by 1""")
+def containing_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places on a skewed grid by the cell that holds them; those outside have none."""
+    k = F.col("s_suppkey")
+    o = fx.read(spark, sf_dir, "supplier").select(k.alias("obs_id"), (129.98 + k * 37 % 230 * 0.0055).alias("lon"), (33.98 + k * 53 % 180 * 0.006).alias("lat"))
+    g = spark.range(500).select((F.col("id") % 25 + 1).alias("i"), (F.floor(F.col("id") / 25) + 1).alias("j"))
+    g = g.select("i", "j", (130.0 + 0.05 * (F.col("i") + 0.1 * (F.col("j") % 3))).alias("lon"), (34.0 + 0.05 * (F.col("j") + 0.15 * (F.col("i") % 2))).alias("lat"))
+    return rounded(localization.containing_positions(o, g, 0.06), 4)
+
+
+@register(f"""with p as (select vec_id, vec_id % 25 + 1 gi, vec_id // 25 + 1 gj, (vec_id % 23) * 1000.0::double rz from embeddings)
+select vec_id, round(case when rz > 11000 + 2000 * {localization.CUTOFF} then 0 else least(1.0, greatest(0.0, least(least(gi, 26 - gi), least(gj, {fx.ROWS} + 1 - gj)) * 2 / 9.0::double)) end, 6) beta from p""")
+def radar_taper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of an update by radars alone: tapered to the edge, none above what they reach."""
+    k = F.col("vec_id")
+    ceiling = physics.radar_ceiling(11000.0, 1000.0, 2000.0, localization.CUTOFF)
+    beta = physics.boundary_taper(k % 25 + 1, F.floor(k / 25) + 1, fx.NX, fx.rows(spark, sf_dir), 2.0, 2.0, 9.0, k % 23 * 1000.0, ceiling)
+    return fx.read(spark, sf_dir, "embeddings").select("vec_id", F.round(beta, 6).alias("beta"))
+
+
+@register(f"""with o as ({fx.duck_obs()}), r as (select *, case when elm = 2819 then 3074 when elm = 3330 and obs_id % 2 = 0 then 3331 when elm = 3073 and obs_id % 3 = 0 then 2567 else elm end e from o)
+select obs_id, e elm, round(case when e in (2820, 3073, 3330, 3331, 2567) then lev * 100 else lev end, 6) lev, round(dat * case e when 14593 then 100 when 3331 then 0.01::double else 1 end, 6) dat, round(err * case e when 14593 then 100 when 3331 then 0.01::double else 1 end, 6) err from r""")
+def legacy_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six-column reports in SI units."""
+    e, k = F.col("elm"), F.col("obs_id")
+    elm = F.when(e == 2819, 3074).when((e == 3330) & (k % 2 == 0), 3331).when((e == 3073) & (k % 3 == 0), 2567).otherwise(e)
+    return rounded(ob.legacy_to_si(fx.observations(spark, sf_dir).withColumn("elm", elm)).select("obs_id", "elm", "lev", "dat", "err"))
+
+
+@register("""with m as (select vec_id obs_id, (250 + 40 * cast(x as double)) * case when cast(x as double) < -0.1 then -1 else 1 end x from (select vec_id, unnest(embedding) x from embeddings)),
+o as (select vec_id obs_id, case when vec_id % 11 = 0 then null else 235 + vec_id % 31 end::double dat, (15000 + (vec_id % 17) * 3000)::double lev, 4::double err from embeddings),
+s as (select obs_id, count(*) filter (where x < 0) cloudy, avg(abs(x)) mean from m group by 1)
+select obs_id, case when dat is null or lev < 21000 then 50 when abs(dat - mean) > case when cloudy < 14 then 1 else 3.1::double end * err or dat < 238 then 5 else 0 end qc, cloudy, round(dat - mean, 6) omb from o join s using (obs_id)""")
+def satellite_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brightness temperatures: level, departure by the sky that members see, coldest value."""
+    k = F.col("vec_id")
+    x = F.col("c").cast("double")
+    members = fx.read(spark, sf_dir, "embeddings").select(k, F.explode("embedding").alias("c")).select(
+        k.alias("obs_id"), (15000 + k % 17 * 3000).cast("double").alias("lev"), F.when(k % 11 != 0, (235 + k % 31).cast("double")).alias("dat"), F.lit(4.0).alias("err"),
+        ((250 + 40 * x) * F.when(x < -0.1, -1).otherwise(1)).alias("x"))
+    return rounded(ob.satellite_codes(members, 21000.0, 14, 3.1, 238.0))

@@ -9,13 +9,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohyet.operators import observations as ob
+
 CONVENTIONAL = ("elm", "lon", "lat", "lev", "dat", "err", "typ", "dif")
 DEPARTURE = (*CONVENTIONAL, "qc", "omb", "oma")
+LEGACY = CONVENTIONAL[:6]
+
 
+def unpacked(content: bytes, columns: int, strict: bool = False, whole: bool = False) -> np.ndarray:
+    """Rows of a file whose records are ``columns`` float32 between two record lengths.
 
-def unpacked(content: bytes, columns: int, strict: bool = False) -> np.ndarray:
-    """Rows of a file whose records are ``columns`` float32 between two record lengths; a ragged file has no rows, or is an error if ``strict``."""
+    A ragged file has no rows, or is an error if ``strict``; if ``whole``, its whole records are read and the rest is left.
+    """
     words = columns + 2
+    if whole:
+        content = content[: len(content) // (4 * words) * (4 * words)]
     if len(content) % (4 * words):
         if strict:
             raise ValueError(f"a file of {len(content)} bytes is no whole number of records of {columns} values")
@@ -28,13 +36,13 @@ def packed(rows: np.ndarray) -> bytes:
     return np.concatenate([mark, rows.astype("<f4"), mark], axis=1).tobytes()
 
 
-def read_records(spark: SparkSession, path: str, columns: tuple[str, ...] = CONVENTIONAL, strict: bool = False) -> DataFrame:
-    """set_id (file name), idx (from 1) and the columns of each record of the files below ``path``; ragged files are passed over unless ``strict``."""
+def read_records(spark: SparkSession, path: str, columns: tuple[str, ...] = CONVENTIONAL, strict: bool = False, whole: bool = False) -> DataFrame:
+    """set_id (file name), idx (from 1) and the columns of each record of the files below ``path``; ragged files are passed over unless ``strict`` or ``whole``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = unpacked(content, len(columns), strict)
+                rows = unpacked(content, len(columns), strict, whole)
                 data = [pa.array(rows[:, k].astype(float)) for k in range(len(columns))]
                 yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * len(rows), pa.string()), pa.array(np.arange(1, len(rows) + 1)), *data], ["set_id", "idx", *columns])
 
@@ -42,6 +50,11 @@ def read_records(spark: SparkSession, path: str, columns: tuple[str, ...] = CONV
     return files.select("path", "content").mapInArrow(work, "set_id string, idx long, " + ", ".join(f"{c} double" for c in columns))
 
 
+def read_legacy(spark: SparkSession, path: str) -> DataFrame:
+    """Records of six columns in SI units, up to a ragged end."""
+    return ob.legacy_to_si(read_records(spark, path, LEGACY, whole=True))
+
+
 def unpivoted_channels(profiles: DataFrame) -> DataFrame:
     """One row per channel of satellite profiles (elm, typ, lon, lat, bt array); the level is the channel plus 6."""
     return profiles.select("elm", "typ", "lon", "lat", F.posexplode("bt").alias("k", "dat")).withColumn("lev", (F.col("k") + 7).cast("double")).drop("k")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.functions import codes
@@ -51,3 +55,28 @@ def inherited(settings: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     first = settings.filter("typ = 1").select(*[F.col(c).alias("first_" + c) for c in columns])
     own: dict[str, Column] = {c: F.when(F.col(c) < 0, F.col("first_" + c)).otherwise(F.col(c)) for c in columns}
     return settings.join(F.broadcast(first.limit(1))).withColumns(own).drop(*["first_" + c for c in columns])
+
+
+def read_percentiles(spark: SparkSession, path: str, nx: int, ny: int, steps: int) -> DataFrame:
+    """name, i, j, cdf (values at the ``steps`` + 1 percentiles) and zero (share without rain) of each file below ``path``.
+
+    A file holds fields of ``nx`` x ``ny`` float32: percentiles first, and the share as the last of twice as many and two more. A file that is shorter is an error.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        i, j = np.meshgrid(np.arange(1, nx + 1), np.arange(1, ny + 1))
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fields = np.frombuffer(content, "<f4", nx * ny * 2 * (steps + 2)).reshape(-1, nx * ny).astype(float)
+                cdf = pa.ListArray.from_arrays(pa.array(np.arange(nx * ny + 1, dtype=np.int32) * (steps + 1)), pa.array(fields[: steps + 1].T.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * (nx * ny)), pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), cdf, pa.array(fields[-1])], ["name", "i", "j", "cdf", "zero"])
+
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", "content").mapInArrow(work, "name string, i int, j int, cdf array<double>, zero double")
+
+
+def masked(rain: DataFrame, mask: DataFrame | None, everywhere: float = 1e10) -> DataFrame:
+    """Cells (i, j, ...) with the value ``mask`` of a mask table (i, j, mask); without a table, all cells have one that keeps all data."""
+    if mask is None:
+        return rain.withColumn("mask", F.lit(everywhere))
+    return rain.join(mask, ["i", "j"], "left")

@@ -397,3 +397,34 @@ def test_leap_seconds():
     from isohyet.functions import clock
 
     assert len(clock.LEAPS) == 10 and clock.LEAPS[-1].year == 2017
+
+
+def test_legacy_reports_up_to_a_ragged_end(spark, tmp_path):
+    from isohyet.sources.observations import read_legacy
+
+    rows = np.array([[2819, 130, 34, 500, 7, 1], [3331, 130, 34, 500, 80, 10], [14593, 130, 34, 20, 1000, 1], [3074, 130, 34, 500, 280, 1]], np.float32)
+    (tmp_path / "a.dat").write_bytes(packed(rows) + b"12345")
+    got = [(r.lev, round(r.dat, 6), round(r.err, 6)) for r in read_legacy(spark, str(tmp_path)).orderBy("idx").collect()]
+    assert got == [(50000, 7, 1), (50000, 0.8, 0.1), (20, 100000, 100), (500, 280, 1)]
+
+
+def test_percentiles_and_mask(spark, tmp_path):
+    from isohyet.sources.reports import masked, read_percentiles
+
+    fields = np.random.default_rng(2).normal(size=(2 * (4 + 2), 3, 5)).astype("<f4")
+    (tmp_path / "cdf.dat").write_bytes(fields.tobytes())
+    got = read_percentiles(spark, str(tmp_path), 5, 3, 4)
+    rows = {(r.i, r.j): r for r in got.collect()}
+    assert len(rows) == 15 and all(np.allclose(r.cdf, fields[:5, j - 1, i - 1]) and np.isclose(r.zero, fields[-1, j - 1, i - 1]) for (i, j), r in rows.items())
+    assert masked(got, None).filter("mask = 1e10").count() == 15
+    assert masked(got, spark.createDataFrame([(1, 1, 0.5)], "i int, j int, mask double")).filter("mask is not null").count() == 1
+
+
+def test_containing_cell_of_odd_places(spark):
+    from isohyet.operators.localization import containing_positions
+
+    points = spark.createDataFrame([(i, j, 130 + i * 0.5, 30 + j * 0.5) for i in range(1, 5) for j in range(1, 4)], "i int, j int, lon double, lat double")
+    obs = spark.createDataFrame([(1, 131.0, 31.0), (2, None, 31.0), (3, 140.0, 31.0), (4, 131.25, 30.75)], "obs_id int, lon double, lat double")
+    got = {r.obs_id: (r.oi, r.oj) for r in containing_positions(obs, points, 0.6).collect()}
+    assert np.allclose(got[1], (2, 2), atol=1e-6) and got[2] == got[3] == (None, None) and np.allclose(got[4], (2.5, 1.5), atol=1e-2)
+    assert containing_positions(obs.limit(0), points, 0.6).count() == 0 and containing_positions(obs, points.limit(0), 0.6).filter("oi is null").count() == 4
