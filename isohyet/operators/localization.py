@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Mapping
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,24 +57,36 @@ def counted(local: DataFrame) -> DataFrame:
 NO_WEIGHT = 1e-30
 
 
-def local_observations_3d(points: DataFrame, obs: DataFrame, widest: float, dx: float = 1.0, rain_base: float = 85000.0) -> DataFrame:
+RAIN_BASE = 85000.0
+
+
+def with_vertical_place(obs: DataFrame, rain_base: float = RAIN_BASE) -> DataFrame:
+    """``obs`` (elm, typ, lev, dat) with ``base`` and ``by_height``: what its vertical distance from a point is taken from.
+
+    Surface pressure lies at the logarithm of its value, rain at that of ``rain_base``, radar types at their height, all others at the
+    logarithm of their pressure. A null level or value makes a null place, and such an observation is near to nothing.
+    """
+    pressure = (F.col("elm") == codes.ID["PS"]) | (F.col("elm") == codes.ID["PRC"])
+    height = (F.col("typ") == codes.RADAR_TYPE) & ~pressure
+    base = F.when(F.col("elm") == codes.ID["PS"], F.ln("dat")).when(F.col("elm") == codes.ID["PRC"], F.lit(math.log(rain_base))).when(height, F.col("lev")).otherwise(F.ln("lev"))
+    return obs.withColumns({"base": base, "by_height": height})
+
+
+def local_observations_3d(points: DataFrame, obs: DataFrame, widest: float, dx: float = 1.0, rain_base: float = RAIN_BASE) -> DataFrame:
     """(gi, gj, k, obs_id, nd2, rloc, rdiag) in three dimensions, points without an observation included.
 
     ``points`` (gi, gj, k, p, z); ``obs`` (obs_id, elm, typ, ri, rj, lev, dat, err, hori_loc, vert_loc, weight), lengths
     being those of its type and ``weight`` that of its class for the variable; ``widest`` bounds ``hori_loc``.
-    Radar types are apart by height, surface pressure by its value, rain by ``rain_base``, all others by
-    the logarithm of pressure; ``vert_loc`` 0 means any level. Comparisons are strict, so a distance
+    Vertical places are those of ``with_vertical_place``; ``vert_loc`` 0 means any level. Comparisons are strict, so a distance
     equal to the cutoff counts.
     """
     width = widest * CUTOFF / dx
     around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    used = obs.filter(F.col("weight") >= NO_WEIGHT).withColumn("n", F.explode(around))
+    used = with_vertical_place(obs.filter(F.col("weight") >= NO_WEIGHT), rain_base).withColumn("n", F.explode(around))
     spread = used.withColumn("bi", F.floor(F.col("ri") / width) + F.col("n.a")).withColumn("bj", F.floor(F.col("rj") / width) + F.col("n.b")).drop("n").alias("o")
     placed = points.withColumn("bi", F.floor(F.col("gi") / width)).withColumn("bj", F.floor(F.col("gj") / width)).alias("p")
     o, p = (lambda c: F.col("o." + c)), (lambda c: F.col("p." + c))
-    apart = F.when(o("typ") == codes.RADAR_TYPE, F.abs(o("lev") - p("z"))).otherwise(
-        F.abs(F.ln(F.when(o("elm") == codes.ID["PS"], o("dat")).when(o("elm") == codes.ID["PRC"], rain_base).otherwise(o("lev"))) - F.ln(p("p")))
-    )
+    apart = F.abs(o("base") - F.when(o("by_height"), p("z")).otherwise(F.ln(p("p"))))
     nd_v = F.when(o("vert_loc") == 0, 0.0).otherwise(apart / F.nullif(o("vert_loc"), F.lit(0.0)))
     nd_h = F.hypot(p("gi") - o("ri"), p("gj") - o("rj")) * dx / o("hori_loc")
     nd2 = nd_h * nd_h + nd_v * nd_v
@@ -80,6 +96,19 @@ def local_observations_3d(points: DataFrame, obs: DataFrame, widest: float, dx:
     return joined.select("p.gi", "p.gj", "p.k", "o.obs_id", "nd2", "rloc", (o("err") * o("err") / F.col("rloc")).alias("rdiag"))
 
 
+def distances(i: np.ndarray, j: np.ndarray, lp: np.ndarray, z: np.ndarray, obs: Mapping[str, np.ndarray], dx: float) -> np.ndarray:
+    """Squared normalised distances of points (n) and observations (m), as n x m; infinite beyond the cutoffs.
+
+    ``obs`` has arrays ri, rj, base, by_height, hori_loc and vert_loc, as ``with_vertical_place`` gives them.
+    """
+    far = np.hypot(i[:, None] - obs["ri"], j[:, None] - obs["rj"]) * dx / obs["hori_loc"]
+    apart = np.abs(np.where(obs["by_height"], z[:, None], lp[:, None]) - obs["base"])
+    high = np.where(obs["vert_loc"] > 0, apart / np.where(obs["vert_loc"] > 0, obs["vert_loc"], 1.0), 0.0)
+    nd2 = far * far + high * high
+    with np.errstate(invalid="ignore"):
+        return np.where((far <= CUTOFF) & (high <= CUTOFF) & (nd2 <= LIMIT2), nd2, np.inf)
+
+
 def nearest_positions(obs: DataFrame, cells: DataFrame, reach: float, most: int = 4) -> DataFrame:
     """(obs_id, oi, oj): place on a curvilinear grid as the mean of the ``most`` nearest cells, by inverse squared distance.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions import codes
 from isohyet.operators.kernels import spread_factor
-from isohyet.operators.localization import CUTOFF, LIMIT2, NO_WEIGHT
+from isohyet.operators.localization import CUTOFF, NO_WEIGHT, RAIN_BASE, distances, with_vertical_place
 from isohyet.operators.model import simulated
 
 
@@ -116,28 +116,31 @@ def transforms(square: np.ndarray, pull: np.ndarray, inflation: np.ndarray) -> t
 
 def analysis_by_tile(
     state: DataFrame, variables: Sequence[str], obs: DataFrame, weights: Mapping[str, Mapping[int, float]] | None = None, widest: float = 1.0, dx: float = 1.0, tile: int = 8, most: int | None = None,
-    inflation: float = 1.0, least_inflation: float = 0.0, rtpp: float = 0.0, rtps: float = 0.0, moist: Sequence[str] = (), moist_top: float = 0.0,
+    inflation: float = 1.0, least_inflation: float = 0.0, rtpp: float = 0.0, rtps: float = 0.0, moist: Sequence[str] = (), moist_top: float = 0.0, rain_base: float = RAIN_BASE,
 ) -> DataFrame:
     """(gi, gj, k, mem, variables, n_obs): the localized analysis of every point, level and variable.
 
-    ``state`` (gi, gj, k, mem, p, variables, and where given a field ``infl`` of inflation by point and ``beta``, the taper of its
-    update); ``obs`` (obs_id, elm, typ, ri, rj, lev, err, dep, hori_loc, vert_loc, y) with the centred members ``y`` in the order of
+    ``state`` (gi, gj, k, mem, p, variables, and where given heights ``z``, a field ``infl`` of inflation by point and ``beta``, the taper of its
+    update); ``obs`` (obs_id, elm, typ, ri, rj, lev, dat, err, dep, hori_loc, vert_loc, y) with the centred members ``y`` in the order of
     ``mem``. ``weights`` gives, by variable, the weight of elements other than 1; variables with equal weights share a
     transform. At most ``most`` observations of a class (element and type, both reflectivities of a radar being one) count,
     the nearest ones. ``moist`` variables are left as they are where the mean pressure is below ``moist_top``, all are where ``beta`` is 0.
 
     Points and observations meet tile by tile: an observation is sent once to each tile of ``tile`` x ``tile`` columns within
     reach of it, members with it, and a tile's points choose from it there. Its matrices are decomposed together.
-    Vertical distances are those of logarithms of pressure; ``vert_loc`` 0 means any level. Without observations a point keeps its inflated prior.
+    Vertical places are those of ``with_vertical_place``, radar's being heights, which need ``z``; ``vert_loc`` 0 means any level.
+    Without observations a point keeps its inflated prior.
     """
     names, reach = list(variables), widest * CUTOFF / dx
     fields = [c for c in ("infl", "beta") if c in state.columns]
     at = lambda c: F.floor((F.col(c) - 1) / tile).cast("int")
     members = F.array_sort(F.collect_list(F.struct("mem", *names)))
-    points = state.groupBy("gi", "gj", "k").agg(members.alias("s"), F.avg("p").alias("p"), *[F.first(c).alias(c) for c in fields])
-    points = points.select(at("gi").alias("ti"), at("gj").alias("tj"), "gi", "gj", "k", "p", *[F.col("s").getField(v).alias(v) for v in names], F.col("s").getField("mem").alias("mems"), *fields)
+    heights = F.avg("z") if "z" in state.columns else F.lit(None).cast("double")
+    points = state.groupBy("gi", "gj", "k").agg(members.alias("s"), F.avg("p").alias("p"), heights.alias("z"), *[F.first(c).alias(c) for c in fields])
+    points = points.select(at("gi").alias("ti"), at("gj").alias("tj"), "gi", "gj", "k", "p", "z", *[F.col("s").getField(v).alias(v) for v in names], F.col("s").getField("mem").alias("mems"), *fields)
     over = lambda c, n: F.explode(F.sequence(F.floor((F.col(c) - reach - 1) / tile).cast("int"), F.floor((F.col(c) + reach - 1) / tile).cast("int"))).alias(n)
-    sent = obs.select("*", over("ri", "ti")).select("*", over("rj", "tj")).select("ti", "tj", "obs_id", "elm", "typ", "ri", "rj", "lev", "err", "dep", "hori_loc", "vert_loc", "y")
+    placed = with_vertical_place(obs, rain_base)
+    sent = placed.select("*", over("ri", "ti")).select("*", over("rj", "tj")).select("ti", "tj", "obs_id", "elm", "typ", "ri", "rj", "base", "by_height", "err", "dep", "hori_loc", "vert_loc", "y")
     patterns: dict[tuple, list[str]] = {}
     for v in names:
         patterns.setdefault(tuple(sorted(((weights or {}).get(v) or {}).items())), []).append(v)
@@ -150,21 +153,22 @@ def analysis_by_tile(
             return pa.table({c: pa.array([], pa.float64() if c in names else pa.int32()) for c in columns})
         got = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
         matrix = lambda t, c: t[c].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-        gi, gj, k, p = (got(left, c) for c in ("gi", "gj", "k", "p"))
+        gi, gj, k, p, z = (got(left, c) for c in ("gi", "gj", "k", "p", "z"))
         mems = matrix(left, "mems")
         m = mems.shape[1]
         infl = np.maximum(got(left, "infl") if "infl" in fields else np.full(n, float(inflation)), least_inflation or -np.inf)
         beta = got(left, "beta") if "beta" in fields else np.ones(n)
-        ids, elm, typ, ri, rj, lev, err, dep, hori, vert = (got(right, c) for c in ("obs_id", "elm", "typ", "ri", "rj", "lev", "err", "dep", "hori_loc", "vert_loc"))
+        ids, elm, typ, err, dep = (got(right, c) for c in ("obs_id", "elm", "typ", "err", "dep"))
+        places = {c: got(right, c) for c in ("ri", "rj", "base", "by_height", "hori_loc", "vert_loc")}
+        height, lp = z.astype(float), np.log(p)  # heights that are not given are no numbers, and near to nothing
         y = matrix(right, "y") if len(right) else np.zeros((0, m))
         merged = np.where((typ == codes.RADAR_TYPE) & (elm == codes.ID["RE0"]), codes.ID["REF"], elm)
         group = np.unique(np.stack([merged, typ]), axis=1, return_inverse=True)[1].ravel() if len(ids) else ids
         felt: list[tuple[np.ndarray, np.ndarray]] = []
         for j in range(n):
-            far = np.hypot(gi[j] - ri, gj[j] - rj) * dx / hori
-            high = np.where(vert > 0, np.abs(np.log(np.maximum(lev, 1e-300)) - np.log(p[j])) / np.where(vert > 0, vert, 1), 0.0)
-            mine = np.flatnonzero((far <= CUTOFF) & (high <= CUTOFF) & (far * far + high * high <= LIMIT2))
-            nd2 = far[mine] ** 2 + high[mine] ** 2
+            nd2 = distances(gi[j : j + 1], gj[j : j + 1], lp[j : j + 1], height[j : j + 1], places, dx)[0]
+            mine = np.flatnonzero(np.isfinite(nd2))
+            nd2 = nd2[mine]
             if most is not None and len(mine):
                 best = _best(nd2, group[mine], ids[mine], most)
                 mine, nd2 = mine[best], nd2[best]
