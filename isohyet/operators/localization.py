@@ -33,6 +33,8 @@ def local_observations(points: DataFrame, obs: DataFrame, scale: float) -> DataF
 
 
 ORDERS = {"distance": ("nd2", True), "weight": ("rloc", False), "error": ("rdiag", True)}
+CELLS = 6  # cells of the counts in one cutoff
+SAFE = 1 + 1e-9
 
 
 def limit_group(elm: Column, typ: Column) -> Column:
@@ -49,6 +51,58 @@ def limited(local: DataFrame, most: int, order: str = "distance", group: str = "
     return ranked.filter(F.col("rank") <= most)
 
 
+def _bounds(obs: DataFrame, side: float, scale: float, most: int, order: str, slack: float) -> DataFrame:
+    """(ci, cj, grp, most_value, qi, qj, least_d2): cells that a cell's points have to look into for a group, and a bound of the value of their ``most``-th best.
+
+    Only counts by cell move here. Of the rings of cells around a cell, as many as hold ``most`` observations lie within a radius that is sure;
+    the bound is the squared distance to their far corners, or for errors the largest variance in them over its weight.
+    """
+    rings = math.ceil(CUTOFF * scale / side) + 1
+    counts = obs.groupBy("ci", "cj", "grp").agg(F.count("*").alias("n"), F.max(F.col("err") * F.col("err")).alias("worst"), F.min(F.col("err") * F.col("err")).alias("finest"))
+    steps = [(a, b) for a in range(-rings, rings + 1) for b in range(-rings, rings + 1)]
+    apart = lambda d: max(abs(d) - 1, 0) * side / scale  # noqa: E731  least distance of points of two cells, in one direction
+    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(max(abs(a), abs(b))).alias("ring"), F.lit(apart(a) ** 2 + apart(b) ** 2).alias("d2")) for a, b in steps if apart(a) ** 2 + apart(b) ** 2 <= LIMIT2])
+    seen = counts.withColumn("s", F.explode(around)).select((F.col("ci") + F.col("s.a")).alias("ci"), (F.col("cj") + F.col("s.b")).alias("cj"), "grp", "n", "worst", "finest", "s.ring", F.col("ci").alias("qi"), F.col("cj").alias("qj"), F.col("s.d2").alias("least_d2"))
+    within = [F.col("ring") <= t for t in range(rings + 1)]
+    sums = seen.groupBy("ci", "cj", "grp").agg(*[F.sum(F.when(w, F.col("n"))).alias(f"n{t}") for t, w in enumerate(within)], *[F.max(F.when(w, F.col("worst"))).alias(f"worst{t}") for t, w in enumerate(within)])
+    far2 = [2 * ((t + 1) * side / scale) ** 2 for t in range(rings + 1)]
+    value = (lambda t: F.lit(far2[t])) if order != "error" else (lambda t: F.col(f"worst{t}") * F.exp(F.lit(far2[t] / 2)))
+    sure = F.least(*[F.when((F.col(f"n{t}") >= most) & F.lit(far2[t] <= LIMIT2 and far2[t] ** 0.5 <= CUTOFF), value(t)) for t in range(rings + 1)])
+    bound = sums.select("ci", "cj", "grp", F.coalesce(sure * SAFE + slack, F.lit(math.inf)).alias("most_value"))
+    lowest = F.col("least_d2") if order != "error" else F.col("finest") * F.exp(F.col("least_d2") / 2)
+    return seen.join(bound, ["ci", "cj", "grp"]).filter(lowest <= F.col("most_value")).select("ci", "cj", "grp", "most_value", "qi", "qj", "least_d2")
+
+
+def best_local(points: DataFrame, obs: DataFrame, scale: float, most: int, order: str = "distance", group: str = "limit_group", places: int = 9, ranked: bool = True) -> DataFrame:
+    """``limited(local_observations(...))`` with values rounded to ``places``, but of the pairs of points and observations only those are made that can be among the ``most`` best.
+
+    ``obs`` has the column ``group``, as limited() takes it. Counts of observations by small cells give every cell of points, for each group, a radius
+    (for ``error`` a variance) within which its points surely find ``most``; observations are sent to those cells alone that may need them,
+    and a pair beyond the bound is no row. Sparse groups keep the cutoff's whole reach. With ``ranked`` false, the pairs come as they go into the ranking.
+    """
+    side = scale * CUTOFF / CELLS
+    dealt = obs.withColumns({"ci": F.floor(F.col("ri") / side), "cj": F.floor(F.col("rj") / side), "grp": F.col(group)})
+    placed = points.withColumns({"ci": F.floor(F.col("gi") / side), "cj": F.floor(F.col("gj") / side)})
+    cells = placed.select("ci", "cj").distinct()
+    slack = 4 * 10.0**-places * math.exp(LIMIT2 / 2)  # rounded values tie within this
+    wanted = _bounds(dealt, side, scale, most, order, slack).join(cells, ["ci", "cj"], "left_semi")
+    sent = dealt.withColumnsRenamed({"ci": "qi", "cj": "qj"}).join(wanted, ["qi", "qj", "grp"])
+    if order == "error":
+        sent = sent.filter(F.col("err") * F.col("err") * F.exp(F.col("least_d2") / 2) <= F.col("most_value"))
+    met = placed.select("gi", "gj", "ci", "cj").join(sent.drop("qi", "qj", "least_d2"), ["ci", "cj"])
+    nd = F.hypot(F.col("gi") - F.col("ri"), F.col("gj") - F.col("rj")) / scale
+    met = met.withColumn("nd2", nd * nd).filter((nd <= CUTOFF) & (F.col("nd2") <= LIMIT2))
+    met = met.withColumn("rloc", F.exp(-0.5 * F.col("nd2"))).withColumn("rdiag", F.col("err") * F.col("err") / F.col("rloc"))
+    pairs = met.filter(F.col("rdiag" if order == "error" else "nd2") <= F.col("most_value")).drop("ci", "cj", "grp", "most_value")
+    pairs = pairs.withColumns({c: F.round(c, places) for c in ("nd2", "rloc", "rdiag")})
+    if not ranked:
+        return pairs
+    taken = limited(pairs, most, order, group)
+    columns = ["gi", "gj", *obs.columns, "nd2", "rloc", "rdiag", "rank"]
+    bare = points.select("gi", "gj").join(taken.select("gi", "gj"), ["gi", "gj"], "left_anti").withColumn("rank", F.lit(1))
+    return taken.select(*columns).unionByName(bare, allowMissingColumns=True)
+
+
 def counted(local: DataFrame) -> DataFrame:
     """Observations and largest distance of every point, points without any included."""
     return local.groupBy("gi", "gj").agg(F.count("obs_id").alias("n_obs"), F.round(F.sqrt(F.max("nd2")), 6).alias("farthest"))

@@ -193,15 +193,20 @@ def obs_per_point(spark: SparkSession, sf_dir: str) -> DataFrame:
     return localization.counted(_local(spark, sf_dir)[0])
 
 
+def _points_and_good(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    good = _departures(spark, sf_dir)[0].filter("qc = 0").select("obs_id", "elm", "typ", "err", "ri", "rj")
+    return fx.ensemble(spark, sf_dir).select("gi", "gj").distinct(), good
+
+
 def _top(order: str, by: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        local = _local(spark, sf_dir)[0].withColumns({c: F.round(c, 9) for c in ("nd2", "rloc", "rdiag")})
-        return localization.limited(local, 2, order, "typ").select("gi", "gj", "typ", "obs_id", "rank")
+        points, good = _points_and_good(spark, sf_dir)
+        return localization.best_local(points, good, SCALE, 2, order, "typ").select("gi", "gj", "typ", "obs_id", "rank")
 
     def by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-        local = _local(spark, sf_dir)[0].withColumns({c: F.round(c, 9) for c in ("nd2", "rloc", "rdiag")})
-        local = local.withColumn("limit_group", localization.limit_group(F.col("elm"), F.col("typ")))
-        return localization.limited(local, 2, order).select("gi", "gj", "elm", "typ", "obs_id", "rank")
+        points, good = _points_and_good(spark, sf_dir)
+        good = good.withColumn("limit_group", localization.limit_group(F.col("elm"), F.col("typ")))
+        return localization.best_local(points, good, SCALE, 2, order).select("gi", "gj", "elm", "typ", "obs_id", "rank")
 
     query.__name__ = "local_topk_" + {"distance": "dist", "weight": "rloc", "error": "rdiag"}[order]
     register(LOCAL + f""", r as (select gi, gj, typ, obs_id, cast(row_number() over (partition by gi, gj, typ order by round({by}, 9) {'desc' if order == 'weight' else 'asc'}, obs_id) as int) rank from loc)
