@@ -170,7 +170,7 @@ def analysis_by_tile(
             mine = np.flatnonzero(np.isfinite(nd2))
             nd2 = nd2[mine]
             if most is not None and len(mine):
-                best = _best(nd2, group[mine], ids[mine], most)
+                best = _best(np.round(nd2, 9), group[mine], ids[mine], most)
                 mine, nd2 = mine[best], nd2[best]
             felt.append((mine, nd2))
         out = {}

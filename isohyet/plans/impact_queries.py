@@ -97,7 +97,7 @@ good as (select h.obs_id, max(c.val) - avg(h.hx) dep, max(c.err) err, max(c.ri)
 y3 as (select h.obs_id, h.mem, h.hx - avg(h.hx) over (partition by h.obs_id) y from hx3 h join good using (obs_id)),
 pt3 as (select gi, gj, k, avg(p) p from vol group by 1, 2, 3),
 d3 as ({" union all ".join(_kind_sql(*k) for k in KINDS)}),
-n3 as (select *, row_number() over (partition by kind, gi, gj, k order by h2 + v2, obs_id) r from d3 where sqrt(h2) <= 3.651483717 and sqrt(v2) <= 3.651483717 and h2 + v2 <= 13.33333333),
+n3 as (select *, row_number() over (partition by kind, gi, gj, k order by round(h2 + v2, 9), obs_id) r from d3 where sqrt(h2) <= 3.651483717 and sqrt(v2) <= 3.651483717 and h2 + v2 <= 13.33333333),
 one as (select kind, gi, gj, k, obs_id, dep, err * err / exp(-0.5 * (h2 + v2)) r from n3 where r = 1),
 lam as (select kind, gi, gj, k, one.obs_id, max(dep) dep, max(one.r) r, sum(y * y) yy, 15 / {INFLATION}e0 + sum(y * y) / max(one.r) l from one join y3 using (obs_id) group by 1, 2, 3, 4, 5),
 xs as (select kind, gi, gj, k, mem, t, avg(t) over (partition by kind, gi, gj, k) tm from vol, (values ('pressure'), ('surface'), ('rain'), ('radar')) n(kind)),

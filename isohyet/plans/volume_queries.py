@@ -133,7 +133,7 @@ good as (select h.obs_id, max(c.dat) - avg(h.hx) dep, max(c.err) err, max(c.ri)
 y3 as (select h.obs_id, h.mem, h.hx - avg(h.hx) over (partition by h.obs_id) y from hx3 h join good using (obs_id)),
 pt3 as (select gi, gj, k, avg(p) p from vol group by 1, 2, 3),
 d3 as (select pt3.gi, pt3.gj, pt3.k, g.obs_id, g.dep, g.err, (power(gi - ri, 2) + power(gj - rj, 2)) / {LENGTH * LENGTH} h2, power((ln(lev) - ln(p)) / {LENGTH}, 2) v2 from pt3 join good g on abs(gi - ri) < 1.2 and abs(gj - rj) < 1.2),
-n3 as (select *, row_number() over (partition by gi, gj, k order by h2 + v2, obs_id) r from d3 where sqrt(h2) <= 3.651483717 and sqrt(v2) <= 3.651483717 and h2 + v2 <= 13.33333333),
+n3 as (select *, row_number() over (partition by gi, gj, k order by round(h2 + v2, 9), obs_id) r from d3 where sqrt(h2) <= 3.651483717 and sqrt(v2) <= 3.651483717 and h2 + v2 <= 13.33333333),
 one as (select gi, gj, k, obs_id, dep, err * err / exp(-0.5 * (h2 + v2)) r from n3 where r = 1),
 lam as (select gi, gj, k, one.obs_id, max(dep) dep, max(one.r) r, sum(y * y) yy, 15 / {INFLATION}e0 + sum(y * y) / max(one.r) l from one join y3 using (obs_id) group by 1, 2, 3, 4),
 xs as (select gi, gj, k, mem, u, t, avg(u) over w um, avg(t) over w tm from vol window w as (partition by gi, gj, k)),
