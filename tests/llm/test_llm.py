@@ -297,16 +297,55 @@ def test_recall_of_pivots(spark):
 def test_candidates_share_pivots():
     r = np.random.default_rng(1)
     named = np.stack([r.permutation(12)[:8] for _ in range(60)]).astype(np.int32)
-    keys = vectordup._keys(named)
-    seen = set()
-    for key in np.unique(keys).tolist():
-        mine = np.flatnonzero((keys == key).any(axis=1))
-        for i, j in vectordup.candidates(named[mine], key):
-            pairs = set(zip(mine[i].tolist(), mine[j].tolist(), strict=True))
-            assert not pairs & seen
-            seen |= pairs
     shared = lambda a, b, n: len(set(named[a, :n].tolist()) & set(named[b, :n].tolist()))
-    assert seen == {(a, b) for a in range(60) for b in range(a + 1, 60) if shared(a, b, 6) >= 3 and shared(a, b, 8) >= 4}
+    for rule in ((6, 3, 4), (6, 2, 4), (8, 1, 5), (5, 2, 2)):
+        keys = vectordup._keys(named, rule)
+        want = {(a, b) for a in range(60) for b in range(a + 1, 60) if shared(a, b, rule[0]) >= rule[1] and shared(a, b, 8) >= rule[2]}
+        seen, listed = set(), []
+        for key in np.unique(keys).tolist():
+            mine = np.flatnonzero((keys == key).any(axis=1))
+            listed += [(key, k) for k in mine.tolist()]
+            for i, j in vectordup.candidates(named[mine], key, rule):
+                pairs = set(zip(mine[i].tolist(), mine[j].tolist(), strict=True))
+                assert not pairs & seen
+                seen |= pairs
+        assert seen == want
+        rows = np.array([k for _, k in listed])
+        every = [(int(rows[a]), int(rows[b])) for i, j in vectordup.short_candidates(named[rows], np.array([k for k, _ in listed]), rule) for a, b in zip(i, j, strict=True)]
+        assert len(every) == len(set(every)) and set(every) == want
+
+
+@pytest.mark.parametrize("n", [83, 1000, 4096])
+def test_recall_by_number_of_pivots(n):
+    """Pairs at cosines of 0.95 and 0.96, in all 64 dimensions, meet in a list whatever the number of pivots."""
+    r = np.random.default_rng(n)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    pivots, a, side = (unit(r.normal(size=(k, 64))) for k in (n, 1500, 1500))
+    rule = vectordup._rule(unit(r.normal(size=(1024, 64))), pivots.astype(np.float32))
+    side = unit(side - (side * a).sum(axis=1, keepdims=True) * a)
+    for cosine in (0.95, 0.96):
+        x, y = (vectordup.nearest(v, pivots.astype(np.float32)) for v in (a, cosine * a + np.sqrt(1 - cosine**2) * side))
+        met = np.array([len(set(p) & set(q)) for p, q in zip(vectordup._keys(x, rule).tolist(), vectordup._keys(y, rule).tolist(), strict=True)]) > 0
+        shared = np.array([len(set(p) & set(q)) for p, q in zip(x.tolist(), y.tolist(), strict=True)]) >= rule[2]
+        assert (met & shared).mean() >= 0.95
+
+
+@pytest.mark.parametrize("alike", [0.0, 0.5, 0.85, 0.93])
+def test_vectors_that_are_all_alike(spark, alike):
+    """All vectors share a direction, so that no two are far apart; links are found, and lists stay shorter than the table."""
+    r = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(r.normal(size=(2500, 48)))
+    base = np.concatenate([base, unit(base[:200] + 0.25 * unit(r.normal(size=(200, 48))))])
+    every = np.concatenate([np.sqrt(1 - alike) * base, np.full((len(base), 1), np.sqrt(alike))], axis=1)
+    close = (every @ every.T >= 0.95) & ~np.eye(len(every), dtype=bool)
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(every)], "vec_id long, embedding array<double>")
+    found = {x.vec_id: x.n_links for x in vectordup.near_duplicate_vectors(rows).collect()}
+    assert close.sum() >= 300 and all(found[k] <= n for k, n in enumerate(close.sum(axis=1)))
+    assert sum(found.values()) >= 0.93 * close.sum()
+    drawn, rule = vectordup._pivots(rows.selectExpr("embedding vector"), len(every), 49)
+    lists = np.unique(vectordup._keys(vectordup.nearest(every, drawn), rule), return_counts=True)[1]
+    assert len(drawn) >= 16 and lists.max() < 0.6 * len(every)
 
 
 def test_voting_against_brute_force(spark):
