@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.functions import codes, physics
+from isohyet.operators import tiles
 from isohyet.operators.localization import CUTOFF, RAIN_BASE, distances, with_vertical_place
 
 REFERENCE_T, REFERENCE_P = 280.0, 1.0e5
 TERMS = ("ke", "pe", "me")
-OBS_OF_A_TASK = 20_000
 
 
 def by_region(impact: DataFrame, bound: float = 20.0, keys: Sequence[str] = ()) -> DataFrame:
@@ -97,7 +97,7 @@ def advected_points(points: DataFrame, hours: float, rate: float = 1.0) -> DataF
     return points.withColumns({"lon": lon, "lat": lat})
 
 
-def three_term_impact(points: DataFrame, products: DataFrame, obs: DataFrame, widest: float, dx: float = 1.0, tile: int = 8, rain_base: float = RAIN_BASE, of_a_task: int = OBS_OF_A_TASK) -> DataFrame:
+def three_term_impact(points: DataFrame, products: DataFrame, obs: DataFrame, widest: float, dx: float = 1.0, tile: int = 8, rain_base: float = RAIN_BASE, of_a_task: int = tiles.OBS_OF_A_TASK) -> DataFrame:
     """(obs_id, ke, pe, me): the estimated change of the forecast's error energy by each observation, negative where it helped.
 
     ``points`` (gi, gj, k, xi, xj, p, z) with the place (xi, xj) about which a point looks for observations, advected or its own; ``products`` of
@@ -109,17 +109,13 @@ def three_term_impact(points: DataFrame, products: DataFrame, obs: DataFrame, wi
     row per observation, so no pair of a point and an observation is ever a row.
     """
     reach = widest * CUTOFF / dx
-    at = lambda c: F.floor((F.col(c) - 1) / tile).cast("int")
     over = lambda c, n: F.explode(F.sequence(F.floor((F.col(c) - reach - 1) / tile).cast("int"), F.floor((F.col(c) + reach - 1) / tile).cast("int"))).alias(n)
     placed = with_vertical_place(obs, rain_base).select("*", over("ri", "ti")).select("*", over("rj", "tj"))
-    shares = placed.groupBy("ti", "tj").count().select("ti", "tj", F.ceil(F.col("count") / of_a_task).cast("int").alias("parts"))
-    sent = placed.join(shares, ["ti", "tj"]).select("ti", "tj", F.pmod(F.hash("obs_id"), F.col("parts")).alias("part"), "obs_id", "ri", "rj", "base", "by_height", "hori_loc", "vert_loc", "err", "dep", "y")
-    located = points.select("gi", "gj", "k", at("xi").alias("ti"), at("xj").alias("tj"), "xi", "xj", "p", "z").join(products, ["gi", "gj", "k"]).join(shares, ["ti", "tj"])
-    dealt = located.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sent = placed.select("ti", "tj", "obs_id", "ri", "rj", "base", "by_height", "hori_loc", "vert_loc", "err", "dep", "y")
+    located = points.select("gi", "gj", "k", tiles.tile_of(F.col("xi"), tile).alias("ti"), tiles.tile_of(F.col("xj"), tile).alias("tj"), "xi", "xj", "p", "z").join(products, ["gi", "gj", "k"])
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
-        matrix = lambda t, c: t[c].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+        got, matrix = tiles.values, tiles.matrix
         ids = got(right, "obs_id")
         sums = {c: np.zeros(len(ids)) for c in TERMS}
         if len(left) and len(right):
@@ -136,7 +132,7 @@ def three_term_impact(points: DataFrame, products: DataFrame, obs: DataFrame, wi
                     sums[c][a : a + 1024] = ((weight.T @ energy[c]) * y[a : a + 1024]).sum(axis=1) * scale[a : a + 1024]
         return pa.table({"obs_id": pa.array(ids, pa.int64()), **sums})
 
-    parts = dealt.select("ti", "tj", "part", "gi", "gj", "k", "xi", "xj", "p", "z", *TERMS).groupBy("ti", "tj", "part").cogroup(sent.groupBy("ti", "tj", "part")).applyInArrow(work, "obs_id long, ke double, pe double, me double")
+    parts = tiles.together(located, sent, work, "obs_id long, ke double, pe double, me double", of_a_task)
     return parts.groupBy("obs_id").agg(*[F.sum(c).alias(c) for c in TERMS])
 
 

@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.functions import codes
+from isohyet.functions import codes, geometry, physics
+from isohyet.operators import tiles
 from isohyet.operators.kernels import spread_factor
 from isohyet.operators.localization import CUTOFF, NO_WEIGHT, RAIN_BASE, distances, with_vertical_place
-from isohyet.operators.model import simulated
+from isohyet.operators.model import simulated, simulated_radar
 
 
 def _corners(obs: DataFrame, axes: Sequence[tuple[str, str]]) -> DataFrame:
@@ -42,54 +43,80 @@ def interpolated(obs: DataFrame, state: DataFrame, variables: Sequence[str]) ->
     return sums.filter("abs(whole - 1) < 1e-9").drop("whole")
 
 
-def columns_at(obs: DataFrame, state: DataFrame, variables: Sequence[str]) -> DataFrame:
-    """(obs_id, mem, k, lp, variables): each member's column above an observation, ``lp`` being the logarithm of pressure."""
-    corners = _corners(obs.select("obs_id", "ri", "rj"), (("ri", "gi"), ("rj", "gj"))).select("obs_id", "gi", "gj", "wt")
-    met = corners.join(state.select("gi", "gj", "k", "mem", F.ln("p").alias("lp"), *variables), ["gi", "gj"])
-    return met.groupBy("obs_id", "mem", "k").agg(*[F.sum(F.col("wt") * F.col(v)).alias(v) for v in ("lp", *variables)])
+def with_humidity(state: DataFrame) -> DataFrame:
+    """``state`` (t, q, p) with relative humidity ``rh`` and terrain ``topo``, where it lacks them; terrain is then 0."""
+    rh = F.col("rh") if "rh" in state.columns else physics.relative_humidity(F.col("t"), F.col("q"), F.col("p"))
+    topo = F.col("topo") if "topo" in state.columns else F.lit(0.0)
+    return state.withColumns({"rh": rh, "topo": topo})
 
 
-def observed(obs: DataFrame, state: DataFrame, variables: Sequence[str] = ("u", "v", "t", "q")) -> DataFrame:
+def observed(obs: DataFrame, state: DataFrame) -> DataFrame:
     """(obs_id, mem, qc, hx): the observation operator on each member's own column.
 
     ``obs`` (obs_id, elm, ri, rj, lev, qc) has pressures as levels, and heights for surface elements; ``state`` (gi, gj, k,
-    mem, p, variables) has its lowest level first. Upper-air elements are interpolated in the logarithm of pressure between the
-    levels around them, with codes above and below the model; surface pressure is that of the lowest level, whose temperature and moisture adjust it.
-    Observations with a code have no rows, nor have those beside the grid; rows with a code of their own have no value.
+    mem, p, u, v, t, q, and where given rh and topo) has its lowest level first. Upper-air elements, relative humidity among them, are interpolated in the
+    logarithm of pressure between the levels around them, with codes above and below the model; surface pressure is that of the lowest level, whose
+    temperature and moisture adjust it from the terrain to the station. Observations with a code have no rows, nor have those beside the
+    grid; rows with a code of their own have no value.
     """
     good = obs.filter("qc = 0")
-    column = columns_at(good, state, variables).join(good.select("obs_id", F.ln("lev").alias("at")), "obs_id")
-    level = F.struct("k", "lp", *variables)
-    found = column.groupBy("obs_id", "mem").agg(
-        F.max_by(level, F.when(F.col("lp") >= F.col("at"), F.col("k"))).alias("lo"), F.min_by(level, F.when(F.col("lp") < F.col("at"), F.col("k"))).alias("hi"),
-        F.min_by(level, "k").alias("first"), F.first("at").alias("at"),
-    )
     upper = F.col("elm") <= 9999
-    share = F.when(F.col("hi").isNull(), 0.0).otherwise((F.col("at") - F.col("lo.lp")) / (F.col("hi.lp") - F.col("lo.lp")))
-    own = {v: F.when(upper, F.when(F.col("hi").isNull(), F.col(f"lo.{v}")).otherwise(F.col(f"lo.{v}") * (1 - share) + F.col(f"hi.{v}") * share)).otherwise(F.col(f"first.{v}")) for v in variables}
-    joined = good.select("obs_id", "elm", "lev").join(found, "obs_id")
-    top = F.col("hi").isNull() & (F.col("at") < F.col("lo.lp"))
-    code = F.when(upper & F.col("lo").isNull(), codes.BELOW_MODEL).when(upper & top, codes.ABOVE_MODEL).otherwise(codes.GOOD)
-    surface = {"ps": F.exp("first.lp"), "t2": F.col("first.t"), "q2": F.col("first.q"), "topo": F.lit(0.0), "rk": F.when(~upper, F.col("lev"))}
-    ready = joined.select("obs_id", "mem", "elm", code.alias("qc"), *[c.alias(n) for n, c in (own | surface | {"rh": F.lit(None).cast("double")}).items()])
+    placed = good.select("obs_id", "ri", "rj", F.when(upper, F.ln("lev")).otherwise(0.0).alias("at"))
+    found = tiles.columns_at(placed, with_humidity(state).withColumn("lp", F.ln("p")), "lp", ("u", "v", "t", "q", "rh", "topo"), downward=True)
+    joined = found.join(good.select("obs_id", "elm", "lev"), "obs_id")
+    code = F.when(upper & (F.col("inside") < 0), codes.BELOW_MODEL).when(upper & (F.col("inside") > 0), codes.ABOVE_MODEL).otherwise(codes.GOOD)
+    surface = {"ps": F.exp("lp_1"), "t2": F.col("t_1"), "q2": F.col("q_1"), "topo": F.col("topo_1"), "rk": F.when(~upper, F.col("lev"))}
+    ready = joined.select("obs_id", "mem", "elm", code.alias("qc"), "u", "v", "t", "q", "rh", *[c.alias(n) for n, c in surface.items()])
     return simulated(ready).select("obs_id", "mem", "qc", F.when(F.col("qc") == 0, F.col("hx")).alias("hx"))
 
 
+RADAR_VARIABLES = ("u", "v", "w", "t", "p", "q", "qc", "qr", "qi", "qs", "qg")
+RADAR_METHODS = (1, 2, 3)
+
+
+def observed_radar(obs: DataFrame, state: DataFrame, site: tuple[float, float, float], method: int = 3, fall: bool = True, least: float = 10.0, least_dbz: float = 10.0, shift: float = 0.0) -> DataFrame:
+    """(obs_id, mem, qc, hx): reflectivity in dBZ, or wind along the beam of the radar at ``site`` (lon, lat, z), of each member.
+
+    ``obs`` (obs_id, elm, lon, lat, ri, rj, lev, qc) has heights as levels; ``state`` (gi, gj, k, mem, z and RADAR_VARIABLES) has its lowest level first.
+    All eleven variables are interpolated between the levels around the height. ``method`` is that of the reflectivity; with ``fall`` the particles'
+    fall speed is taken off the vertical wind. Codes are those of ``simulated_radar``, and those above and below the model, which have no value.
+    """
+    if method not in RADAR_METHODS:
+        raise ValueError(f"method {method} is none of {RADAR_METHODS}")
+    good = obs.filter("obs_id is not null and qc = 0")
+    found = tiles.columns_at(good.select("obs_id", "ri", "rj", F.col("lev").alias("at")), state, "z", RADAR_VARIABLES, downward=False)
+    gas = codes.R_DRY * (1 - F.col("q") - F.col("qc") - F.col("qr") - F.col("qi") - F.col("qs") - F.col("qg")) + codes.R_VAPOUR * F.col("q")
+    air = found.withColumn("rho", F.col("p") / (gas * F.col("t")))
+    if method == 1:
+        echo = air.withColumns({"ref": physics.reflectivity_of_total(F.col("rho"), F.col("qr"), F.col("qs"), F.col("qg")), "fall": physics.terminal_velocity(F.col("qr") + F.col("qs") + F.col("qg"), F.col("p"))})
+    else:
+        echo = physics.with_reflectivity_by_species(air) if method == 2 else physics.with_reflectivity_melting(air)
+    met = echo.select("obs_id", "mem", "inside", "u", "v", "w", "ref", "fall").join(good.select("obs_id", "elm", "lon", "lat", "lev"), "obs_id")
+    azimuth, elevation = geometry.beam(F.col("lon"), F.col("lat"), F.col("lev"), tuple(F.lit(float(x)) for x in site))
+    met = met.withColumns({"az": azimuth, "el": elevation})
+    code = F.when(F.col("inside") < 0, codes.BELOW_MODEL).when(F.col("inside") > 0, codes.ABOVE_MODEL).otherwise(codes.GOOD)
+    met = met.withColumns({"vr": physics.radial_velocity(F.col("u"), F.col("v"), F.col("w"), F.col("az"), F.col("el"), F.col("fall") if fall else None), "qc": code})
+    told = simulated_radar(met, least, least_dbz, shift)
+    return told.select("obs_id", "mem", "qc", F.when(F.col("inside") == 0, F.col("hx")).alias("hx"))
+
+
 def simulated_fields(state: DataFrame, elements: Sequence[str]) -> DataFrame:
-    """(gi, gj, k, mem, elm, hx, qc): what would be observed at every grid point, for each element by name."""
-    rows = state.withColumn("elm", F.explode(F.array(*[F.lit(codes.ID[e]) for e in elements])))
-    surface = {"ps": F.col("p"), "t2": F.col("t"), "q2": F.col("q"), "topo": F.lit(0.0), "rk": F.lit(0.0), "rh": F.lit(None).cast("double"), "qc": F.lit(0)}
+    """(gi, gj, k, mem, elm, hx, qc): what would be observed at every grid point, for each element by name; surface pressure at the terrain's height."""
+    rows = with_humidity(state).withColumn("elm", F.explode(F.array(*[F.lit(codes.ID[e]) for e in elements])))
+    surface = {"ps": F.col("p"), "t2": F.col("t"), "q2": F.col("q"), "rk": F.col("topo"), "qc": F.lit(0)}
     return simulated(rows.withColumns(surface)).select("gi", "gj", "k", "mem", "elm", "hx", "qc")
 
 
 def to_history(state: DataFrame) -> DataFrame:
     """The diagnostic table of a state (gi, gj, k, mem, u, v, t, p, q, height): each level with its column's surface values.
 
-    Terrain is the lowest level's height, surface pressure, wind, temperature and moisture are that level's; relative humidity is not filled.
+    Terrain is that of the state, or the lowest level's height; surface pressure, wind, temperature and moisture are that level's.
     """
     first = state.groupBy("gi", "gj", "mem").agg(F.min_by(F.struct("height", "p", "u", "v", "t", "q"), "k").alias("s"))
     named = {"topo": "height", "ps": "p", "u10": "u", "v10": "v", "t2": "t", "q2": "q"}
-    return state.join(first, ["gi", "gj", "mem"]).select(*state.columns, *[F.col(f"s.{c}").alias(n) for n, c in named.items()], F.lit(None).cast("double").alias("rh"))
+    rh = physics.relative_humidity(F.col("t"), F.col("q"), F.col("p"))
+    named = {n: c for n, c in named.items() if n not in state.columns}
+    return state.join(first, ["gi", "gj", "mem"]).select(*state.columns, *[F.col(f"s.{c}").alias(n) for n, c in named.items()], *([] if "rh" in state.columns else [rh.alias("rh")]))
 
 
 def land(topo: Column) -> Column:

@@ -9,7 +9,7 @@ from isohyet.functions import codes
 from isohyet.operators import impact, volume
 from isohyet.plans import fixtures as fx
 from isohyet.plans.registry import register, rounded
-from isohyet.plans.volume_queries import HX3, INFLATION, VCODED, _felt, _volume
+from isohyet.plans.volume_queries import HX3, INFLATION, PLAIN_HEAD, VCODED, _felt, _volume
 
 LENGTH = 0.3
 _POINT = Window.partitionBy("gi", "gj", "k")
@@ -73,9 +73,10 @@ def efso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(told.select("obs_id", "elm", "typ", *[(F.col(c) * 1e6).alias(c) for c in impact.TERMS]), 4)
 
 
-@register(EFSO + """, e1 as (select typ, elm, lat, term, case term when 'ke' then ke when 'pe' then pe when 'me' then me else ke + pe + me end impact from im, (values ('ke'), ('pe'), ('me'), ('all')) n(term)),
-r1 as (select *, case when lat > 0.5 then 'NH' when lat < -0.5 then 'SH' else 'TR' end region from e1)
-select term, typ, region, elm, count(*) n_obs, round(sum(impact) * 1e6, 3) total, round(100 * avg(case when impact < 0 then 1 else 0 end), 6) percent_negative from r1 group by grouping sets ((term, typ, region, elm), (term, typ))""")
+@register(EFSO + """, e1 as (select typ, elm, lat, term, case term when 1 then ke when 2 then pe when 3 then me else ke + pe + me end impact from im, range(1, 5) n(term)),
+r1 as (select *, case when lat > 0.5 then 1 when lat < -0.5 then -1 else 0 end region from e1),
+t1 as (select term, typ, region, elm, count(*) n_obs, round(sum(impact) * 1e6, 3) total, round(100 * avg(case when impact < 0 then 1 else 0 end), 6) percent_negative from r1 group by grouping sets ((term, typ, region, elm), (term, typ)))
+select case term when 1 then 'ke' when 2 then 'pe' when 3 then 'me' else 'all' end term, typ, case region when 1 then 'NH' when -1 then 'SH' when 0 then 'TR' end region, elm, n_obs, total, percent_negative from t1""")
 def efso_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The impacts of ``efso`` by term, type, region and element."""
     told = impact.report(_impacts(spark, sf_dir), 0.5)
@@ -92,7 +93,7 @@ def _kind_sql(name: str, elm: int, typ: int, base: str, own: str) -> str:
 
 
 VALUE = "60000 + 80 * dat"
-ONE_OF_A_KIND = VCODED.replace("select * exclude (lev), case when elm = 14593 then lev / 900 else lev end lev,", "select * exclude (elm, typ, dat), 3073 elm, 1 typ, 250 + dat / 10 val, " + VALUE + " dat,") + HX3 + f""",
+ONE_OF_A_KIND = VCODED.replace(PLAIN_HEAD, "select * exclude (elm, typ, dat), 3073 elm, 1 typ, 250 + dat / 10 val, " + VALUE + " dat,") + HX3 + f""",
 good as (select h.obs_id, max(c.val) - avg(h.hx) dep, max(c.err) err, max(c.ri) ri, max(c.rj) rj, max(c.lev) lev, max(c.dat) dat from hx3 h join cell c using (obs_id) group by 1 having max(h.qc) = 0),
 y3 as (select h.obs_id, h.mem, h.hx - avg(h.hx) over (partition by h.obs_id) y from hx3 h join good using (obs_id)),
 pt3 as (select gi, gj, k, avg(p) p from vol group by 1, 2, 3),

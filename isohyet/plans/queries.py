@@ -10,6 +10,7 @@ from isohyet.operators import kernels, localization, superob, volume
 from isohyet.operators import observations as ob
 from isohyet.plans import fixtures as fx
 from isohyet.plans.registry import register, rounded
+from isohyet.sources import states
 
 OBS = f"with obs as ({fx.duck_obs()}), ens as ({fx.ENS_DUCK}),\n"
 CODED = f"""coded as (select *, cast(ceil(dif / 3600 - 0.5) as int) + 13 slot,
@@ -194,8 +195,10 @@ def obs_per_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points_and_good(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    good = _departures(spark, sf_dir)[0].filter("qc = 0").select("obs_id", "elm", "typ", "err", "ri", "rj")
-    return fx.ensemble(spark, sf_dir).select("gi", "gj").distinct(), good
+    """Points and good observations, these as a table, since counts and pairs both read them."""
+    path = states.scratch(spark, "good")
+    _departures(spark, sf_dir)[0].filter("qc = 0").select("obs_id", "elm", "typ", "err", "ri", "rj").write.parquet(path)
+    return fx.ensemble(spark, sf_dir).select("gi", "gj").distinct(), spark.read.parquet(path)
 
 
 def _top(order: str, by: str) -> None:

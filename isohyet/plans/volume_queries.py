@@ -14,26 +14,31 @@ from isohyet.plans.registry import register, rounded
 from isohyet.sources import states
 
 VCODED = f"""with obs as ({fx.duck_obs()}), vol as ({fx.VOLUME_DUCK}),
-coded as (select * exclude (lev), case when elm = 14593 then lev / 900 else lev end lev, 1 + (obs_id * 7 % 31) / cast(10 as double) rk, cast(ceil(dif / 3600 - 0.5) as int) + 13 slot,
+coded as (select * exclude (lev, elm), case when elm = 3330 and obs_id % 2 = 1 then 3331 else elm end elm, case when elm = 14593 then lev / 900 else lev end lev, 1 + (obs_id * 7 % 31) / cast(10 as double) rk, cast(ceil(dif / 3600 - 0.5) as int) + 13 slot,
   case when not (ri between 1 and 25 and rj between 1 and {fx.ROWS}) then 98 when not (cast(ceil(dif / 3600 - 0.5) as int) + 13 between 3 and 23) then 97 else 0 end qc from obs),
 cell as (select *, greatest(cast(ceil(ri) as int) - 1, 1) i, greatest(cast(ceil(rj) as int) - 1, 1) j, greatest(cast(ceil(rk) as int) - 1, 1) l from coded where qc = 0),
 """
 #: The observation operator in SQL, over ``cell``.
-HX3 = """prof as (select c.obs_id, v.mem, v.k, sum((1 - abs(ri - gi)) * (1 - abs(rj - gj)) * ln(p)) lp, sum((1 - abs(ri - gi)) * (1 - abs(rj - gj)) * u) u, sum((1 - abs(ri - gi)) * (1 - abs(rj - gj)) * v.v) v,
-  sum((1 - abs(ri - gi)) * (1 - abs(rj - gj)) * t) t, sum((1 - abs(ri - gi)) * (1 - abs(rj - gj)) * q) q from cell c join vol v on gi in (i, i + 1) and gj in (j, j + 1) group by 1, 2, 3),
+HX3 = """volr as (select *, q * p * 0.01 / (0.378 * q + 0.622) / case when t >= 273.15e0 then 6.11 * exp(17.3 * (t - 273.15) / (237.3 + t - 273.15)) when t - 273.15 <= -15 then 6.1121 * exp(22.587 * (t - 273.15) / (273.86 + t - 273.15))
+  else (6.11 * exp(17.3 * (t - 273.15) / (237.3 + t - 273.15)) * (15 + t - 273.15) - 6.1121 * exp(22.587 * (t - 273.15) / (273.86 + t - 273.15)) * (t - 273.15)) / 15 end rh, 2.0e0 * gi + gj topo from vol),
+prof as (select c.obs_id, v.mem, v.k, sum((1 - abs(ri - gi)) * (1 - abs(rj - gj)) * ln(p)) lp, sum((1 - abs(ri - gi)) * (1 - abs(rj - gj)) * u) u, sum((1 - abs(ri - gi)) * (1 - abs(rj - gj)) * v.v) v,
+  sum((1 - abs(ri - gi)) * (1 - abs(rj - gj)) * t) t, sum((1 - abs(ri - gi)) * (1 - abs(rj - gj)) * q) q,
+  sum((1 - abs(ri - gi)) * (1 - abs(rj - gj)) * rh) rh, sum((1 - abs(ri - gi)) * (1 - abs(rj - gj)) * topo) topo from cell c join volr v on gi in (i, i + 1) and gj in (j, j + 1) group by 1, 2, 3),
 near as (select p.obs_id, p.mem, max(case when lp >= ln(c.lev) then p.k end) lo, min(case when lp < ln(c.lev) then p.k end) hi from prof p join cell c using (obs_id) group by 1, 2),
-lev2 as (select n.obs_id, n.mem, c.elm, c.lev, a.k ka, b.k kb, coalesce((ln(c.lev) - a.lp) / (b.lp - a.lp), 0) s, a.lp alp, a.u au, a.v av, a.t at_, a.q aq, coalesce(b.u, 0) bu, coalesce(b.v, 0) bv, coalesce(b.t, 0) bt, coalesce(b.q, 0) bq, exp(f.lp) ps, f.t ft, f.q fq
+lev2 as (select n.obs_id, n.mem, c.elm, c.lev, a.k ka, b.k kb, coalesce((ln(c.lev) - a.lp) / (b.lp - a.lp), 0) s, a.lp alp, a.u au, a.v av, a.t at_, a.q aq, a.rh ar, coalesce(b.rh, 0) br, f.topo, coalesce(b.u, 0) bu, coalesce(b.v, 0) bv, coalesce(b.t, 0) bt, coalesce(b.q, 0) bq, exp(f.lp) ps, f.t ft, f.q fq
   from near n join cell c using (obs_id) join prof f on f.obs_id = n.obs_id and f.mem = n.mem and f.k = 1 left join prof a on a.obs_id = n.obs_id and a.mem = n.mem and a.k = n.lo left join prof b on b.obs_id = n.obs_id and b.mem = n.mem and b.k = n.hi),
-hx3 as (select obs_id, mem, elm, case when elm > 9999 then case when abs(lev) > 100 then 10 else 0 end when ka is null then 21 when kb is null and ln(lev) < alp then 20 else 0 end qc,
-  case elm when 2819 then au * (1 - s) + bu * s when 2820 then av * (1 - s) + bv * s when 3073 then at_ * (1 - s) + bt * s when 3330 then aq * (1 - s) + bq * s
-  else ps * power((ft * (1 + 0.608 * fq) - 0.005 * lev) / (ft * (1 + 0.608 * fq)), 9.81 / (0.005 * 287.05)) end hx from lev2)
+hx3 as (select obs_id, mem, elm, case when elm > 9999 then case when abs(lev - topo) > 100 then 10 else 0 end when ka is null then 21 when kb is null and ln(lev) < alp then 20 else 0 end qc,
+  case elm when 2819 then au * (1 - s) + bu * s when 2820 then av * (1 - s) + bv * s when 3073 then at_ * (1 - s) + bt * s when 3330 then aq * (1 - s) + bq * s when 3331 then ar * (1 - s) + br * s
+  else ps * power((ft * (1 + 0.608 * fq) - 0.005 * (lev - topo)) / (ft * (1 + 0.608 * fq)), 9.81 / (0.005 * 287.05)) end hx from lev2)
 """
 
 
 def _volume(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Observations with codes and levels, heights for surface pressure, and the state."""
+    """Observations with codes and levels, heights for surface pressure, one half of humidities relative, and the state with its terrain."""
     state, ny = fx.volume(spark, sf_dir)
-    obs = fx.observations(spark, sf_dir).withColumns({"lev": F.when(F.col("elm") == codes.ID["PS"], F.col("lev") / 900).otherwise(F.col("lev")), "rk": 1 + (F.col("obs_id") * 7 % 31) / F.lit(10.0)})
+    state = state.withColumn("topo", 2.0 * F.col("gi") + F.col("gj"))
+    humid = F.when((F.col("elm") == codes.ID["Q"]) & (F.col("obs_id") % 2 == 1), codes.ID["RH"]).otherwise(F.col("elm"))
+    obs = fx.observations(spark, sf_dir).withColumns({"elm": humid, "lev": F.when(F.col("elm") == codes.ID["PS"], F.col("lev") / 900).otherwise(F.col("lev")), "rk": 1 + (F.col("obs_id") * 7 % 31) / F.lit(10.0)})
     return ob.position_code(obs, fx.NX, ny, fx.FIRST_SLOT, fx.LAST_SLOT), state
 
 
@@ -52,6 +57,35 @@ def obs_operator_3d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(volume.observed(obs, state), 5)
 
 
+#: A radar's place, and a state with vertical wind, particles and heights, of the columns of the volume.
+SITE = (130.1, 34.1, 50.0)
+PARTICLES = """select gi, gj, k, mem, u, v, t, p, q, (u - 50) / 40 w, 500.0e0 * (k - 1) + 10 * gi + 5 * gj z, 0.0e0 qc, 0.0e0 qi, 0.0010e0 * f qr, 0.0005e0 * f qs, 0.0002e0 * f qg
+  from (select *, case when gi % 5 = 0 then 0.001e0 else 1.0e0 end * (1 + (u - 50) / 40) f from {vol}) x"""
+_AT = ", ".join(f"sum((1 - abs(ri - gi)) * (1 - abs(rj - gj)) * s.{c}) {c}" for c in ("z", "u", "v", "w", "t", "p", "q", "qr", "qs", "qg"))
+_BETWEEN = ", ".join(f"a.{c} * (1 - s) + b.{c} * s {c}" for c in ("u", "v", "w", "t", "p", "q", "qr", "qs", "qg"))
+RAD = "3.1415926535e0 / 180"
+
+
+@register(VCODED + f"""part as ({PARTICLES.format(vol="vol")}), o as (select *, 100 + obs_id * 37 % 2200 height, 130 + 0.01e0 * ri lon, 34 + 0.01e0 * rj lat, case when obs_id % 2 = 0 then 4001 else 4002 end e from cell),
+pr as (select o.obs_id, s.mem, s.k, {_AT} from o join part s on gi in (i, i + 1) and gj in (j, j + 1) group by 1, 2, 3),
+nr as (select obs_id, mem, max(case when z <= height then k end) lo, min(case when z > height then k end) hi from pr join o using (obs_id) group by 1, 2),
+lv as (select n.obs_id, n.mem, coalesce(lo, 1) lo, coalesce(hi, 4) hi, case when lo is null then 21 when hi is null then 20 else 0 end place from nr n),
+va as (select l.obs_id, l.mem, place, case when a.k = b.k then 0 else (height - a.z) / (b.z - a.z) end s, a.k ka, b.k kb from lv l join o using (obs_id) join pr a on a.obs_id = l.obs_id and a.mem = l.mem and a.k = lo join pr b on b.obs_id = l.obs_id and b.mem = l.mem and b.k = hi),
+vb as (select x.obs_id, x.mem, place, {_BETWEEN} from va x join pr a on a.obs_id = x.obs_id and a.mem = x.mem and a.k = ka join pr b on b.obs_id = x.obs_id and b.mem = x.mem and b.k = kb),
+ec as (select *, qr + qs + qg qt, p / ((287.05e0 * (1 - q - qr - qs - qg) + 461.5e0 * q) * t) rho from vb),
+rf as (select obs_id, mem, place, u, v, w, 7.2e20 / (power(3.1415926535e0, 1.75) * power(8e6, 0.75) * power(1000.0e0, 1.75)) * power(rho * qt, 1.75) ref, 5.4 * power(100000 / p, 0.4) * power(qt, 0.125) fall from ec),
+bm as (select obs_id, e, height, atan2((lon - {SITE[0]}e0) * cos({SITE[1]}e0 * {RAD}), lat - {SITE[1]}e0) az,
+  atan2(height - {SITE[2]}e0, 6371300.0e0 * acos(least(1.0, greatest(-1.0, sin(lat * {RAD}) * sin({SITE[1]}e0 * {RAD}) + cos(lat * {RAD}) * cos({SITE[1]}e0 * {RAD}) * cos(({SITE[0]}e0 - lon) * {RAD}))))) el from o)
+select obs_id, mem, case when place <> 0 then place when ref < 10 then 11 else 0 end qc,
+  case when place = 0 then round(case when e = 4002 then cos(el) * (u * sin(az) + v * cos(az)) + (w - fall) * sin(el) when ref < 10 then 10 else 10 * log10(greatest(ref, 1e-9)) end, 4) end hx from rf join bm using (obs_id)""")
+def obs_operator_radar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reflectivity and wind along the beam of all members, at heights: eleven variables between levels, particles' fall taken off."""
+    obs, state = _volume(spark, sf_dir)
+    particles = spark.sql(PARTICLES.format(vol="{vol}"), vol=state)
+    seen = obs.withColumns({"elm": F.when(F.col("obs_id") % 2 == 0, codes.ID["REF"]).otherwise(codes.ID["Vr"]), "lev": 100.0 + F.col("obs_id") * 37 % 2200, "lon": 130 + 0.01 * F.col("ri"), "lat": 34 + 0.01 * F.col("rj")})
+    return rounded(volume.observed_radar(seen, particles, SITE, method=1), 4)
+
+
 @register(VCODED + """n as (select 1) select gi, gj, k, mem, elm, round(case elm when 2819 then u when 3074 then t * (1 + (461.5e0 / 287.05e0 - 1) * q) else p end, 5) hx, 0 qc
 from vol, (values (2819), (3074), (14593)) e(elm)""")
 def obssim_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +162,8 @@ def external_hx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INFLATION = 1.3
 LENGTH = 0.3
-ONE_CLASS = VCODED.replace("select * exclude (lev), case when elm = 14593 then lev / 900 else lev end lev,", "select * exclude (elm, typ, dat), 3073 elm, 1 typ, 250 + dat / 10 dat,") + HX3 + f""",
+PLAIN_HEAD = "select * exclude (lev, elm), case when elm = 3330 and obs_id % 2 = 1 then 3331 else elm end elm, case when elm = 14593 then lev / 900 else lev end lev,"
+ONE_CLASS = VCODED.replace(PLAIN_HEAD, "select * exclude (elm, typ, dat), 3073 elm, 1 typ, 250 + dat / 10 dat,") + HX3 + f""",
 good as (select h.obs_id, max(c.dat) - avg(h.hx) dep, max(c.err) err, max(c.ri) ri, max(c.rj) rj, max(c.lev) lev from hx3 h join cell c using (obs_id) group by 1 having max(h.qc) = 0),
 y3 as (select h.obs_id, h.mem, h.hx - avg(h.hx) over (partition by h.obs_id) y from hx3 h join good using (obs_id)),
 pt3 as (select gi, gj, k, avg(p) p from vol group by 1, 2, 3),
