@@ -33,7 +33,7 @@ def local_observations(points: DataFrame, obs: DataFrame, scale: float) -> DataF
 
 
 ORDERS = {"distance": ("nd2", True), "weight": ("rloc", False), "error": ("rdiag", True)}
-CELLS = 6  # cells of the counts in one cutoff
+MOST_CELLS = 6  # cells of the counts in one cutoff, at most
 SAFE = 1 + 1e-9
 
 
@@ -78,9 +78,12 @@ def best_local(points: DataFrame, obs: DataFrame, scale: float, most: int, order
 
     ``obs`` has the column ``group``, as limited() takes it. Counts of observations by small cells give every cell of points, for each group, a radius
     (for ``error`` a variance) within which its points surely find ``most``; observations are sent to those cells alone that may need them,
-    and a pair beyond the bound is no row. Sparse groups keep the cutoff's whole reach. With ``ranked`` false, the pairs come as they go into the ranking.
+    and a pair beyond the bound is no row. Sparse groups keep the cutoff's whole reach. Cells are as small as leaves about ``most`` observations
+    of a group in one. ``obs`` is read twice, so it should be a table. With ``ranked`` false, the pairs come as they go into the ranking.
     """
-    side = scale * CUTOFF / CELLS
+    whole = obs.agg(F.count("*").alias("n"), F.approx_count_distinct(group).alias("groups"), (F.max("ri") - F.min("ri")).alias("wide"), (F.max("rj") - F.min("rj")).alias("deep")).first()
+    area = max(1.0, (whole.wide or 0) / (scale * CUTOFF)) * max(1.0, (whole.deep or 0) / (scale * CUTOFF))
+    side = scale * CUTOFF / min(MOST_CELLS, max(1, round(1.5 * (whole.n / max(1, whole.groups) / area / most) ** 0.5)))
     dealt = obs.withColumns({"ci": F.floor(F.col("ri") / side), "cj": F.floor(F.col("rj") / side), "grp": F.col(group)})
     placed = points.withColumns({"ci": F.floor(F.col("gi") / side), "cj": F.floor(F.col("gj") / side)})
     cells = placed.select("ci", "cj").distinct()

@@ -85,7 +85,7 @@ def columns_at(obs: DataFrame, state: DataFrame, axis: str, variables: Sequence[
         for a in range(0, len(ids), 256):
             some = slice(a, a + 256)
             di, dj = ri[some] - i[some], rj[some] - j[some]
-            corner, weight, whole = [], [], np.ones((len(di), len(mems)), bool)
+            corner, weight, whole = [], [], np.repeat(((di >= 0) & (dj >= 0))[:, None], len(mems), axis=1)
             for x in (0, 1):
                 for y in (0, 1):
                     w = (di if x else 1 - di) * (dj if y else 1 - dj)

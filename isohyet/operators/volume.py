@@ -26,7 +26,7 @@ def _corners(obs: DataFrame, axes: Sequence[tuple[str, str]]) -> DataFrame:
         low = F.greatest(F.ceil(place) - 1, F.lit(1)).cast("int")
         part = F.col(place) - low
         side = F.array(F.struct(low.alias("at"), (1 - part).alias("w")), F.struct((low + 1).alias("at"), part.alias("w")))
-        out = out.withColumn("_side", F.explode(side)).filter("_side.w <> 0")
+        out = out.withColumn("_side", F.explode(side)).filter(f"_side.w <> 0 and {place} >= 1")
         weight = F.col("_side.w") if "wt" not in out.columns else F.col("wt") * F.col("_side.w")
         out = out.withColumns({index: F.col("_side.at"), "wt": weight}).drop("_side")
     return out

@@ -12,7 +12,6 @@ from isohyet.plans.registry import register, rounded
 from isohyet.plans.volume_queries import HX3, INFLATION, PLAIN_HEAD, VCODED, _felt, _volume
 
 LENGTH = 0.3
-_POINT = Window.partitionBy("gi", "gj", "k")
 #: Grid lines lie a tenth of a degree apart, from 0 and from 30 degrees north; the forecast is one of six hours.
 WEST, SOUTH, STEP, HOURS, RATE = 0.0, 30.0, 0.1, 6.0, 0.05
 LEVELS, AREA = (1, 3), (0.2, 2.3, 30.2, 33.0)
@@ -114,7 +113,7 @@ def analysis_3d_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = fx.observations(spark, sf_dir).select("obs_id", "lev")
     same = obs.drop("lev").join(raw, "obs_id").withColumns({"elm": F.lit(codes.ID["T"]), "typ": F.lit(1), "dat": 250 + F.col("dat") / 10})
     felt = _felt(same, state).withColumn("dat", 60000 + 80 * (F.col("dat") - 250) * 10).withColumns({"hori_loc": F.lit(LENGTH), "vert_loc": F.lit(LENGTH)})
-    state = state.withColumn("z", 8000 * F.ln(100000 / F.avg("p").over(_POINT)))
+    state = state.withColumn("z", 8000 * F.ln(100000 / F.avg("p").over(Window.partitionBy("gi", "gj", "k"))))
     out = None
     for name, elm, typ, _, _ in KINDS:
         own = felt.withColumns({"elm": F.lit(elm), "typ": F.lit(typ)})

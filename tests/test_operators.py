@@ -314,15 +314,16 @@ def test_analysis_by_tile_against_loops(spark):
     r = np.random.default_rng(8)
     m, nx, ny = 6, 7, 5
     points = [(i, j, k) for i in range(1, nx + 1) for j in range(1, ny + 1) for k in (1, 2)]
-    pressure = {1: 90000.0, 2: 40000.0}
+    pressure, height = {1: 90000.0, 2: 40000.0}, {1: 1000.0, 2: 7000.0}
     u, q = r.normal(size=(len(points), m)), r.normal(size=(len(points), m))
-    rows = [(*p, e + 1, pressure[p[2]], float(u[n, e]), float(q[n, e]), 0.0 if p[0] == 1 else 0.5 if p[0] == 2 else 1.0, 1.2 + 0.1 * p[2]) for n, p in enumerate(points) for e in range(m)]
-    state = spark.createDataFrame(rows, "gi int, gj int, k int, mem int, p double, u double, q double, beta double, infl double").repartition(5)
+    rows = [(*p, e + 1, pressure[p[2]], float(u[n, e]), float(q[n, e]), 0.0 if p[0] == 1 else 0.5 if p[0] == 2 else 1.0, 1.2 + 0.1 * p[2], height[p[2]]) for n, p in enumerate(points) for e in range(m)]
+    state = spark.createDataFrame(rows, "gi int, gj int, k int, mem int, p double, u double, q double, beta double, infl double, z double").repartition(5)
     y = r.normal(size=(60, m))
     y -= y.mean(axis=1, keepdims=True)
-    kind = [(2819, 1), (3330, 1), (4001, 22), (4004, 22)]
-    obs = [(n, *kind[n % 4], float(r.uniform(1, nx)), float(r.uniform(1, ny)), float(r.uniform(30000, 100000)), 1.0 + n % 3, float(r.normal()), 0.4 + 0.1 * (n % 2), 0.0 if n % 5 == 0 else 0.5, y[n].tolist()) for n in range(60)]
-    table = spark.createDataFrame(obs, "obs_id long, elm int, typ int, ri double, rj double, lev double, err double, dep double, hori_loc double, vert_loc double, y array<double>")
+    kind = [(2819, 1), (3330, 1), (4001, 22), (4004, 22), (14593, 1), (19999, 2)]
+    obs = [(n, *kind[n % 6], float(r.uniform(1, nx)), float(r.uniform(1, ny)), float(r.uniform(30000, 100000) if n % 6 not in (2, 3) else r.uniform(0, 9000)), 1.0 + n % 3, float(r.normal()), 0.4 + 0.1 * (n % 2), 0.0 if n % 5 == 0 else 1500.0 if n % 6 in (2, 3) else 0.5, y[n].tolist()) for n in range(60)]
+    table = spark.createDataFrame(obs, "obs_id long, elm int, typ int, ri double, rj double, lev double, err double, dep double, hori_loc double, vert_loc double, y array<double>").withColumn("dat", F.lit(87000.0))
+    by_kind = set()
     weights = {"q": {2819: 0.0, 4001: 0.5}}
     got = volume.analysis_by_tile(state, ["u", "q"], table, weights, widest=0.5, tile=2, most=2, least_inflation=1.35, rtps=0.7, moist=["q"], moist_top=50000.0).collect()
     found = {(x.gi, x.gj, x.k, x.mem): (x.u, x.q, x.n_obs) for x in got}
@@ -331,11 +332,13 @@ def test_analysis_by_tile_against_loops(spark):
         near = {}
         for o in obs:
             h = np.hypot(i - o[3], j - o[4]) / o[8]
-            v = abs(np.log(o[5]) - np.log(pressure[k])) / o[9] if o[9] else 0.0
+            apart = abs(o[5] - height[k]) if o[2] == 22 else abs(np.log({14593: 87000.0, 19999: 85000.0}.get(o[1], o[5])) - np.log(pressure[k]))
+            v = apart / o[9] if o[9] else 0.0
             if h <= 3.651483717 and v <= 3.651483717 and h * h + v * v <= 13.33333333:
                 near.setdefault((4001 if o[1] == 4004 else o[1], o[2]), []).append((h * h + v * v, o))
         taken = [x for group in near.values() for x in sorted(group, key=lambda x: (x[0], x[1][0]))[:2]]
         felt += len(taken)
+        by_kind |= {o[1] for _, o in taken}
         beta = 0.0 if i == 1 else 0.5 if i == 2 else 1.0
         for name, x in (("u", u[n]), ("q", q[n])):
             use = [(d, o, weights.get(name, {}).get(o[1], 1.0)) for d, o in taken]
@@ -346,7 +349,7 @@ def test_analysis_by_tile_against_loops(spark):
             for e in range(m):
                 assert abs(found[i, j, k, e + 1][("u", "q").index(name)] - new[e]) < 1e-9
         assert found[i, j, k, 1][2] == len(taken)
-    assert felt > 100
+    assert felt > 100 and by_kind == {2819, 3330, 4001, 4004, 14593, 19999}
 
 
 def test_removal_and_merging_at_edges(spark):
