@@ -12,7 +12,8 @@ from isohyet.plans import fixtures as fx
 from isohyet.plans.column_queries import PARTICLES, PI, _inverse, _state
 from isohyet.plans.queries import CODED, HX, OBS, _departures
 from isohyet.plans.registry import register, rounded
-from isohyet.sources import reports
+from isohyet.sources import observations as observation_files
+from isohyet.sources import records, reports, states
 
 
 def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,3 +220,29 @@ def satellite_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
         k.alias("obs_id"), (15000 + k % 17 * 3000).cast("double").alias("lev"), F.when(k % 11 != 0, (235 + k % 31).cast("double")).alias("dat"), F.lit(4.0).alias("err"),
         ((250 + 40 * x) * F.when(x < -0.1, -1).otherwise(1)).alias("x"))
     return rounded(ob.satellite_codes(members, 21000.0, 14, 3.1, 238.0))
+
+
+_AS_RECORD = ", ".join(f"round(cast(cast({e} as float) as double), 4) {c}" for c, e in (("elm", "elm"), ("lon", "ri"), ("lat", "rj"), ("lev", "lev / 100"), ("dat", "dat"), ("err", "err"), ("typ", "typ"), ("dif", "dif")))
+
+
+def _record_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = fx.observations(spark, sf_dir)
+    return o.select(*[F.col(c).cast("float").alias(n) for n, c in (("elm", "elm"), ("lon", "ri"), ("lat", "rj"))], (F.col("lev") / 100).cast("float").alias("lev"), *[F.col(c).cast("float").alias(c) for c in ("dat", "err", "typ", "dif")])
+
+
+@register(f"with obs as ({fx.duck_obs()}) select {_AS_RECORD} from obs")
+def records_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All observations written as records and read again in ranges of whole records, a file by several tasks."""
+    path = states.scratch(spark, "records")
+    records.write(_record_rows(spark, sf_dir), path)
+    return rounded(observation_files.read_records(spark, path, strict=True, split=1 << 14).drop("set_id", "idx"), 4)
+
+
+@register(f"with obs as ({fx.duck_obs()}), r as (select {_AS_RECORD} from obs) select 130.5e0 radar_lon, 34.25e0 radar_lat, 50.0e0 radar_z, elm, lon, lat, lev, dat, err, 22.0e0 typ, dif from r")
+def radar_records_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a radar's records behind its place."""
+    path = states.scratch(spark, "radar")
+    records.write(_record_rows(spark, sf_dir), path, head=(130.5, 34.25, 50.0))
+    read = observation_files.read_radar(spark, path, timed=True, strict=True, split=1 << 14)
+    place = [F.col("meta")[k].alias(f"radar_{c}") for k, c in enumerate(("lon", "lat", "z"))]
+    return rounded(read.select(*place, "elm", "lon", "lat", "lev", "dat", "err", "typ", "dif"), 4)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.operators import observations as ob
+from isohyet.sources import records
+from isohyet.sources.records import packed  # noqa: F401
 
 CONVENTIONAL = ("elm", "lon", "lat", "lev", "dat", "err", "typ", "dif")
 DEPARTURE = (*CONVENTIONAL, "qc", "omb", "oma")
@@ -31,13 +33,13 @@ def unpacked(content: bytes, columns: int, strict: bool = False, whole: bool = F
     return np.frombuffer(content, "<f4").reshape(-1, words)[:, 1:-1]
 
 
-def packed(rows: np.ndarray) -> bytes:
-    mark = np.full((len(rows), 1), rows.shape[1] * 4, "<i4").view("<f4")
-    return np.concatenate([mark, rows.astype("<f4"), mark], axis=1).tobytes()
+def read_records(spark: SparkSession, path: str, columns: tuple[str, ...] = CONVENTIONAL, strict: bool = False, whole: bool = False, split: int = records.SPLIT) -> DataFrame:
+    """set_id (file name), idx (from 1) and the columns of each record of the files below ``path``; ragged files are passed over unless ``strict`` or ``whole``.
 
-
-def read_records(spark: SparkSession, path: str, columns: tuple[str, ...] = CONVENTIONAL, strict: bool = False, whole: bool = False) -> DataFrame:
-    """set_id (file name), idx (from 1) and the columns of each record of the files below ``path``; ragged files are passed over unless ``strict`` or ``whole``."""
+    A large file is read by many tasks, ``split`` bytes each, where Arrow can open the path; elsewhere one task reads a file.
+    """
+    if records.splittable(path):
+        return records.scan(spark, path, columns, "error" if strict else "whole" if whole else "skip", split=split)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,8 +81,12 @@ def unpacked_radar(content: bytes, timed: bool, strict: bool = False) -> tuple[n
     return np.frombuffer(content[: 4 * head], "<f4").reshape(3, 3)[:, 1], unpacked(content[4 * head :], columns, strict)
 
 
-def read_radar(spark: SparkSession, path: str, timed: bool = False, strict: bool = False) -> DataFrame:
-    """set_id, idx, the radar's place as ``meta`` and the columns of each record; typ is that of radars, dif 0 unless ``timed``; ragged files are passed over unless ``strict``."""
+def read_radar(spark: SparkSession, path: str, timed: bool = False, strict: bool = False, split: int = records.SPLIT) -> DataFrame:
+    """set_id, idx, the radar's place as ``meta`` and the columns of each record; typ is that of radars, dif 0 unless ``timed``; ragged files are passed over unless ``strict``. Files are split as by ``read_records``."""
+    if records.splittable(path):
+        columns = (*RADAR, "dif") if timed else RADAR
+        rows = records.scan(spark, path, columns, "error" if strict else "skip", 3, split)
+        return rows.withColumns({"typ": F.lit(float(RADAR_TYPE)), "dif": F.col("dif") if timed else F.lit(0.0)})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

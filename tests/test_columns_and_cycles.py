@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from isohyet.functions import codes
 from isohyet.operators import impact, localization, tiles, volume
 from isohyet.plans import cycle_queries, fixtures as fx
+from isohyet.sources import records
+from isohyet.sources.observations import CONVENTIONAL, read_radar, read_records
 from isohyet.sources.versions import StateTable
 from isohyet.streaming.cycle import carry_on, run_state_cycles
 
@@ -161,3 +163,41 @@ def test_killed_and_restarted_cycles_equal_a_batch_run(spark, tmp_path):
     with pytest.raises(ValueError):
         table.read(1)
     assert not table.commit(3, "cycle-other") and rows(table, 3) == before
+
+
+def test_a_file_in_many_ranges(spark, tmp_path):
+    """Equal to the file as a whole, whatever the split; ragged ends and records of another length by their rules."""
+    r = np.random.default_rng(2)
+    rows = r.normal(size=(1000, 8)).astype(np.float32)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.dat").write_bytes(records.packed(rows))
+    (folder / "b.dat").write_bytes(records.packed(rows[:7]))
+    (folder / "ragged.dat").write_bytes(records.packed(rows[:3])[:-4])
+    (folder / "empty.dat").write_bytes(b"")
+    (folder / "_hidden.dat").write_bytes(records.packed(rows[:7]))
+    for split in (1, 40, 4000, 1 << 26):
+        got = read_records(spark, str(folder), split=split)
+        assert got.rdd.getNumPartitions() == {1: 1007, 40: 1007, 4000: 11, 1 << 26: 2}[split]
+        if split > 40:
+            table = got.orderBy("set_id", "idx").toPandas()
+            assert table.set_id.tolist() == ["a.dat"] * 1000 + ["b.dat"] * 7 and table.idx.tolist() == [*range(1, 1001), *range(1, 8)]
+            assert (table[list(CONVENTIONAL)].to_numpy() == np.concatenate([rows, rows[:7]])).all()
+    assert read_records(spark, str(folder), whole=True).filter("set_id = 'ragged.dat'").count() == 2
+    with pytest.raises(Exception, match="no whole number"):
+        read_records(spark, str(folder), strict=True).count()
+    (tmp_path / "six.dat").write_bytes(records.packed(rows[:20, :6]))
+    with pytest.raises(Exception, match="another length"):
+        read_records(spark, str(tmp_path / "six.dat"), strict=True).count()
+    assert read_records(spark, "file:" + str(tmp_path / "six.dat"), CONVENTIONAL[:6]).count() == 20
+    assert records.splittable("/x/y") and records.splittable("s3://b/x") and not records.splittable("viewfs://s/x") and not records.splittable("/x/*.dat")
+    out = str(tmp_path / "out")
+    made = spark.createDataFrame([(float(k), None if k == 3 else 1.5) for k in range(50)], "a double, b double").repartition(3)
+    records.write(made, out, head=(1.0, 2.0, 3.0))
+    records.write(made.limit(0), out)
+    back = records.scan(spark, out, ("a", "b"), head_values=3, split=50, ragged="error")
+    assert sorted(x.a for x in back.collect()) == [float(k) for k in range(50)] and back.filter("meta = array(1D, 2D, 3D)").count() == 50 and back.filter("isnan(b)").count() == 1
+    records.write(made.limit(4), out, mode="overwrite")
+    assert records.scan(spark, out, ("a", "b")).count() == 4
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+    assert read_radar(spark, str(tmp_path / "six.dat")).count() == 0
