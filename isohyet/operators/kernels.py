@@ -29,10 +29,8 @@ def transform(y: np.ndarray, d: np.ndarray, rdiag: np.ndarray, inflation: float
     return w, pa_ @ (scaled.T @ d), pa_
 
 
-def adapted(y: np.ndarray, d: np.ndarray, rdiag: np.ndarray, rloc: np.ndarray, inflation: float) -> float:
-    """Inflation after one adaptive update."""
-    m = y.shape[1]
-    p1, p2, p3 = (d * d / rdiag).sum(), (y * y / rdiag[:, None]).sum() / (m - 1), rloc.sum()
+def adapted_factor(p1: float, p2: float, p3: float, inflation: float) -> float:
+    """Inflation after one adaptive update; ``p1`` is d'R^-1d, ``p2`` the mean square of members in the same norm, ``p3`` the sum of localization weights."""
     if not p3 or not p2:
         return inflation
     gain = (p1 - p3) / p2 - inflation

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 
 from isohyet.functions import codes, geometry, physics
 from isohyet.operators import tiles
-from isohyet.operators.kernels import spread_factor
+from isohyet.operators.kernels import adapted_factor, spread_factor
 from isohyet.operators.localization import CUTOFF, NO_WEIGHT, RAIN_BASE, distances, with_vertical_place
 from isohyet.operators.model import simulated, simulated_radar
+from isohyet.sources import states
 
 
 def _corners(obs: DataFrame, axes: Sequence[tuple[str, str]]) -> DataFrame:
@@ -141,9 +143,243 @@ def transforms(square: np.ndarray, pull: np.ndarray, inflation: np.ndarray) -> t
     return (vectors * np.sqrt((m - 1) / values)[:, None, :]) @ turned, (covariance @ pull[:, :, None])[:, :, 0], covariance
 
 
+@dataclass(frozen=True)
+class _Setup:
+    """What a task has to know of the analysis."""
+
+    names: tuple[str, ...]
+    patterns: tuple[tuple[tuple, tuple[str, ...]], ...]  # weights of elements, and the variables that have them
+    fields: tuple[str, ...]
+    most: int | None
+    dx: float
+    inflation: float
+    least_inflation: float
+    rtpp: float
+    rtps: float
+    moist: tuple[str, ...]
+    moist_top: float
+
+    def schema(self) -> str:
+        return "gi int, gj int, k int, mem int, " + ", ".join(f"{v} double" for v in self.names) + ", n_obs int, infl double"
+
+
+class _Points:
+    """A table of points: places, members of each variable, and fields."""
+
+    def __init__(self, table: pa.Table, setup: _Setup):
+        self.n = len(table)
+        self.gi, self.gj, self.k, self.p = (tiles.values(table, c) for c in ("gi", "gj", "k", "p"))
+        self.z, self.lp = tiles.values(table, "z").astype(float), np.log(self.p)  # heights that are not given are no numbers, and near to nothing
+        self.mems = tiles.matrix(table, "mems")
+        self.x = {v: tiles.matrix(table, v) for v in setup.names}
+        given = tiles.values(table, "infl") if "infl" in setup.fields else np.full(self.n, float(setup.inflation))
+        self.infl = np.maximum(given, setup.least_inflation or -np.inf)
+        self.beta = tiles.values(table, "beta") if "beta" in setup.fields else np.ones(self.n)
+
+
+class _Felt:
+    """A table of observations, in the order of their ids, and which of them each point feels."""
+
+    def __init__(self, table: pa.Table, members: int):
+        table = table.sort_by("obs_id")
+        self.ids, self.elm, typ, err, self.dep = (tiles.values(table, c) for c in ("obs_id", "elm", "typ", "err", "dep"))
+        self.variance = err**2
+        self.y = tiles.matrix(table, "y") if len(table) else np.zeros((0, members))
+        self.places = {c: tiles.values(table, c) for c in ("ri", "rj", "base", "by_height", "hori_loc", "vert_loc")}
+        merged = np.where((typ == codes.RADAR_TYPE) & (self.elm == codes.ID["RE0"]), codes.ID["REF"], self.elm)
+        self.group = np.unique(np.stack([merged, typ]), axis=1, return_inverse=True)[1].ravel() if len(self.ids) else self.ids
+
+    def of(self, points: _Points, setup: _Setup) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(point, positions of its observations, squared distances), column by column: the horizontal search is one for all levels."""
+        if not points.n:
+            return
+        order = np.lexsort((points.k, points.gj, points.gi))
+        new = np.flatnonzero(np.append(True, (np.diff(points.gi[order]) != 0) | (np.diff(points.gj[order]) != 0)))
+        for a, b in zip(new.tolist(), [*new[1:].tolist(), len(order)], strict=True):
+            js = order[a:b]
+            i, j = points.gi[js[0]], points.gj[js[0]]
+            reach = CUTOFF * self.places["hori_loc"] / setup.dx
+            near = np.flatnonzero((np.abs(i - self.places["ri"]) <= reach) & (np.abs(j - self.places["rj"]) <= reach))
+            own = {c: v[near] for c, v in self.places.items()}
+            for c in range(0, len(js), 16):
+                some = js[c : c + 16]
+                nd2 = distances(points.gi[some], points.gj[some], points.lp[some], points.z[some], own, setup.dx)
+                for row, point in zip(nd2, some.tolist(), strict=True):
+                    mine = np.flatnonzero(np.isfinite(row))
+                    d2, mine = row[mine], near[mine]
+                    if setup.most is not None and len(mine):
+                        best = _best(np.round(d2, 9), self.group[mine], self.ids[mine], setup.most)
+                        mine, d2 = mine[best], d2[best]
+                    yield point, mine, d2
+
+    def factor(self, pattern: tuple) -> np.ndarray:
+        out = np.ones(len(self.ids))
+        for element, w in pattern:
+            out[self.elm == element] = w
+        return out
+
+
+#: Sums over a point's observations: Y'R^-1Y (upper triangle), Y'R^-1d, their number, and d'R^-1d, trace of Y'R^-1Y over m - 1, sum of weights.
+SUMS = ("square", "pull", "n_used", "p1", "p2", "p3")
+
+
+def _sums(felt: _Felt, members: int, taken: list[tuple[np.ndarray, np.ndarray]], pattern: tuple) -> dict[str, np.ndarray]:
+    n, m = len(taken), members
+    factor = felt.factor(pattern)
+    out = {"square": np.zeros((n, m, m)), "pull": np.zeros((n, m)), **{c: np.zeros(n) for c in SUMS[2:]}}
+    for j, (mine, nd2) in enumerate(taken):
+        use = factor[mine] >= NO_WEIGHT
+        at = mine[use]
+        weight = factor[at] * np.exp(-0.5 * nd2[use])
+        inverse = weight / felt.variance[at]
+        scaled = felt.y[at] * inverse[:, None]
+        out["square"][j], out["pull"][j] = scaled.T @ felt.y[at], felt.dep[at] @ scaled
+        out["n_used"][j], out["p1"][j], out["p3"][j] = len(at), (felt.dep[at] ** 2 * inverse).sum(), weight.sum()
+        out["p2"][j] = np.trace(out["square"][j]) / (m - 1)
+    return out
+
+
+def _finished(points: _Points, js: np.ndarray, setup: _Setup, sums: list[dict[str, np.ndarray]], counts: np.ndarray) -> pa.Table:
+    """Analysed members of the points ``js`` from the sums of each pattern."""
+    m = points.mems.shape[1]
+    infl, beta = points.infl[js], points.beta[js]
+    out = {}
+    for (_, same), told in zip(setup.patterns, sums, strict=True):
+        some = told["n_used"] > 0
+        w, mean, covariance = transforms(told["square"], told["pull"], infl)
+        w[~some] = np.sqrt(infl[~some])[:, None, None] * np.eye(m)
+        if setup.rtpp:
+            relaxed = np.where(some, setup.rtpp, 0.0)[:, None, None]
+            w = (1 - relaxed) * w + relaxed * np.sqrt(infl)[:, None, None] * np.eye(m)
+        for v in same:
+            x = points.x[v][js]
+            centre = x.mean(axis=1, keepdims=True)
+            own = w
+            if setup.rtps and not setup.rtpp:
+                own = w * np.array([spread_factor(x[j] - centre[j], covariance[j], infl[j], setup.rtps) if some[j] else 1.0 for j in range(len(js))])[:, None, None]
+            update = beta[:, None, None] * (own + mean[:, :, None]) + (1 - beta)[:, None, None] * np.eye(m)
+            new = centre + ((x - centre)[:, None, :] @ update)[:, 0]
+            keep = (beta == 0) | (points.p[js] < setup.moist_top if v in setup.moist else np.zeros(len(js), bool))
+            out[v] = np.where(keep[:, None], x, new).ravel()
+    first = sums[0]
+    adapted = np.array([adapted_factor(*(first[c][j] for c in ("p1", "p2", "p3")), infl[j]) for j in range(len(js))])
+    repeat = lambda a, kind: np.repeat(a, m).astype(kind)
+    place = {c: repeat(getattr(points, c)[js], np.int32) for c in ("gi", "gj", "k")}
+    return pa.table({**place, "mem": points.mems[js].ravel().astype(np.int32), **{v: out[v] for v in setup.names}, "n_obs": repeat(counts, np.int32), "infl": repeat(adapted, float)})
+
+
+AT_ONCE_BYTES = 64 << 20  # of the matrices of points that are worked on together
+
+
+def _slices(n: int, members: int) -> Iterator[np.ndarray]:
+    step = max(1, AT_ONCE_BYTES // (8 * members * members))
+    for a in range(0, n, step):
+        yield np.arange(a, min(n, a + step))
+
+
+def _empty(setup: _Setup) -> pa.Table:
+    kinds = {"infl": pa.float64(), **{v: pa.float64() for v in setup.names}}
+    names = [part.split()[0] for part in setup.schema().split(", ")]
+    return pa.table({c: pa.array([], kinds.get(c, pa.int32())) for c in names})
+
+
+def _whole_tile(setup: _Setup):
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The analysis of a tile whose observations are in one place."""
+        if not len(left):
+            return _empty(setup)
+        points = _Points(left, setup)
+        m = points.mems.shape[1]
+        felt = _Felt(right, m)
+        taken: list = [None] * points.n
+        for j, mine, nd2 in felt.of(points, setup):
+            taken[j] = (mine, nd2)
+        parts = []
+        for js in _slices(points.n, m):
+            own = [taken[j] for j in js]
+            parts.append(_finished(points, js, setup, [_sums(felt, m, own, pattern) for pattern, _ in setup.patterns], np.array([len(t[0]) for t in own])))
+        return pa.concat_tables(parts)
+
+    return work
+
+
+PARTIAL = "gi int, gj int, k int, pattern int, square array<double>, pull array<double>, n_used double, p1 double, p2 double, p3 double, n_obs long"
+
+
+def _partial_sums(setup: _Setup):
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Sums of a part of a tile's observations for each point that feels any of them."""
+        points = _Points(left, setup) if len(left) else None
+        m = points.mems.shape[1] if points else 1
+        felt, upper = _Felt(right, m), np.triu_indices(m)
+        rows: dict[str, list] = {c.split()[0]: [] for c in PARTIAL.split(", ")}
+        taken = {j: (mine, nd2) for j, mine, nd2 in felt.of(points, setup) if len(mine)} if points else {}
+        for js in _slices(len(taken), m):
+            at = [list(taken)[k] for k in js]
+            for number, (pattern, _) in enumerate(setup.patterns):
+                told = _sums(felt, m, [taken[j] for j in at], pattern)
+                for c in ("gi", "gj", "k"):
+                    rows[c].append(getattr(points, c)[at].astype(np.int32))
+                rows["pattern"].append(np.full(len(at), number, np.int32))
+                rows["square"].append(told["square"][:, upper[0], upper[1]])
+                rows["n_obs"].append(np.array([len(taken[j][0]) for j in at]))
+                for c in SUMS[1:]:
+                    rows[c].append(told[c])
+        flat = lambda parts: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([p.shape[1] for p in parts for _ in range(len(p))])).astype(np.int32)), pa.array(np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0)))
+        ints = {"gi": np.int32, "gj": np.int32, "k": np.int32, "pattern": np.int32, "n_obs": np.int64}
+        return pa.table({c: flat(v) if c in ("square", "pull") else pa.array(np.concatenate(v) if v else np.zeros(0), pa.from_numpy_dtype(ints.get(c, float))) for c, v in rows.items()})
+
+    return work
+
+
+def _added_up(setup: _Setup):
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The analysis of a column from the sums of all parts."""
+        if not len(left):
+            return _empty(setup)
+        points = _Points(left, setup)
+        m = points.mems.shape[1]
+        upper = np.triu_indices(m)
+        place = {int(k): j for j, k in enumerate(points.k)}
+        sums = [{"square": np.zeros((points.n, m, m)), "pull": np.zeros((points.n, m)), **{c: np.zeros(points.n) for c in SUMS[2:]}} for _ in setup.patterns]
+        counts = np.zeros(points.n, np.int64)
+        if len(right):
+            at = np.array([place.get(int(k), -1) for k in tiles.values(right, "k")])
+            pattern, told = tiles.values(right, "pattern"), {c: tiles.values(right, c) for c in SUMS[2:]}
+            square, pull, n_obs = tiles.matrix(right, "square"), tiles.matrix(right, "pull"), tiles.values(right, "n_obs")
+            for r in np.lexsort((told["p1"], pattern, at)):  # an order of their own, so that sums do not hang on that of the rows
+                if at[r] < 0:
+                    continue
+                own = sums[pattern[r]]
+                own["square"][at[r]][upper] += square[r]
+                own["pull"][at[r]] += pull[r]
+                for c in SUMS[2:]:
+                    own[c][at[r]] += told[c][r]
+                counts[at[r]] += n_obs[r] if pattern[r] == 0 else 0
+        for own in sums:
+            own["square"] = own["square"] + np.triu(own["square"], 1).swapaxes(1, 2)
+        return _finished(points, np.arange(points.n), setup, sums, counts)
+
+    return work
+
+
+def _pruned(setup: _Setup):
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Those of a part's observations that are among the best of their class for some point of the tile."""
+        right = right.sort_by("obs_id")
+        wanted = np.zeros(len(right), bool)
+        if len(left) and len(right):
+            points = _Points(left, setup)
+            for _, mine, _ in _Felt(right, points.mems.shape[1]).of(points, setup):
+                wanted[mine] = True
+        return right.filter(pa.array(wanted)).drop_columns(["part"])
+
+    return work
+
+
 def analysis_by_tile(
     state: DataFrame, variables: Sequence[str], obs: DataFrame, weights: Mapping[str, Mapping[int, float]] | None = None, widest: float = 1.0, dx: float = 1.0, tile: int = 8, most: int | None = None,
-    inflation: float = 1.0, least_inflation: float = 0.0, rtpp: float = 0.0, rtps: float = 0.0, moist: Sequence[str] = (), moist_top: float = 0.0, rain_base: float = RAIN_BASE,
+    inflation: float = 1.0, least_inflation: float = 0.0, rtpp: float = 0.0, rtps: float = 0.0, moist: Sequence[str] = (), moist_top: float = 0.0, rain_base: float = RAIN_BASE, adaptive: bool = False, of_a_task: int = tiles.OBS_OF_A_TASK,
 ) -> DataFrame:
     """(gi, gj, k, mem, variables, n_obs): the localized analysis of every point, level and variable.
 
@@ -152,81 +388,43 @@ def analysis_by_tile(
     ``mem``. ``weights`` gives, by variable, the weight of elements other than 1; variables with equal weights share a
     transform. At most ``most`` observations of a class (element and type, both reflectivities of a radar being one) count,
     the nearest ones. ``moist`` variables are left as they are where the mean pressure is below ``moist_top``, all are where ``beta`` is 0.
+    With ``adaptive``, a further column ``infl`` has each point's factor after one adaptive update by the observations of its first variable.
 
     Points and observations meet tile by tile: an observation is sent once to each tile of ``tile`` x ``tile`` columns within
-    reach of it, members with it, and a tile's points choose from it there. Its matrices are decomposed together.
+    reach of it, members with it, and a tile's points choose from it there. Its matrices are decomposed together, some of them at a time.
+    A tile with more than ``of_a_task`` observations is worked on in parts: with ``most``, each part keeps what is among the best of some
+    point, and these meet; without, each part sums up its observations for every point, and sums are added before they are decomposed.
+    Observations are written to the shared folder first, since tiles are counted before they are worked on.
     Vertical places are those of ``with_vertical_place``, radar's being heights, which need ``z``; ``vert_loc`` 0 means any level.
     Without observations a point keeps its inflated prior.
     """
     names, reach = list(variables), widest * CUTOFF / dx
     fields = [c for c in ("infl", "beta") if c in state.columns]
-    at = lambda c: F.floor((F.col(c) - 1) / tile).cast("int")
     members = F.array_sort(F.collect_list(F.struct("mem", *names)))
     heights = F.avg("z") if "z" in state.columns else F.lit(None).cast("double")
     points = state.groupBy("gi", "gj", "k").agg(members.alias("s"), F.avg("p").alias("p"), heights.alias("z"), *[F.first(c).alias(c) for c in fields])
-    points = points.select(at("gi").alias("ti"), at("gj").alias("tj"), "gi", "gj", "k", "p", "z", *[F.col("s").getField(v).alias(v) for v in names], F.col("s").getField("mem").alias("mems"), *fields)
+    points = points.select(tiles.tile_of(F.col("gi"), tile).alias("ti"), tiles.tile_of(F.col("gj"), tile).alias("tj"), "gi", "gj", "k", "p", "z", *[F.col("s").getField(v).alias(v) for v in names], F.col("s").getField("mem").alias("mems"), *fields)
     over = lambda c, n: F.explode(F.sequence(F.floor((F.col(c) - reach - 1) / tile).cast("int"), F.floor((F.col(c) + reach - 1) / tile).cast("int"))).alias(n)
-    placed = with_vertical_place(obs, rain_base)
-    sent = placed.select("*", over("ri", "ti")).select("*", over("rj", "tj")).select("ti", "tj", "obs_id", "elm", "typ", "ri", "rj", "base", "by_height", "err", "dep", "hori_loc", "vert_loc", "y")
+    placed = with_vertical_place(states.kept(obs, "felt"), rain_base)
+    columns = ["ti", "tj", "obs_id", "elm", "typ", "ri", "rj", "base", "by_height", "err", "dep", "hori_loc", "vert_loc", "y"]
+    sent = placed.select("*", over("ri", "ti")).select("*", over("rj", "tj")).select(*columns)
     patterns: dict[tuple, list[str]] = {}
     for v in names:
         patterns.setdefault(tuple(sorted(((weights or {}).get(v) or {}).items())), []).append(v)
-    schema = "gi int, gj int, k int, mem int, " + ", ".join(f"{v} double" for v in names) + ", n_obs int"
-    columns = [part.split()[0] for part in schema.split(", ")]
-
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        n = len(left)
-        if not n:
-            return pa.table({c: pa.array([], pa.float64() if c in names else pa.int32()) for c in columns})
-        got = lambda t, c: t[c].combine_chunks().to_numpy(zero_copy_only=False)
-        matrix = lambda t, c: t[c].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-        gi, gj, k, p, z = (got(left, c) for c in ("gi", "gj", "k", "p", "z"))
-        mems = matrix(left, "mems")
-        m = mems.shape[1]
-        infl = np.maximum(got(left, "infl") if "infl" in fields else np.full(n, float(inflation)), least_inflation or -np.inf)
-        beta = got(left, "beta") if "beta" in fields else np.ones(n)
-        ids, elm, typ, err, dep = (got(right, c) for c in ("obs_id", "elm", "typ", "err", "dep"))
-        places = {c: got(right, c) for c in ("ri", "rj", "base", "by_height", "hori_loc", "vert_loc")}
-        height, lp = z.astype(float), np.log(p)  # heights that are not given are no numbers, and near to nothing
-        y = matrix(right, "y") if len(right) else np.zeros((0, m))
-        merged = np.where((typ == codes.RADAR_TYPE) & (elm == codes.ID["RE0"]), codes.ID["REF"], elm)
-        group = np.unique(np.stack([merged, typ]), axis=1, return_inverse=True)[1].ravel() if len(ids) else ids
-        felt: list[tuple[np.ndarray, np.ndarray]] = []
-        for j in range(n):
-            nd2 = distances(gi[j : j + 1], gj[j : j + 1], lp[j : j + 1], height[j : j + 1], places, dx)[0]
-            mine = np.flatnonzero(np.isfinite(nd2))
-            nd2 = nd2[mine]
-            if most is not None and len(mine):
-                best = _best(np.round(nd2, 9), group[mine], ids[mine], most)
-                mine, nd2 = mine[best], nd2[best]
-            felt.append((mine, nd2))
-        out = {}
-        for pattern, same in patterns.items():
-            factor = np.ones(len(ids))
-            for element, w in pattern:
-                factor[elm == element] = w
-            square, pull, some = np.zeros((n, m, m)), np.zeros((n, m)), np.zeros(n, bool)
-            for j, (mine, nd2) in enumerate(felt):
-                use = factor[mine] >= NO_WEIGHT
-                at_, inverse = mine[use], factor[mine][use] * np.exp(-0.5 * nd2[use]) / err[mine][use] ** 2
-                scaled = y[at_] * inverse[:, None]
-                square[j], pull[j], some[j] = scaled.T @ y[at_], dep[at_] @ scaled, len(at_) > 0
-            w, mean, covariance = transforms(square, pull, infl)
-            w[~some] = np.sqrt(infl[~some])[:, None, None] * np.eye(m)
-            if rtpp:
-                relaxed = np.where(some, rtpp, 0.0)[:, None, None]
-                w = (1 - relaxed) * w + relaxed * np.sqrt(infl)[:, None, None] * np.eye(m)
-            for v in same:
-                x = matrix(left, v)
-                centre = x.mean(axis=1, keepdims=True)
-                own = w
-                if rtps and not rtpp:
-                    own = w * np.array([spread_factor(x[j] - centre[j], covariance[j], infl[j], rtps) if some[j] else 1.0 for j in range(n)])[:, None, None]
-                update = beta[:, None, None] * (own + mean[:, :, None]) + (1 - beta)[:, None, None] * np.eye(m)
-                new = centre + ((x - centre)[:, None, :] @ update)[:, 0]
-                keep = (beta == 0) | (p < moist_top if v in moist else np.zeros(n, bool))
-                out[v] = np.where(keep[:, None], x, new).ravel()
-        counts = np.array([len(mine) for mine, _ in felt], np.int32)
-        return pa.table({"gi": np.repeat(gi, m).astype(np.int32), "gj": np.repeat(gj, m).astype(np.int32), "k": np.repeat(k, m).astype(np.int32), "mem": mems.ravel().astype(np.int32), **{v: out[v] for v in names}, "n_obs": np.repeat(counts, m)})
-
-    return points.groupBy("ti", "tj").cogroup(sent.groupBy("ti", "tj")).applyInArrow(work, schema)
+    setup = _Setup(tuple(names), tuple((p, tuple(v)) for p, v in patterns.items()), tuple(fields), most, dx, inflation, least_inflation, rtpp, rtps, tuple(moist), moist_top)
+    crowded = sent.groupBy("ti", "tj").count().filter(F.col("count") > of_a_task).select("ti", "tj", F.ceil(F.col("count") / of_a_task).cast("int").alias("parts"))
+    shared = sent.join(crowded, ["ti", "tj"], "left")
+    dense = shared.filter("parts is not null").withColumn("part", F.pmod(F.hash("obs_id"), F.col("parts")))
+    copied = points.join(crowded, ["ti", "tj"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    split = lambda work, schema: copied.groupBy(*tiles.KEYS).cogroup(dense.select(*columns, "part").groupBy(*tiles.KEYS)).applyInArrow(work, schema)
+    at = ["ti", "tj"]
+    few = shared.filter("parts is null").select(*columns)
+    if most is not None:
+        kept = few.unionByName(split(_pruned(setup), few.schema))
+        out = points.groupBy(*at).cogroup(kept.groupBy(*at)).applyInArrow(_whole_tile(setup), setup.schema())
+    else:
+        sparse = points.join(crowded, at, "left_anti").groupBy(*at).cogroup(few.groupBy(*at)).applyInArrow(_whole_tile(setup), setup.schema())
+        whole = points.join(crowded.select(*at), at, "left_semi")
+        summed = whole.groupBy("gi", "gj").cogroup(split(_partial_sums(setup), PARTIAL).groupBy("gi", "gj")).applyInArrow(_added_up(setup), setup.schema())
+        out = sparse.unionByName(summed)
+    return out if adaptive else out.drop("infl")

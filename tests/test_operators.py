@@ -325,7 +325,12 @@ def test_analysis_by_tile_against_loops(spark):
     table = spark.createDataFrame(obs, "obs_id long, elm int, typ int, ri double, rj double, lev double, err double, dep double, hori_loc double, vert_loc double, y array<double>").withColumn("dat", F.lit(87000.0))
     by_kind = set()
     weights = {"q": {2819: 0.0, 4001: 0.5}}
-    got = volume.analysis_by_tile(state, ["u", "q"], table, weights, widest=0.5, tile=2, most=2, least_inflation=1.35, rtps=0.7, moist=["q"], moist_top=50000.0).collect()
+    settings = dict(widest=0.5, tile=2, least_inflation=1.35, rtps=0.7, moist=["q"], moist_top=50000.0)
+    got = volume.analysis_by_tile(state, ["u", "q"], table, weights, most=2, **settings).collect()
+    parts = volume.analysis_by_tile(state, ["u", "q"], table, weights, most=2, of_a_task=9, **settings).collect()
+    assert sorted(got) == sorted(parts)  # of crowded tiles, each part keeps what may count
+    whole, summed = ({(x.gi, x.gj, x.k, x.mem): (x.u, x.q, x.n_obs, x.infl) for x in volume.analysis_by_tile(state, ["u", "q"], table, weights, adaptive=True, of_a_task=n, **settings).collect()} for n in (1000, 9))
+    assert whole.keys() == summed.keys() and all(np.allclose(whole[x], summed[x], rtol=0, atol=1e-9) for x in whole) and len({v[3] for v in whole.values()}) > 10
     found = {(x.gi, x.gj, x.k, x.mem): (x.u, x.q, x.n_obs) for x in got}
     felt = 0
     for n, (i, j, k) in enumerate(points):
