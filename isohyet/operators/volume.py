@@ -158,9 +158,13 @@ class _Setup:
     rtps: float
     moist: tuple[str, ...]
     moist_top: float
+    place: tuple[str, str, str] = ("int", "int", "int")  # types of gi, gj and k
 
     def schema(self) -> str:
-        return "gi int, gj int, k int, mem int, " + ", ".join(f"{v} double" for v in self.names) + ", n_obs int, infl double"
+        return ", ".join(f"{c} {t}" for c, t in zip(("gi", "gj", "k"), self.place, strict=True)) + ", mem int, " + ", ".join(f"{v} double" for v in self.names) + ", n_obs int, infl double"
+
+    def partial(self) -> str:
+        return PARTIAL.format("".join(f"{c} {t}, " for c, t in zip(("gi", "gj", "k"), self.place, strict=True)).rstrip())
 
 
 class _Points:
@@ -264,7 +268,7 @@ def _finished(points: _Points, js: np.ndarray, setup: _Setup, sums: list[dict[st
     first = sums[0]
     adapted = np.array([adapted_factor(*(first[c][j] for c in ("p1", "p2", "p3")), infl[j]) for j in range(len(js))])
     repeat = lambda a, kind: np.repeat(a, m).astype(kind)
-    place = {c: repeat(getattr(points, c)[js], np.int32) for c in ("gi", "gj", "k")}
+    place = {c: repeat(getattr(points, c)[js], _KINDS[t].to_pandas_dtype()) for c, t in zip(("gi", "gj", "k"), setup.place, strict=True)}
     return pa.table({**place, "mem": points.mems[js].ravel().astype(np.int32), **{v: out[v] for v in setup.names}, "n_obs": repeat(counts, np.int32), "infl": repeat(adapted, float)})
 
 
@@ -277,10 +281,11 @@ def _slices(n: int, members: int) -> Iterator[np.ndarray]:
         yield np.arange(a, min(n, a + step))
 
 
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+
+
 def _empty(setup: _Setup) -> pa.Table:
-    kinds = {"infl": pa.float64(), **{v: pa.float64() for v in setup.names}}
-    names = [part.split()[0] for part in setup.schema().split(", ")]
-    return pa.table({c: pa.array([], kinds.get(c, pa.int32())) for c in names})
+    return pa.table({c: pa.array([], _KINDS[t]) for c, t in (part.split() for part in setup.schema().split(", "))})
 
 
 def _whole_tile(setup: _Setup):
@@ -303,7 +308,7 @@ def _whole_tile(setup: _Setup):
     return work
 
 
-PARTIAL = "gi int, gj int, k int, pattern int, square array<double>, pull array<double>, n_used double, p1 double, p2 double, p3 double, n_obs long"
+PARTIAL = "{} pattern int, square array<double>, pull array<double>, n_used double, p1 double, p2 double, p3 double, n_obs long"
 
 
 def _partial_sums(setup: _Setup):
@@ -312,22 +317,22 @@ def _partial_sums(setup: _Setup):
         points = _Points(left, setup) if len(left) else None
         m = points.mems.shape[1] if points else 1
         felt, upper = _Felt(right, m), np.triu_indices(m)
-        rows: dict[str, list] = {c.split()[0]: [] for c in PARTIAL.split(", ")}
+        kinds = dict(zip(("gi", "gj", "k"), setup.place, strict=True)) | {"pattern": "int", "n_obs": "long"}
+        rows: dict[str, list] = {c.split()[0]: [] for c in setup.partial().split(", ")}
         taken = {j: (mine, nd2) for j, mine, nd2 in felt.of(points, setup) if len(mine)} if points else {}
         for js in _slices(len(taken), m):
             at = [list(taken)[k] for k in js]
             for number, (pattern, _) in enumerate(setup.patterns):
                 told = _sums(felt, m, [taken[j] for j in at], pattern)
                 for c in ("gi", "gj", "k"):
-                    rows[c].append(getattr(points, c)[at].astype(np.int32))
+                    rows[c].append(getattr(points, c)[at])
                 rows["pattern"].append(np.full(len(at), number, np.int32))
                 rows["square"].append(told["square"][:, upper[0], upper[1]])
                 rows["n_obs"].append(np.array([len(taken[j][0]) for j in at]))
                 for c in SUMS[1:]:
                     rows[c].append(told[c])
         flat = lambda parts: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([p.shape[1] for p in parts for _ in range(len(p))])).astype(np.int32)), pa.array(np.concatenate([p.ravel() for p in parts]) if parts else np.zeros(0)))
-        ints = {"gi": np.int32, "gj": np.int32, "k": np.int32, "pattern": np.int32, "n_obs": np.int64}
-        return pa.table({c: flat(v) if c in ("square", "pull") else pa.array(np.concatenate(v) if v else np.zeros(0), pa.from_numpy_dtype(ints.get(c, float))) for c, v in rows.items()})
+        return pa.table({c: flat(v) if c in ("square", "pull") else pa.array(np.concatenate(v) if v else np.zeros(0)).cast(_KINDS[kinds.get(c, "double")]) for c, v in rows.items()})
 
     return work
 
@@ -383,7 +388,7 @@ def analysis_by_tile(
 ) -> DataFrame:
     """(gi, gj, k, mem, variables, n_obs): the localized analysis of every point, level and variable.
 
-    ``state`` (gi, gj, k, mem, p, variables, and where given heights ``z``, a field ``infl`` of inflation by point and ``beta``, the taper of its
+    ``state`` (gi, gj, k, mem, p, variables; gi and gj may lie between points of a grid; and where given heights ``z``, a field ``infl`` of inflation by point and ``beta``, the taper of its
     update); ``obs`` (obs_id, elm, typ, ri, rj, lev, dat, err, dep, hori_loc, vert_loc, y) with the centred members ``y`` in the order of
     ``mem``. ``weights`` gives, by variable, the weight of elements other than 1; variables with equal weights share a
     transform. At most ``most`` observations of a class (element and type, both reflectivities of a radar being one) count,
@@ -411,7 +416,7 @@ def analysis_by_tile(
     patterns: dict[tuple, list[str]] = {}
     for v in names:
         patterns.setdefault(tuple(sorted(((weights or {}).get(v) or {}).items())), []).append(v)
-    setup = _Setup(tuple(names), tuple((p, tuple(v)) for p, v in patterns.items()), tuple(fields), most, dx, inflation, least_inflation, rtpp, rtps, tuple(moist), moist_top)
+    setup = _Setup(tuple(names), tuple((p, tuple(v)) for p, v in patterns.items()), tuple(fields), most, dx, inflation, least_inflation, rtpp, rtps, tuple(moist), moist_top, tuple(dict(state.dtypes)[c].replace("bigint", "long") for c in ("gi", "gj", "k")))
     crowded = sent.groupBy("ti", "tj").count().filter(F.col("count") > of_a_task).select("ti", "tj", F.ceil(F.col("count") / of_a_task).cast("int").alias("parts"))
     shared = sent.join(crowded, ["ti", "tj"], "left")
     dense = shared.filter("parts is not null").withColumn("part", F.pmod(F.hash("obs_id"), F.col("parts")))
@@ -425,6 +430,17 @@ def analysis_by_tile(
     else:
         sparse = points.join(crowded, at, "left_anti").groupBy(*at).cogroup(few.groupBy(*at)).applyInArrow(_whole_tile(setup), setup.schema())
         whole = points.join(crowded.select(*at), at, "left_semi")
-        summed = whole.groupBy("gi", "gj").cogroup(split(_partial_sums(setup), PARTIAL).groupBy("gi", "gj")).applyInArrow(_added_up(setup), setup.schema())
+        summed = whole.groupBy("gi", "gj").cogroup(split(_partial_sums(setup), setup.partial()).groupBy("gi", "gj")).applyInArrow(_added_up(setup), setup.schema())
         out = sparse.unionByName(summed)
     return out if adaptive else out.drop("infl")
+
+
+def analysis_at_observations(targets: DataFrame, hx: DataFrame, obs: DataFrame, **settings) -> DataFrame:
+    """(obs_id, mem, xa, n_obs): the analysis in observation space, of each target's simulated values, by the observations around it.
+
+    ``targets`` (obs_id, ri, rj, p, and where radar observations count z) are the places, ``hx`` (obs_id, mem, hx) the members' values
+    there, ``obs`` and ``settings`` as for ``analysis_by_tile``. A target that is itself in ``obs`` feels itself too; one without simulated values has no row.
+    """
+    places = targets.select(F.col("obs_id").cast("long").alias("k"), F.col("ri").cast("double").alias("gi"), F.col("rj").cast("double").alias("gj"), "p", *(["z"] if "z" in targets.columns else []))
+    state = places.join(hx.select(F.col("obs_id").alias("k"), "mem", F.col("hx").alias("xa")), "k")
+    return analysis_by_tile(state, ["xa"], obs, **settings).select(F.col("k").alias("obs_id"), "mem", "xa", "n_obs")

@@ -10,6 +10,7 @@ from isohyet.operators import impact, volume
 from isohyet.plans import fixtures as fx
 from isohyet.plans.registry import register, rounded
 from isohyet.plans.volume_queries import HX3, INFLATION, PLAIN_HEAD, VCODED, _felt, _volume
+from isohyet.sources import states
 
 LENGTH = 0.3
 #: Grid lines lie a tenth of a degree apart, from 0 and from 30 degrees north; the forecast is one of six hours.
@@ -122,3 +123,29 @@ def analysis_3d_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
         told = volume.analysis_by_tile(state, ["t"], own, widest=LENGTH, most=1, inflation=INFLATION, rain_base=60000.0).select(F.lit(name).alias("kind"), "gi", "gj", "k", "mem", "n_obs", F.round("t", 5).alias("t"))
         out = told if out is None else out.unionByName(told)
     return out
+
+
+WITHHELD = VCODED.replace(PLAIN_HEAD, "select * exclude (elm, typ, dat), 3073 elm, 1 typ, 250 + dat / 10 dat,") + HX3 + f""",
+good as (select h.obs_id, max(c.dat) - avg(h.hx) dep, max(c.err) err, max(c.ri) ri, max(c.rj) rj, max(c.lev) lev from hx3 h join cell c using (obs_id) group by 1 having max(h.qc) = 0),
+y3 as (select h.obs_id, h.mem, h.hx, avg(h.hx) over (partition by h.obs_id) hm from hx3 h join good using (obs_id)),
+d3 as (select t.obs_id target, g.obs_id, g.dep, g.err, (power(t.ri - g.ri, 2) + power(t.rj - g.rj, 2)) / {LENGTH * LENGTH} h2, power((ln(t.lev) - ln(g.lev)) / {LENGTH}, 2) v2 from good t join good g on t.obs_id % 2 = 1 and g.obs_id % 2 = 0 and abs(t.ri - g.ri) < 1.2 and abs(t.rj - g.rj) < 1.2),
+n3 as (select *, row_number() over (partition by target order by round(h2 + v2, 9), obs_id) r from d3 where sqrt(h2) <= 3.651483717 and sqrt(v2) <= 3.651483717 and h2 + v2 <= 13.33333333),
+one as (select target, obs_id, dep, err * err / exp(-0.5 * (h2 + v2)) r from n3 where r = 1),
+lam as (select target, one.obs_id, max(dep) dep, max(one.r) r, sum((hx - hm) * (hx - hm)) yy, 15 / {INFLATION}e0 + sum((hx - hm) * (hx - hm)) / max(one.r) l from one join y3 using (obs_id) group by 1, 2),
+xy as (select x.obs_id, sum((x.hx - x.hm) * (y.hx - y.hm)) xy from one join y3 x on x.obs_id = one.target join y3 y on y.obs_id = one.obs_id and y.mem = x.mem group by 1)
+select x.obs_id, x.mem, case when l is null then 0 else 1 end n_obs, round(x.hm + sqrt({INFLATION}e0) * (x.hx - x.hm) + coalesce(xy * (dep / (r * l) + (sqrt(15 / l) - sqrt({INFLATION}e0)) * (y.hx - y.hm) / yy), 0), 5) xa
+from y3 x left join lam on target = x.obs_id left join xy on xy.obs_id = x.obs_id left join y3 y on y.obs_id = lam.obs_id and y.mem = x.mem where x.obs_id % 2 = 1"""
+
+
+@register(WITHHELD)
+def letkf_obs_space_withheld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysis at observations with odd ids by the nearest of those with even ids, as it is held against observations that it has not seen."""
+    obs, state = _volume(spark, sf_dir)
+    raw = fx.observations(spark, sf_dir).select("obs_id", "lev")
+    same = obs.drop("lev").join(raw, "obs_id").withColumns({"elm": F.lit(codes.ID["T"]), "typ": F.lit(1), "dat": 250 + F.col("dat") / 10})
+    felt = states.kept(_felt(same, state).withColumns({"hori_loc": F.lit(LENGTH), "vert_loc": F.lit(LENGTH)}), "felt")
+    mean = F.col("dat") - F.col("dep")
+    targets = felt.filter("obs_id % 2 = 1")
+    hx = targets.select("obs_id", F.posexplode("y").alias("m", "y"), mean.alias("hm")).select("obs_id", (F.col("m") + 1).alias("mem"), (F.col("y") + F.col("hm")).alias("hx"))
+    told = volume.analysis_at_observations(targets.withColumn("p", F.col("lev")), hx, felt.filter("obs_id % 2 = 0"), widest=LENGTH, most=1, inflation=INFLATION)
+    return rounded(told, 5)
