@@ -54,3 +54,11 @@ def added(analysis: DataFrame, extra: DataFrame, amount: float, weight: DataFram
     if of_mean is not None:
         out, factor = out.join(of_mean, ["gi", "gj"]), factor * F.col("mean")
     return out.select("gi", "gj", "mem", (F.col("x") + F.col("p") * factor).alias("x"))
+
+
+def limited_spread(ensemble: DataFrame, keys: Sequence[str], variable: str, most: float) -> DataFrame:
+    """``ensemble`` with perturbations of ``variable`` shrunk where its spread, relative to its mean, exceeds ``most``; the mean stays. Where the mean is 0 nothing is shrunk."""
+    stats = ensemble.groupBy(*keys).agg(F.avg(variable).alias("_mean"), F.stddev_samp(variable).alias("_spread"))
+    ratio = F.col("_spread") / F.nullif(F.col("_mean"), F.lit(0.0))
+    shrunk = F.when(ratio > most, F.col("_mean") + (F.col(variable) - F.col("_mean")) * most / ratio).otherwise(F.col(variable))
+    return ensemble.join(stats, list(keys)).withColumn(variable, shrunk).drop("_mean", "_spread")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isohyet.functions import codes, physics
-from isohyet.operators import kernels, localization, superob, volume
+from isohyet.operators import bias, inflation, kernels, localization, superob, volume
 from isohyet.operators import observations as ob
 from isohyet.plans import fixtures as fx
 from isohyet.plans.registry import register, rounded
@@ -262,9 +262,9 @@ select gi, gj, round(covar_samp(x, hx) / (var_samp(hx) + max(err * err)), 6) gai
 def enkf_scalar_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     dep, hx = _departures(spark, sf_dir)
     grid = fx.ensemble(spark, sf_dir).withColumn("obs_id", (F.col("gi") + 25 * F.col("gj")).cast("long"))
-    z = grid.join(dep.filter("qc = 0").select("obs_id", "dep", "err"), "obs_id").join(hx, ["obs_id", "mem"])
-    gain = F.covar_samp("x", "hx") / (F.var_samp("hx") + F.max(F.col("err") * F.col("err")))
-    return z.groupBy("gi", "gj").agg(F.round(gain, 6).alias("gain"), F.round(F.avg("x") + gain * F.max("dep"), 5).alias("xa_mean"))
+    z = grid.join(dep.filter("qc = 0").select("obs_id", "dep", (F.col("err") * F.col("err")).alias("r")), "obs_id").join(hx, ["obs_id", "mem"])
+    told = bias.scalar_gain(z, ["gi", "gj"])
+    return told.select("gi", "gj", F.round("gain", 6).alias("gain"), F.round("xa_mean", 5).alias("xa_mean"))
 
 
 CELLS = OBS + CODED + "c as (select *, cast(round(ri) as int) ci, cast(round(rj) as int) cj from coded where qc = 0),\n"
@@ -297,8 +297,7 @@ select obs_id, elm, slot from d where k = 1""")
 def superob_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of observations of one element at one place, the one nearest to the base slot stays; the earlier slot wins ties."""
     coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.rows(spark, sf_dir), fx.FIRST_SLOT, fx.LAST_SLOT).filter("qc = 0")
-    best = Window.partitionBy("elm", "ri", "rj", "lev").orderBy(F.abs(F.col("slot") - 13), "slot", "obs_id")
-    return coded.withColumn("k", F.row_number().over(best)).filter("k = 1").select("obs_id", "elm", "slot")
+    return superob.temporal(coded, ["elm", "ri", "rj", "lev"], 13).select("obs_id", "elm", "slot")
 
 
 @register(OBS + """i as (select elm, typ, case when rj < 10 then 'S' else 'N' end region, dat - 50 * err impact from obs)
@@ -315,9 +314,7 @@ MOST_SPREAD = 0.1  # of the mean
 select gi, gj, mem, round(case when s > {MOST_SPREAD} then xm + (x - xm) * {MOST_SPREAD} / s else x end, 6) x from ens join n using (gi, gj)""")
 def q_spread_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perturbations shrunk where the spread, relative to the mean, exceeds its limit."""
-    point = Window.partitionBy("gi", "gj")
-    e = fx.ensemble(spark, sf_dir).withColumn("xm", F.avg("x").over(point)).withColumn("s", F.stddev_samp("x").over(point) / F.col("xm"))
-    return e.select("gi", "gj", "mem", F.round(F.when(F.col("s") > MOST_SPREAD, F.col("xm") + (F.col("x") - F.col("xm")) * MOST_SPREAD / F.col("s")).otherwise(F.col("x")), 6).alias("x"))
+    return rounded(inflation.limited_spread(fx.ensemble(spark, sf_dir), ["gi", "gj"], "x", MOST_SPREAD).select("gi", "gj", "mem", "x"))
 
 
 @register(OBS + CODED + HX + """, z as (select e.gi, e.gj, e.mem, e.x, h.hx, o.err * o.err r from ens e join dep o on o.obs_id = (e.gi + 25 * e.gj) and o.qc = 0 join hx h on h.obs_id = o.obs_id and h.mem = e.mem),
@@ -328,7 +325,4 @@ def enkf_serial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     dep, hx = _departures(spark, sf_dir)
     grid = fx.ensemble(spark, sf_dir).withColumn("obs_id", (F.col("gi") + 25 * F.col("gj")).cast("long"))
     z = grid.join(dep.filter("qc = 0").select("obs_id", (F.col("err") * F.col("err")).alias("r")), "obs_id").join(hx, ["obs_id", "mem"])
-    g = z.groupBy("gi", "gj").agg(F.avg("x").alias("xm"), F.avg("hx").alias("hm"), F.var_samp("hx").alias("v"), F.covar_samp("x", "hx").alias("c"))
-    total = F.col("v") + F.col("r")
-    pert = F.col("x") - F.col("xm") - F.col("c") / total / (1 + F.sqrt(F.col("r") / total)) * (F.col("hx") - F.col("hm"))
-    return z.join(g, ["gi", "gj"]).select("gi", "gj", "mem", F.round(pert, 5).alias("xa_pert"))
+    return bias.square_root_update(z, ["gi", "gj"]).select("gi", "gj", "mem", F.round("pert", 5).alias("xa_pert"))
