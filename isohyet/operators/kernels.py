@@ -89,23 +89,38 @@ def serial(x: np.ndarray, y: np.ndarray, rdiag: np.ndarray) -> np.ndarray:
     return x
 
 
-def eigenspace_analysis(x: np.ndarray, y: np.ndarray, d: np.ndarray, rdiag: np.ndarray, delta: float = 0.0) -> np.ndarray:
+def modes(x: np.ndarray, share: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions (n x r), sizes (r) and combinations of members (r x m) of perturbations, the largest first: those with variance, or as few of them as explain ``share`` of it."""
+    basis, size, right = np.linalg.svd(x, full_matrices=False)
+    keep = size > size.max(initial=0) * 1e-8
+    if share < 1 and keep.any():
+        part = np.cumsum(size**2) / (size**2).sum()
+        keep &= np.append(0.0, part[:-1]) < share
+    return basis[:, keep], size[keep], right[keep]
+
+
+def explained(x: np.ndarray, error: np.ndarray, share: float = 1.0) -> float:
+    """Share of a vector's square (n) that lies in the space of perturbations (n x m), or of their leading modes; not a number without a vector."""
+    inside = modes(x, share)[0].T @ error
+    return float(inside @ inside / (error @ error)) if error @ error > 0 else float("nan")
+
+
+def eigenspace_analysis(x: np.ndarray, y: np.ndarray, d: np.ndarray, rdiag: np.ndarray, delta: float = 0.0, share: float = 1.0) -> np.ndarray:
     """Members of a local state (n x m) updated in the eigenbasis of its covariance by observations (p x m)."""
-    return eigenspace_of_sums(x, (y.T / rdiag) @ y, y.T @ (d / rdiag), delta)
+    return eigenspace_of_sums(x, (y.T / rdiag) @ y, y.T @ (d / rdiag), delta, share)
 
 
-def eigenspace_of_sums(x: np.ndarray, square: np.ndarray, pull: np.ndarray, delta: float = 0.0) -> np.ndarray:
+def eigenspace_of_sums(x: np.ndarray, square: np.ndarray, pull: np.ndarray, delta: float = 0.0, share: float = 1.0) -> np.ndarray:
     """The same from sums over observations: ``square`` is Y'R^-1Y (m x m) and ``pull`` Y'R^-1d (m).
 
-    ``delta`` adds that share of the mean analysis variance in each direction. Directions without variance are left out.
+    ``delta`` adds that share of the mean analysis variance in each direction. Directions without variance are left out; with a ``share`` below 1,
+    only as many leading modes are updated as explain it, and perturbations outside of them stay.
     """
     m = x.shape[1]
     centre = x.mean(axis=1, keepdims=True)
-    basis, size, right = np.linalg.svd(x - centre, full_matrices=False)
-    keep = size > size.max(initial=0) * 1e-8
-    if not keep.any():
+    basis, size, right = modes(x - centre, share)
+    if not len(size):
         return x
-    basis, size, right = basis[:, keep], size[keep], right[keep]
     variance = size * size / (m - 1)
     own = right / size[:, None]
     after = variance[:, None] * np.linalg.inv(np.eye(len(size)) + own @ square @ own.T * variance)
@@ -114,7 +129,8 @@ def eigenspace_of_sums(x: np.ndarray, square: np.ndarray, pull: np.ndarray, delt
     after = after + np.eye(len(size)) * (delta * np.trace(after) / len(size))
     inner = size[:, None] * right / variance[:, None]
     values, vectors = np.linalg.eigh(np.eye(m) + inner.T @ (after - np.diag(variance)) @ inner / (m - 1))
-    return centre + mean[:, None] + (x - centre) @ ((vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T)
+    inside = basis @ (size[:, None] * right)
+    return centre + mean[:, None] + inside @ ((vectors * np.sqrt(np.maximum(values, 0))) @ vectors.T) + (x - centre - inside)
 
 
 def _per_point(packed: DataFrame, columns: tuple[str, ...], schema: str, of_row: Callable[..., list[tuple]]) -> DataFrame:
@@ -195,14 +211,14 @@ def gains(packed: DataFrame, bias: float = 0.0) -> DataFrame:
     return _per_point(packed, ("x", "y", "rdiag"), "gi int, gj int, k int, gain double", of_row)
 
 
-def eigenspace(patches: DataFrame, delta: float = 0.0) -> DataFrame:
+def eigenspace(patches: DataFrame, delta: float = 0.0, share: float = 1.0) -> DataFrame:
     """(gi, gj, point, mem, xa) of patches: ``x`` lists the members of each point, ``sums`` is that of its observations or null."""
 
     def of_row(x: list, sums: bytes | None) -> list[tuple]:
         state = np.array(x)
         m = state.shape[1]
         both = np.frombuffer(sums).reshape(m + 1, m) if sums else np.zeros((m + 1, m))
-        new = eigenspace_of_sums(state, both[:m], both[m], delta)
+        new = eigenspace_of_sums(state, both[:m], both[m], delta, share)
         return [(point, mem, float(v)) for point, row in enumerate(new, 1) for mem, v in enumerate(row, 1)]
 
     return _per_point(patches, ("x", "sums"), "gi int, gj int, point int, mem int, xa double", of_row)
@@ -274,6 +290,17 @@ def ensemble_dimension(patches: DataFrame) -> DataFrame:
     return _per_point(patches, ("x",), "gi int, gj int, edim double", of_row)
 
 
+def explained_variance(patches: DataFrame, share: float = 1.0) -> DataFrame:
+    """(gi, gj, expvar, edim) of patches: members ``x`` of each of their points, and ``error``, the mean's error at them. The first is how much of the error lies in the members' space, the other its dimension."""
+
+    def of_row(x: list, error: list) -> list[tuple]:
+        values = np.array(x)
+        values = values - values.mean(axis=1, keepdims=True)
+        return [(explained(values, np.array(error), share), dimension(values))]
+
+    return _per_point(patches, ("x", "error"), "gi int, gj int, expvar double, edim double", of_row)
+
+
 def packed_points(grid: DataFrame, local: DataFrame, hx: DataFrame, dep: DataFrame | None) -> DataFrame:
     """One row per point: its members in order, and perturbations, departures and error variances of its local observations.
 

@@ -91,3 +91,28 @@ def test_analysis_at_observations_against_loops(spark):
             near = [(o, h * h + v * v) for o, h, v in near if h <= 3.651483717 and v <= 3.651483717 and h * h + v * v <= 13.33333333]
             want = kernels.analysed(values[k], np.array([o[11] for o, _ in near]).reshape(-1, m), np.array([o[8] for o, _ in near]), np.array([o[7] ** 2 / np.exp(-0.5 * d) for o, d in near]), 1.1)
             assert got[k, 1][1] == len(near) and np.allclose([got[k, e + 1][0] for e in range(m)], want)
+
+
+def test_leading_modes_against_the_kalman_filter():
+    """With as few modes as explain a share of the variance, the mean is that of a Kalman filter with their covariance, and the rest of the perturbations stays."""
+    for seed in range(8):
+        r = np.random.default_rng(seed)
+        x = (r.normal(size=(12, 9)) * np.geomspace(5, 0.1, 12)[:, None]) + 3
+        mean = x.mean(axis=1, keepdims=True)
+        h, variance, d = r.normal(size=(6, 12)), r.uniform(0.5, 2, 6), r.normal(size=6)
+        values, vectors = np.linalg.eigh((x - mean) @ (x - mean).T / 8)
+        values, vectors = values[::-1], vectors[:, ::-1]
+        for share in (0.5, 0.9, 1.0):
+            kept = 8 if share == 1 else int(np.searchsorted(np.cumsum(values) / values.sum(), share)) + 1
+            q = vectors[:, :kept]
+            prior = (q * values[:kept]) @ q.T
+            gain = prior @ h.T @ np.linalg.inv(h @ prior @ h.T + np.diag(variance))
+            new = kernels.eigenspace_analysis(x, h @ (x - mean), d, variance, share=share)
+            assert np.allclose(new.mean(axis=1), mean[:, 0] + gain @ d)
+            after, rest = (new - new.mean(axis=1, keepdims=True)), np.eye(12) - q @ q.T
+            assert np.allclose(rest @ after, rest @ (x - mean))
+            assert np.allclose(q.T @ after @ after.T @ q / 8, q.T @ (prior - gain @ h @ prior) @ q)
+            error = r.normal(size=12)
+            fit, *_ = np.linalg.lstsq(q, error, rcond=None)
+            assert np.isclose(kernels.explained(x - mean, error, share), 1 - ((error - q @ fit) ** 2).sum() / (error**2).sum())
+    assert kernels.explained(np.zeros((3, 4)), np.ones(3)) == 0 and np.isnan(kernels.explained(np.ones((3, 4)), np.zeros(3)))
