@@ -29,6 +29,12 @@ def physical_to_state(u: Column, v: Column, w: Column, t: Column, p: Column, tra
     return {"rho": rho, "rhou": rho * u, "rhov": rho * v, "rhow": rho * w, "rhot": P00 / r * F.pow(p / P00, cv / (cv + r))}
 
 
+def clipped(tracers: Sequence[Column], vapour: bool = False, condensate: bool = False) -> list[Column]:
+    """Tracers (vapour first) without negative amounts: of vapour, of all others, or both; a null stays null."""
+    flags = [vapour, *[condensate] * (len(tracers) - 1)]
+    return [F.when(q < 0, 0.0).otherwise(q) if flag else q for q, flag in zip(tracers, flags, strict=True)]
+
+
 def _gas(tracers: Sequence[Column], heat: Sequence[float]) -> tuple[Column, Column, Column]:
     dry = F.lit(1.0)
     cv = F.lit(0.0)
@@ -78,6 +84,14 @@ def radar_preprocessed(z: Column, least: float = 10.0, least_dbz: float = 10.0,
     return element, dbz
 
 
+def radar_error(elm: Column, err: Column, reflectivity: float | None = None, wind: float | None = None) -> Column:
+    """A radar observation's error, or the one that the settings give for reflectivities (with and without an echo) and for winds."""
+    out = err
+    if reflectivity is not None:
+        out = F.when(elm.isin(codes.ID["REF"], codes.ID["RE0"]), reflectivity).otherwise(out)
+    return out if wind is None else F.when(elm == codes.ID["Vr"], wind).otherwise(out)
+
+
 def taper(distance: Column, scale: float) -> Column:
     """Fifth-order compactly supported correlation with half width ``scale * sqrt(10/3)``."""
     b = distance / (scale * (10 / 3) ** 0.5)

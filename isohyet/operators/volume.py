@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from isohyet.functions import codes, geometry, physics
 from isohyet.operators import tiles
 from isohyet.operators.kernels import adapted_factor, spread_factor
-from isohyet.operators.localization import CUTOFF, NO_WEIGHT, RAIN_BASE, distances, with_vertical_place
+from isohyet.operators.localization import CUTOFF, NO_WEIGHT, ORDERS, RAIN_BASE, distances, with_vertical_place
 from isohyet.operators.model import simulated, simulated_radar
 from isohyet.sources import states
 
@@ -159,9 +159,10 @@ class _Setup:
     moist: tuple[str, ...]
     moist_top: float
     place: tuple[str, str, str] = ("int", "int", "int")  # types of gi, gj and k
+    order: str = "distance"
 
     def schema(self) -> str:
-        return ", ".join(f"{c} {t}" for c, t in zip(("gi", "gj", "k"), self.place, strict=True)) + ", mem int, " + ", ".join(f"{v} double" for v in self.names) + ", n_obs int, infl double"
+        return ", ".join(f"{c} {t}" for c, t in zip(("gi", "gj", "k"), self.place, strict=True)) + ", mem int, " + ", ".join(f"{v} double" for v in self.names) + ", n_obs int, infl double" + "".join(f", relax_{v} double" for v in self.names)
 
     def partial(self) -> str:
         return PARTIAL.format("".join(f"{c} {t}, " for c, t in zip(("gi", "gj", "k"), self.place, strict=True)).rstrip())
@@ -212,7 +213,8 @@ class _Felt:
                     mine = np.flatnonzero(np.isfinite(row))
                     d2, mine = row[mine], near[mine]
                     if setup.most is not None and len(mine):
-                        best = _best(np.round(d2, 9), self.group[mine], self.ids[mine], setup.most)
+                        value = self.variance[mine] / np.exp(-0.5 * d2) if setup.order == "error" else d2
+                        best = _best(np.round(value, 9), self.group[mine], self.ids[mine], setup.most)
                         mine, d2 = mine[best], d2[best]
                     yield point, mine, d2
 
@@ -247,7 +249,7 @@ def _finished(points: _Points, js: np.ndarray, setup: _Setup, sums: list[dict[st
     """Analysed members of the points ``js`` from the sums of each pattern."""
     m = points.mems.shape[1]
     infl, beta = points.infl[js], points.beta[js]
-    out = {}
+    out, relaxation = {}, {}
     for (_, same), told in zip(setup.patterns, sums, strict=True):
         some = told["n_used"] > 0
         w, mean, covariance = transforms(told["square"], told["pull"], infl)
@@ -258,9 +260,11 @@ def _finished(points: _Points, js: np.ndarray, setup: _Setup, sums: list[dict[st
         for v in same:
             x = points.x[v][js]
             centre = x.mean(axis=1, keepdims=True)
-            own = w
+            own, relaxed = w, np.ones(len(js))
             if setup.rtps and not setup.rtpp:
-                own = w * np.array([spread_factor(x[j] - centre[j], covariance[j], infl[j], setup.rtps) if some[j] else 1.0 for j in range(len(js))])[:, None, None]
+                relaxed = np.array([spread_factor(x[j] - centre[j], covariance[j], infl[j], setup.rtps) if some[j] else 1.0 for j in range(len(js))])
+                own = w * relaxed[:, None, None]
+            relaxation[f"relax_{v}"] = relaxed
             update = beta[:, None, None] * (own + mean[:, :, None]) + (1 - beta)[:, None, None] * np.eye(m)
             new = centre + ((x - centre)[:, None, :] @ update)[:, 0]
             keep = (beta == 0) | (points.p[js] < setup.moist_top if v in setup.moist else np.zeros(len(js), bool))
@@ -269,7 +273,7 @@ def _finished(points: _Points, js: np.ndarray, setup: _Setup, sums: list[dict[st
     adapted = np.array([adapted_factor(*(first[c][j] for c in ("p1", "p2", "p3")), infl[j]) for j in range(len(js))])
     repeat = lambda a, kind: np.repeat(a, m).astype(kind)
     place = {c: repeat(getattr(points, c)[js], _KINDS[t].to_pandas_dtype()) for c, t in zip(("gi", "gj", "k"), setup.place, strict=True)}
-    return pa.table({**place, "mem": points.mems[js].ravel().astype(np.int32), **{v: out[v] for v in setup.names}, "n_obs": repeat(counts, np.int32), "infl": repeat(adapted, float)})
+    return pa.table({**place, "mem": points.mems[js].ravel().astype(np.int32), **{v: out[v] for v in setup.names}, "n_obs": repeat(counts, np.int32), "infl": repeat(adapted, float), **{f"relax_{v}": repeat(relaxation[f"relax_{v}"], float) for v in setup.names}})
 
 
 AT_ONCE_BYTES = 64 << 20  # of the matrices of points that are worked on together
@@ -384,7 +388,7 @@ def _pruned(setup: _Setup):
 
 def analysis_by_tile(
     state: DataFrame, variables: Sequence[str], obs: DataFrame, weights: Mapping[str, Mapping[int, float]] | None = None, widest: float = 1.0, dx: float = 1.0, tile: int = 8, most: int | None = None,
-    inflation: float = 1.0, least_inflation: float = 0.0, rtpp: float = 0.0, rtps: float = 0.0, moist: Sequence[str] = (), moist_top: float = 0.0, rain_base: float = RAIN_BASE, adaptive: bool = False, of_a_task: int = tiles.OBS_OF_A_TASK,
+    inflation: float = 1.0, least_inflation: float = 0.0, rtpp: float = 0.0, rtps: float = 0.0, moist: Sequence[str] = (), moist_top: float = 0.0, rain_base: float = RAIN_BASE, adaptive: bool = False, order: str = "distance", relaxation: bool = False, of_a_task: int = tiles.OBS_OF_A_TASK,
 ) -> DataFrame:
     """(gi, gj, k, mem, variables, n_obs): the localized analysis of every point, level and variable.
 
@@ -392,8 +396,9 @@ def analysis_by_tile(
     update); ``obs`` (obs_id, elm, typ, ri, rj, lev, dat, err, dep, hori_loc, vert_loc, y) with the centred members ``y`` in the order of
     ``mem``. ``weights`` gives, by variable, the weight of elements other than 1; variables with equal weights share a
     transform. At most ``most`` observations of a class (element and type, both reflectivities of a radar being one) count,
-    the nearest ones. ``moist`` variables are left as they are where the mean pressure is below ``moist_top``, all are where ``beta`` is 0.
-    With ``adaptive``, a further column ``infl`` has each point's factor after one adaptive update by the observations of its first variable.
+    the nearest ones, or by ``order`` those of the largest weight (``weight``) or of the least variance over weight (``error``). ``moist`` variables are left as they are where the mean pressure is below ``moist_top``, all are where ``beta`` is 0.
+    With ``adaptive``, a further column ``infl`` has each point's factor after one adaptive update by the observations of its first variable; with
+    ``relaxation``, columns ``relax_`` of each variable have the factors by which its spread was relaxed.
 
     Points and observations meet tile by tile: an observation is sent once to each tile of ``tile`` x ``tile`` columns within
     reach of it, members with it, and a tile's points choose from it there. Its matrices are decomposed together, some of them at a time.
@@ -403,6 +408,8 @@ def analysis_by_tile(
     Vertical places are those of ``with_vertical_place``, radar's being heights, which need ``z``; ``vert_loc`` 0 means any level.
     Without observations a point keeps its inflated prior.
     """
+    if order not in ORDERS:
+        raise ValueError(f"order is one of {tuple(ORDERS)}")
     names, reach = list(variables), widest * CUTOFF / dx
     fields = [c for c in ("infl", "beta") if c in state.columns]
     members = F.array_sort(F.collect_list(F.struct("mem", *names)))
@@ -416,7 +423,7 @@ def analysis_by_tile(
     patterns: dict[tuple, list[str]] = {}
     for v in names:
         patterns.setdefault(tuple(sorted(((weights or {}).get(v) or {}).items())), []).append(v)
-    setup = _Setup(tuple(names), tuple((p, tuple(v)) for p, v in patterns.items()), tuple(fields), most, dx, inflation, least_inflation, rtpp, rtps, tuple(moist), moist_top, tuple(dict(state.dtypes)[c].replace("bigint", "long") for c in ("gi", "gj", "k")))
+    setup = _Setup(tuple(names), tuple((p, tuple(v)) for p, v in patterns.items()), tuple(fields), most, dx, inflation, least_inflation, rtpp, rtps, tuple(moist), moist_top, tuple(dict(state.dtypes)[c].replace("bigint", "long") for c in ("gi", "gj", "k")), order)
     crowded = sent.groupBy("ti", "tj").count().filter(F.col("count") > of_a_task).select("ti", "tj", F.ceil(F.col("count") / of_a_task).cast("int").alias("parts"))
     shared = sent.join(crowded, ["ti", "tj"], "left")
     dense = shared.filter("parts is not null").withColumn("part", F.pmod(F.hash("obs_id"), F.col("parts")))
@@ -432,7 +439,7 @@ def analysis_by_tile(
         whole = points.join(crowded.select(*at), at, "left_semi")
         summed = whole.groupBy("gi", "gj").cogroup(split(_partial_sums(setup), setup.partial()).groupBy("gi", "gj")).applyInArrow(_added_up(setup), setup.schema())
         out = sparse.unionByName(summed)
-    return out if adaptive else out.drop("infl")
+    return out.drop(*([] if adaptive else ["infl"]), *([] if relaxation else [f"relax_{v}" for v in names]))
 
 
 def analysis_at_observations(targets: DataFrame, hx: DataFrame, obs: DataFrame, **settings) -> DataFrame:

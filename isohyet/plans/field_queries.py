@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.functions import satellite
+from isohyet.functions import codes, physics, satellite
 from isohyet.operators import observations as ob
 from isohyet.operators import globalgrid, perturbation, superob
 from isohyet.plans import fixtures as fx
@@ -114,3 +114,14 @@ def global_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = fx.observations(spark, sf_dir).withColumns({"lon": k * 37 % 3600 / 10.0, "lat": -88 + k * 53 % 1760 / 10.0, "lev": F.col("lev") * 1.15}).drop("ri", "rj")
     told = superob.placed(globalgrid.global_places(obs, columns, lats, NLON).filter("rk is not null"), NLON)
     return rounded(told.select("obs_id", "ri", "rj", "rk", "ci", "cj", "ck"))
+
+
+@register("""with s as (select l_orderkey id, l_linenumber ln, (l_discount - 0.03)::double q, (l_tax - 0.02)::double qr, case l_linenumber % 3 when 0 then 4001 when 1 then 4002 else 4004 end elm, (1 + l_linenumber % 4)::double err from lineitem)
+select id, ln, round(greatest(q, 0), 6) q, round(qr, 6) qr, round(greatest(qr, 0), 6) qr_clipped, case elm when 4002 then 3.0e0 else 5.0e0 end err, case elm when 4002 then err else 5.0e0 end err_ref from s""")
+def settings_of_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracers without negative amounts by their flags, and errors of radar observations from the settings."""
+    s = fx.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ln"), (F.col("l_discount").cast("double") - 0.03).alias("q"), (F.col("l_tax").cast("double") - 0.02).alias("qr"), (1.0 + F.col("l_linenumber") % 4).alias("err"))
+    elm = F.when(F.col("ln") % 3 == 0, codes.ID["REF"]).when(F.col("ln") % 3 == 1, codes.ID["Vr"]).otherwise(codes.ID["RE0"])
+    vapour, rain = physics.clipped([s.q, s.qr], vapour=True)
+    told = s.select("id", "ln", vapour.alias("q"), rain.alias("qr"), physics.clipped([s.q, s.qr], condensate=True)[1].alias("qr_clipped"), physics.radar_error(elm, s.err, 5.0, 3.0).alias("err"), physics.radar_error(elm, s.err, 5.0).alias("err_ref"))
+    return rounded(told)

@@ -149,3 +149,27 @@ def letkf_obs_space_withheld(spark: SparkSession, sf_dir: str) -> DataFrame:
     hx = targets.select("obs_id", F.posexplode("y").alias("m", "y"), mean.alias("hm")).select("obs_id", (F.col("m") + 1).alias("mem"), (F.col("y") + F.col("hm")).alias("hx"))
     told = volume.analysis_at_observations(targets.withColumn("p", F.col("lev")), hx, felt.filter("obs_id % 2 = 0"), widest=LENGTH, most=1, inflation=INFLATION)
     return rounded(told, 5)
+
+
+FIELDS = WITHHELD.split("d3 as (")[0] + f"""pt3 as (select gi, gj, k, avg(p) p from vol group by 1, 2, 3),
+d3 as (select pt3.gi, pt3.gj, pt3.k, g.obs_id, g.dep, g.err, (power(gi - ri, 2) + power(gj - rj, 2)) / {LENGTH * LENGTH} h2, power((ln(lev) - ln(p)) / {LENGTH}, 2) v2 from pt3 join good g on abs(gi - ri) < 1.2 and abs(gj - rj) < 1.2),
+n3 as (select *, row_number() over (partition by gi, gj, k order by round(err * err / exp(-0.5 * (h2 + v2)), 9), obs_id) r from d3 where sqrt(h2) <= 3.651483717 and sqrt(v2) <= 3.651483717 and h2 + v2 <= 13.33333333),
+one as (select gi, gj, k, obs_id, dep, exp(-0.5 * (h2 + v2)) w, err * err / exp(-0.5 * (h2 + v2)) r from n3 where r = 1),
+y1 as (select gi, gj, k, one.obs_id, max(dep) dep, max(r) r, max(w) w, sum((hx - hm) * (hx - hm)) yy from one join y3 using (obs_id) group by 1, 2, 3, 4),
+i1 as (select *, {INFLATION}e0 + 0.0016 / (2 / w * power(({INFLATION}e0 * yy / 15 / r + w) / (yy / 15 / r), 2) + 0.0016) * ((dep * dep / r - w) / (yy / 15 / r) - {INFLATION}e0) infl from y1),
+xs as (select gi, gj, k, mem, u, u - avg(u) over (partition by gi, gj, k) x from vol),
+xy as (select xs.gi, xs.gj, xs.k, sum(x * (hx - hm)) xy, sum(x * x) xx from xs join one using (gi, gj, k) join y3 on y3.obs_id = one.obs_id and y3.mem = xs.mem group by 1, 2, 3),
+rl as (select i1.*, xx, ({INFLATION}e0 / 15) * (xx - xy * xy / yy) + xy * xy / yy / (15 / {INFLATION}e0 + yy / r) after from i1 join xy using (gi, gj, k))
+select pt3.gi, pt3.gj, pt3.k, case when rl.obs_id is null then 0 else 1 end n_obs, round(coalesce(infl, {INFLATION}e0), 6) infl, round(coalesce(0.95e0 * sqrt(xx * {INFLATION}e0 / (after * 15)) - 0.95e0 + 1, 1), 6) relax_u
+from pt3 left join rl using (gi, gj, k)"""
+
+
+@register(FIELDS)
+def inflation_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that an analysis leaves: adapted inflation and the factor of relaxed spread at every point, with the observation of the least variance over weight."""
+    obs, state = _volume(spark, sf_dir)
+    raw = fx.observations(spark, sf_dir).select("obs_id", "lev")
+    same = obs.drop("lev").join(raw, "obs_id").withColumns({"elm": F.lit(codes.ID["T"]), "typ": F.lit(1), "dat": 250 + F.col("dat") / 10})
+    felt = _felt(same, state).withColumns({"hori_loc": F.lit(LENGTH), "vert_loc": F.lit(LENGTH)})
+    told = volume.analysis_by_tile(state, ["u"], felt, widest=LENGTH, most=1, order="error", inflation=INFLATION, rtps=0.95, adaptive=True, relaxation=True)
+    return rounded(told.filter("mem = 1").select("gi", "gj", "k", "n_obs", "infl", "relax_u"))
