@@ -121,13 +121,13 @@ def radar_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.simulated_radar(o).select("obs_id", "elm", "qc", F.round("hx", 3).alias("hx"))
 
 
-@register("""with o as (select s_suppkey obs_id, (s_suppkey * 37 % 230) / 10e0 + 1 x, (s_suppkey * 53 % 180) / 10e0 + 1 y from supplier), g as (select i, j, i + 0.1e0 * (j % 3) x, j + 0.15e0 * (i % 2) y from range(1, 26) a(i), range(1, 21) b(j)),
+@register("""with o as (select s_suppkey obs_id, (s_suppkey * 37 % 230) / 10e0 + 1 x, (s_suppkey * 53 % 180) / 10e0 + 1 y from supplier), g as (select i, j, i + 0.1e0 * (j % 3) x, j + 0.15e0 * (i % 2) y from (select distinct vec_id % 25 + 1 i, vec_id // 25 + 1 j from embeddings)),
 d as (select obs_id, i, j, power(g.x - o.x, 2) + power(g.y - o.y, 2) d2, row_number() over (partition by obs_id order by power(g.x - o.x, 2) + power(g.y - o.y, 2), j, i) k from o join g on abs(g.x - o.x) <= 2 and abs(g.y - o.y) <= 2 and power(g.x - o.x, 2) + power(g.y - o.y, 2) <= 4)
 select obs_id, round(coalesce(max(case when d2 = 0 then i end), sum(i / nullif(d2, 0)) / sum(1 / nullif(d2, 0))), 4) oi, round(coalesce(max(case when d2 = 0 then j end), sum(j / nullif(d2, 0)) / sum(1 / nullif(d2, 0))), 4) oj from d where k <= 4 group by 1""")
 def nearest_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     o = fx.read(spark, sf_dir, "supplier").select(k.alias("obs_id"), (k * 37 % 230 / 10 + 1).alias("x"), (k * 53 % 180 / 10 + 1).alias("y"))
-    g = spark.range(500).select((F.col("id") % 25 + 1).alias("i"), (F.floor(F.col("id") / 25) + 1).alias("j")).select("i", "j", (F.col("i") + 0.1 * (F.col("j") % 3)).alias("x"), (F.col("j") + 0.15 * (F.col("i") % 2)).alias("y"))
+    g = _cells_of_vectors(spark, sf_dir).select("i", "j", (F.col("i") + 0.1 * (F.col("j") % 3)).alias("x"), (F.col("j") + 0.15 * (F.col("i") % 2)).alias("y"))
     return rounded(localization.nearest_positions(o, g, 2.0), 4)
 
 
@@ -170,12 +170,18 @@ def contingency_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("n_upto", F.sum("n_obs").over(Window.orderBy("typ", "qc").rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def _cells_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells (i, j) of a grid 25 wide, one a vector, so that it grows with the table."""
+    k = F.col("vec_id")
+    return fx.read(spark, sf_dir, "embeddings").filter("vec_id is not null").select((k % 25 + 1).alias("i"), (F.floor(k / 25) + 1).alias("j")).distinct()
+
+
 def _rad(c: str) -> str:
     return f"({c} * {PI} / 180)"
 
 
 @register(f"""with o as (select s_suppkey obs_id, 129.98::double + (s_suppkey * 37 % 230) * 0.0055::double lon, 33.98::double + (s_suppkey * 53 % 180) * 0.006::double lat from supplier),
-g as (select i, j, 130.0::double + 0.05::double * (i + 0.1::double * (j % 3)) lon, 34.0::double + 0.05::double * (j + 0.15::double * (i % 2)) lat from range(1, 26) a(i), range(1, 21) b(j)),
+g as (select i, j, 130.0::double + 0.05::double * (i + 0.1::double * (j % 3)) lon, 34.0::double + 0.05::double * (j + 0.15::double * (i % 2)) lat from (select distinct vec_id % 25 + 1 i, vec_id // 25 + 1 j from embeddings)),
 c as (select a.i, a.j, [a.lon, b.lon, c.lon, d.lon] xs, [a.lat, b.lat, c.lat, d.lat] ys from g a join g b on b.i = a.i + 1 and b.j = a.j join g c on c.i = a.i and c.j = a.j + 1 join g d on d.i = a.i + 1 and d.j = a.j + 1),
 f as (select * from o join c on o.lon between list_min(xs) and list_max(xs) and o.lat between list_min(ys) and list_max(ys) qualify row_number() over (partition by obs_id order by j desc, i) = 1),
 w as (select obs_id, i + (k - 1) % 2 i, j + (k - 1) // 2 j, 1 / power({codes.EARTH_RADIUS} * acos(least(1.0, greatest(-1.0, sin({_rad('ys[k]')}) * sin({_rad('lat')}) + cos({_rad('ys[k]')}) * cos({_rad('lat')}) * cos({_rad('(lon - xs[k])')})))), 2) w from f, range(1, 5) r(k))
@@ -184,7 +190,7 @@ def containing_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places on a skewed grid by the cell that holds them; those outside have none."""
     k = F.col("s_suppkey")
     o = fx.read(spark, sf_dir, "supplier").select(k.alias("obs_id"), (129.98 + k * 37 % 230 * 0.0055).alias("lon"), (33.98 + k * 53 % 180 * 0.006).alias("lat"))
-    g = spark.range(500).select((F.col("id") % 25 + 1).alias("i"), (F.floor(F.col("id") / 25) + 1).alias("j"))
+    g = _cells_of_vectors(spark, sf_dir)
     g = g.select("i", "j", (130.0 + 0.05 * (F.col("i") + 0.1 * (F.col("j") % 3))).alias("lon"), (34.0 + 0.05 * (F.col("j") + 0.15 * (F.col("i") % 2))).alias("lat"))
     return rounded(localization.containing_positions(o, g, 0.06), 4)
 
