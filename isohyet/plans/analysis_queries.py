@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.functions import codes, physics
-from isohyet.operators import bias, impact, inflation, kernels, localization
+from isohyet.operators import bias, impact, inflation, kernels, localization, volume
 from isohyet.operators import observations as ob
 from isohyet.plans import fixtures as fx
 from isohyet.plans.queries import CODED, HX, LOCAL, OBS, ONE, SCALE, _departures, _local, _whole
@@ -248,30 +248,41 @@ def _all_local(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     return kernels.packed_points(grid, local, hx, None), ny
 
 
+def _by_tile(spark: SparkSession, sf_dir: str, taper: float | None = None, **settings) -> DataFrame:
+    """The analysis by tiles with all local observations, many points decomposed together."""
+    dep, hx, grid, ny = _whole(spark, sf_dir)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("mem", "hx"))), lambda s: s["hx"])
+    members = hx.groupBy("obs_id").agg(ordered.alias("h"), F.avg("hx").alias("m")).select("obs_id", F.transform("h", lambda h: h - F.col("m")).alias("y"))
+    good = dep.filter("qc = 0").select("obs_id", "elm", "typ", "ri", "rj", "dat", "err", "dep").withColumns({"lev": F.lit(1.0e5), "hori_loc": F.lit(SCALE), "vert_loc": F.lit(0.0)})
+    state = grid.withColumns({"k": F.lit(1), "p": F.lit(1.0e5)})
+    if taper is not None:
+        state = state.withColumn("beta", physics.boundary_taper(F.col("gi"), F.col("gj"), fx.NX, ny, 2.0, 2.0, taper))
+    out = volume.analysis_by_tile(state, ["x"], good.join(members, "obs_id"), widest=SCALE, inflation=INFLATION, **settings)
+    return out.select("gi", "gj", "mem", F.round("x", 5).alias("xa"))
+
+
 @register()
 def letkf_members_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter without relaxation, by all local observations."""
-    return rounded(kernels.analysis(_all_local(spark, sf_dir)[0], INFLATION), 5)
+    return _by_tile(spark, sf_dir)
 
 
 @register()
 def letkf_rtps_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relaxation to the prior spread, by all local observations."""
-    return rounded(kernels.analysis(_all_local(spark, sf_dir)[0], INFLATION, rtps=0.95), 5)
+    return _by_tile(spark, sf_dir, rtps=0.95)
 
 
 @register()
 def letkf_rtpp_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relaxation to prior perturbations, by all local observations."""
-    return rounded(kernels.analysis(_all_local(spark, sf_dir)[0], INFLATION, rtpp=0.8), 5)
+    return _by_tile(spark, sf_dir, rtpp=0.8)
 
 
 @register()
 def boundary_taper_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The update by all local observations, tapered towards the domain's edge."""
-    packed, ny = _all_local(spark, sf_dir)
-    beta = physics.boundary_taper(F.col("gi"), F.col("gj"), fx.NX, ny, 2.0, 2.0, 9.0)
-    return rounded(kernels.analysis(packed.withColumn("beta", beta), INFLATION), 5)
+    return _by_tile(spark, sf_dir, taper=9.0)
 
 
 @register()
