@@ -8,6 +8,7 @@ probabilities are the mean over all its windows, weighted by their bytes.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,10 +150,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network:
                     out.append((lang, rows[k].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["lang", "bytes"])
 
-    found = sorted((r.lang, bytes(r.bytes)) for r in chosen.select("lang", "text").mapInArrow(cut, "lang string, bytes binary").collect())
-    number = {lang: k for k, lang in enumerate(languages)}
-    network.train(np.frombuffer(b"".join(b for _, b in found), np.uint8).reshape(-1, WINDOW), np.array([number[x] for x, _ in found]))
-    return network
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted(x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        number = {lang: k for k, lang in enumerate(languages)}
+        network.train(np.frombuffer(b"".join(b for _, b in found), np.uint8).reshape(-1, WINDOW), np.array([number[x] for x, _ in found], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], ["network"])
+
+    sampled = chosen.select("lang", "text").mapInArrow(cut, "lang string, bytes binary")
+    told = sampled.repartition(1).mapInArrow(train, "network binary").collect()  # the windows of about ``sample`` documents a language in one task, which returns the network alone
+    return pickle.loads(told[0].network)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
