@@ -223,3 +223,21 @@ def test_merging():
 @pytest.mark.parametrize("name", ["op12_phrases", "op13_spelling"])
 def test_new_queries_against_sql(spark, name):
     oracle.compare(spark, name, QUERIES[name], ORACLES[name], SF)
+
+
+def test_a_round_of_components_asks_once(spark):
+    """One aggregate a round tells of stars and hubs: few jobs, and the components of lines, stars, loops and a hub."""
+    from isohyet.llm.components import _ends, components
+
+    made = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    cases = {(): (True, None), ((2, 1), (3, 1)): (True, 2), ((2, 1), (3, 2)): (False, 2), ((3, 1), (3, 2)): (False, 2)}
+    for edges, (stars, most) in cases.items():
+        assert (_ends(made(list(edges))).stars, _ends(made(list(edges))).most) == (stars, most)
+    spark.sparkContext.setJobGroup("components-star", "")
+    got = {r.node: r.component for r in components(made([(1, k) for k in range(1, 50)])).collect()}
+    spark.sparkContext.setJobGroup("components-other", "")
+    assert got == dict.fromkeys(range(1, 50), 1)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components-star")) <= 8
+    hub = [(1000 + k, 5000) for k in range(600)] + [(k + 1, k) for k in range(20)] + [(20, 1100), (7000, 7001), (7001, 7001)]
+    got = {r.node: r.component for r in components(made(hub)).collect()}
+    assert got == dict.fromkeys([*range(21), *range(1000, 1600), 5000], 0) | {7000: 7000, 7001: 7000}
