@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.llm import langid, mixing, neardup, pieces, quality
-from isohyet.llm.common import free_name, materialise, table
+from isohyet.llm.common import free_name, give_back, materialise, table
 
 #: Less than a majority of the network's probability for its best language rejects a document. Of held-out labelled
 #: documents with a letter, the score's 0.001 quantile is 0.519 at sf0.1 (2,499 of them) and its 0.01 quantile 0.716 at sf0.01 (249).
@@ -68,12 +69,24 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+
+def _afresh(stage: Stage) -> Stage:
+    """The stage, begun after the driver has handed back what the one before it has freed."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        give_back(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("language_id", identify_language),
-    ("quality", keep_quality),
-    ("near_dedup", drop_near_duplicates),
-    ("mixing", mix_sources),
-    ("sentencepiece", encode),
+    ("language_id", _afresh(identify_language)),
+    ("quality", _afresh(keep_quality)),
+    ("near_dedup", _afresh(drop_near_duplicates)),
+    ("mixing", _afresh(mix_sources)),
+    ("sentencepiece", _afresh(encode)),
 ]
 
 

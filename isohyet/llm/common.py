@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back(spark: SparkSession) -> bool:
+    """Hand memory that the driver's JVM has freed back to the system; true if that was possible.
+
+    Each query compiles code and starts threads, and the C allocator holds on to what they free, so that a driver of
+    many queries grows though nothing is kept. The JVM has a command for it, System.trim_native_heap
+    (glibc, JDK 17.0.9 or later), which is called by its management interface; elsewhere nothing happens.
+    """
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    try:
+        named = jvm.java.lang.Class.forName
+        kinds, values = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[k] = named(name)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        named("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(server, values)
+    except Py4JError:  # this JVM has no such command
+        return False
+    return True
+
+
 def hot_from(total: int) -> int:
     """Rows above which a key of ``total`` rows is hot."""
     return max(256, total // 1000)

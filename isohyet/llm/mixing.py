@@ -126,11 +126,15 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     Rows with one doc_id (null included) share the copies that ``mix`` gives them evenly,
     the first ones by bucket and text getting what is left over. Null and empty texts take no words and go. An
     empty table gives no rows. Rows of a repeated id are ranked in buckets of about ``CHUNK`` rows, by
-    the hash of their text, so that no id is sorted as a whole; equal rows share a bucket.
+    the hash of their text, so that no id is sorted as a whole; equal rows share a bucket. Where no id
+    is repeated, nothing is ranked.
     """
     plan = materialise(mix(docs, **parameters).groupBy("doc_id").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")), "mix-plan")
     carried = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     planned = carried.join(plan.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id"))).drop("doc_id")
+    repeat = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")
+    if not plan.filter("rows > 1").limit(1).count():
+        return planned.select("row", repeat).select("row.*")  # else texts are shuffled a second time, for no rows
     bucket = F.pmod("hash", F.ceil(F.col("rows") / CHUNK))
     repeated = planned.filter("rows > 1").withColumn("bucket", bucket)
     before = Window.partitionBy("id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -138,4 +142,4 @@ def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     ranked = repeated.withColumn("nth", F.row_number().over(Window.partitionBy("id", "bucket").orderBy("row.text"))).join(sizes, F.col("id").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("b")))
     share = F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") + F.col("offset") <= F.col("copies") % F.col("rows")).cast("int")
     each = planned.filter("rows = 1").select("row", "copies").unionByName(ranked.select("row", share.alias("copies")))
-    return each.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+    return each.select("row", repeat).select("row.*")

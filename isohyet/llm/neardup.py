@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.llm import textcodes
-from isohyet.llm.common import free_name, materialise
+from isohyet.llm.common import free_name, give_back, materialise
 from isohyet.llm.components import components
 
 SHINGLE = 5
@@ -242,6 +242,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         nonlocal members
         joined = components(links, f"neardup-components-{name}").withColumnRenamed("node", "label")
         members = materialise(members.join(joined, "label", "left").select("class", F.coalesce("component", "label").alias("label")), f"neardup-members-{name}")
+        give_back(docs.sparkSession)  # this is the step with the most queries
 
     def star(rows: DataFrame) -> DataFrame:
         """Pairs of each class with its bucket's smallest one, unless they are in one component."""

@@ -2,14 +2,14 @@
 
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from isohyet.llm import langid, mixing, quality
-from isohyet.llm.common import fold, table
+from isohyet.llm.common import fold, give_back, table
 
 P = pytest.importorskip("public_tokenizers")
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -61,3 +61,40 @@ def test_pipeline_against_brute_force(spark):
         want += [(i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())] * copies[i]
     got = [tuple(r) for r in corpus_pipeline.run(spark, SF).collect()]
     assert len(one) < len(good) < len(known) and sorted(got) == sorted(want)
+
+
+def test_freed_memory_of_the_driver_goes_back(spark):
+    """The JVM frees nearly all of many small native buffers; the system has them back before the next stage begins."""
+    driver = spark.sparkContext._gateway.proc.pid
+    resident = lambda: int(re.search(r"Rss:\s+(\d+)", open(f"/proc/{driver}/smaps_rollup").read())[1]) // 1024
+    docs, stage = table(spark, SF, "documents").limit(1), dict(corpus_pipeline.STAGES)["sentencepiece"]
+    stage(spark, docs, SF)  # code is loaded
+    assert give_back(spark)
+    deflaters = [spark._jvm.java.util.zip.Deflater() for _ in range(400)]
+    out = spark.sparkContext._gateway.new_array(spark._jvm.byte, 100)
+    for d in deflaters:
+        d.setInput(bytes(range(256)) * 100)
+        d.finish()
+        d.deflate(out)
+    for d in deflaters[:-1]:  # the last one lies above the others
+        d.end()
+    held = resident()
+    stage(spark, docs, SF)
+    assert resident() < held - 20
+    deflaters[-1].end()
+
+
+def test_mixing_ranks_repeated_ids_only(spark):
+    docs = table(spark, SF, "documents").limit(300)
+    want = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    mixed = mixing.mixed_documents(docs)
+    assert "Window" not in mixed._jdf.queryExecution().optimizedPlan().toString()
+    got = Counter(r.doc_id for r in mixed.collect())
+    assert got == Counter({k: n for k, n in want.items() if n}) and mixed.columns == docs.columns
+    twice = docs.unionByName(docs.limit(5))
+    mixed = mixing.mixed_documents(twice)
+    assert "Window" in mixed._jdf.queryExecution().optimizedPlan().toString()
+    want = Counter()
+    for r in mixing.mix(twice).collect():
+        want[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in mixed.collect()) == +want
