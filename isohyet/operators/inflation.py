@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.operators.kernels import PRIOR_SD
-from isohyet.operators.localization import local_observations
+from isohyet.operators.localization import local_observations, pairs_in_reach
 
 
 def adapted(local: DataFrame, dep: DataFrame, inflation: float | DataFrame) -> DataFrame:
@@ -18,12 +18,24 @@ def adapted(local: DataFrame, dep: DataFrame, inflation: float | DataFrame) -> D
 
     ``local`` holds (gi, gj, obs_id, rloc, rdiag), ``dep`` (obs_id, dep, hx_sprd). Sums only: no member leaves its row.
     """
-    seen = local.join(dep.select("obs_id", "dep", "hx_sprd"), "obs_id", "left")
-    sums = seen.groupBy("gi", "gj").agg(
+    return _updated(_sums(local.join(dep.select("obs_id", "dep", "hx_sprd"), "obs_id", "left")), inflation)
+
+
+def adapted_at(points: DataFrame, obs: DataFrame, scale: float, inflation: float | DataFrame) -> DataFrame:
+    """``adapted`` of every point (gi, gj) by its local observations, ``obs`` (obs_id, ri, rj, err, dep, hx_sprd) bringing their departures along: pairs are summed where they are made."""
+    sums = _sums(pairs_in_reach(points, obs.select("obs_id", "ri", "rj", "err", "dep", "hx_sprd"), scale))
+    return _updated(points.select("gi", "gj").join(sums, ["gi", "gj"], "left"), inflation)
+
+
+def _sums(seen: DataFrame) -> DataFrame:
+    return seen.groupBy("gi", "gj").agg(
         F.sum(F.col("dep") * F.col("dep") / F.col("rdiag")).alias("p1"),
         F.sum(F.col("hx_sprd") * F.col("hx_sprd") / F.col("rdiag")).alias("p2"),
         F.sum("rloc").alias("p3"),
     )
+
+
+def _updated(sums: DataFrame, inflation: float | DataFrame) -> DataFrame:
     prior = F.lit(inflation) if isinstance(inflation, float | int) else F.col("prior")
     if not isinstance(inflation, float | int):
         sums = sums.join(inflation.select("gi", "gj", F.col("infl").alias("prior")), ["gi", "gj"])

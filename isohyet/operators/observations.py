@@ -95,7 +95,12 @@ def interpolated(obs: DataFrame, grid: DataFrame) -> DataFrame:
 def departures(obs: DataFrame, hx: DataFrame, threshold: float = 5.0) -> DataFrame:
     """Observations with mean, spread, departure, and the gross-error code; rows with another code keep it."""
     stats = hx.groupBy("obs_id").agg(F.avg("hx").alias("hx_mean"), F.stddev_samp("hx").alias("hx_sprd"))
-    dep = obs.join(stats, "obs_id", "left").withColumn("dep", F.col("dat") - F.col("hx_mean"))
+    return coded_departures(obs.join(stats, "obs_id", "left"), threshold)
+
+
+def coded_departures(obs: DataFrame, threshold: float = 5.0) -> DataFrame:
+    """``obs`` with mean and spread (hx_mean, hx_sprd), its departure, and the gross-error code."""
+    dep = obs.withColumn("dep", F.col("dat") - F.col("hx_mean"))
     qc = F.when((F.col("qc") == 0) & F.col("dat").isNull(), codes.BAD_OBS).when((F.col("qc") == 0) & (F.abs("dep") > threshold * F.col("err")), codes.GROSS_ERROR).otherwise(F.col("qc"))
     return dep.withColumn("qc", qc)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isohyet.functions import codes, physics
-from isohyet.operators import bias, inflation, kernels, localization, superob, volume
+from isohyet.operators import bias, gridded, inflation, kernels, localization, superob, volume
 from isohyet.operators import observations as ob
 from isohyet.plans import fixtures as fx
 from isohyet.plans.registry import register, rounded
@@ -26,10 +26,14 @@ dep as (select c.obs_id, c.elm, c.typ, c.err, c.dat, c.ri, c.rj, s.hx_sprd, c.da
 """
 
 
-def _departures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _simulated(spark: SparkSession, sf_dir: str) -> gridded.Simulated:
     coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, fx.rows(spark, sf_dir), fx.FIRST_SLOT, fx.LAST_SLOT)
-    hx = ob.interpolated(coded.filter("qc = 0"), fx.ensemble(spark, sf_dir))
-    return ob.departures(coded, hx), hx
+    return gridded.Simulated(coded, fx.ensemble(spark, sf_dir))
+
+
+def _departures(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    told = _simulated(spark, sf_dir)
+    return told.departures(), ob.interpolated(told.obs.filter("qc = 0"), told.grid)
 
 
 _STATS = """, s as (select * from dep where abs(dif) <= 14400)

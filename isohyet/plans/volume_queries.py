@@ -9,7 +9,7 @@ from isohyet.functions import clock, codes
 from isohyet.operators import impact, inflation, localization, processing, volume
 from isohyet.operators import observations as ob
 from isohyet.plans import fixtures as fx
-from isohyet.plans.queries import LOCAL, OBS, SCALE, _departures, _local
+from isohyet.plans.queries import LOCAL, OBS, SCALE, _local, _simulated
 from isohyet.plans.registry import register, rounded
 from isohyet.sources import states
 
@@ -216,12 +216,12 @@ u2 as (select l.gi, l.gj, sum(d.dep * d.dep / l.rdiag) p1, sum(d.hx_sprd * d.hx_
 select i1.gi, i1.gj, round(a, 6) first_cycle, round(coalesce(case when p2 > 0 and p3 > 0 then a + 0.0016 / (2 / p3 * power((a * p2 + p3) / p2, 2) + 0.0016) * ((p1 - p3) / p2 - a) end, a), 6) second_cycle from i1 left join u2 using (gi, gj)""")
 def cycled_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inflation carried over two cycles: each updates what the one before left, as a table by cycle."""
-    dep, hx = _departures(spark, sf_dir)
+    told = _simulated(spark, sf_dir)
     points = fx.ensemble(spark, sf_dir).select("gi", "gj").distinct()
-    good = dep.filter("qc = 0").select("obs_id", "elm", "typ", "err", "ri", "rj", "slot")
+    good = states.kept(told.seen(told.departures(), ["obs_id", "err", "ri", "rj", "slot"]), "good")
     path, carried = states.scratch(spark, "cycles"), points.withColumn("infl", F.lit(1.69))
     for cycle, part in enumerate((good.filter("slot < 13"), good.filter("slot >= 13")), 1):
-        now = inflation.adapted(localization.local_observations(points, part, SCALE), dep, carried)
+        now = inflation.adapted_at(points, part, SCALE, carried)
         now.write.parquet(f"{path}/cycle={cycle}")
         carried = spark.read.parquet(f"{path}/cycle={cycle}")
     first = spark.read.parquet(f"{path}/cycle=1").withColumnRenamed("infl", "first_cycle")
