@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,13 +67,17 @@ class Simulated:
     """What an ensemble ``grid`` (gi, gj, mem, x) says of observations ``obs`` (obs_id, ri, rj, dat, err, qc), those without a code.
 
     Observations that share an id count as one whose values are added up, as when members are rows: they alone are worked on by rows. Ids are counted
-    once, when this is made.
+    once, when that is first asked for.
     """
 
     def __init__(self, obs: DataFrame, grid: DataFrame):
         self.obs, self.grid = obs, grid
-        again = states.kept(obs.groupBy("obs_id").agg(F.count("*").alias("n")).filter("n > 1 and obs_id is not null").select("obs_id"), "repeated")
-        self.repeated = None if again.isEmpty() else again
+
+    @cached_property
+    def repeated(self) -> DataFrame | None:
+        """Ids of more than one row, if there are any."""
+        again = states.kept(self.obs.groupBy("obs_id").agg(F.count("*").alias("n")).filter("n > 1 and obs_id is not null").select("obs_id"), "repeated")
+        return None if again.isEmpty() else again
 
     def _parts(self, obs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
         """Observations whose id is their own, and the others."""
@@ -96,26 +102,28 @@ class Simulated:
         joined = shared.select(*columns).join(dep.select("obs_id", "dep", "hx_sprd"), "obs_id")
         return single.select(*columns, "dep", "hx_sprd").unionByName(joined)
 
-    def members(self, ids: DataFrame) -> DataFrame:
-        """(obs_id, y): centred simulated members, in the order of ``mem``, of the observations ``ids`` (obs_id)."""
-        single, shared = self._parts(self.obs.filter("qc = 0").join(ids.select("obs_id").distinct(), "obs_id", "left_semi").select("obs_id", "ri", "rj"))
+    def members(self, good: DataFrame) -> DataFrame:
+        """``good``, rows of the observations without a code (obs_id, ri, rj, ...), with ``y``: their centred simulated members in the order of ``mem``. Those without any have no row."""
+        single, shared = self._parts(good.filter("obs_id is not null"))
         held = _cells(self.grid).groupBy("i", "j").agg(F.array_sort(F.collect_list(F.struct("mem", *[f"x{n}" for n in range(4)]))).alias("s"))
         given = lambda s: _mask([s[f"x{n}"].isNotNull() for n in range(4)]).bitwiseAND(F.col("use")) != 0
         value = lambda s: sum((F.col(f"w{n}") * F.coalesce(s[f"x{n}"], F.lit(0.0)) for n in range(1, 4)), F.col("w0") * F.coalesce(s["x0"], F.lit(0.0)))
-        out = _in_cell(single).join(held, ["i", "j"]).select("obs_id", F.transform(F.filter("s", given), value).alias("h")).filter("size(h) > 0")
+        out = _in_cell(single).join(held, ["i", "j"]).select(*good.columns, F.transform(F.filter("s", given), value).alias("h")).filter("size(h) > 0")
         if shared is not None:
             ordered = F.transform(F.array_sort(F.collect_list(F.struct("mem", "hx"))), lambda s: s["hx"])
-            out = out.unionByName(ob.interpolated(shared, self.grid).groupBy("obs_id").agg(ordered.alias("h")))
-        out = out.withColumn("m", F.aggregate("h", F.lit(0.0), lambda t, h: t + h) / F.size("h"))
-        return out.select("obs_id", F.transform("h", lambda h: h - F.col("m")).alias("y"))
+            hx = ob.interpolated(self.obs.filter("qc = 0").join(self.repeated, "obs_id", "left_semi"), self.grid).groupBy("obs_id").agg(ordered.alias("h"))
+            out = out.unionByName(shared.join(hx, "obs_id"))
+        out = out.withColumn("_m", F.aggregate("h", F.lit(0.0), lambda t, h: t + h) / F.size("h"))
+        return out.select(*good.columns, F.transform("h", lambda h: h - F.col("_m")).alias("y"))
 
     def felt(self, good: DataFrame, points: DataFrame, scale: float, most: int | None = None) -> DataFrame:
-        """``good`` (obs_id, elm, typ, ri, rj, err, ...) with ``y``; with ``most``, of them those alone that are among the ``most`` nearest of their class for any of ``points`` (gi, gj).
+        """``good`` (obs_id, elm, typ, ri, rj, err, dep, ...) with ``y``; with ``most``, of them those alone that are among the ``most`` nearest of their class for any of ``points`` (gi, gj), so that members are simulated for what is left.
 
-        Members are simulated for what is left. ``good`` is read several times, so it should be a table.
+        With ``most``, ``good`` is read several times, so it should be a table.
         """
+        good = good.filter("obs_id is not null and dep is not null")
         if most is not None:
             classed = good.select("obs_id", "elm", "typ", "ri", "rj", "err").withColumn("limit_group", localization.limit_group(F.col("elm"), F.col("typ")))
             best = localization.best_local(points, classed, scale, most).filter("obs_id is not null").select("obs_id").distinct()
             good = good.join(states.kept(best, "best"), "obs_id", "left_semi")
-        return good.join(self.members(good), "obs_id")
+        return self.members(good)

@@ -76,17 +76,30 @@ def gain_inverse(x: np.ndarray, y: np.ndarray, rdiag: np.ndarray) -> np.ndarray:
     return x @ np.linalg.inv(np.eye(m) * (m - 1) + y.T @ scaled) @ scaled.T
 
 
+SERIAL_AT_ONCE = 32
+
+
 def serial(x: np.ndarray, y: np.ndarray, rdiag: np.ndarray) -> np.ndarray:
-    """Perturbations of a variable after serial square-root updates with each observation in turn."""
+    """Perturbations of a variable after serial square-root updates with each observation in turn.
+
+    An update is a matrix of members, I - f s's, so what all earlier ones do to an observation is one such matrix: ``turn``. Observations are
+    taken some at a time; their updates go into it together, as I - S'WS with W = F(I + UF)^-1, U being the upper part of SS'. Work grows with the
+    number of observations, not with its square.
+    """
     m = len(x)
-    x, y = x - x.mean(), y.copy()
-    for k, r in enumerate(rdiag):
-        seen = y[k].copy()
-        total = seen @ seen / (m - 1) + r
-        factor = 1 / ((m - 1) * total * (1 + np.sqrt(r / total)))
-        x = x - factor * (x @ seen) * seen
-        y[k + 1 :] -= factor * np.outer(y[k + 1 :] @ seen, seen)
-    return x
+    turn = np.eye(m)
+    for a in range(0, len(rdiag), SERIAL_AT_ONCE):
+        own = y[a : a + SERIAL_AT_ONCE] @ turn
+        factors = np.empty(len(own))
+        for k, r in enumerate(rdiag[a : a + SERIAL_AT_ONCE]):
+            seen = own[k]
+            total = seen @ seen / (m - 1) + r
+            factors[k] = 1 / ((m - 1) * total * (1 + np.sqrt(r / total)))
+            later = own[k + 1 :]
+            later -= np.outer(later @ (factors[k] * seen), seen)
+        upper = np.triu(own @ own.T, 1)
+        turn -= ((turn @ own.T) * factors) @ np.linalg.solve(np.eye(len(own)) + upper * factors, own)
+    return (x - x.mean()) @ turn
 
 
 def modes(x: np.ndarray, share: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,11 +199,17 @@ def one_sided_spread(packed: DataFrame) -> DataFrame:
 def serial_update(packed: DataFrame) -> DataFrame:
     """(gi, gj, mem, xa_pert) after serial updates with the point's observations in the order of their ids."""
 
-    def of_row(x: list, y: list, r: list) -> list[tuple]:
-        new = serial(np.array(x), np.array(y).reshape(-1, len(x)), np.array(r))
-        return list(enumerate(new.tolist(), 1))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gi, gj, *columns = batch.columns
+            for k in range(len(batch)):
+                x, y, r = (c[k].values for c in columns)  # arrays of one point, which may have very many observations
+                x = x.to_numpy(zero_copy_only=False)
+                new = serial(x, y.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(x)), r.to_numpy(zero_copy_only=False))
+                place = [pa.array(np.full(len(x), c[k].as_py(), np.int32)) for c in (gi, gj)]
+                yield pa.RecordBatch.from_arrays([*place, pa.array(np.arange(1, len(x) + 1, dtype=np.int32)), pa.array(new)], ["gi", "gj", "mem", "xa_pert"])
 
-    return _per_point(packed, ("x", "y", "rdiag"), "gi int, gj int, mem int, xa_pert double", of_row)
+    return packed.select("gi", "gj", "x", "y", "rdiag").mapInArrow(work, "gi int, gj int, mem int, xa_pert double")
 
 
 def gains(packed: DataFrame, bias: float = 0.0) -> DataFrame:
@@ -307,12 +326,17 @@ def packed_points(grid: DataFrame, local: DataFrame, hx: DataFrame, dep: DataFra
     Without ``dep``, the departures are a column of ``local``, which saves a join.
     """
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("mem", c))), lambda s: s[c])
-    members = grid.groupBy("gi", "gj").agg(ordered("x").alias("x"))
     centred = F.transform("h", lambda v: v - F.aggregate("h", F.lit(0.0), lambda a, b: a + b) / F.size("h"))
     perturbed = hx.groupBy("obs_id").agg(ordered("hx").alias("h")).select("obs_id", centred.alias("y"))
     seen = local.filter("obs_id is not null")
     seen = seen.select("gi", "gj", "obs_id", "rdiag", "dep") if dep is None else seen.select("gi", "gj", "obs_id", "rdiag").join(dep.select("obs_id", "dep"), "obs_id")
-    seen = seen.join(perturbed, "obs_id")
+    return packed_seen(grid, seen.join(perturbed, "obs_id"))
+
+
+def packed_seen(grid: DataFrame, seen: DataFrame) -> DataFrame:
+    """``packed_points`` from pairs (gi, gj, obs_id, dep, rdiag) that have the observation's centred members ``y``."""
+    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("mem", c))), lambda s: s[c])
+    members = grid.groupBy("gi", "gj").agg(ordered("x").alias("x"))
     item = F.array_sort(F.collect_list(F.struct("obs_id", "y", "dep", "rdiag")))
     obs = seen.groupBy("gi", "gj").agg(item.alias("o"))
     joined = members.join(obs, ["gi", "gj"], "left")

@@ -182,9 +182,17 @@ def _local(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 def _whole(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """Departures, simulated observations, the ensemble of all vectors and values, and the rows of its grid."""
     grid, ny = fx.whole_ensemble(spark, sf_dir)
-    coded = ob.position_code(fx.observations(spark, sf_dir), fx.NX, ny, fx.FIRST_SLOT, fx.LAST_SLOT)
-    hx = ob.interpolated(coded.filter("qc = 0"), grid)
-    return ob.departures(coded, hx), hx, grid, ny
+    dep, hx = _departures(spark, sf_dir)
+    return dep, hx, grid, ny
+
+
+def _at_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Departures and simulated values of those observations alone whose id names the place of a point, and the ensemble with that id."""
+    told = _simulated(spark, sf_dir)
+    grid = told.grid.withColumn("obs_id", (F.col("gi") + 25 * F.col("gj")).cast("long"))
+    named = told.obs.join(grid.select("obs_id").distinct(), "obs_id", "left_semi")
+    hx = ob.interpolated(named.filter("qc = 0"), told.grid)
+    return ob.departures(named, hx), hx, grid
 
 
 @register(LOCAL + "select gi, gj, obs_id, typ, round(nd2, 6) nd2, round(rloc, 6) rloc, round(rdiag, 3) rdiag from loc")
