@@ -260,12 +260,12 @@ def letkf_one_obs_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def letkf_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Localized analysis of every point with inflation 1.69 and relaxation 0.8."""
-    dep, hx, grid, _ = _whole(spark, sf_dir)
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("mem", "hx"))), lambda s: s.hx)
-    centred = hx.groupBy("obs_id").agg(ordered.alias("h"), F.avg("hx").alias("m")).select("obs_id", F.transform("h", lambda h: h - F.col("m")).alias("y"))
-    good = dep.filter("qc = 0").join(centred, "obs_id").withColumns({"hori_loc": F.lit(SCALE), "vert_loc": F.lit(0.0)})
+    told = _simulated(spark, sf_dir)
+    grid = told.grid
+    good = states.kept(told.departures().filter("qc = 0").select("obs_id", "elm", "typ", "ri", "rj", "lev", "dat", "err", "dep"), "good")
+    felt = told.felt(good, grid.select("gi", "gj").distinct(), SCALE, 10).withColumns({"hori_loc": F.lit(SCALE), "vert_loc": F.lit(0.0)})
     state = grid.withColumns({"k": F.lit(1), "p": F.lit(1.0)})
-    out = volume.analysis_by_tile(state, ["x"], good, widest=SCALE, most=10, inflation=1.69, rtpp=0.8)
+    out = volume.analysis_by_tile(state, ["x"], felt, widest=SCALE, most=10, inflation=1.69, rtpp=0.8)
     return out.select("gi", "gj", "mem", F.round("x", 5).alias("xa"))
 
 

@@ -80,3 +80,19 @@ def test_serial_updates_by_very_many_observations():
     assert np.allclose(serial(x, y, r[:100]), want) and np.allclose(serial(x, y[:0], r[:0]), x - x.mean())
     began = time.time()
     assert np.isfinite(serial(x, rng.normal(size=(60_000, 16)), r)).all() and time.time() - began < 40
+
+
+def test_members_of_the_best_alone(spark):
+    """The analysis with a limit is the same when members are simulated only for what some point can take."""
+    from isohyet.operators.volume import analysis_by_tile
+
+    obs, grid = made(spark, whole=True, repeated=False)
+    new = gridded.Simulated(obs, grid)
+    good = new.departures(20.0).filter("qc = 0").select("obs_id", "elm", "typ", "ri", "rj", "dat", "err", "dep")
+    points, scale = grid.select("gi", "gj").distinct(), 0.4
+    rest = {"lev": F.lit(1.0e5), "hori_loc": F.lit(scale), "vert_loc": F.lit(0.0)}
+    every, some = (new.felt(good, points, scale, most).withColumns(rest) for most in (None, 1))
+    assert some.count() <= 16 < every.count() and not rows_of_members(some)
+    state = grid.withColumns({"k": F.lit(1), "p": F.lit(1.0e5)})
+    a, b = (analysis_by_tile(state, ["x"], o, widest=scale, most=1).select("gi", "gj", "mem", "x", "n_obs") for o in (every, some))
+    assert told(a, a.columns) == told(b, b.columns)
