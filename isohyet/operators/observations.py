@@ -144,3 +144,10 @@ def paired_departures(guess: DataFrame, analysis: DataFrame) -> DataFrame:
     after = analysis.select("obs_id", F.col("qc").alias("qc_a"), F.col("dep").alias("oma"))
     qc = F.when(F.col("qc") == codes.GOOD, F.col("qc_a")).otherwise(F.col("qc"))
     return guess.join(after, "obs_id").select("obs_id", "elm", qc.alias("qc"), F.col("dep").alias("omb"), "oma")
+
+
+def paired_with(dep: DataFrame, mean_after: Column, threshold: float) -> DataFrame:
+    """``paired_departures`` of ``dep`` (obs_id, elm, dat, err, qc, dep, ...) and an analysis pass whose simulated mean is ``mean_after`` of the same row."""
+    oma = F.col("dat") - mean_after
+    qc = F.when((F.col("qc") == codes.GOOD) & (F.abs(oma) > threshold * F.col("err")), codes.GROSS_ERROR).otherwise(F.col("qc"))
+    return dep.select("obs_id", "elm", qc.alias("qc"), F.col("dep").alias("omb"), oma.alias("oma"))

@@ -98,6 +98,6 @@ def test_members_of_the_best_alone(spark):
     assert told(a, a.columns) == told(b, b.columns)
 
 
-@pytest.mark.parametrize("name", ["letkf_adaptive_infl"])
+@pytest.mark.parametrize("name", ["letkf_adaptive_infl", "omb_oma_pairs"])
 def test_no_row_of_a_member(spark, name):
     assert not rows_of_members(QUERIES[name](spark, SF))
