@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.operators import inflation, localization, volume
-from isohyet.operators import observations as ob
+from isohyet.operators import gridded, inflation, volume
+from isohyet.sources import states
 
 
 def assimilated(obs: DataFrame, prior: DataFrame, earlier: DataFrame, scale: float, most: int | None = None, threshold: float = 5.0, rtpp: float = 0.0) -> DataFrame:
@@ -15,15 +15,12 @@ def assimilated(obs: DataFrame, prior: DataFrame, earlier: DataFrame, scale: flo
     A point without a factor in ``earlier`` keeps 1. Observations with a code, and those too far from the prior's mean, are left out.
     """
     prior = prior.select("gi", "gj", "mem", "x")
-    hx = ob.interpolated(obs.filter("qc = 0"), prior)
-    dep = ob.departures(obs, hx, threshold)
-    good = dep.filter("qc = 0")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("mem", "hx"))), lambda s: s.hx)
-    members = hx.groupBy("obs_id").agg(ordered.alias("h"), F.avg("hx").alias("m")).select("obs_id", F.transform("h", lambda h: h - F.col("m")).alias("y"))
-    felt = good.join(members, "obs_id").withColumns({"lev": F.lit(1.0e5), "hori_loc": F.lit(scale), "vert_loc": F.lit(0.0)})
+    told = gridded.Simulated(obs, prior)
+    dep = states.kept(told.departures(threshold).select("obs_id", "elm", "typ", "ri", "rj", "dat", "err", "qc", "dep", "hx_sprd"), "departures")
     points = prior.select("gi", "gj").distinct()
+    felt = told.felt(dep.filter("qc = 0").drop("hx_sprd"), points, scale, most).withColumns({"lev": F.lit(1.0e5), "hori_loc": F.lit(scale), "vert_loc": F.lit(0.0)})
     factors = points.join(earlier.groupBy("gi", "gj").agg(F.first("infl").alias("infl")), ["gi", "gj"], "left").select("gi", "gj", F.coalesce("infl", F.lit(1.0)).alias("infl"))
     state = prior.join(factors, ["gi", "gj"]).withColumns({"k": F.lit(1), "p": F.lit(1.0e5)})
     analysed = volume.analysis_by_tile(state, ["x"], felt, widest=scale, most=most, rtpp=rtpp)
-    local = localization.local_observations(points, good.select("obs_id", "err", "ri", "rj"), scale)
-    return analysed.select("gi", "gj", "mem", "x").join(inflation.adapted(local, dep, factors), ["gi", "gj"])
+    adapted = inflation.adapted_at(points, told.seen(dep, ["obs_id", "ri", "rj", "err"]), scale, factors)
+    return analysed.select("gi", "gj", "mem", "x").join(adapted, ["gi", "gj"])

@@ -109,3 +109,14 @@ def test_only_observations_named_by_a_point_are_simulated(spark):
     dep, hx, grid = _at_points(spark, SF)
     points = grid.select("obs_id").distinct()
     assert 0 < dep.count() <= points.count() < 1000 and hx.join(points, "obs_id", "left_anti").isEmpty()
+
+
+def test_a_cycle_simulates_only_what_points_take(spark, monkeypatch):
+    from isohyet.operators import cycling, volume
+
+    obs, grid = made(spark, whole=True, repeated=False)
+    seen, analysis = [], volume.analysis_by_tile
+    monkeypatch.setattr(volume, "analysis_by_tile", lambda state, names, felt, **settings: seen.append(felt) or analysis(state, names, felt, **settings))
+    earlier = grid.withColumn("infl", F.lit(1.2))
+    out = cycling.assimilated(obs, grid, earlier, 0.4, most=1, threshold=20.0)
+    assert out.count() == 80 and 0 < seen[0].count() <= 16 and not rows_of_members(seen[0])
