@@ -451,3 +451,17 @@ def test_surface_pressure_of_radar_type(spark):
     obs = spark.createDataFrame([(n, e, t, 1.0, 1.0, lev, 8e4, 1.0, 1.0, 300.0 if t == 22 else 0.1, 1.0) for n, e, t, lev in kinds], "obs_id int, elm int, typ int, ri double, rj double, lev double, dat double, err double, hori_loc double, vert_loc double, weight double")
     near = lambda **rule: {r.obs_id for r in local_observations_3d(points, obs, 1.0, **rule).collect()}
     assert near() == {1, 2, 3, 4} and near(at_height=F.col("typ") == 22) == {2, 4}
+
+
+def test_places_at_a_corner_as_by_sql(spark, tmp_path):
+    """At no distance from a corner the SQL divides by 0, which gives no number; the operator's default stays the corner's own place."""
+    import shutil
+
+    import duckdb
+    import oracle
+    from isohyet.plans import ORACLES, QUERIES
+
+    shutil.copy("/root/testdata/sf0.001/embeddings.parquet", tmp_path / "embeddings.parquet")
+    duckdb.connect().execute(f"copy (select range s_suppkey from range(6000)) to '{tmp_path}/supplier.parquet' (format parquet)")
+    oracle.compare(spark, "containing_positions", QUERIES["containing_positions"], ORACLES["containing_positions"], str(tmp_path))
+    assert QUERIES["containing_positions"](spark, str(tmp_path)).filter("isnan(oi)").count() > 0
