@@ -208,9 +208,8 @@ def obs_per_point(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _points_and_good(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Points and good observations, these as a table, since counts and pairs both read them."""
-    path = states.scratch(spark, "good")
-    _departures(spark, sf_dir)[0].filter("qc = 0").select("obs_id", "elm", "typ", "err", "ri", "rj").write.parquet(path)
-    return fx.ensemble(spark, sf_dir).select("gi", "gj").distinct(), spark.read.parquet(path)
+    good = _simulated(spark, sf_dir).departures().filter("qc = 0").select("obs_id", "elm", "typ", "err", "ri", "rj")
+    return fx.ensemble(spark, sf_dir).select("gi", "gj").distinct(), states.kept(good, "good")
 
 
 def _top(order: str, by: str) -> None:

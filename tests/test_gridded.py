@@ -120,3 +120,13 @@ def test_a_cycle_simulates_only_what_points_take(spark, monkeypatch):
     earlier = grid.withColumn("infl", F.lit(1.2))
     out = cycling.assimilated(obs, grid, earlier, 0.4, most=1, threshold=20.0)
     assert out.count() == 80 and 0 < seen[0].count() <= 16 and not rows_of_members(seen[0])
+
+
+@pytest.mark.parametrize("name", ["local_topk_class_rloc"])
+def test_good_observations_without_rows_of_members(spark, monkeypatch, name):
+    from isohyet.sources import states
+
+    tables, kept = {}, states.kept
+    monkeypatch.setattr(states, "kept", lambda df, of: tables.setdefault(of, df) and kept(df, of))
+    QUERIES[name](spark, SF)
+    assert not rows_of_members(tables["good"])
