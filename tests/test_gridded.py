@@ -98,7 +98,7 @@ def test_members_of_the_best_alone(spark):
     assert told(a, a.columns) == told(b, b.columns)
 
 
-@pytest.mark.parametrize("name", ["letkf_adaptive_infl", "omb_oma_pairs", "departure_stats_range", "departure_stats"])
+@pytest.mark.parametrize("name", ["letkf_adaptive_infl", "omb_oma_pairs", "departure_stats_range", "departure_stats", "bilinear_interp"])
 def test_no_row_of_a_member(spark, name):
     assert not rows_of_members(QUERIES[name](spark, SF))
 
