@@ -122,7 +122,7 @@ def test_a_cycle_simulates_only_what_points_take(spark, monkeypatch):
     assert out.count() == 80 and 0 < seen[0].count() <= 16 and not rows_of_members(seen[0])
 
 
-@pytest.mark.parametrize("name", ["local_topk_class_rloc", "local_topk_class_dist", "local_topk_rdiag"])
+@pytest.mark.parametrize("name", ["local_topk_class_rloc", "local_topk_class_dist", "local_topk_rdiag", "local_topk_rloc"])
 def test_good_observations_without_rows_of_members(spark, monkeypatch, name):
     from isohyet.sources import states
 
